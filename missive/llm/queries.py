@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from missive.llm import line_dedup, mixing, packing, token_store
+from missive.llm import chat, embedding_dedup, line_dedup, mixing, packing, simhash, token_store, toxicity
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_store": token_store.op5_token_store,
+    "op6_chat": chat.op6_chat,
+    "op7_simhash": simhash.op7_simhash,
     "op8_packing": packing.op8_packing,
 }
-ORACLE_SQL = {"op3_line_dedup": line_dedup.OP3_SQL}
+ORACLE_SQL = {"op3_line_dedup": line_dedup.OP3_SQL, "op6_chat": chat.OP6_SQL}
