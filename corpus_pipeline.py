@@ -8,6 +8,13 @@ from missive.llm.common import new_path, table
 from missive.llm.line_dedup import drop_repeated_lines
 from missive.llm.mixing import mixed_documents
 from missive.llm.packing import pack
+from missive.llm.simhash import one_per_group
+from missive.llm.toxicity import scored
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.5 or more go."""
+    return scored(docs, table(spark, sf_dir, "labels")).where("score < 0.5").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,6 +22,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(docs).drop("n_lines", "n_dropped")
 
 
+def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return one_per_group(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the target weights of the sources take it."""
     return mixed_documents(docs)
@@ -27,7 +39,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
-STAGES = [("line_dedup", line_dedup), ("mixing", mixing), ("packing", packing)]
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("simhash", simhash), ("mixing", mixing), ("packing", packing)]
 
 #: A trained classifier is among the stages; tests hold the result against a brute-force version.
 ORACLE_SQL = None

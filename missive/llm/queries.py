@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from missive.llm import chat, embedding_dedup, line_dedup, mixing, packing, simhash, token_store, toxicity
+from missive.llm import chat, embedding_dedup, line_dedup, minhash, mixing, packing, simhash, token_store, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -13,5 +13,7 @@ QUERIES = {
     "op6_chat": chat.op6_chat,
     "op7_simhash": simhash.op7_simhash,
     "op8_packing": packing.op8_packing,
+    "op9_minhash": minhash.op9_minhash,
+    "minhash_near_duplicates": minhash.minhash_near_duplicates,
 }
 ORACLE_SQL = {"op3_line_dedup": line_dedup.OP3_SQL, "op6_chat": chat.OP6_SQL}
