@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from missive.llm import chat, embedding_dedup, line_dedup, minhash, mixing, packing, simhash, token_store, toxicity
+from missive.llm import bwt_dedup, chat, embedding_dedup, line_dedup, minhash, mixing, packing, simhash, token_store, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_packing": packing.op8_packing,
     "op9_minhash": minhash.op9_minhash,
+    "op10_bwt_dedup": bwt_dedup.op10_bwt_dedup,
     "minhash_near_duplicates": minhash.minhash_near_duplicates,
 }
 ORACLE_SQL = {"op3_line_dedup": line_dedup.OP3_SQL, "op6_chat": chat.OP6_SQL}
