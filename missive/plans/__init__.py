@@ -1 +1,17 @@
+"""Registered queries over the given tables, and their SQL."""
 
+from __future__ import annotations
+
+
+def _modules() -> list:
+    from missive.plans import text_queries
+
+    return [text_queries]
+
+
+def queries() -> dict:
+    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
+
+
+def oracle() -> dict[str, str]:
+    return {k: v for m in _modules() for k, v in m.SQL.items()}
