@@ -33,8 +33,8 @@ class Costs:
 
 
 def money(c: Column) -> Column:
-    """Two decimals, halves up, whatever the last bit of the binary fraction."""
-    return F.round(F.round(c, 6), 2)
+    """Four decimals: exact for prices of one decimal and probabilities of three."""
+    return F.round(c, 4)
 
 
 def costs(df: DataFrame, model: Costs = Costs(), p: str = "p_utility") -> DataFrame:

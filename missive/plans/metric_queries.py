@@ -128,13 +128,13 @@ query("j8_training_only", f"{D.ctes('t', TF)} SELECT id FROM tf WHERE CAST(id AS
 query("j9_pending", f"{D.ctes('t')} SELECT id FROM t WHERE CAST(id AS BIGINT) % 3 <> 0 ORDER BY id LIMIT 200")(lambda s, d: S.pending(fixture(s, d, T).select("id"), fixture(s, d, T).where("ingest_seq % 3 = 0"), 200))
 
 COST = "p_utility * 1.0 + (1 - p_utility) * 49.5"
-query("x1_costs", f"{D.ctes('t', PR)} SELECT id, round(round({COST}, 6), 2) AS cost_if_utility, 7.5::DOUBLE AS cost_if_marketing, round(42.0::DOUBLE / 48.5, 3) AS break_even, 6.5::DOUBLE AS saving, 0.0::DOUBLE AS pure_break_even FROM pr")(
+query("x1_costs", f"{D.ctes('t', PR)} SELECT id, round({COST}, 4) AS cost_if_utility, 7.5::DOUBLE AS cost_if_marketing, round(42.0::DOUBLE / 48.5, 3) AS break_even, 6.5::DOUBLE AS saving, 0.0::DOUBLE AS pure_break_even FROM pr")(
     lambda s, d: E.costs(priced(s, d)).select("id", "cost_if_utility", "cost_if_marketing", "break_even", "saving", "pure_break_even"))
 query("x2_decide", f"{D.ctes('t', PR)} SELECT id, CASE WHEN p_utility >= 42.0::DOUBLE / 48.5 THEN 'UTILITY' ELSE 'MARKETING' END AS declare FROM pr")(lambda s, d: E.decide(priced(s, d)).select("id", "declare"))
 query("x4_weights", f"{D.ctes('t', PR)} SELECT id, coalesce(monthly_volume, 0) AS volume FROM pr")(lambda s, d: E.weights(priced(s, d)).select("id", "volume"))
 RUN = """run AS (SELECT *, round(sum(volume) OVER o, 6) AS cv, round(sum(risk) OVER o, 6) AS cr FROM (SELECT *, round(volume * (1 - p_utility), 9) AS risk FROM (SELECT *, coalesce(monthly_volume, 0) AS volume FROM pr)) WINDOW o AS (ORDER BY p_utility DESC, volume DESC, id ROWS UNBOUNDED PRECEDING)),
 al AS (SELECT *, CASE WHEN bool_and(coalesce(cv > 0 AND round(cr / nullif(cv, 0), 9) <= 0.15, false)) OVER (ORDER BY p_utility DESC, volume DESC, id ROWS UNBOUNDED PRECEDING) THEN 'UTILITY' ELSE 'MARKETING' END AS declare FROM run)"""
-query("w3_allocate", f"{D.ctes('t', PR, RUN)} SELECT id, declare, CASE declare WHEN 'UTILITY' THEN round(round(volume * p_utility * 6.5, 6), 2) ELSE 0.0 END AS saving FROM al")(lambda s, d: E.allocate(priced(s, d), 0.15).select("id", "declare", "saving"))
+query("w3_allocate", f"{D.ctes('t', PR, RUN)} SELECT id, declare, CASE declare WHEN 'UTILITY' THEN round(volume * p_utility * 6.5, 4) ELSE 0.0 END AS saving FROM al")(lambda s, d: E.allocate(priced(s, d), 0.15).select("id", "declare", "saving"))
 query("x5_portfolio", f"""{D.ctes('t', PR, RUN)}, c AS (SELECT count(*) FILTER (WHERE declare = 'UTILITY') AS declared_utility, count(*) AS templates, coalesce(sum(volume) FILTER (WHERE declare = 'UTILITY'), 0) AS v, sum(risk) FILTER (WHERE declare = 'UTILITY') AS r, sum(volume) AS total FROM al)
 SELECT declared_utility, templates, round(v, 2) AS utility_volume, round(total, 2) AS total_volume, round(v / total, 4) AS utility_share, round(r / v, 4) AS misclassification, round(total * 7.5, 2) AS baseline, round(total * 7.5 - v * 6.5, 2) AS projected FROM c""")(lambda s, d: E.portfolio(E.allocate(priced(s, d), 0.15)))
 query("w4_risk_curve", f"{D.ctes('t', PR, RUN)} SELECT budget, count(*) FILTER (WHERE round(cr / nullif(cv, 0), 9) <= budget) AS declared_utility, round(coalesce(max(cv) FILTER (WHERE round(cr / nullif(cv, 0), 9) <= budget), 0), 2) AS utility_volume FROM run, (SELECT unnest([{', '.join(f'{b}::DOUBLE' for b in E.RISK_BUDGETS)}]) AS budget) GROUP BY budget")(lambda s, d: E.risk_curve(priced(s, d)))
