@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from missive.plans import metric_queries, similarity_queries, text_queries, vector_queries
+    from missive.plans import learn_queries, metric_queries, similarity_queries, stream_queries, text_queries, vector_queries
 
-    return [text_queries, metric_queries, similarity_queries, vector_queries]
+    return [text_queries, metric_queries, similarity_queries, vector_queries, learn_queries, stream_queries]
 
 
 def queries() -> dict:
