@@ -71,13 +71,13 @@ def balanced(df: DataFrame) -> DataFrame:
 def fit_logistic(df: DataFrame, c: float = 1.0):
     rows = balanced(df)
     total = rows.agg(F.sum("weight")).first()[0]
-    return LogisticRegression(labelCol="y", weightCol="weight", regParam=1.0 / (c * total), standardization=False, maxIter=50).fit(rows)
+    return LogisticRegression(labelCol="y", weightCol="weight", regParam=1.0 / (c * total), standardization=False, maxIter=20).fit(rows)
 
 
 def fit_svm(df: DataFrame, c: float = 1.0):
     rows = balanced(df)
     total = rows.agg(F.sum("weight")).first()[0]
-    return LinearSVC(labelCol="y", weightCol="weight", regParam=1.0 / (c * total), standardization=False, maxIter=50).fit(rows)
+    return LinearSVC(labelCol="y", weightCol="weight", regParam=1.0 / (c * total), standardization=False, maxIter=20).fit(rows)
 
 
 def margin(c: str = "rawPrediction") -> Column:
@@ -105,7 +105,7 @@ class Calibrated:
         high, low = (n["p"] + 1) / (n["p"] + 2), 1 / (n["n"] - n["p"] + 2)
         target = F.when(F.col("y") == 1, high).otherwise(low)
         rows = held.select("m", F.explode(F.array(F.struct(F.lit(1.0).alias("y"), target.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w")))).alias("t")).select("m", "t.y", "t.w")
-        fitted = LogisticRegression(labelCol="y", weightCol="w", standardization=False, maxIter=50).fit(VectorAssembler(inputCols=["m"], outputCol="features").transform(rows))
+        fitted = LogisticRegression(labelCol="y", weightCol="w", standardization=False, maxIter=20).fit(VectorAssembler(inputCols=["m"], outputCol="features").transform(rows))
         return float(fitted.coefficients[0]), float(fitted.intercept)
 
     def transform(self, df: DataFrame) -> DataFrame:
