@@ -3,10 +3,12 @@
 Which documents could share a string of LENGTH bytes is found first, without loss. Every such
 string contains the seed that is least by hash among its SEED-byte strings, and equal strings
 contain the same one. Seeds found in one document only cannot lie in a repeated string. Around
-each other seed a snippet is taken, all LENGTH-byte strings that contain it; equal snippets are one
-row with their least doc_id, so hot passages shrink before they meet.
+each other seed there is a snippet, all LENGTH-byte strings that contain it; equal snippets are one
+row with their least doc_id, so hot passages shrink before they meet. A seed with one distinct
+snippet has nothing to compare: it is its least document's.
 
-Snippets of a seed meet in one task. Snippets are cut into shards; each shard's transform is
+Snippets of each other seed meet in one task. A snippet none of whose 40-byte parts is in another
+shares nothing with it and is left out. The others are cut into shards; each shard's transform is
 built by itself, and the shards' transforms are merged by refining their interleave (Holt and
 McMillan 2014): starting from all of shard 0, then shard 1 and so on, each round reorders the
 interleave stably by the symbols that precede the rows, so that after rounds of
@@ -38,13 +40,15 @@ from missive.llm.buckets import dealt, groups
 from missive.llm.common import prepare, table, written
 from missive.llm.line_dedup import _add, _has, _positions
 
-LENGTH, SEED = 50, 24
+LENGTH, SEED = 50, 20
 WINDOWS = LENGTH - SEED + 1  # windows of LENGTH bytes that contain a seed
 SNIPPET = LENGTH + WINDOWS - 1
 #: The filter over repeated seeds: 16 bits a seed up to 32 MB.
 FILTER_BITS = 1 << 28
 #: Distinct snippets of one seed that meet in one task; snippets of a shard; of a merge.
 SEED_CAP, SHARD, MERGE = 8192, 4096, 24_576
+#: Seeds that a task of the first pass holds; seeds of a bucket there.
+SEEDS_HELD, BUCKET_SEEDS = 1 << 22, 1 << 20
 #: Bytes of text that are hashed at once: arrays that fit a core's cache.
 CHUNK = 1 << 16
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
@@ -79,7 +83,7 @@ def seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = buf.astype(np.uint64)
         for step in (1, 2, 4):
             x = x[:-step] | (x[step:] << np.uint64(8 * step))
-        h = x[: len(buf) - SEED + 1] * _C[0] + x[8 : len(buf) - SEED + 9] * _C[1] + x[16 : len(buf) - SEED + 17] * _C[2]
+        h = x[: len(buf) - SEED + 1] * _C[0] + x[8 : len(buf) - SEED + 9] * _C[1] + x[SEED - 8 : len(buf) - 7] * _C[2]
         h ^= h >> np.uint64(32)
         h *= _C[3]
         h ^= h >> np.uint64(29)
@@ -100,16 +104,62 @@ def _raw(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [b"" if t is None else t.encode() for t in batch.column(column).to_pylist()]
 
 
-def _all_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct seeds of each document; a null id takes no part."""
+def _spread(v: np.ndarray) -> np.ndarray:
+    v = v * _C[3]
+    return v ^ (v >> np.uint64(31))
+
+
+def _counted(bits: int):
+    """Seeds of a task's documents in buckets by their first bits; the next 32 bits of those met once, and of others."""
+
+    def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        bucket, rest = (values >> np.uint64(32)).astype(np.int64), (values & np.uint64(0xFFFFFFFF)).astype("<u4")
+        edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+        rows = []
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            part, many = rest[edges[k] : edges[k + 1]], counts[edges[k] : edges[k + 1]] > 1
+            rows.append({"bucket": k, "once": part[~many].tobytes(), "more": part[many].tobytes()})
+        for k in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_pylist(rows[k : k + 256])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            texts = [t if d is not None else b"" for d, t in zip(batch.column(0).to_pylist(), _raw(batch, 1))]
+            h, number, _ = seeds(texts)
+            if not len(h):
+                continue
+            h = h >> np.uint64(32 - bits)
+            order = np.lexsort((h, number))
+            h, number = h[order], number[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (number[1:] != number[:-1])
+            held.append(h[new])
+            n += len(held[-1])
+            if n > SEEDS_HELD:
+                yield from packed(held)
+                held, n = [], 0
+        if held:
+            yield from packed(held)
+
+    return run
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The seeds of each bucket that are in two documents or more."""
+    once: dict[int, list[bytes]] = {}
+    more: dict[int, list[bytes]] = {}
     for batch in batches:
-        texts = [t if d is not None else b"" for d, t in zip(batch.column(0).to_pylist(), _raw(batch, 1))]
-        h, number, _ = seeds(texts)
-        order = np.lexsort((h, number))
-        h, number = h[order], number[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (number[1:] != number[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64))], names=["seed"])
+        for row in batch.to_pylist():
+            once.setdefault(row["bucket"], []).append(row["once"])
+            more.setdefault(row["bucket"], []).append(row["more"])
+    for k in once:
+        single = np.sort(np.frombuffer(b"".join(once[k]), "<u4"))
+        both = np.unique(np.concatenate([single[1:][single[1:] == single[:-1]], np.frombuffer(b"".join(more[k]), "<u4")]))
+        both = both.astype(np.uint64) | np.uint64(k << 32)
+        for at in range(0, len(both), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(both[at : at + (1 << 16)].view(np.int64))], names=["seed"])
 
 
 def _bloom(bits: int):
@@ -117,7 +167,7 @@ def _bloom(bits: int):
         packed = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             if batch.num_rows:
-                _add(packed, np.unique(_positions(batch.column(0).to_numpy().view(np.uint64), bits)))
+                _add(packed, np.unique(_positions(_spread(batch.column(0).to_numpy().view(np.uint64)), bits)))
         step = 1 << 16
         for k in range(0, len(packed), step):
             if packed[k : k + step].any():
@@ -136,11 +186,23 @@ def _or_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([{"segment": k, "bits": v.tobytes()}])
 
 
+def seed_filter(found: DataFrame, n: int, most_bits: int):
+    """(broadcast Bloom filter over the n seeds of found, its bits), or (None, 0) if it would be too large."""
+    bits = 1 << max(16, (16 * n).bit_length())
+    if bits > most_bits:
+        return None, 0
+    parts = found.select("seed").mapInArrow(_bloom(bits), "segment bigint, bits binary").repartition("segment").mapInArrow(_or_bits, "segment bigint, bits binary")
+    packed = np.zeros(bits // 8, np.uint8)
+    for row in parts.collect():  # at most the bytes of the filter
+        packed[row["segment"] : row["segment"] + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
+    return found.sparkSession.sparkContext.broadcast(packed), bits
+
+
 def text_key(raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
 
 
-def _snippets(shared, bits: int, with_text: bool):
+def _snippets(bucket_bits: int, shared, bits: int, with_text: bool):
     """Occurrences of repeated seeds: with their snippets, or with documents and places and the snippets' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +210,9 @@ def _snippets(shared, bits: int, with_text: bool):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), _raw(batch, 1)
             h, number, place = seeds([t if d is not None else b"" for d, t in zip(ids, texts)])
+            h = h >> np.uint64(32 - bucket_bits)
             if seen is not None and len(h):
-                hit = _has(seen, _positions(h, bits)).all(axis=1)
+                hit = _has(seen, _positions(_spread(h), bits)).all(axis=1)
                 h, number, place = h[hit], number[hit], place[hit]
             begin = place - (WINDOWS - 1)
             sizes = np.array([len(t) for t in texts])[number] if len(h) else begin
@@ -166,23 +229,45 @@ def _snippets(shared, bits: int, with_text: bool):
                 yield pa.RecordBatch.from_arrays([seed, pa.array(snippets, pa.binary()), ids_at], names=["seed", "snippet", "doc_id"])
             else:
                 keys = {n: text_key(texts[n]) for n in set(number.tolist())}
-                key = pa.array([int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s in snippets], pa.int64())
-                yield pa.RecordBatch.from_arrays([seed, key, ids_at, pa.array([keys[n] for n in number.tolist()], pa.int64()), pa.array(begin.astype(np.int32))], names=["seed", "snippet_key", "doc_id", "text_key", "begin"])
+                key = pa.array([snippet_key(s) for s in snippets], pa.int64())
+                mask = (1 << high.astype(np.int64)) - (1 << low.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([seed, key, ids_at, pa.array([keys[n] for n in number.tolist()], pa.int64()), pa.array(begin.astype(np.int32)), pa.array(mask)], names=["seed", "snippet_key", "doc_id", "text_key", "begin", "mask"])
 
     return run
 
 
-class Transform:
-    """The n-step Burrows-Wheeler transform of a shard of strings of SNIPPET bytes, each with an end mark."""
+def _stable_order(keys: np.ndarray) -> np.ndarray:
+    """Stable order of keys below 2**32: one counting sort for each 16 bits in use."""
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(keys) and int(keys.max()) >> 16:
+        order = order[np.argsort((keys[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
+class Strings:
+    """Strings of SNIPPET bytes, each with an end mark, as rings; eight bytes from each place on are a letter of their own."""
 
     def __init__(self, strings: np.ndarray):
-        n, turn = len(strings), SNIPPET + 1
-        ring = np.concatenate([strings, np.zeros((n, 1), np.uint8)], axis=1)
-        ring = ring[:, np.arange(turn + 64) % turn].copy()
-        words = [np.ndarray((n, turn), ">u8", ring, 8 * k, ring.strides).astype(np.uint64) for k in range(7)]
-        self.suffixes = np.lexsort([w.ravel() for w in reversed(words)])
-        before8, before2 = (words[0][:, (np.arange(turn) - k) % turn].ravel() for k in (8, 2))
-        self.eight, self.two = before8[self.suffixes], before2[self.suffixes] >> np.uint64(48)
+        self.turn = SNIPPET + 1
+        ring = np.concatenate([strings, np.zeros((len(strings), 1), np.uint8)], axis=1)
+        ring = ring[:, np.arange(self.turn + 8) % self.turn].copy()
+        words = np.ndarray((len(strings), self.turn), ">u8", ring, 0, ring.strides).astype(np.uint64)
+        self.letters = np.unique(words, return_inverse=True)[1].reshape(words.shape).astype(np.uint32)
+        self.pairs = (words >> np.uint64(48)).astype(np.uint32)
+
+
+class Transform:
+    """The n-step Burrows-Wheeler transform of a shard: its suffixes in order, and the 8 and 2 bytes before each."""
+
+    def __init__(self, strings: Strings, begin: int, end: int):
+        places, letters = np.arange(strings.turn), strings.letters[begin:end]
+        order = np.arange(letters.size)
+        for k in range(LENGTH // 8, -1, -1):
+            keys = letters[:, (places + 8 * k) % strings.turn].ravel()
+            order = order[_stable_order(keys[order])]
+        self.suffixes = order
+        self.eight = letters[:, (places - 8) % strings.turn].ravel()[order]
+        self.two = strings.pairs[begin:end][:, (places - 2) % strings.turn].ravel()[order]
 
 
 def merge(shards: list[Transform], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -190,20 +275,18 @@ def merge(shards: list[Transform], length: int = LENGTH) -> tuple[np.ndarray, np
 
     Rows of one interval share their first ``length`` bytes (2 modulo 8).
     """
-    sizes = [len(s.suffixes) for s in shards]
     two, eight = (np.concatenate([getattr(s, k) for s in shards]) for k in ("two", "eight"))
-    interleave = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
-    interval = np.zeros(len(interleave), np.int64)
+    interleave = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s.suffixes) for s in shards])
+    interval = np.zeros(len(interleave), np.int32)
     for symbols in (two, *[eight] * ((length - 2) // 8)):
         rows = np.argsort(interleave, kind="stable")  # merged places of shard 0's rows in order, then of shard 1's
         here = np.empty_like(symbols)
         here[rows] = symbols
-        order = np.argsort(here, kind="stable")
-        here, was = here[order], interval[order]
-        interleave = interleave[order]
-        new = np.zeros(len(order), np.int64)
+        order = _stable_order(here)
+        here, was, interleave = here[order], interval[order], interleave[order]
+        new = np.zeros(len(order), np.int32)
         new[1:] = (here[1:] != here[:-1]) | (was[1:] != was[:-1])
-        interval = np.cumsum(new)
+        interval = np.cumsum(new, dtype=np.int32)
     rows = np.argsort(interleave, kind="stable")
     return interval[rows], rows
 
@@ -211,7 +294,8 @@ def merge(shards: list[Transform], length: int = LENGTH) -> tuple[np.ndarray, np
 def least_documents(snippets: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """(snippets, WINDOWS): the least doc_id in which each window occurs; windows outside low..high have none."""
     none = np.iinfo(np.int64).max
-    shards = [Transform(snippets[k : k + SHARD]) for k in range(0, len(snippets), SHARD)]
+    strings = Strings(snippets)
+    shards = [Transform(strings, k, k + SHARD) for k in range(0, len(snippets), SHARD)]
     interval, _ = merge(shards)
     suffix = np.concatenate([s.suffixes + k * SHARD * (SNIPPET + 1) for k, s in enumerate(shards)])
     string, place = np.divmod(suffix, SNIPPET + 1)
@@ -227,26 +311,58 @@ def least_documents(snippets: np.ndarray, low: np.ndarray, high: np.ndarray, doc
     return out
 
 
+#: Every window of a snippet holds one of its PART-byte strings at these offsets.
+PART = 40
+OFFSETS = range(0, SNIPPET - PART + 1, LENGTH - PART + 1)
+
+
+def may_share(whole: np.ndarray) -> np.ndarray:
+    """Which snippets have a part that some other has too; the others share no window with any."""
+    data = np.ascontiguousarray(whole[:, : SNIPPET])
+    found = np.zeros((len(data), len(OFFSETS)), np.uint64)
+    for j, offset in enumerate(OFFSETS):
+        for k in range(PART // 8):
+            word = np.ndarray(len(data), "<u8", data, offset + 8 * k, (SNIPPET,))
+            found[:, j] = (found[:, j] ^ word) * _C[k % 4]
+            found[:, j] ^= found[:, j] >> np.uint64(29)
+    _, which, n = np.unique(found, return_inverse=True, return_counts=True)
+    return (n[which] > 1).reshape(found.shape).any(axis=1)
+
+
+def snippet_key(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
+
 def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """snippet_key, least, mask: windows (bits of mask) of the snippet that document ``least`` has first."""
 
     def handle(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        raw, doc, most = t.column("snippet").to_pylist(), t.column("doc_id").to_numpy(), t.column("last").to_numpy()
+        raw, doc, most = np.array(t.column("snippet").to_pylist(), dtype=object), t.column("doc_id").to_numpy(), t.column("last").to_numpy()
         keys, least, masks = [], [], []
-        for begin in range(0, len(raw), MERGE):
-            part = slice(begin, begin + MERGE)
-            whole = np.frombuffer(b"".join(raw[part]), np.uint8).reshape(-1, SNIPPET + 2)
-            first = least_documents(np.ascontiguousarray(whole[:, :SNIPPET]), whole[:, SNIPPET].astype(np.int64), whole[:, SNIPPET + 1].astype(np.int64), doc[part])
+        whole = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, SNIPPET + 2)
+        low, high = whole[:, SNIPPET].astype(np.int64), whole[:, SNIPPET + 1].astype(np.int64)
+        compared = may_share(whole)
+        for k in np.flatnonzero(~compared & (most > doc)).tolist():  # like no other snippet, but in several documents
+            keys.append(snippet_key(raw[k])), least.append(int(doc[k])), masks.append((1 << int(high[k])) - (1 << int(low[k])))
+        rows = np.flatnonzero(compared)
+        # groups stay whole unless one alone is larger; a dealt group never is
+        edges = np.searchsorted(rows, np.append(starts, len(raw)))
+        begin = 0
+        while begin < len(edges) - 1:
+            end = max(begin + 1, int(np.searchsorted(edges, edges[begin] + MERGE, side="right")) - 1)
+            part, begin = rows[edges[begin] : edges[end]], end
+            if not len(part):
+                continue
+            first = least_documents(np.ascontiguousarray(whole[part, :SNIPPET]), low[part], high[part], doc[part])
             useful = first < most[part][:, None]
             for k in np.flatnonzero(useful.any(axis=1)).tolist():
-                row = first[k]
-                key = int.from_bytes(hashlib.blake2b(raw[begin + k], digest_size=8).digest(), "little", signed=True)
+                row, key = first[k], snippet_key(raw[part[k]])
                 for d in np.unique(row[useful[k]]).tolist():
                     keys.append(key), least.append(d), masks.append(int(((row == d).astype(np.int64) << np.arange(WINDOWS)).sum()))
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(least, pa.int64()), pa.array(masks, pa.int64())], names=["snippet_key", "least", "mask"])
 
-    return groups(batches, handle, rows=MERGE)
+    return groups(batches, handle, rows=4 * MERGE)
 
 
 def removed_spans(n: int, begins: list[int], masks: list[int]) -> list[tuple[int, int]]:
@@ -276,25 +392,25 @@ def remove_repeats(docs: DataFrame, filter_bits: int = FILTER_BITS, seed_cap: in
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select("doc_id", "text")
-    repeated = docs.mapInArrow(_all_seeds, "seed bigint").groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
-    repeated = written(repeated, "repeated-seeds")
-    n = repeated.count()
-    bits = 1 << max(16, (16 * n).bit_length())
-    shared = None
-    if bits <= filter_bits:
-        parts = repeated.mapInArrow(_bloom(bits), "segment bigint, bits binary").repartition("segment").mapInArrow(_or_bits, "segment bigint, bits binary")
-        packed = np.zeros(bits // 8, np.uint8)
-        for row in parts.toLocalIterator():
-            packed[row["segment"] : row["segment"] + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
-        shared = spark.sparkContext.broadcast(packed)
-    found = docs.mapInArrow(_snippets(shared, bits, True), "seed bigint, snippet binary, doc_id bigint")
-    places = docs.mapInArrow(_snippets(shared, bits, False), "seed bigint, snippet_key bigint, doc_id bigint, text_key bigint, begin int")
-    if shared is None:
-        found, places = found.join(repeated, "seed", "left_semi"), places.join(repeated, "seed", "left_semi")
-    distinct = found.groupBy("seed", "snippet").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
-    distinct = distinct.select(F.lit(0).alias("table"), F.col("seed").alias("key"), "snippet", "doc_id", "last")
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bucket_bits = min(31, max(4, (2 * n_bytes // (WINDOWS + 1) // BUCKET_SEEDS).bit_length()))
+    seen = docs.mapInArrow(_counted(bucket_bits), "bucket bigint, once binary, more binary").repartition("bucket")
+    repeated = written(seen.mapInArrow(_repeated, "seed bigint"), "repeated-seeds")
+
+    def occurrences(of: DataFrame, with_text: bool) -> DataFrame:
+        shared, bits = seed_filter(of, of.count(), filter_bits)
+        schema = "seed bigint, snippet binary, doc_id bigint" if with_text else "seed bigint, snippet_key bigint, doc_id bigint, text_key bigint, begin int, mask bigint"
+        found = docs.mapInArrow(_snippets(bucket_bits, shared, bits, with_text), schema)
+        return found if shared is not None else found.join(of.select("seed"), "seed", "left_semi")
+
+    places = occurrences(repeated, False)
+    ends = [F.min("snippet_key").alias("key"), F.max("snippet_key").alias("other"), F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.min("mask").alias("mask")]
+    by_seed = written(places.groupBy("seed").agg(*ends).where("least < last").drop("last"), "seeds")
+    alone = by_seed.where("key = other").select(F.col("key").alias("snippet_key"), "least", "mask")
+    distinct = occurrences(by_seed.where("key <> other"), True).groupBy("seed", "snippet").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+    distinct = written(distinct.select(F.lit(0).alias("table"), F.col("seed").alias("key"), "snippet", "doc_id", "last"), "snippets")
     decided = written(dealt(distinct, "snippet", seed_cap).mapInArrow(_decided, "snippet_key bigint, least bigint, mask bigint"), "repeats")
-    spots = places.select("snippet_key", "doc_id", "text_key", "begin").join(decided, "snippet_key").where("least < doc_id")
+    spots = places.select("snippet_key", "doc_id", "text_key", "begin").join(decided.unionByName(alone), "snippet_key").where("least < doc_id")
     spots = spots.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "mask")).alias("spots"))
     keyed = docs.mapInArrow(_with_key, "doc_id bigint, text string, text_key bigint")
     joined = keyed.join(spots, ["doc_id", "text_key"], "left").select("doc_id", "text", "spots")
