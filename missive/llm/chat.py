@@ -49,21 +49,24 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """
     prepare(messages.sparkSession)
     nodes = messages.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).checkpoint()
-    # jump: 2**k steps up; total and steps are over the nodes passed, the node itself first
+    # 2**k steps up; total and steps are over the nodes passed, the node itself first
     jump = nodes.select("conv_id", "node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps"))
-    tables = []
-    while True:
-        tables.append(jump)
-        if not jump.where("up is not null").limit(1).count():
-            break
-        above = jump.select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"))
-        jump = jump.join(above, ["conv_id", "up"], "left").select("conv_id", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")).checkpoint()
+    tables, done = [], jump.where("up is null")
+    jump = jump.where("up is not null")
+    while jump.limit(1).count():
+        tables.append(jump.select("conv_id", "node", "up"))
+        if len(tables) > 40:
+            raise ValueError("parents form a cycle")
+        # those that are at their root need no more joins, but others step on them
+        above = jump.unionByName(done).select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"))
+        moved = jump.join(above, ["conv_id", "up"], "left").select("conv_id", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")).checkpoint()
+        done, jump = done.unionByName(moved.where("up is null")), moved.where("up is not null")
     parents = nodes.where("parent is not null").select("conv_id", F.col("parent").alias("node")).distinct()
-    leaves = jump.join(parents, ["conv_id", "node"], "left_anti").withColumn("mean", F.col("total") / F.col("steps"))
+    leaves = done.join(parents, ["conv_id", "node"], "left_anti").withColumn("mean", F.col("total") / F.col("steps"))
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("mean"), F.desc("steps"), "node"))
     paths = leaves.withColumn("branch", rank).where(F.col("branch") <= branches).select("conv_id", "branch", F.col("node"), F.col("steps").alias("depth"))
-    for k, jump in reversed(list(enumerate(tables[:-1]))):
-        reach, ups = 1 << k, jump.where("up is not null").select("conv_id", "node", "up")
+    for k, ups in reversed(list(enumerate(tables))):
+        reach = 1 << k
         paths = paths.union(paths.join(ups, ["conv_id", "node"]).select("conv_id", "branch", F.col("up").alias("node"), (F.col("depth") - reach).alias("depth"))).checkpoint()
     return paths
 
