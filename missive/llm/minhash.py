@@ -78,12 +78,12 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def hexed(sig: np.ndarray) -> str:
-    return (sig & np.uint64(0xFFFF)).astype(">u2").tobytes().hex()
+def packed(sig: np.ndarray) -> bytes:
+    return (sig & np.uint64(0xFFFF)).astype(">u2").tobytes()
 
 
-def likeness(a: str, b: str) -> float:
-    return float(np.mean(np.frombuffer(bytes.fromhex(a), ">u2") == np.frombuffer(bytes.fromhex(b), ">u2")))
+def likeness(a: bytes, b: bytes) -> float:
+    return float(np.mean(np.frombuffer(a, ">u2") == np.frombuffer(b, ">u2")))
 
 
 class Document:
@@ -100,7 +100,7 @@ class Document:
         shingles = shingle_hashes(self.words)
         self.shared_sig, self.n_shared = signature(shingles[:n]), n
         self.sig = np.minimum(self.shared_sig, signature(shingles[n:]))
-        self.fingerprint = hexed(self.sig)
+        self.fingerprint = packed(self.sig)
 
     def row(self, following: "Document") -> dict:
         edited = self.head + following.text[: self.cut]
@@ -108,12 +108,12 @@ class Document:
         hashes = np.concatenate([self.words[: self.shared], hash_words(words[self.shared :])])
         shingles = shingle_hashes(hashes)
         sig = np.minimum(self.shared_sig, signature(shingles[self.n_shared :])) if len(hashes) >= SHINGLE else signature(shingles)
-        after = hexed(sig)
+        after = packed(sig)
         return {"n_chars": len(self.text), "edited_sha256": hashlib.sha256(edited.encode()).hexdigest(), "fingerprint": self.fingerprint, "edited_fingerprint": after, "near_edited": likeness(self.fingerprint, after), "near_next": likeness(self.fingerprint, following.fingerprint)}
 
 
-_RESULT = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-_SQL = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+_SQL = "n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     heads = ends.where("end = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
     last = ends.where("end = 'last'").select("doc_id", "text", "part").join(parts, "part").join(heads, "next_part")
     columns = ["doc_id", *(c for c, _ in _RESULT)]
-    return found.where("end is null").select(columns).unionByName(last.select("doc_id", "text", "next_text").mapInArrow(_at_ends, f"doc_id bigint, {_SQL}"))
+    rows = found.where("end is null").select(columns).unionByName(last.select("doc_id", "text", "next_text").mapInArrow(_at_ends, f"doc_id bigint, {_SQL}"))
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
