@@ -66,6 +66,8 @@ def _tokenized(tokenizer_path: str, end_id: int):
             raws = [raw + end for raw in tok.encode(batch.column(1).to_pylist())]
             means = np.stack([signs[np.frombuffer(raw, "<u4")].sum(axis=0) for raw in raws]) if raws else np.zeros((0, DIMS))
             way = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
+            if len(signs) <= 1 << 16:  # half the bytes to write and shuffle
+                raws = [np.frombuffer(raw, "<u4").astype("<u2").tobytes() for raw in raws]
             grid = np.clip((way + 1) * (1 << (BITS - 1)), 0, (1 << BITS) - 1).astype(np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hilbert_keys(grid, BITS)), pa.array(raws, pa.binary())], names=["doc_id", "key", "ids"])
 
@@ -77,7 +79,7 @@ def powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def _pack(max_tokens: int):
+def _pack(max_tokens: int, width: int):
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
@@ -102,6 +104,7 @@ def _pack(max_tokens: int):
 
         for batch in batches:
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes()
                 total, at = len(raw) // 4, 0
                 while at < total:
                     n = min(total - at, max_tokens - held)
@@ -137,8 +140,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens: int
     prepare(docs.sparkSession)
     tokens = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_tokenized(tokenizer_path, end_id), "doc_id bigint, key bigint, ids binary")
     tokens = written(tokens, "packing-tokens").withColumn("tie", F.xxhash64("doc_id"))
+    width = 2 if max(len(WordCachedTokenizer.at(tokenizer_path).token_bytes), end_id + 1) <= 1 << 16 else 4
     ranged = tokens.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "doc_id", "ids")
-    return ranged.select("doc_id", "ids").mapInArrow(_pack(max_tokens), "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return ranged.select("doc_id", "ids").mapInArrow(_pack(max_tokens, width), "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

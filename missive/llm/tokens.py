@@ -3,9 +3,7 @@
 A byte-level BPE with the usual pre-tokenizer never merges across a blank that is
 followed by a non-blank: each such blank begins a new pre-token. Texts are cut there,
 each distinct cut is encoded once by the library, and a text's ids are the ids of its
-cuts in order, equal to the ids of the whole text. A new cut that is letters and
-punctuation, or two such around one line break, is put together from the ids of those parts:
-the pre-tokenizer separates them too (but for apostrophes, which are left alone).
+cuts in order, equal to the ids of the whole text.
 """
 
 from __future__ import annotations
@@ -16,9 +14,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Entries of the word cache of one Python worker (about 100 bytes each).
-CACHE_WORDS = 600_000
-_PARTS = re.compile(r"""([^\W\d_]+)([!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)(?:\n([^\W\d_]+)([!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*))?""")
+#: Entries of the word cache of one Python worker (about 200 bytes each).
+CACHE_WORDS = 900_000
 _GAP = re.compile(r" (?:\s|\Z)")
 
 
@@ -36,8 +33,6 @@ class WordCachedTokenizer:
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.token_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)], dtype=np.int64)
         self.spaced: dict[str, bytes] = {}  # word -> ids of blank + word
-        self.lined: dict[str, bytes] = {}  # word -> ids of line break + word
-        self.marks: dict[str, bytes] = {"": b""}  # punctuation -> its ids
 
     @classmethod
     def at(cls, path: str) -> "WordCachedTokenizer":
@@ -48,42 +43,20 @@ class WordCachedTokenizer:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, lead: str, words: list[str]) -> list[bytes]:
-        """Ids of lead + word for each word: many encoded as one text, cut at their byte lengths."""
-        out: list[bytes] = []
+    def _learn(self, words: list[str]) -> None:
+        """Encodes many blank-led words as one text and cuts the ids at the words' byte lengths."""
         for at in range(0, len(words), 4000):
             part = words[at : at + 4000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([lead + lead.join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.cumsum([len(w.encode()) + 1 for w in part])
-            cuts = (np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1) * 4
+            text = " ".join(part)
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, dtype="<u4")
+            sizes = [len(w.encode()) for w in part] if any(" " in w for w in part) else list(map(len, text.encode().split(b" ")))
+            ends = np.cumsum(np.array(sizes) + 1)
+            cuts = ((np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1) * 4).tolist()
             raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
-        return out
-
-    def _learn(self, words: list[str]) -> None:
-        spaced, lined, marks = self.spaced, self.lined, self.marks
-        composed, new_spaced, new_lined, new_marks = [], set(), set(), set()
-        for w in words:
-            m = _PARTS.fullmatch(w)
-            if m is None or not m[1].isalpha() or not (m[3] is None or m[3].isalpha()) or m[1] == w:
-                new_spaced.add(w)
-                continue
-            composed.append((w, m[1], m[2], m[3], m[4]))
-            if m[1] not in spaced:
-                new_spaced.add(m[1])
-            if m[3] and m[3] not in lined:
-                new_lined.add(m[3])
-            new_marks.update(x for x in (m[2], m[4]) if x and x not in marks)
-        for known, lead, new in ((spaced, " ", list(new_spaced)), (lined, "\n", list(new_lined))):
-            known.update(zip(new, self._joined(lead, new)))
-        new = list(new_marks)
-        marks.update(zip(new, self._whole(new)))
-        for w, stem, mark, second, mark2 in composed:
-            ids = spaced[stem] + marks[mark]
-            spaced[w] = ids + lined[second] + marks[mark2] if second else ids
+            self.spaced.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        firsts, rests = [], []
+        get, firsts, rows, missing = self.spaced.get, [], [], set()
         for text in texts:
             parts = text.split(" ")
             if _GAP.search(text):
@@ -95,16 +68,17 @@ class WordCachedTokenizer:
                         whole.append(w)
                 parts = whole
             firsts.append(parts[0])
-            rests.append(parts[1:])
-        seen = set()
-        for parts in rests:
-            seen.update(parts)
-        missing = [w for w in seen if w not in self.spaced]
-        if len(self.spaced) + len(self.lined) + 2 * len(missing) > CACHE_WORDS:
+            del parts[0]
+            found = list(map(get, parts))
+            if None in found:
+                missing.update([w for w, ids in zip(parts, found) if ids is None])
+            rows.append((parts, found))
+        if len(self.spaced) + len(missing) > CACHE_WORDS:
             self.spaced.clear()
-            self.lined.clear()
-            self.marks = {"": b""}
-            missing = list(seen)
-        self._learn(missing)
-        get = self.spaced.__getitem__
-        return [head + b"".join(map(get, parts)) for head, parts in zip(self._whole(firsts), rests)]
+        self._learn(list(missing))
+        out = []
+        for head, (parts, found) in zip(self._whole(firsts), rows):
+            if None in found:
+                found = [get(w) if ids is None else ids for w, ids in zip(parts, found)]
+            out.append(head + b"".join(found))
+        return out
