@@ -131,7 +131,7 @@ def twice_seen(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     merged = parts.repartition("segment").mapInArrow(_merged(bits), "segment bigint, twice binary")
     size = min(SEGMENT_BITS, bits) // 8
     out = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():
+    for row in merged.collect():  # at most bits / 8 bytes
         out[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["twice"], np.uint8)
     return out
 
