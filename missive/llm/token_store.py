@@ -14,6 +14,7 @@ gives an empty store; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,10 +68,14 @@ class Codes:
 
     def all(self) -> np.ndarray:
         """Every id, level by level."""
-        out, where = np.zeros(self.n, np.uint32), np.arange(self.n)
+        out, where = None, None
         for level, (low, bitmap, _) in enumerate(self.levels):
-            out[where] |= low.astype(np.uint32) << np.uint32(8 * level)
-            where = where[np.unpackbits(bitmap, count=len(low), bitorder="little").astype(bool)]
+            go = np.flatnonzero(np.unpackbits(bitmap, count=len(low), bitorder="little"))
+            if out is None:
+                out, where = low.astype(np.uint32), go
+            else:
+                out[where] |= low.astype(np.uint32) << np.uint32(8 * level)
+                where = where[go]
         return out
 
     def get(self, positions) -> np.ndarray:
@@ -132,20 +137,23 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     ranged.mapInArrow(_shards(tokenizer_path, end_id), SHARD_SCHEMA).write.parquet(path)
 
 
-def _read_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids, counts = Codes(row["codes"]).all().astype("<u4"), np.asarray(row["counts"], dtype=np.int64)
-            ends = np.cumsum(counts)
-            raw, begins = ids.tobytes(), ends - counts
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row["doc_ids"], pa.int64()), pa.array(begins + row["start"]), pa.array(counts), pa.array([raw[4 * a : 4 * b] for a, b in zip(begins, ends)], pa.binary())],
-                names=["doc_id", "start", "n_tokens", "ids"],
-            )
+def _read_ids(with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, counts = Codes(row["codes"]).all().astype("<u4"), np.asarray(row["counts"], dtype=np.int64)
+                ends = np.cumsum(counts)
+                raw, begins = memoryview(ids.tobytes()), ends - counts
+                docs = [raw[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist())]
+                crc = pa.array([zlib.crc32(x) for x in docs], pa.int64())
+                last = [pa.array([bytes(x) for x in docs], pa.binary())] if with_ids else []
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(begins + row["start"]), pa.array(counts), crc, *last], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])
+
+    return run
 
 
-def read_token_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian 32 bit).
+def read_token_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and ids (little-endian 32 bit).
 
     The running totals are summed in two levels: over parts, then within each part.
     """
@@ -158,7 +166,7 @@ def read_token_store(spark: SparkSession, path: str) -> DataFrame:
     starts = sizes.select("part", "seq", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("in_part")).join(parts, "part")
     starts = starts.select("part", "seq", (F.col("part_start") + F.col("in_part")).alias("start"))
     full = shards.join(starts, ["part", "seq"]).select("doc_ids", "counts", "start", "codes")
-    return full.mapInArrow(_read_ids, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return full.mapInArrow(_read_ids(with_ids), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,4 +174,4 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = new_path(spark, "token-store")
     write_token_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return read_token_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_store(spark, path, with_ids=False)

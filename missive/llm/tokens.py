@@ -15,7 +15,8 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Entries of the word cache of one Python worker (about 200 bytes each).
-CACHE_WORDS = 900_000
+CACHE_WORDS = 1_000_000
+CACHE_HEADS, LONGEST_CACHED = 50_000, 64
 _GAP = re.compile(r" (?:\s|\Z)")
 
 
@@ -33,6 +34,7 @@ class WordCachedTokenizer:
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.token_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)], dtype=np.int64)
         self.spaced: dict[str, bytes] = {}  # word -> ids of blank + word
+        self.heads: dict[str, bytes] = {}  # what comes before the first blank of a text -> its ids
 
     @classmethod
     def at(cls, path: str) -> "WordCachedTokenizer":
@@ -73,12 +75,23 @@ class WordCachedTokenizer:
             if None in found:
                 missing.update([w for w, ids in zip(parts, found) if ids is None])
             rows.append((parts, found))
-        if len(self.spaced) + len(missing) > CACHE_WORDS:
+        if len(self.spaced) + len(missing) > CACHE_WORDS:  # the words of these texts are the ones to keep
             self.spaced.clear()
+            for parts, found in rows:
+                self.spaced.update([(w, ids) for w, ids in zip(parts, found) if ids is not None])
         self._learn(list(missing))
         out = []
-        for head, (parts, found) in zip(self._whole(firsts), rows):
+        new = list({w for w in firsts if w not in self.heads})
+        if len(self.heads) + len(new) > CACHE_HEADS:
+            self.heads.clear()
+            new = list(set(firsts))
+        self.heads.update(zip(new, self._whole(new)))
+        for head, (parts, found) in zip(firsts, rows):
             if None in found:
                 found = [get(w) if ids is None else ids for w, ids in zip(parts, found)]
-            out.append(head + b"".join(found))
+            out.append(self.heads[head] + b"".join(found))
+        for known, met in ((self.heads, new), (self.spaced, missing)):  # long ones would fill the memory
+            for w in met:
+                if len(w) > LONGEST_CACHED:
+                    del known[w]
         return out
