@@ -140,3 +140,27 @@ def fill_samples(text: Column) -> Column:
 
     filled = F.zip_with(pieces, names, lambda p, n: F.when(n.isNull(), p).otherwise(F.concat(p, value(F.regexp_replace(n, r"[{}]", ""), F.when(F.length(p) > CONTEXT, F.substr(p, F.length(p) - F.lit(CONTEXT - 1))).otherwise(p)))))
     return F.array_join(filled, "")
+
+
+COMPONENT_REPLY = "header string, body string, footer string, buttons string, possible boolean"
+
+
+def parse_components(raw: Column) -> Column:
+    """struct(reply, reason): message parts as strings and a boolean flag; parts of other types are refused."""
+    text = F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit(""))
+    parsed = F.try_parse_json(text)
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
+    strings = [F.coalesce(kind(c), F.lit("STRING")).isin("STRING", "VOID") for c in ("header", "body", "footer", "buttons")]
+    bad_part = ~(strings[0] & strings[1] & strings[2] & strings[3])
+    reason = F.when(text.isNull(), "no_json").when(parsed.isNull(), "malformed").when(bad_part, "part_not_text").when(F.coalesce(kind("possible"), F.lit("VOID")) != "BOOLEAN", "flag_not_boolean").otherwise("")
+    return F.struct(F.when(reason == "", F.from_json(text, COMPONENT_REPLY)).alias("reply"), reason.alias("reason"))
+
+
+def review_prompts(queries: DataFrame, examples: DataFrame, redacted: Column) -> DataFrame:
+    """id, prompt: the redacted message, its examples with the closest last, and a note only where both labels occur.
+
+    examples: id, label, body, place.
+    """
+    lines = examples.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", F.concat("label", F.lit(": "), "body").alias("line")))).alias("e"), (F.count_distinct("label") == 2).alias("both"))
+    note = F.when(F.col("both"), "\nExamples of both outcomes follow; weigh what sets them apart.").otherwise("")
+    return queries.join(lines, "id").select("id", F.concat(F.lit("Message:\n"), redacted, note, F.lit("\nExamples:\n"), F.array_join("e.line", "\n")).alias("prompt"))

@@ -10,6 +10,7 @@ from missive.operators import records as O
 from missive.operators import rules as U
 from missive.operators import similarity as Y
 from missive.operators import splits as S
+from missive.operators import vectors as V
 from missive.plans import duck as D
 from missive.plans.fixtures import TV, fixture
 from missive.plans.metric_queries import SPANS
@@ -160,3 +161,23 @@ query("a16_align_summary", f"""{BASE}, {ALIGN} SELECT count(*) AS downgraded, co
 query("b2_render_precedents", f"""{POOLED}, {pairs_sql('pr', 'quw', 'pow', 0.2)}, k AS (SELECT l, po.cohort, po.body, r, s, row_number() OVER (PARTITION BY l, po.cohort ORDER BY s DESC, r) AS rk FROM pr JOIN qu ON qu.id = l JOIN po ON po.id = r WHERE l <> r AND qu.body <> po.body)
  SELECT l AS id, string_agg(concat(cohort, ': ', body), chr(10) ORDER BY cohort, rk) AS block, count(DISTINCT cohort) = 2 AS contrast FROM k WHERE rk <= CASE cohort WHEN 'approved' THEN 2 ELSE 1 END GROUP BY 1""")(
     lambda s, d: (lambda pool: Y.retrieve(pool.where("ingest_seq % 5 = 0"), pool).join(pool.select(F.col("id").alias("match"), "body"), "match").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("cohort", "rank", F.concat("cohort", F.lit(": "), "body").alias("line")))).alias("x")).select("id", F.array_join("x.line", "\n").alias("block"), (F.size(F.array_distinct("x.cohort")) == 2).alias("contrast")))(O.cohorts(clean(s, d))))
+
+
+def review_prompts(s: SparkSession, d: str) -> DataFrame:
+    from missive.functions.text import redacted
+    from missive.operators.replies import review_prompts as prompts
+
+    pool = O.cohorts(clean(s, d))
+    asked = pool.where("ingest_seq % 5 = 0")
+    index = Y.Index(pool, F.col("body"))
+    examples = Y.balanced_examples(Y.cosine_pairs(index.transform(asked, F.col("body")), index.vectors, 0.2), pool.select("id", F.col("cohort").alias("label")))
+    examples = examples.join(pool.select(F.col("id").alias("match"), "body"), "match")
+    return prompts(asked, examples, redacted(F.col("body")))
+
+
+query("b1_review_prompts", f"""{POOLED}, {pairs_sql('pr', 'quw', 'pow', 0.2)}, k AS (SELECT l, r, s, po.cohort AS label, po.body, row_number() OVER (PARTITION BY l, po.cohort ORDER BY s DESC, r) AS rk FROM pr JOIN po ON po.id = r),
+ g AS (SELECT l, string_agg(concat(label, ': ', body), chr(10) ORDER BY s, r DESC) AS lines, count(DISTINCT label) = 2 AS both_labels FROM k WHERE rk <= 3 GROUP BY 1)
+ SELECT qu.id, concat('Message:', chr(10), regexp_replace(regexp_replace(qu.body, '[\\w.+-]+@[\\w.-]+\\.[A-Za-z]{{2,}}', '[EMAIL]', 'g'), 'https?://\\S+', '[URL]', 'g'), CASE WHEN both_labels THEN concat(chr(10), 'Examples of both outcomes follow; weigh what sets them apart.') ELSE '' END, chr(10), 'Examples:', chr(10), lines) AS prompt FROM qu JOIN g ON g.l = qu.id""")(review_prompts)
+LT = "fo AS (SELECT id, ingest_seq % 4 AS form FROM clean), lw AS (SELECT form, term, sum(w) AS i FROM cw JOIN fo USING (id) GROUP BY 1, 2), tw AS (SELECT term, sum(w) AS t FROM cw GROUP BY 1), fn AS (SELECT form, count(*) AS n, (SELECT count(*) FROM fo) AS m FROM fo GROUP BY 1)"
+query("a19_label_terms", f"{D.ctes('tv', D.clean_cte(), terms_sql('c', 'clean', D.content(), 'word'), fit_sql('c', 'clean', 8000), weight_sql('cw', 'c', 'c'), LT)} SELECT form, term, lift, rk::INT AS rank FROM (SELECT form, term, lift, row_number() OVER (PARTITION BY form ORDER BY lift DESC, term) AS rk FROM (SELECT form, term, round(i / n - (t - i) / (m - n), 6) AS lift FROM lw JOIN tw USING (term) JOIN fn USING (form))) WHERE rk <= 5")(
+    lambda s, d: V.label_terms(Y.Index(clean(s, d), F.concat_ws("\n", *R.COMPONENTS), Y.word_terms, 8000).vectors, clean(s, d).select("id", (F.col("ingest_seq") % 4).alias("form"))))

@@ -176,3 +176,6 @@ query("j16_explanations", f"""{D.ctes('rd')}, x AS (SELECT id, round, 'MARKETING
 query("s6_load_done", "SELECT CAST(user_id AS BIGINT) AS id, arg_max(event_id, event_id) AS event_id FROM events GROUP BY 1")(
     lambda s, d: (lambda lines: lines.groupBy("id").agg(F.max_by("event_id", "event_id").alias("event_id")))(
         s.read.parquet(f"{d}/events.parquet").select(F.to_json(F.struct(F.col("user_id").cast("long").alias("id"), F.col("event_id").cast("long").alias("event_id"))).alias("line")).select(F.from_json("line", "id bigint, event_id bigint").alias("r")).select("r.*").where("id is not null")))
+query("b5_parse_components")(lambda s, d: rd(s, d).select("id", "round", Z.parse_components(F.when(F.col("possible"), F.to_json(F.struct("possible", F.col("candidate").alias("body"), F.lit("h").alias("header")))).otherwise(F.lit('{"body": ["x"], "possible": true}'))).alias("r")).select("id", "round", "r.reply.body", "r.reason"))
+query("n5_button_text", f"{D.ctes('t')} SELECT id, {D.strip('buttons')} AS labels FROM t")(
+    lambda s, d: fixture(s, d, T).select("id", X.button_text(F.when(F.col("buttons") == "", F.col("buttons")).otherwise(F.to_json(F.transform(F.split("buttons", "\n"), lambda b: F.struct(F.lit("URL").alias("type"), b.alias("text")))))).alias("labels")))
