@@ -100,11 +100,11 @@ query("j3_precedents", f"""{BASE}, {pairs_sql('pr', 'dnw', 'apw', 0.85)}, k AS (
     lambda s, d: Y.precedents(*sides(s, d)).withColumn("score", F.round("score", 6)))
 query("a17_precedent_summary", f"""{BASE}, {pairs_sql('pr', 'dnw', 'apw', 0.85)}, b AS (SELECT l, max(s) AS s FROM pr GROUP BY 1) SELECT CASE WHEN s >= 0.995 THEN 'same' WHEN s >= 0.95 THEN 'close' ELSE 'near' END AS tier, count(*) AS n FROM b GROUP BY 1""")(
     lambda s, d: cross(s, d, 0.85).groupBy("left_id").agg(F.max("score").alias("s")).groupBy(F.when(F.col("s") >= Y.IDENTICAL, "same").when(F.col("s") >= 0.95, "close").otherwise("near").alias("tier")).agg(F.count(F.lit(1)).alias("n")))
-POOL = "po AS (SELECT *, CASE meta_category WHEN 'UTILITY' THEN 'approved' ELSE 'downgraded' END AS cohort FROM clean WHERE requested_category = 'UTILITY'), qu AS (SELECT * FROM po WHERE ingest_seq % 5 = 0)"
+POOL = "po AS (SELECT *, CASE meta_category WHEN 'UTILITY' THEN 'approved' ELSE 'downgraded' END AS cohort FROM clean WHERE requested_category = 'UTILITY'), qu AS (SELECT * FROM po)"
 POOLED = D.ctes("tv", D.clean_cte(), POOL, terms_sql("po", "po", "body", "char"), terms_sql("qu", "qu", "body", "char"), fit_sql("po", "po", 40000), weight_sql("pow", "po", "po"), weight_sql("quw", "qu", "po"))
 query("j4_retrieve", f"""{POOLED}, {pairs_sql('pr', 'quw', 'pow', 0.2)}, k AS (SELECT l, po.cohort, r, s, row_number() OVER (PARTITION BY l, po.cohort ORDER BY s DESC, r) AS rk FROM pr JOIN qu ON qu.id = l JOIN po ON po.id = r WHERE l <> r AND qu.body <> po.body)
  SELECT l AS id, cohort, r AS match, round(s, 6) AS score, rk::INT AS rank FROM k WHERE rk <= CASE cohort WHEN 'approved' THEN 2 ELSE 1 END""")(
-    lambda s, d: (lambda pool: Y.retrieve(pool.where("ingest_seq % 5 = 0"), pool).withColumn("score", F.round("score", 6)))(O.cohorts(clean(s, d))))
+    lambda s, d: (lambda pool: Y.retrieve(pool, pool).withColumn("score", F.round("score", 6)))(O.cohorts(clean(s, d))))
 query("j5_nearest_approved", f"{BASE}, {pairs_sql('pr', 'dnw', 'apw')} SELECT dn.id, m.r AS match, round(coalesce(m.s, 0), 6) AS score FROM dn LEFT JOIN (SELECT l, r, s, row_number() OVER (PARTITION BY l ORDER BY s DESC, r) AS n FROM pr) m ON m.l = dn.id AND m.n = 1")(
     lambda s, d: Y.nearest(cross(s, d), sides(s, d)[0].select("id")).withColumn("score", F.round("score", 6)))
 WORDY = [terms_sql("ap", "ap", D.content(), "word"), terms_sql("dn", "dn", D.content(), "word"), fit_sql("ap", "ap", 25000), weight_sql("apw", "ap", "ap", True), weight_sql("dnw", "dn", "ap", True)]
@@ -129,7 +129,7 @@ query("a25_agreement_by_similarity", f"{POOLED}, {SELF} SELECT CASE WHEN s >= 0.
     lambda s, d: (lambda pool: (lambda v: Y.agreement_by_similarity(Y.cosine_pairs(v, v, 0.7).where("left_id < right_id"), pool.select("id", F.col("cohort").alias("label"))))(Y.Index(pool, F.col("body")).vectors))(O.cohorts(clean(s, d))))
 query("w2_balanced_examples", f"""{POOLED}, {pairs_sql('pr', 'quw', 'pow', 0.2)}, k AS (SELECT l, r, s, po.cohort AS label, row_number() OVER (PARTITION BY l, po.cohort ORDER BY s DESC, r) AS rk FROM pr JOIN po ON po.id = r)
  SELECT l AS id, r AS match, label, round(s, 6) AS score, row_number() OVER (PARTITION BY l ORDER BY s, r DESC)::INT AS place FROM k WHERE rk <= 3""")(
-    lambda s, d: (lambda pool: (lambda ix: Y.balanced_examples(Y.cosine_pairs(ix.transform(pool.where("ingest_seq % 5 = 0"), F.col("body")), ix.vectors, 0.2), pool.select("id", F.col("cohort").alias("label"))).withColumn("score", F.round("score", 6)))(Y.Index(pool, F.col("body"))))(O.cohorts(clean(s, d))))
+    lambda s, d: (lambda pool: (lambda ix: Y.balanced_examples(Y.cosine_pairs(ix.transform(pool, F.col("body")), ix.vectors, 0.2), pool.select("id", F.col("cohort").alias("label"))).withColumn("score", F.round("score", 6)))(Y.Index(pool, F.col("body"))))(O.cohorts(clean(s, d))))
 
 
 def aligned(s: SparkSession, d: str) -> DataFrame:
@@ -160,7 +160,7 @@ query("a16_align_summary", f"""{BASE}, {ALIGN} SELECT count(*) AS downgraded, co
                                      F.round(F.coalesce(F.avg(F.when(F.col("is_edited"), F.col("gain"))), F.lit(0.0)), 4).alias("mean_gain"), F.count_if(~F.col("anchor")).alias("no_anchor"), F.count_if(~F.col("clean")).alias("promotional"), F.count_if(F.col("after") < 0.7).alias("below")))
 query("b2_render_precedents", f"""{POOLED}, {pairs_sql('pr', 'quw', 'pow', 0.2)}, k AS (SELECT l, po.cohort, po.body, r, s, row_number() OVER (PARTITION BY l, po.cohort ORDER BY s DESC, r) AS rk FROM pr JOIN qu ON qu.id = l JOIN po ON po.id = r WHERE l <> r AND qu.body <> po.body)
  SELECT l AS id, string_agg(concat(cohort, ': ', body), chr(10) ORDER BY cohort, rk) AS block, count(DISTINCT cohort) = 2 AS contrast FROM k WHERE rk <= CASE cohort WHEN 'approved' THEN 2 ELSE 1 END GROUP BY 1""")(
-    lambda s, d: (lambda pool: Y.retrieve(pool.where("ingest_seq % 5 = 0"), pool).join(pool.select(F.col("id").alias("match"), "body"), "match").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("cohort", "rank", F.concat("cohort", F.lit(": "), "body").alias("line")))).alias("x")).select("id", F.array_join("x.line", "\n").alias("block"), (F.size(F.array_distinct("x.cohort")) == 2).alias("contrast")))(O.cohorts(clean(s, d))))
+    lambda s, d: (lambda pool: Y.retrieve(pool, pool).join(pool.select(F.col("id").alias("match"), "body"), "match").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("cohort", "rank", F.concat("cohort", F.lit(": "), "body").alias("line")))).alias("x")).select("id", F.array_join("x.line", "\n").alias("block"), (F.size(F.array_distinct("x.cohort")) == 2).alias("contrast")))(O.cohorts(clean(s, d))))
 
 
 def review_prompts(s: SparkSession, d: str) -> DataFrame:
@@ -168,7 +168,7 @@ def review_prompts(s: SparkSession, d: str) -> DataFrame:
     from missive.operators.replies import review_prompts as prompts
 
     pool = O.cohorts(clean(s, d))
-    asked = pool.where("ingest_seq % 5 = 0")
+    asked = pool
     index = Y.Index(pool, F.col("body"))
     examples = Y.balanced_examples(Y.cosine_pairs(index.transform(asked, F.col("body")), index.vectors, 0.2), pool.select("id", F.col("cohort").alias("label")))
     examples = examples.join(pool.select(F.col("id").alias("match"), "body"), "match")

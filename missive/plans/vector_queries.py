@@ -41,6 +41,7 @@ def rd(s: SparkSession, d: str) -> DataFrame:
 
 DIM = 64
 AXIS = [((i * 37) % 11 - 5) / 10 for i in range(DIM)]
+CEN = "ce AS (SELECT label::INT AS form, list(m ORDER BY i) AS centre FROM (SELECT label, i, avg(vector[i]::DOUBLE) AS m FROM e, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY 1, 2) GROUP BY 1)"
 EV = "e AS (SELECT vec_id AS id, embedding AS vector, label, CASE WHEN label < 5 THEN 'UTILITY' ELSE 'MARKETING' END AS category FROM embeddings)"
 AX = "[" + ", ".join(f"{x}::DOUBLE" for x in AXIS) + "]"
 DOT = lambda a, b: f"list_sum(list_transform(generate_series(1, len({a})), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
@@ -60,21 +61,21 @@ query("g3_displacement", f"WITH {EV}, x AS (SELECT id, round({DOT('vector', AX)}
     lambda s, d: e(s, d).select("id", F.col("vector").alias("a")).join(e(s, d).select((F.col("id") - 1).alias("id"), F.col("vector").alias("b")), "id").select("id", *V.displacement(fixed, F.col("a"), F.col("b"))))
 query("g4_l2_normalize", f"WITH {EV} SELECT id, round(vector[1]::DOUBLE / sqrt({DOT('vector', 'vector')}), 6) AS first, round(vector[{DIM}]::DOUBLE / sqrt({DOT('vector', 'vector')}), 6) AS last FROM e")(
     lambda s, d: e(s, d).select("id", V.l2_normalize(F.col("vector")).alias("u")).select("id", F.round(F.element_at("u", 1), 6).alias("first"), F.round(F.element_at("u", DIM), 6).alias("last")))
-UNIT = f"u AS (SELECT id, category, list_transform(vector, lambda x: x::DOUBLE / sqrt({DOT('vector', 'vector')})) AS v, vector FROM e)"
-query("g5_dense_topk", f"WITH {EV}, {UNIT} SELECT id, match, score, rk::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, match) AS rk FROM (SELECT a.id, b.id AS match, round({DOT('a.v', 'b.v')}, 6) AS score FROM u a, u b WHERE b.id < 40)) WHERE rk <= 5")(
-    lambda s, d: V.dense_topk(e(s, d), e(s, d).where("id < 40"), 5))
+def centres(s: SparkSession, d: str) -> DataFrame:
+    """The mean vector of each label: ten rows, however many vectors."""
+    means = V.class_means(e(s, d), "label").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("place", "mean"))).alias("m"))
+    return means.select(F.col("label").alias("form"), F.col("m.mean").alias("centre"))
+
+
+query("g5_dense_topk", f"WITH {EV}, {CEN} SELECT id, match, score, rk::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, match) AS rk FROM (SELECT e.id, form AS match, round({DOT('e.vector', 'centre')} / sqrt({DOT('e.vector', 'e.vector')}) / sqrt({DOT('centre', 'centre')}), 6) AS score FROM e, ce)) WHERE rk <= 5")(
+    lambda s, d: V.dense_topk(e(s, d), centres(s, d).select(F.col("form").alias("id"), F.col("centre").alias("vector")), 5))
 query("a21_cohens_d", f"WITH {EV}, x AS (SELECT category, {DOT('vector', AX)} AS v FROM e), c AS (SELECT category, count(*) AS n, avg(v) AS m, var_samp(v) AS s FROM x GROUP BY 1) SELECT round((u.m - k.m) / sqrt(((u.n - 1) * u.s + (k.n - 1) * k.s) / (u.n + k.n - 2)), 4) AS cohens_d FROM c u, c k WHERE u.category = 'UTILITY' AND k.category = 'MARKETING'")(
     lambda s, d: V.cohens_d(e(s, d).withColumn("v", V.dot(F.col("vector"), V.literal(AXIS))), "v"))
 query("w7_rank_candidates", f"WITH {EV}, x AS (SELECT id // 4 AS grp, id % 4 AS candidate, id % 3 <> 0 AS eligible, round({DOT('vector', AX)}, 4) AS moved FROM e) SELECT grp AS \"group\", candidate, row_number() OVER (PARTITION BY grp ORDER BY eligible DESC, moved DESC, candidate)::INT AS rank FROM x")(
     lambda s, d: V.rank_candidates(e(s, d).select(F.floor(F.col("id") / 4).alias("group"), (F.col("id") % 4).alias("candidate"), (F.col("id") % 3 != 0).alias("eligible"), F.round(V.dot(F.col("vector"), V.literal(AXIS)), 4).alias("moved"))).select("group", "candidate", "rank"))
-CEN = f"ce AS (SELECT id::INT AS form, vector AS centre FROM e WHERE id < 12)"
 ASG = f"asg AS (SELECT id, category, arg_max(form, (score, -form)) AS form, max(score) AS score FROM (SELECT e.id, e.category, form, round({DOT('e.vector', 'centre')}, 6) AS score FROM e, ce) GROUP BY 1, 2)"
 
 
-def centres(s: SparkSession, d: str) -> DataFrame:
-    return e(s, d).where("id < 12").select(F.col("id").cast("int").alias("form"), F.col("vector").alias("centre"))
-
-
 query("m19_assignment", f"WITH {EV}, {CEN}, {ASG} SELECT id, form, score FROM asg")(lambda s, d: V.nearest_centre(e(s, d), centres(s, d)))
 STATS = "st AS (SELECT form, count(*) FILTER (WHERE category = 'UTILITY') AS approved, count(*) FILTER (WHERE category = 'MARKETING') AS downgraded FROM asg GROUP BY 1)"
 query("a18_form_stats", f"WITH {EV}, {CEN}, {ASG}, {STATS} SELECT form, approved, downgraded, round(approved / (approved + downgraded), 4) AS approval_rate, round(sum(approved) OVER () / sum(approved + downgraded) OVER () * (approved + downgraded), 4) AS expected FROM st")(
