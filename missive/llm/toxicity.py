@@ -114,8 +114,10 @@ def threshold(z: np.ndarray, toxic: np.ndarray, prior: float) -> float:
     false = 1 - np.concatenate([[0], np.cumsum(~toxic)]) / (~toxic).sum()
     cost = prior * missed + (1 - prior) * false
     cuts = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
+    apart = np.concatenate([[True], z[1:] > z[:-1], [True]])  # equal scores stay on one side
+    cuts, cost = cuts[apart], cost[apart]
     best = cuts[cost <= cost.min() + 1e-12]
-    return float((best.min() + best.max()) / 2)
+    return float(best[len(best) // 2])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
