@@ -32,14 +32,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 
 
 def read_export(spark: SparkSession, path: str, schema: str = NESTED) -> tuple[DataFrame, DataFrame]:
-    """(records, rejected): an array, an object with templates or data, one object, or any of these as a JSON string."""
+    """(records, rejected): an array, an object with templates or data, one object, or any of these as a JSON string.
+
+    Blank input is rejected; a file of no bytes has nothing to reject, since Spark reads no row from it.
+    """
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace(stripped(F.col("value")), "^\\x{FEFF}", "").alias("v"))
     # a string that holds JSON is unpacked once
     files = files.withColumn("v", F.when(F.col("v").startswith('"'), F.from_json(F.concat(F.lit('{"v":'), "v", F.lit("}")), "v string")["v"]).otherwise(F.col("v")))
     inner = F.coalesce(F.get_json_object("v", "$.templates"), F.get_json_object("v", "$.data"), F.col("v"))
     files = files.withColumn("v", F.when(F.col("v").startswith("{"), inner).otherwise(F.col("v")))
     files = files.withColumn("v", F.when(F.col("v").startswith("{"), F.concat(F.lit("["), "v", F.lit("]"))).otherwise(F.col("v")))
-    items = files.withColumn("items", F.from_json("v", "array<string>")).cache()
+    items = files.withColumn("items", F.from_json("v", "array<string>"))
     bad = items.where("items is null OR v = ''").select("file", F.when(F.col("v") == "", "empty input").otherwise("not a list of records").alias("reason"))
     rows = items.select("file", F.explode("items").alias("raw")).withColumn("r", F.from_json("raw", schema))
     odd = rows.where(~F.coalesce(F.ltrim("raw").startswith("{"), F.lit(False))).select("file", F.lit("row is not an object").alias("reason"))

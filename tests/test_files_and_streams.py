@@ -24,7 +24,7 @@ def test_export_shapes(spark, tmp_path):
     (r,) = S.normalize_nested(good, "f").collect()
     assert (r["body"], r["buttons"], r["meta_category"], r["original_meta_category"], r["status"], r["created_at"], r["revised"]) == ("b", "Q\nC", "MARKETING", "UTILITY", "ACTIVE", "2024-01-01", True)
     assert "x@y.z" not in str(r)
-    for text, reason in (("", "empty input"), ("nonsense", "not a list of records"), ("[1, 2]", "row is not an object")):
+    for text, reason in ((" \n", "empty input"), ("nonsense", "not a list of records"), ("[1, 2]", "row is not an object")):
         good, bad = S.read_export(spark, put(tmp_path, "bad", text))
         assert good.count() == 0 and {x["reason"] for x in bad.collect()} == {reason}
 
