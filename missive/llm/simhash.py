@@ -21,11 +21,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missive.llm.buckets import dealt, groups
-from missive.llm.common import prepare, table, written
+from missive.llm.common import prepare, table, text_or_empty, written
 from missive.llm.components import connected_components
 
 SHINGLE, DISTANCE, XXH_SEED = 4, 4, 42
@@ -54,8 +54,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
+            kept = [name for name in batch.schema.names if name != "text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(fps.view(np.int64))], names=[*kept, "fp"])
 
     return run
 
@@ -66,6 +67,13 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle), "doc_id bigint, fp bigint")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """SHA-256 of all columns; only rows that are equal throughout share it."""
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    head = F.to_json(F.struct(*others, F.col("text").isNull().alias("__no_text")))
+    return F.unhex(F.sha2(F.concat(head.cast("binary"), F.lit("\n").cast("binary"), text_or_empty().cast("binary")), 256))
+
+
 def block_count(n: int, distance: int = DISTANCE) -> int:
     """Blocks so that a key of all but ``distance`` of them has about as many values as there are fingerprints."""
     blocks = distance + 2
@@ -129,21 +137,36 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return dealt(keyed, "fp", BUCKET_CAP).select("table", "key", "i", "j", "fp").mapInArrow(_linked(distance), "a bigint, b bigint")
 
 
+def _rooted(least: DataFrame, distance: int) -> DataFrame:
+    """``least`` (one row per fp) with root: the same for all fps of a component, null without links."""
+    roots = connected_components(links(least, distance))
+    return written(least.join(roots, least["fp"] == roots["node"], "left").select(*least.columns, "root"), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id: the least doc_id reachable over links."""
     fps = written(fingerprints(docs, shingle), "simhash")
-    roots = connected_components(links(fps, distance))
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    rooted = written(first.join(roots, first["fp"] == roots["node"], "left").select("fp", "first", "root"), "simhash-roots")
+    rooted = _rooted(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), distance)
     least = rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
     ids = rooted.join(least, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_per_group(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the group's least doc_id."""
-    ids = near_duplicates(docs, **how).select(F.col("component_id").alias("__id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi").dropDuplicates(["doc_id"])
+def one_per_group(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the group's least doc_id.
+
+    Ids may be null or repeated: nulls come last, and of several rows of an id that with the
+    least key stays.
+    """
+    prepare(docs.sparkSession)
+    keyed = docs.withColumn("__key", row_key(docs))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.col("__key").alias("key"))
+    rows = keyed.select(order.alias("row"), "text").mapInArrow(_fingerprints(shingle), "row struct<null: boolean, doc_id: bigint, key: binary>, fp bigint")
+    fps = written(rows, "simhash")
+    rooted = _rooted(fps.groupBy("fp").agg(F.min("row").alias("first")), distance)
+    linked = rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("first"))
+    chosen = linked.select("first.key").union(rooted.where("root is null").select("first.key"))
+    return keyed.join(chosen, keyed["__key"] == chosen["key"], "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

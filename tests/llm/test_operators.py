@@ -295,6 +295,15 @@ def test_simhash_components(spark, real, messy, empty, monkeypatch, cap):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_one_per_group_with_null_and_repeated_ids(spark):
+    texts = [words(60, 100 + k) for k in range(6)]
+    rows = [(None, texts[0], "a"), (None, texts[1], "a"), (None, texts[1], "b"), (None, texts[2], "a"), (5, texts[3], "a"), (5, texts[4], "a"), (5, texts[4], "a"), (7, texts[4], "a"), (None, texts[4], "a"), (5, None, "a"), (6, "", "a"), (8, texts[5], "a")]
+    kept = simhash.one_per_group(docs_of(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept) == sorted([*[("None", t) for t in texts[:3]], ("5", texts[3]), ("5", texts[4]), ("5", ""), ("8", texts[5])])
+    again = simhash.one_per_group(docs_of(spark, rows[::-1]).repartition(3)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, kept))
+
+
 def test_simhash_fingerprint_by_hand():
     import xxhash
 
