@@ -41,8 +41,9 @@ def t2_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
-def t3_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream, base = staged(spark, fixture(spark, sf_dir, T))
+def counted(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The counts after the last of as many batches as ``df`` has files for."""
+    stream, base = staged(spark, df)
     counts = J.counters(stream).select(F.col("window.start").alias("start"), "meta_category", "n")
 
     def put(batch: DataFrame, number: int) -> None:
@@ -53,6 +54,10 @@ def t3_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select(F.unix_timestamp("start").alias("start"), "meta_category", "n")
 
 
+def t3_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(spark, fixture(spark, sf_dir, T))
+
+
 def t4_resumable(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, base = staged(spark, fixture(spark, sf_dir, T))
     for _ in range(2):
@@ -66,5 +71,6 @@ _FOUND = " + ".join(f"{D.hit(c, p)}::INT" for c in D.R.COMPONENTS for p in D.R.P
 SQL |= {
     "t1_continuous_import": f"{D.ctes('tv')} SELECT DISTINCT id FROM tv",
     "t2_scored": f"{D.ctes('t')} SELECT id, {_PUR} AS purpose, {D.assess(_PUR, 'true')} AS verdict, CAST({_FOUND} AS INT) AS findings FROM t",
+    "t3_counters": f"{D.ctes('t')} SELECT CAST(floor(epoch(try_cast(replace(created_at, 'Z', '+00:00') AS TIMESTAMPTZ)) / 2592000) * 2592000 AS BIGINT) AS start, meta_category, count(*) AS n FROM t GROUP BY 1, 2",
     "t4_resumable": f"{D.ctes('t')} SELECT id, upper(name) AS name FROM t",
 }

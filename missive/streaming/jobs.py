@@ -24,9 +24,15 @@ def scored(stream: DataFrame) -> DataFrame:
     return stream.select("id", purpose.alias("purpose"), assess(purpose, F.lit(True)).alias("verdict"), F.size(findings()).alias("findings"))
 
 
-def counters(stream: DataFrame, at: str = "created_at", late: str = "40 days", window: str = "30 days") -> DataFrame:
-    """Records by window and category; later ones than the watermark are left to a batch recount."""
-    return stream.withColumn("__at", F.try_to_timestamp(F.col(at))).withWatermark("__at", late).groupBy(F.window("__at", window), "meta_category").agg(F.count(F.lit(1)).alias("n"))
+def counters(stream: DataFrame, at: str = "created_at", window: str = "30 days") -> DataFrame:
+    """Records by window and category, however late they come; those without a valid time have a null window.
+
+    For update mode. Without a watermark the state holds one row for each window and category there is: few.
+    """
+    time = F.try_to_timestamp(F.col(at))
+    timed = stream.withColumn("__timed", time.isNotNull()).withColumn("__at", F.coalesce(time, F.timestamp_seconds(F.lit(0))))
+    counts = timed.groupBy(F.window("__at", window), "__timed", "meta_category").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.when(F.col("__timed"), F.col("window")).alias("window"), "meta_category", "n")
 
 
 def resumable(stream: DataFrame, convert, out: str, checkpoint: str):

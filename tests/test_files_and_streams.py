@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from missive.operators import similarity as Y
 from missive.sources import files as S
 from missive.sources import sinks as K
@@ -64,3 +66,27 @@ def test_prefix_filter_loses_no_pair(spark):
     every = {(r["left_id"], r["right_id"]): r["score"] for r in Y.cosine_pairs(v, v).collect()}
     found = {(r["left_id"], r["right_id"]): r["score"] for r in Y.cosine_pairs(v, v, 0.6).collect()}
     assert found == {k: s for k, s in every.items() if s >= 0.6} and found
+
+
+def test_counters_lose_no_late_row(spark):
+    """25 files are three batches, and the latest dates come first."""
+    from missive.plans.stream_queries import counted
+
+    rows = [(f"2024-{1 + k // 8:02d}-{1 + k % 28:02d}T00:00:00Z", "UTILITY" if k % 3 else "MARKETING") for k in range(96)] + [("invalid", "UTILITY")]
+    df = spark.createDataFrame(rows, "created_at string, meta_category string").repartitionByRange(25, F.desc("created_at"))
+    want = df.groupBy((F.floor(F.unix_timestamp(F.try_to_timestamp("created_at")) / 2592000) * 2592000).alias("start"), "meta_category").agg(F.count(F.lit(1)).alias("n"))
+    got = counted(spark, df)
+    assert sorted(map(repr, map(tuple, got.select("start", "meta_category", "n").collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert got.agg(F.sum("n")).first()[0] == len(rows)
+
+
+def test_counters_equal_their_sql(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW part AS SELECT * FROM '/root/testdata/sf0.001/part.parquet'")
+    got = entry.queries()["t3_counters"](spark, "/root/testdata/sf0.001")
+    want = con.sql(f"SELECT start, meta_category, n FROM ({entry.oracle_sql()['t3_counters']})").fetchall()
+    assert sorted(map(tuple, got.select("start", "meta_category", "n").collect())) == sorted(want)
