@@ -94,6 +94,25 @@ def conversion_summary(df: DataFrame) -> DataFrame:
                   F.round(F.avg(F.when(ratified, F.col("after") - F.col("before"))), 4).alias("mean_gain"), F.count_if("error").alias("failures"), F.count_if("lost").alias("lost_placeholder"))
 
 
+def _half(name: Column, body: Column, category: str) -> Column:
+    """A body alone in the shape of the nested export."""
+    message = F.struct(F.lit("TEXT").alias("type"), F.lit(category).alias("templateCategory"), F.lit("").alias("header"), body.alias("body"), F.lit("").alias("footer"), F.array().cast("array<string>").alias("buttons"))
+    return F.to_json(F.struct(F.coalesce(F.nullif(name, F.lit("")), F.lit("UTILITY_DRAFT")).alias("templateName"), message.alias("messageBody")))
+
+
+def conversion_outputs(df: DataFrame) -> DataFrame:
+    """id, name, verdict, before_body, after_body, split_off, before, after -> every rewrite by falling gain, with the export JSON of both halves."""
+    name, split = F.coalesce("name", F.lit("")), F.nullif("split_off", F.lit(""))
+    rewritten = F.col("verdict").isin("CONVERTIBLE", "SPLIT_RECOMMENDED") & (F.col("after_body") != "")
+    kept = placeholders(F.concat_ws(" ", "after_body", "split_off"))
+    lost = F.array_sort(F.array_distinct(F.array_except(placeholders(F.col("before_body")), kept)))
+    gain = F.round(F.coalesce("after", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)), 4)
+    return df.where(rewritten).select(
+        "id", "name", "before_body", "after_body", "split_off", "before", "after", gain.alias("gain"), (F.coalesce("after", F.lit(0.0)) >= 0.5).alias("ratified"), F.array_join(lost, "|").alias("placeholders_lost"),
+        _half(name, F.col("after_body"), "UTILITY").alias("utility_json"), F.when(split.isNotNull(), _half(F.regexp_replace(F.concat(name, F.lit("_PROMO")), "^_+", ""), split, "MARKETING")).alias("split_off_json"),
+    ).orderBy(F.desc("gain"), "id")
+
+
 def attempts_summary(rounds: DataFrame, picked: DataFrame, by: list[str]) -> DataFrame:
     """Per cohort: items, items with an accepted attempt, mean rounds, mean score gain from the first round."""
     per = rounds.groupBy("id", *by).agg(F.count(F.lit(1)).alias("rounds"), F.min_by("score", "round").alias("first_score"))

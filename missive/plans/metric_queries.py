@@ -126,6 +126,7 @@ TF = f"tf AS (SELECT *, {D.family()} AS family FROM t)"
 query("j8_training_only", f"{D.ctes('t', TF)} SELECT id FROM tf WHERE CAST(id AS BIGINT) % 10 <> 0 AND family NOT IN (SELECT family FROM tf WHERE CAST(id AS BIGINT) % 10 = 0)")(
     lambda s, d: (lambda f: S.training_only(f, f.where("ingest_seq % 10 = 0")).select("id"))(fixture(s, d, T).withColumn("family", family_key())))
 query("j9_pending", f"{D.ctes('t')} SELECT id FROM t WHERE CAST(id AS BIGINT) % 3 <> 0 ORDER BY id LIMIT 200")(lambda s, d: S.pending(fixture(s, d, T).select("id"), fixture(s, d, T).where("ingest_seq % 3 = 0"), 200))
+query("j9_pending_all", f"{D.ctes('t')} SELECT id FROM t WHERE CAST(id AS BIGINT) % 3 <> 0")(lambda s, d: S.pending(fixture(s, d, T).select("id"), fixture(s, d, T).where("ingest_seq % 3 = 0")))
 
 COST = "p_utility * 1.0 + (1 - p_utility) * 49.5"
 query("x1_costs", f"{D.ctes('t', PR)} SELECT id, round({COST}, 4) AS cost_if_utility, 7.5::DOUBLE AS cost_if_marketing, round(42.0::DOUBLE / 48.5, 3) AS break_even, 6.5::DOUBLE AS saving, 0.0::DOUBLE AS pure_break_even FROM pr")(

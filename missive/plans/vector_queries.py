@@ -134,6 +134,20 @@ query("a12_conversion_summary", f"{D.ctes('rd', CONV)} SELECT count(*) AS rows,
     lambda s, d: Z.conversion_summary(conversions(s, d)))
 query("k7_conversion_outputs", f"{D.ctes('rd', CONV)} SELECT id, round(after - before, 4) AS gain FROM cv WHERE {RAT} ORDER BY gain DESC, id LIMIT 100")(
     lambda s, d: conversions(s, d).where(RAT).select("id", F.round(F.col("after") - F.col("before"), 4).alias("gain")).orderBy(F.desc("gain"), "id").limit(100))
+OUTS = "ou AS (SELECT cv.id, t.name, rd.original AS before_body, rd.candidate AS after_body, CASE WHEN verdict = 'SPLIT_RECOMMENDED' THEN 'Shop now.' END AS split_off, before, after, verdict FROM cv JOIN rd ON rd.id = cv.id AND rd.round = 1 JOIN t ON t.id = cv.id)"
+HALF = lambda name, body, category: f"CAST(json_object('templateName', coalesce(nullif({name}, ''), 'UTILITY_DRAFT'), 'messageBody', json_object('type', 'TEXT', 'templateCategory', '{category}', 'header', '', 'body', {body}, 'footer', '', 'buttons', CAST([] AS VARCHAR[]))) AS VARCHAR)"
+
+
+def rewrites(s: SparkSession, d: str) -> DataFrame:
+    texts = rd(s, d).where("round = 1").select("id", F.col("original").alias("before_body"), F.col("candidate").alias("after_body"))
+    split = F.when(F.col("verdict") == "SPLIT_RECOMMENDED", "Shop now.")
+    return conversions(s, d).join(texts, "id").join(fixture(s, d, T).select("id", "name"), "id").withColumn("split_off", split)
+
+
+query("k7_all_conversion_outputs", f"""{D.ctes('t', 'rd', CONV, OUTS)} SELECT id, name, before_body, after_body, split_off, before, after, round(after - before, 4) AS gain, after >= 0.5 AS ratified,
+ array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(before_body, '{R.PLACEHOLDER}'), lambda x: NOT list_contains(regexp_extract_all(after_body, '{R.PLACEHOLDER}'), x)))), '|') AS placeholders_lost,
+ {HALF('name', 'after_body', 'UTILITY')} AS utility_json, CASE WHEN split_off IS NOT NULL THEN {HALF("ltrim(concat(name, '_PROMO'), '_')", 'split_off', 'MARKETING')} END AS split_off_json
+ FROM ou WHERE verdict IN ('CONVERTIBLE', 'SPLIT_RECOMMENDED') AND after_body <> ''""")(lambda s, d: Z.conversion_outputs(rewrites(s, d)))
 query("k5_publish", f"{D.ctes('p')} SELECT recorded_category, prediction, count(*) AS n FROM p GROUP BY 1, 2")(
     lambda s, d: fixture(s, d, P).groupBy("recorded_category", "prediction").agg(F.count(F.lit(1)).alias("n")).select("recorded_category", "prediction", "n"))
 query("k6_leak_audit", f"{D.ctes('t')}, pub AS (SELECT DISTINCT status AS s FROM t UNION SELECT DISTINCT meta_category FROM t) SELECT count(*) AS leaks FROM pub WHERE EXISTS (SELECT 1 FROM t WHERE contains(s, body))")(
@@ -154,6 +168,8 @@ query("b6_cache_key", f"WITH {CHAT} SELECT conv_id, turn, key FROM c")(lambda s,
 WRITTEN = "conv_id * 100000 + turn"
 query("b6_cache_merge", f"WITH {CHAT} SELECT key, sha256(arg_max(answer, {WRITTEN})) AS h FROM c WHERE answer IS NOT NULL AND conv_id % 2 = 0 GROUP BY key")(
     lambda s, d: Z.cache_merge(chat(s, d).where("answer is not null and conv_id % 2 = 0").withColumn("written", F.col("conv_id") * 100000 + F.col("turn"))).select("key", F.sha2("answer", 256).alias("h")))
+query("b6_cache_merge_all", f"WITH {CHAT} SELECT key, sha256(arg_max(answer, {WRITTEN})) AS h FROM c WHERE answer IS NOT NULL GROUP BY key")(
+    lambda s, d: Z.cache_merge(chat(s, d).where("answer is not null").withColumn("written", F.col("conv_id") * 100000 + F.col("turn"))).select("key", F.sha2("answer", 256).alias("h")))
 query("j12_cache_split", f"WITH {CHAT}, k AS (SELECT DISTINCT key FROM c WHERE answer IS NOT NULL AND conv_id % 2 = 0) SELECT conv_id, turn, k.key IS NOT NULL AS cached FROM c LEFT JOIN k USING (key)")(
     lambda s, d: (lambda prompts, cache: Z.cache_split(prompts, cache)[0].select("conv_id", "turn", F.lit(True).alias("cached")).unionByName(Z.cache_split(prompts, cache)[1].select("conv_id", "turn", F.lit(False).alias("cached"))))(chat(s, d).select("conv_id", "turn", "key"), chat(s, d).where("answer is not null and conv_id % 2 = 0").select("key", "answer", (F.col("conv_id") * 100000 + F.col("turn")).alias("written"))))
 query("b8_select_candidate", f"""{D.ctes('rd', GATE)} SELECT id, round FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, round) AS n FROM g WHERE anchor AND no_promo) WHERE n = 1""")(
