@@ -41,7 +41,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("simhash", simhash), ("mixing", mixing), ("packing", packing)]
 
-#: A trained classifier is among the stages; tests hold the result against a brute-force version.
+#: A trained classifier is among the stages; tests check invariants of each stage, and the operators against brute force.
 ORACLE_SQL = None
 
 
