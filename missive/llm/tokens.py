@@ -3,7 +3,8 @@
 A byte-level BPE with the usual pre-tokenizer never merges across a blank that is
 followed by a non-blank: each such blank begins a new pre-token. Texts are cut there,
 each distinct cut is encoded once by the library, and a text's ids are the ids of its
-cuts in order, equal to the ids of the whole text.
+cuts in order, equal to the ids of the whole text. Texts that contain one of the file's
+added tokens are encoded whole, since those tokens are found before any cut.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ class WordCachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.token_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)], dtype=np.int64)
         self.spaced: dict[str, bytes] = {}  # word -> ids of blank + word
@@ -45,11 +46,17 @@ class WordCachedTokenizer:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _has_added(self, text: str) -> bool:
+        return any(content in text for content in self.added)
+
     def _learn(self, words: list[str]) -> None:
         """Encodes many blank-led words as one text and cuts the ids at the words' byte lengths."""
         for at in range(0, len(words), 4000):
             part = words[at : at + 4000]
             text = " ".join(part)
+            if self._has_added(text):  # made by joining: no text has it
+                self.spaced.update(zip(part, self._whole([" " + w for w in part])))
+                continue
             ids = np.asarray(self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, dtype="<u4")
             sizes = [len(w.encode()) for w in part] if any(" " in w for w in part) else list(map(len, text.encode().split(b" ")))
             ends = np.cumsum(np.array(sizes) + 1)
@@ -58,6 +65,15 @@ class WordCachedTokenizer:
             self.spaced.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
+        texts = list(texts)
+        marked = [self._has_added(text) for text in texts]
+        if not any(marked):
+            return self._by_words(texts)
+        whole = iter(self._whole([text for text, m in zip(texts, marked) if m]))
+        cut = iter(self._by_words([text for text, m in zip(texts, marked) if not m]))
+        return [next(whole if m else cut) for m in marked]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         get, firsts, rows, missing = self.spaced.get, [], [], set()
         for text in texts:
             parts = text.split(" ")

@@ -222,6 +222,22 @@ def expected_ids(rows, end):
     return [[*e.ids, end] for e in tok.tokenizer.encode_batch([t or "" for _, t, *_ in rows], add_special_tokens=False)]
 
 
+def test_added_tokens_have_the_ids_of_the_plain_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(BPE)
+    texts = [*HARD, "abc <|endoftext|> def", "<|endoftext|>", "a <|endoftext|><|endoftext|>b  c", "abc <|endoftext| > def", "def"]
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert 50256 in want[len(HARD)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in WordCachedTokenizer(BPE).encode(texts)] == want
+    docs = docs_of(spark, [(k, t, "a") for k, t in enumerate(texts)])
+    token_store.write_token_store(docs, str(tmp_path / "a"), BPE)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_store.read_token_store(spark, str(tmp_path / "a")).collect()}
+    assert got == {k: [*ids, 2] for k, ids in enumerate(want)}
+    pieces = packing.pack(docs, BPE).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in pieces} == {k: len(ids) + 1 for k, ids in enumerate(want)}
+
+
 def test_token_store(spark, messy, empty, tmp_path):
     token_store.write_token_store(messy, str(tmp_path / "a"), BPE)
     got = sorted(((r["start"], r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist(), r["n_tokens"]) for r in token_store.read_token_store(spark, str(tmp_path / "a")).collect()))
