@@ -22,11 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.llm.common import prepare, table, text_or_empty, written
+from missive.llm.common import prepare, range_count, table, text_or_empty, written
 from missive.llm.tokens import WordCachedTokenizer
 
 DIMS, BITS, SEED = 4, 12, 20240501
 MAX_TOKENS = 2048
+#: Ids that are projected at once.
+ROOM = 1 << 18
 
 
 def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
@@ -58,18 +60,29 @@ def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _tokenized(tokenizer_path: str, end_id: int):
+    """doc_id, text -> doc_id, Hilbert key, ids (16 bits each where the vocabulary allows)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = WordCachedTokenizer.at(tokenizer_path)
-        signs = np.random.default_rng(SEED).standard_normal((max(len(tok.token_bytes), end_id + 1), DIMS))
-        end = np.array([end_id], dtype="<u4").tobytes()
+        size = max(len(tok.token_bytes), end_id + 1)
+        # whole numbers, whose sums are exact: equal texts have equal keys wherever they stand
+        signs = np.rint(np.random.default_rng(SEED).standard_normal((DIMS, size)) * 256)
+        kind = "<u2" if size <= 1 << 16 else "<u4"
+        end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            raws = [raw + end for raw in tok.encode(batch.column(1).to_pylist())]
-            means = np.stack([signs[np.frombuffer(raw, "<u4")].sum(axis=0) for raw in raws]) if raws else np.zeros((0, DIMS))
-            way = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
-            if len(signs) <= 1 << 16:  # half the bytes to write and shuffle
-                raws = [np.frombuffer(raw, "<u4").astype("<u2").tobytes() for raw in raws]
+            if not batch.num_rows:
+                continue
+            ids = [np.concatenate([x, end]) for x in tok.encode(batch.column(1).to_pylist())]
+            flat, owner = np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+            way = np.zeros((len(ids), DIMS))
+            for at in range(0, len(flat), ROOM):
+                some = slice(at, at + ROOM)
+                for d in range(DIMS):
+                    way[:, d] += np.bincount(owner[some], weights=signs[d, flat[some]], minlength=len(ids))
+            way /= np.maximum(np.linalg.norm(way, axis=1, keepdims=True), 1e-12)
             grid = np.clip((way + 1) * (1 << (BITS - 1)), 0, (1 << BITS) - 1).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hilbert_keys(grid, BITS)), pa.array(raws, pa.binary())], names=["doc_id", "key", "ids"])
+            raws = pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hilbert_keys(grid, BITS)), raws], names=["doc_id", "key", "ids"])
 
     return run
 
@@ -137,12 +150,15 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_tokens: int
     The tokens are written once to the shared folder, since a range partitioning samples its
     input and would else tokenize twice; they then shuffle once.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     tokens = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_tokenized(tokenizer_path, end_id), "doc_id bigint, key bigint, ids binary")
-    tokens = written(tokens, "packing-tokens").withColumn("tie", F.xxhash64("doc_id"))
+    tokens = written(tokens, "packing-tokens", nbytes=F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)))
     width = 2 if max(len(WordCachedTokenizer.at(tokenizer_path).token_bytes), end_id + 1) <= 1 << 16 else 4
-    ranged = tokens.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "doc_id", "ids")
-    return ranged.select("doc_id", "ids").mapInArrow(_pack(max_tokens, width), "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    n = range_count(spark, tokens.metrics["nbytes"])
+    ranged = tokens.withColumn("tie", F.xxhash64("doc_id")).repartitionByRange(n, "key", "tie").sortWithinPartitions("key", "tie", "doc_id", "ids")
+    pieces = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
+    return ranged.select("doc_id", "ids").mapInArrow(_pack(max_tokens, width), pieces)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ without decoding its neighbours.
 
 A store is a Parquet folder whose rows are shards: a run of whole documents in ascending
 doc_id order with one code blob. Defined results: a null text is an empty one and yields
-just the end id; null doc_ids come first; equal doc_ids stay as they fall; an empty table
-gives an empty store; columns other than doc_id and text are ignored.
+just the end id; null doc_ids come first; equal doc_ids are ordered by a hash of the text,
+then by the text; an empty table gives an empty store; columns other than doc_id and text are
+ignored; a position outside the store has no token.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from missive.llm.common import new_path, prepare, table, text_or_empty
+from missive.llm.common import new_path, prepare, range_count, table, text_bytes, text_or_empty
 from missive.llm.tokens import WordCachedTokenizer
 
 MAGIC = b"DAC1"
@@ -107,20 +108,21 @@ def _shards(tokenizer_path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, seq = WordCachedTokenizer.at(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
-        ids: list[bytes] = []
+        end = np.array([end_id], dtype="<u4")
+        ids: list[np.ndarray] = []
         docs: list[int | None] = []
         held = 0
 
         def shard() -> pa.RecordBatch:
-            values = np.frombuffer(b"".join(ids), "<u4")
-            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "doc_ids": docs, "counts": [len(x) // 4 for x in ids], "n_ids": len(values), "codes": encode_codes(values)}], schema=schema)
+            values = np.concatenate(ids)
+            row = {"part": part, "seq": seq, "doc_ids": docs, "counts": [len(x) for x in ids], "n_ids": len(values), "codes": encode_codes(values)}
+            return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
             for doc, raw in zip(batch.column(0).to_pylist(), tok.encode(batch.column(1).to_pylist())):
                 docs.append(doc)
-                ids.append(raw + end)
-                held += len(raw) // 4 + 1
+                ids.append(np.concatenate([raw, end]))
+                held += len(raw) + 1
                 if held >= SHARD_IDS:
                     yield shard()
                     ids, docs, held, seq = [], [], 0, seq + 1
@@ -133,40 +135,72 @@ def _shards(tokenizer_path: str, end_id: int):
 def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
     """Writes the ids of all texts, in ascending doc_id order; one shuffle, by doc_id range."""
     prepare(docs.sparkSession)
-    ranged = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    n = range_count(docs.sparkSession, text_bytes(docs))
+    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
+    ranged = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     ranged.mapInArrow(_shards(tokenizer_path, end_id), SHARD_SCHEMA).write.parquet(path)
 
 
 def _read_ids(with_ids: bool):
+    """Whole documents from each shard; the last id of each is read by its position, without decoding."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, counts = Codes(row["codes"]).all().astype("<u4"), np.asarray(row["counts"], dtype=np.int64)
-                ends = np.cumsum(counts)
+                codes, counts = Codes(row["codes"]), np.asarray(row["counts"], dtype=np.int64)
+                ids, ends = codes.all().astype("<u4"), np.cumsum(counts)
                 raw, begins = memoryview(ids.tobytes()), ends - counts
                 docs = [raw[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist())]
-                crc = pa.array([zlib.crc32(x) for x in docs], pa.int64())
-                last = [pa.array([bytes(x) for x in docs], pa.binary())] if with_ids else []
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(begins + row["start"]), pa.array(counts), crc, *last], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])
+                columns = {
+                    "doc_id": pa.array(row["doc_ids"], pa.int64()), "start": pa.array(begins + row["start"]), "n_tokens": pa.array(counts),
+                    "ids_crc32": pa.array([zlib.crc32(x) for x in docs], pa.int64()), "last_id": pa.array(codes.get(ends - 1).astype(np.int64)),
+                }
+                if with_ids:
+                    columns["ids"] = pa.array([bytes(x) for x in docs], pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def read_token_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and ids (little-endian 32 bit).
-
-    The running totals are summed in two levels: over parts, then within each part.
-    """
-    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
+def shard_starts(shards: DataFrame) -> DataFrame:
+    """part, seq, n_ids, start: the ids before each shard, summed over parts, then within each part."""
     sizes = shards.select("part", "seq", "n_ids")
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", "seq", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("in_part")).join(parts, "part")
-    starts = starts.select("part", "seq", (F.col("part_start") + F.col("in_part")).alias("start"))
-    full = shards.join(starts, ["part", "seq"]).select("doc_ids", "counts", "start", "codes")
-    return full.mapInArrow(_read_ids(with_ids), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
+    starts = sizes.select("part", "seq", "n_ids", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("in_part")).join(parts, "part")
+    return starts.select("part", "seq", "n_ids", (F.col("part_start") + F.col("in_part")).alias("start"))
+
+
+def read_token_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, last_id, and ids (little-endian 32 bit)."""
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    full = shards.join(shard_starts(shards).drop("n_ids"), ["part", "seq"]).select("doc_ids", "counts", "start", "codes")
+    return full.mapInArrow(_read_ids(with_ids), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, last_id bigint" + ", ids binary" * with_ids)
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            at = np.asarray(row["places"], dtype=np.int64)
+            found = Codes(row["codes"]).get(at).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at + row["start"]), pa.array(found)], names=["position", "id"])
+
+
+def tokens_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
+    """position -> position, id, for distinct positions within the store, read from its codes in place.
+
+    Shards and positions meet by stretches of SHARD_IDS positions; only shards that are asked for move.
+    """
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    spans = shard_starts(shards).where("n_ids > 0")
+    stretch = lambda c: F.floor(c / SHARD_IDS)
+    spans = spans.withColumn("stretch", F.explode(F.sequence(stretch(F.col("start")), stretch(F.col("start") + F.col("n_ids") - 1))))
+    asked = positions.select(F.col("position").cast("long")).where("position is not null").distinct().withColumn("stretch", stretch(F.col("position")))
+    met = asked.join(spans, "stretch").where("position >= start and position < start + n_ids")
+    wanted = met.groupBy("part", "seq", "start").agg(F.collect_list(F.col("position") - F.col("start")).alias("places"))  # at most a shard's ids
+    return shards.join(wanted, ["part", "seq"]).select("start", "places", "codes").mapInArrow(_looked_up, "position bigint, id bigint")
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
