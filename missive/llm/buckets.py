@@ -14,13 +14,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from missive.llm.common import written
+
+
+#: Hot buckets that may be broadcast (table, key and count of each).
+BROADCAST_BUCKETS = 100_000
+#: Parts of a hot key in ``spread_join``.
+PARTS = 16
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """big joined with small, which has one row for each value of ``on`` and far fewer rows.
+
+    A value that most of big has is dealt out by a hash of ``by`` over PARTS tasks.
+    """
+    part = F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int")
+    repeated = small.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return big.withColumn("__part", part).join(repeated, [on, "__part"], how).drop("__part")
+
 
 def dealt(rows: DataFrame, by: str, cap: int) -> DataFrame:
     """rows (table, key, ...) with chunk, i, j, partitioned and sorted by table, key, i, j.
 
-    Hot buckets are few: at most one in cap rows.
+    Hot buckets are few, at most one in cap rows: they are broadcast up to BROADCAST_BUCKETS, else joined.
     """
     hot = rows.groupBy("table", "key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > cap)
+    hot = written(hot, "hot-buckets", n=F.count(F.lit(1)))
+    if hot.metrics["n"] <= BROADCAST_BUCKETS:
+        hot = F.broadcast(hot)
     parts = F.coalesce(F.ceil(F.col("__n") / cap), F.lit(1)).cast("int")
     out = rows.join(hot, ["table", "key"], "left").withColumn("__g", parts).withColumn("chunk", F.pmod(F.xxhash64(by), "__g").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("__g") - 1), lambda x: F.struct(F.least("chunk", x).alias("i"), F.greatest("chunk", x).alias("j")))

@@ -7,10 +7,12 @@ still available. So many documents of each size are then taken by the order of a
 hash of their ids.
 
 Only (source, size, count) rows meet in one task: at most one per distinct size. A group of
-equal source and size is ranked in salted parts, so no task holds a whole hot group.
+equal source and size is ranked in parts by ranges of the hash, so no task holds a whole hot
+group. A document's hash is that of its whole row, so the order is the same in every run; the
+last hash that is taken of a group decides about the texts themselves, which never shuffle.
 Defined results: null texts have size 0 and take 0; a null source is a source, last; null or
-repeated doc_ids are rows like others; an empty table gives no rows; added columns are named
-size, source_size, target, copies, taken and replace input columns of these names.
+repeated doc_ids are rows like others; rows equal throughout are interchangeable; an empty table
+gives no rows; other columns are ignored by ``mix`` and kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from missive.llm.common import prepare, table, written
+from missive.llm.common import fresh, prepare, row_key, table, written
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, 42
 #: Budget left to the dynamic program at most.
 DP_BUDGET = 1 << 15
 #: Documents of one source and size that are ranked together.
 RANK_GROUP = 4096
+#: Rows of the plan (one for each source and size) that may be broadcast.
+BROADCAST_SIZES = 200_000
 
 
 def word_count(column: str = "text") -> Column:
@@ -109,44 +113,72 @@ def _plan(group: pd.DataFrame) -> pd.DataFrame:
     return group.assign(base=np.int64(base), extra=extra)[["source_key", "size", "n", "source_size", "target", "base", "extra"]]
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row per row of docs.
+def _source_key() -> Column:
+    return F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
 
-    The texts are read once, for their sizes; later shuffles carry ids and numbers only.
-    """
-    spark = docs.sparkSession
-    prepare(spark)
-    key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
-    sized = written(docs.select("doc_id", "source", key.alias("source_key"), word_count().alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h")), "mixing-sizes")
+
+def _fitted(sized: DataFrame, weights, share: float, cap: float) -> tuple[DataFrame, DataFrame]:
+    """Of sized (source_key, size, order): the plan by source and size, and the ranks where part of a group is taken."""
     counts = sized.groupBy("source_key", "size").agg(F.count(F.lit(1)).alias("n"))
     targets = source_targets(counts.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap)
-    plan = counts.join(targets, "source_key").groupBy("source_key").applyInPandas(_plan, "source_key string, size bigint, n bigint, source_size bigint, target double, base bigint, extra bigint")
-    plan = written(plan, "mixing-plan")
-    rows = sized.join(plan, ["source_key", "size"])
-    sure = (F.col("extra") == 0) | (F.col("extra") == F.col("n"))
-    settled = rows.where(sure).withColumn("copies", F.col("base") + (F.col("extra") > 0).cast("long"))
-    open_rows = rows.where(~sure).withColumn("part", F.pmod(F.col("h"), F.lit(1) + F.floor(F.col("n") / RANK_GROUP)))
-    parts = open_rows.groupBy("source_key", "size", "part").agg(F.count(F.lit(1)).alias("in_part"))
+    schema = "source_key string, size bigint, n bigint, source_size bigint, target double, base bigint, extra bigint"
+    plan = written(counts.join(targets, "source_key").groupBy("source_key").applyInPandas(_plan, schema), "mixing-plan", n=F.count(F.lit(1)))
+    rows = sized.join(plan.where("extra > 0 and extra < n"), ["source_key", "size"])
+    first = F.conv(F.hex(F.substring("order", 1, 4)), 16, 10).cast("long")  # 32 bits, in the order of the whole
+    rows = rows.withColumn("part", F.shiftright(first * (F.lit(1) + F.floor(F.col("n") / RANK_GROUP)), 32))
+    parts = rows.groupBy("source_key", "size", "part").agg(F.count(F.lit(1)).alias("in_part"))
     ahead = Window.partitionBy("source_key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("source_key", "size", "part", F.coalesce(F.sum("in_part").over(ahead), F.lit(0)).alias("ahead"))
-    rank = F.row_number().over(Window.partitionBy("source_key", "size", "part").orderBy("h", "doc_id"))
-    ranked = open_rows.join(parts, ["source_key", "size", "part"]).withColumn("copies", F.col("base") + ((F.col("ahead") + rank) <= F.col("extra")).cast("long"))
+    rank = F.row_number().over(Window.partitionBy("source_key", "size", "part").orderBy("order"))
+    return plan, rows.join(parts, ["source_key", "size", "part"]).withColumn("rank", F.col("ahead") + rank)
+
+
+def _joined(rows: DataFrame, plan: DataFrame, on: list[str]) -> DataFrame:
+    """Rows with their plan, which has a row for each source and size and is broadcast up to BROADCAST_SIZES of them."""
+    return rows.join(F.broadcast(plan) if plan.metrics["n"] <= BROADCAST_SIZES else plan, on)
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken: one row per row of docs.
+
+    The texts are read once, for their sizes and hashes; later shuffles carry ids and numbers only.
+    """
+    prepare(docs.sparkSession)
+    sized = docs.select("doc_id", "source", _source_key().alias("source_key"), word_count().alias("size"), row_key(docs, seed).alias("order"))
+    sized = written(sized, "mixing-sizes")
+    plan, ranked = _fitted(sized, weights, share, cap)
+    settled = _joined(sized, plan, ["source_key", "size"]).where("extra = 0 or extra = n").withColumn("copies", F.col("base") + (F.col("extra") > 0).cast("long"))
+    ranked = ranked.withColumn("copies", F.col("base") + (F.col("rank") <= F.col("extra")).cast("long"))
     columns = ["doc_id", "source", "size", "source_size", "target", "copies"]
     return settled.select(columns).unionByName(ranked.select(columns)).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it.
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it, with the columns of docs.
 
-    Rows of equal doc_id are joined by their place among them, which is the same for equal rows.
+    Of a group of which a part is taken, the hash of the last one taken is the cut. Only rows
+    of that very hash, copies of one row, are counted among themselves.
     """
-    place = Window.partitionBy("doc_id").orderBy("__size", "__key")
-    key = F.coalesce(F.col("source"), F.lit(""))
-    numbered = docs.withColumns({"__size": word_count(), "__key": key}).withColumn("__n", F.row_number().over(place))
-    chosen = mix(docs, **how).withColumns({"__size": F.col("size"), "__key": key}).withColumn("__n", F.row_number().over(place.orderBy("__size", "__key", F.col("copies"))))
-    chosen = chosen.where("copies > 0").select(F.col("doc_id").alias("__id"), "__n", "copies")
-    joined = numbered.join(chosen, numbered["doc_id"].eqNullSafe(chosen["__id"]) & (numbered["__n"] == chosen["__n"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[numbered[c] for c in docs.columns])
+    prepare(docs.sparkSession)
+    sized = written(docs.select(_source_key().alias("source_key"), word_count().alias("size"), row_key(docs, seed).alias("order")), "mixing-sizes")
+    plan, ranked = _fitted(sized, weights, share, cap)
+    cuts = ranked.where("rank = extra").select("source_key", "size", F.col("order").alias("cut"))
+    same = ranked.join(cuts, ["source_key", "size"]).where("order = cut").groupBy("source_key", "size")
+    cuts = same.agg(F.first("cut").alias("cut"), F.count(F.lit(1)).alias("n_cut"), F.sum((F.col("rank") <= F.col("extra")).cast("long")).alias("taken_cut"))
+    k, z, o, decided = fresh(docs, "source_key", "size_", "order_", "plan_")
+    plan_of = plan.join(cuts, ["source_key", "size"], "left").select(F.col("source_key").alias(k), F.col("size").alias(z), F.struct("n", "base", "extra", "cut", "n_cut", "taken_cut").alias(decided))
+    plan_of = written(plan_of, "mixing-cuts", n=F.count(F.lit(1)))
+    rows = docs.withColumns({k: _source_key(), z: word_count(), o: row_key(docs, seed)})
+    rows = _joined(rows, plan_of, [k, z])
+    p = lambda name: F.col(f"{decided}.{name}")
+    at_cut = p("cut").isNotNull() & (F.col(o) == p("cut"))
+    below = F.when(p("cut").isNull(), p("extra") > 0).otherwise(F.col(o) < p("cut"))
+    columns = [f"`{c}`" for c in docs.columns]
+    times = lambda frame, n: frame.withColumn(o, F.explode(F.sequence(F.lit(1), n.cast("int")))).select(*columns)
+    plain = rows.where(~at_cut).withColumn(z, p("base") + below.cast("long")).where(F.col(z) > 0)
+    copies = rows.where(at_cut).dropDuplicates([k, z, o])
+    copies = copies.withColumn(z, p("base") * p("n_cut") + p("taken_cut")).where(F.col(z) > 0)
+    return times(plain, F.col(z)).unionByName(times(copies, F.col(z)))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

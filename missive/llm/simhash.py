@@ -21,11 +21,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.llm.buckets import dealt, groups
-from missive.llm.common import prepare, table, text_or_empty, written
+from missive.llm.buckets import dealt, groups, spread_join
+from missive.llm.common import discard, fresh, prepare, row_key, table, written
 from missive.llm.components import connected_components
 
 SHINGLE, DISTANCE, XXH_SEED = 4, 4, 42
@@ -67,13 +67,6 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle), "doc_id bigint, fp bigint")
 
 
-def row_key(docs: DataFrame) -> Column:
-    """SHA-256 of all columns; only rows that are equal throughout share it."""
-    others = [F.col(c) for c in docs.columns if c != "text"]
-    head = F.to_json(F.struct(*others, F.col("text").isNull().alias("__no_text")))
-    return F.unhex(F.sha2(F.concat(head.cast("binary"), F.lit("\n").cast("binary"), text_or_empty().cast("binary")), 256))
-
-
 def block_count(n: int, distance: int = DISTANCE) -> int:
     """Blocks so that a key of all but ``distance`` of them has about as many values as there are fingerprints."""
     blocks = distance + 2
@@ -132,8 +125,8 @@ def _linked(distance: int):
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect all within ``distance`` bits."""
-    distinct = written(fps.select("fp").distinct(), "simhash-distinct")
-    keyed = block_keys(distinct, block_count(distinct.count(), distance), distance)
+    distinct = written(fps.select("fp").distinct(), "simhash-distinct", n=F.count(F.lit(1)))
+    keyed = block_keys(distinct, block_count(distinct.metrics["n"], distance), distance)
     return dealt(keyed, "fp", BUCKET_CAP).select("table", "key", "i", "j", "fp").mapInArrow(_linked(distance), "a bigint, b bigint")
 
 
@@ -148,7 +141,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     fps = written(fingerprints(docs, shingle), "simhash")
     rooted = _rooted(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), distance)
     least = rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
-    ids = rooted.join(least, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    ids = spread_join(rooted, least, "root", "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -156,17 +149,25 @@ def one_per_group(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     """docs with one row of each group of near-duplicates: that of the group's least doc_id.
 
     Ids may be null or repeated: nulls come last, and of several rows of an id that with the
-    least key stays.
+    least key stays. Rows that are equal throughout share a key; only where a chosen row has
+    such copies are rows compared by key once more.
     """
     prepare(docs.sparkSession)
-    keyed = docs.withColumn("__key", row_key(docs))
-    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.col("__key").alias("key"))
+    key, n = fresh(docs, "key", "n_same")
+    keyed = docs.withColumn(key, row_key(docs))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col(key).alias("key"))
     rows = keyed.select(order.alias("row"), "text").mapInArrow(_fingerprints(shingle), "row struct<null: boolean, doc_id: bigint, key: binary>, fp bigint")
     fps = written(rows, "simhash")
-    rooted = _rooted(fps.groupBy("fp").agg(F.min("row").alias("first")), distance)
+    same = fps.groupBy("fp", "row").agg(F.count(F.lit(1)).alias("n"))
+    rooted = _rooted(same.groupBy("fp").agg(F.min(F.struct("row", "n")).alias("first")), distance)
     linked = rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("first"))
-    chosen = linked.select("first.key").union(rooted.where("root is null").select("first.key"))
-    return keyed.join(chosen, keyed["__key"] == chosen["key"], "left_semi").dropDuplicates(["__key"]).drop("__key")
+    chosen = linked.select("first").union(rooted.where("root is null").select("first"))
+    chosen = written(chosen.select(F.col("first.row.key").alias(key), F.col("first.n").alias(n)), "simhash-chosen")
+    discard(fps, rooted)
+    # the chosen keys are hashed, so the texts need no sort
+    kept = keyed.join(chosen.hint("shuffle_hash"), key)
+    copies = kept.where(F.col(n) > 1).dropDuplicates([key])
+    return kept.where(F.col(n) == 1).unionByName(copies).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
