@@ -8,15 +8,21 @@ share ``prior`` of which is toxic too. With logistic loss the risk of a classifi
 where the second part estimates the risk on the negatives and may not turn negative. Several
 linear classifiers are trained on different samples, one to a task, and averaged.
 
+A quarter of each sample takes no part in the training; there the cut is placed where the
+unbiased estimate of the share of errors, 2 * prior * missed(p) + flagged(u) - prior, is least.
+Labels of 0 serve for nothing but the prior: labels are given to documents without regard to
+what is in them, so the toxic share of the labelled rows estimates that of all.
+
 A text's features are its distinct words: each word whole, and its first 4, 5 and 6 letters, hashed.
 A word's weight is the sum over its features, so scoring looks each distinct word up once.
-Sample sizes are the documented bounds POSITIVES and UNLABELLED; the prior is the toxic share
-of the training labels; every text is scored whole.
+Sample sizes are the documented bounds POSITIVES and UNLABELLED (rows) and SAMPLE_BYTES (text, as
+expected); every text is scored whole.
 
 Held out are the doc_ids whose CRC-32 mod 5 is 0 (as text; a null id counts as empty); their labels
 are never read. Defined results: null and empty texts get the score of the bias alone; repeated rows get equal
-scores; a label counts if any of its rows says toxic; with no toxic label to learn from every score is
-prior-like 0; an empty table gives no rows; other columns are ignored.
+scores and are learnt from once; a label counts if any of its rows says toxic; with no toxic label
+to learn from every score is prior-like 0; an empty table gives no rows; other columns are kept, but
+for one of the score's name.
 """
 
 from __future__ import annotations
@@ -36,11 +42,14 @@ from missive.llm.common import prepare, table, written
 DIM_BITS, PREFIXES = 18, (4, 5, 6)
 #: Bounds of one classifier's training sample.
 POSITIVES, UNLABELLED, MODELS = 4000, 8000, 3
+SAMPLE_BYTES = 64 << 20
+#: One in so many rows of a sample is left to place the cut.
+CUT_ROWS = 4
 EPOCHS, BATCH, RATE, DECAY, SEED = 30, 256, 0.02, 1e-5, 11
 #: Features kept: those of the largest |z|, at least LEAST_Z, between positives and unlabelled text.
 KEPT_FEATURES, LEAST_Z = 1000, 5.0
 _WORD = re.compile(r"[^\W\d_]+")
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 
 def words(text: str | None) -> set[str]:
@@ -104,20 +113,22 @@ def train(features: list[np.ndarray], scales: np.ndarray, positive: np.ndarray,
     return w
 
 
-def threshold(z: np.ndarray, toxic: np.ndarray, prior: float) -> float:
-    """Where prior-weighted errors on labelled training rows are least; the middle of equally good places."""
-    order = np.argsort(z)
-    z, toxic = z[order], toxic[order]
-    if not toxic.any() or toxic.all():
+def threshold(z: np.ndarray, positive: np.ndarray, prior: float) -> float:
+    """The cut of the least unbiased positive-unlabelled error; of equally good cuts the highest.
+
+    A cut lies midway between two scores, so equal scores stay on one side.
+    """
+    if not positive.any() or positive.all():
         return 0.0
-    missed = np.concatenate([[0], np.cumsum(toxic)]) / toxic.sum()
-    false = 1 - np.concatenate([[0], np.cumsum(~toxic)]) / (~toxic).sum()
-    cost = prior * missed + (1 - prior) * false
+    order = np.argsort(z, kind="stable")
+    z, positive = z[order], positive[order]
+    missed = np.concatenate([[0], np.cumsum(positive)]) / positive.sum()
+    flagged = 1 - np.concatenate([[0], np.cumsum(~positive)]) / (~positive).sum()
+    cost = 2 * prior * missed + flagged
     cuts = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
-    apart = np.concatenate([[True], z[1:] > z[:-1], [True]])  # equal scores stay on one side
+    apart = np.concatenate([[True], z[1:] > z[:-1], [True]])
     cuts, cost = cuts[apart], cost[apart]
-    best = cuts[cost <= cost.min() + 1e-12]
-    return float(best[len(best) // 2])
+    return float(cuts[cost <= cost.min() + 1e-12][-1])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +144,11 @@ def _fit(prior: float):
         group = group.sort_values(["positive", "doc_id", "scale"], kind="stable")
         features = [np.frombuffer(f, "<i4").astype(np.int64) for f in group["features"]]
         scales, positive = group["scale"].to_numpy(), group["positive"].to_numpy(bool)
-        w = train(features, scales, positive, prior, SEED + int(group["model"].iloc[0]))
-        labelled = group["toxic"].notna().to_numpy()
+        number = SEED + int(group["model"].iloc[0])
+        apart = np.random.default_rng(number).permutation(len(group)) % CUT_ROWS == 0
+        w = train([f for f, x in zip(features, apart) if not x], scales[~apart], positive[~apart], prior, number)
         z = np.array([w[f].sum() * s + w[-1] for f, s in zip(features, scales)])
-        w[-1] -= threshold(z[labelled], group["toxic"][labelled].to_numpy(float) == 1, prior)
+        w[-1] -= threshold(z[apart], positive[apart], prior)
         at = np.flatnonzero(w)
         return pd.DataFrame({"at": [at.astype("<i4").tobytes()], "w": [w[at].astype("<f8").tobytes()]})
 
@@ -154,21 +166,25 @@ def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     known = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("doc_id is not null")
     known = written(known, "toxic-labels")
     stats = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1)), F.lit(0)).alias("toxic")).first()
-    n_docs = docs.count()
-    if not stats["toxic"] or not n_docs:
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    if not stats["toxic"] or not size["n"]:
         w = np.zeros((1 << DIM_BITS) + 1)
         w[-1] = -10.0
         return w
     prior = min(0.9, stats["toxic"] / stats["n"])
-    spot = lambda model, salt: F.pmod(F.xxhash64(F.lit(SEED), F.lit(model), F.lit(salt), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = lambda salt, share: F.filter(F.array(*[F.when(spot(m, salt) < share, F.lit(m)) for m in range(MODELS)]), lambda m: m.isNotNull())
-    # at most MODELS * POSITIVES ids or so
-    positives = known.where("toxic = 1").select("doc_id", chosen("p", POSITIVES / stats["toxic"]).alias("models")).where(F.size("models") > 0)
-    texts = docs.where(~held_out()).select("doc_id", "text")
-    marked = texts.join(F.broadcast(positives), "doc_id").select("doc_id", F.lit(True).alias("positive"), "models", "text")
-    free = texts.select("doc_id", F.lit(False).alias("positive"), chosen("u", UNLABELLED / n_docs).alias("models"), "text").where(F.size("models") > 0)
+    share = lambda most, n: min(most, SAMPLE_BYTES * size["n"] / max(1, size["bytes"])) / n
+    spot = lambda model, salt, key: F.pmod(F.xxhash64(F.lit(SEED), F.lit(model), F.lit(salt), key), F.lit(1 << 30)) / float(1 << 30)
+    chosen = lambda salt, part, key: F.filter(F.array(*[F.when(spot(m, salt, key) < part, F.lit(m)) for m in range(MODELS)]), lambda m: m.isNotNull())
+    texts = docs.where(~held_out()).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("own"))
+    # at most MODELS * POSITIVES ids or so; an id may stand for many rows, of which as many are drawn
+    ids = known.where("toxic = 1").select("doc_id", chosen("p", POSITIVES / stats["toxic"], F.col("doc_id")).alias("models")).where(F.size("models") > 0)
+    ids = written(ids, "toxic-ids")
+    n_rows = max(1, texts.select("doc_id").join(F.broadcast(ids), "doc_id").agg(F.sum(F.size("models"))).first()[0] or 0)
+    drawn = F.pmod(F.xxhash64(F.lit(SEED), "own"), F.lit(1 << 30)) / float(1 << 30) < MODELS * share(POSITIVES, n_rows)
+    marked = texts.where(drawn).join(F.broadcast(ids), "doc_id").select("doc_id", F.lit(True).alias("positive"), "models", "text")
+    free = texts.select("doc_id", F.lit(False).alias("positive"), chosen("u", share(UNLABELLED, size["n"]), F.col("own")).alias("models"), "text").where(F.size("models") > 0)
     sample = marked.unionByName(free).mapInArrow(_extract, "doc_id bigint, positive boolean, models array<int>, features binary, scale double")
-    sample = written(sample, "toxicity-sample").join(known, "doc_id", "left").withColumn("model", F.explode("models")).drop("models")
+    sample = written(sample.dropDuplicates(["doc_id", "positive", "features"]), "toxicity-sample").withColumn("model", F.explode("models")).drop("models")
     out = np.zeros((1 << DIM_BITS) + 1)
     fitted = sample.groupBy("model").applyInPandas(_fit(prior), "at binary, w binary").collect()  # MODELS rows of at most KEPT_FEATURES weights
     for row in fitted:
@@ -176,7 +192,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return out
 
 
-def _score(shared):
+def _score(shared, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, values, bias = shared.value
         w = np.zeros(1 << DIM_BITS)
@@ -196,20 +212,19 @@ def _score(shared):
                     total += weight
                 z.append(total * _scale(len(ws)) + bias)
             score = 1 / (1 + np.exp(-np.clip(np.array(z, dtype=np.float64), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
 
     return run
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with score, from 0 to 1."""
+def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
+    """docs with the score, from 0 to 1, in a column of this name."""
     w = learn(docs, labels)
     at = np.flatnonzero(w[:-1])
     shared = docs.sparkSession.sparkContext.broadcast((at, w[at], float(w[-1])))
-    others = [c for c in docs.columns if c not in ("score", "text")]
-    frame = docs.select(*others, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields) + ", score double"
-    return frame.mapInArrow(_score(shared), schema)
+    frame = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (name, "text")], "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields) + f", `{name}` double"
+    return frame.mapInArrow(_score(shared, name), schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
