@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from missive.llm.common import new_path, table
+from missive.llm.common import fresh, new_path, table
 from missive.llm.line_dedup import drop_repeated_lines
 from missive.llm.mixing import mixed_documents
 from missive.llm.packing import pack
@@ -12,28 +13,48 @@ from missive.llm.simhash import one_per_group
 from missive.llm.toxicity import scored
 
 
+def columns_of(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.5 or more go."""
-    return scored(docs, table(spark, sf_dir, "labels")).where("score < 0.5").select(docs.columns)
+    """Documents with a toxicity score of 0.5 or more go.
+
+    Null and empty texts stay unless the bias alone is toxic; rows of repeated ids are judged by their own
+    texts; without labels or documents nothing goes; all columns stay, whatever their names.
+    """
+    (score,) = fresh(docs, "score")
+    return scored(docs, table(spark, sf_dir, "labels"), score).where(F.col(score) < 0.5).select(*columns_of(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that at least ten documents share go from all of them."""
-    return drop_repeated_lines(docs).drop("n_lines", "n_dropped")
+    """Lines that at least ten documents share go from all of them; no document goes.
+
+    A null text becomes an empty one, and a text of which all lines go is empty; rows of repeated or null ids are
+    documents like others.
+    """
+    return drop_repeated_lines(docs, counts=tuple(fresh(docs, "n_lines", "n_dropped"))).select(*columns_of(docs))
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: that of the least id, nulls last.
+
+    Of several rows of an id that with the least hash stays; empty and blank texts are one group.
+    """
     return one_per_group(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the target weights of the sources take it."""
+    """Each document as often as the target weights of the sources take it, possibly not at all.
+
+    Null and empty texts have size 0: they stay once if their source has no words at all, else as often as
+    whole rounds of the source are taken; a null source is the last one.
+    """
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens; a null or empty text gives the end id alone."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
