@@ -2,19 +2,23 @@
 
 A unit vector o is rotated by a random orthogonal matrix and stored as the signs of its
 components, the code o', with the correction factor c = <o', o>. For a query q, <o', q> / c
-estimates <o, q> without bias. Angles obey the triangle inequality, so a pair of cosine t or
-more has <o', q> >= c t - sqrt(1 - c^2) sqrt(1 - t^2): pairs below that bound, in either
-direction, are left out for certain; all others are recomputed exactly in double precision.
+estimates <o, q> without bias; its error is about sqrt((1 - c^2) / (d - 1)) / c times a standard
+normal. As in the paper, q is stored too, with four bits a component. Pairs whose estimate lies
+more than CONFIDENCE such errors below the threshold, in either direction, are left out; all
+others are recomputed exactly in double precision from the vectors, which only rows with such a
+pair fetch. Codes, factors and four-bit components are what moves through the hash tables.
 
 Candidate pairs come from the codes too: runs of code bits of several rotations are the keys
 of hash tables, so many that a pair at the threshold shares a key with probability RECALL or
 more, by the sign-flip rate angle / pi. A pair that shares several keys counts at the first.
-Equal vectors are one class from the start. Buckets over a cap are dealt out as pairs of
-chunks; a task gives link counts and a spanning forest, never pairs.
+With recall=1 and confidence=inf all vectors meet in blocks and every pair is recomputed: exact,
+and quadratic. Equal vectors are one class from the start (by 128 bits of a hash). Buckets over a
+cap are dealt out as pairs of chunks; a task gives link counts and a spanning forest, never pairs.
 
 Defined results: a vector that is null, empty, zero, or holds a null or non-finite component
-has no links and is its own component; vectors of different lengths do not link; rows of equal
-vectors link with each other; an empty table gives no rows; other columns are ignored.
+has no links and is its own component; a null vec_id never is a component's id unless all its
+ids are null; vectors of different lengths do not link; rows of equal vectors link with each
+other; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.llm.buckets import dealt, groups
+from missive.llm.buckets import dealt, groups, spread_join
 from missive.llm.common import prepare, table, written
 from missive.llm.components import connected_components
 
-THRESHOLD, RECALL, SEED = 0.95, 0.9995, 7
+THRESHOLD, RECALL, CONFIDENCE, SEED = 0.95, 0.9999, 5.0, 7
 BUCKET_CAP = 4096
+#: Rows of a block of pairs; pairs that are recomputed at once.
+STEP, EXACT_PAIRS = 512, 1 << 14
 
 
 @lru_cache(maxsize=64)
@@ -46,55 +52,110 @@ def rotation(dim: int, number: int) -> np.ndarray:
 
 def table_plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
     """Bits of a key, and tables, for n distinct vectors: buckets of a few rows if they were spread evenly."""
-    bits = min(20, max(8, n.bit_length() - 4))
+    if recall >= 1:
+        return 0, 1
+    bits = min(28, max(8, n.bit_length() - 4))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _normalized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, nodes, dims, units = batch.column(0), [], [], []
+        same, units = [], []
         for vector in batch.column(1).to_pylist():
             v = None if not vector or None in vector else np.asarray(vector, dtype=np.float64)
             peak = 0.0 if v is None else np.abs(v).max()
             if v is None or not np.isfinite(v).all() or peak == 0:
-                nodes.append(None), dims.append(None), units.append(None)
+                same.append(None), units.append(None)
                 continue
-            nodes.append(int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True))
+            same.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest())
             v = v / peak
-            dims.append(len(v)), units.append((v / np.linalg.norm(v)).tobytes())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], names=["vec_id", "node", "dim", "unit"])
+            units.append((v / np.linalg.norm(v)).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(units, pa.binary())], names=["vec_id", "same", "unit"])
 
 
-def _keyed(bits: int, tables: int):
+def coded(x: np.ndarray, plan: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of unit vectors (n, dim): records with code, factor and four-bit components; and the keys (n, tables)."""
+    (n, dim), (bits, tables) = x.shape, plan
+    turned = x @ rotation(dim, 0).T
+    signs = turned > 0
+    out = np.zeros(n, record(dim, plan))
+    out["code"] = np.packbits(signs, axis=1)
+    out["factor"] = np.abs(turned).sum(axis=1) / math.sqrt(dim)
+    low = turned.min(axis=1)
+    width = np.maximum((turned.max(axis=1) - low) / 15, 1e-12)
+    four = np.clip(np.rint((turned - low[:, None]) / width[:, None]), 0, 15).astype(np.uint8)
+    if dim % 2:
+        four = np.concatenate([four, np.zeros((n, 1), np.uint8)], axis=1)
+    out["four"], out["low"], out["width"] = four[:, ::2] | four[:, 1::2] << 4, low, width
+    keys = np.zeros((n, tables), "<i4")
+    if bits:
+        run = min(bits, dim)
+        per = max(1, dim // run)
+        flags = np.concatenate([signs[:, : per * run], *((x @ rotation(dim, r).T > 0)[:, : per * run] for r in range(1, -(-tables // per)))], axis=1)
+        weights = 1 << np.arange(run, dtype=np.int64)
+        keys = np.stack([flags[:, t * run : (t + 1) * run] @ weights for t in range(tables)], axis=1).astype("<i4")
+    out["keys"] = keys
+    return out, keys
+
+
+def record(dim: int, plan: tuple[int, int]) -> np.dtype:
+    """What stands for a vector in the hash tables."""
+    return np.dtype([("n", "<i8"), ("code", "u1", (-(-dim // 8),)), ("four", "u1", (-(-dim // 2),)), ("factor", "<f4"), ("low", "<f4"), ("width", "<f4"), ("keys", "<u2" if plan[0] <= 16 else "<i4", (plan[1],))])
+
+
+def _keyed(plan: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(1).to_numpy()
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                part = batch.take(pa.array(at))
-                x = np.frombuffer(b"".join(part.column(2).to_pylist()), np.float64).reshape(len(at), dim)
-                per = max(1, dim // bits)
-                codes = np.concatenate([(x @ rotation(int(dim), r).T > 0)[:, : per * bits] for r in range(-(-tables // per))], axis=1)
-                width = min(bits, dim)
-                weights = 1 << np.arange(width, dtype=np.int64)
-                keys = np.stack([codes[:, t * width : (t + 1) * width] @ weights for t in range(tables)], axis=1).astype("<i4")
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(list(keys), pa.list_(pa.int32()))], names=["node", "dim", "unit", "n", "keys", "key_list"])
+            sizes = np.array([len(u) for u in batch.column(1).to_pylist()])
+            for size in np.unique(sizes):
+                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                dim = int(size) // 8
+                records, keys = coded(np.frombuffer(b"".join(part.column(1).to_pylist()), np.float64).reshape(-1, dim), plan)
+                records["n"] = part.column(2).to_numpy()
+                arrays = [part.column(0), pa.array([dim] * len(keys), pa.int32()), pa.array([r.tobytes() for r in records], pa.binary()), pa.array(list(keys), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "dim", "record", "key_list"])
 
     return run
 
 
-def _block_pairs(x, codes, factors, y, y_codes, y_factors, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (row of x, row of y) of cosine >= threshold."""
-    floor = lambda c: c * threshold - np.sqrt(np.maximum(0, 1 - c * c)) * math.sqrt(1 - threshold * threshold) - 1e-9
-    maybe = (x @ y_codes.T >= floor(y_factors)[None, :]) & ((y @ codes.T).T >= floor(factors)[:, None])
-    i, j = np.nonzero(maybe)
-    if len(i) > 0.05 * maybe.size:
-        exact = (x @ y.T)[i, j]
-    else:
-        exact = np.einsum("ij,ij->i", x[i], y[j])
-    keep = exact >= threshold
-    return i[keep], j[keep]
+class Coded:
+    """The records of one bucket."""
+
+    def __init__(self, raw: list[bytes], dim: int, plan: tuple[int, int], number: int, chunk: np.ndarray | None):
+        self.r = np.frombuffer(b"".join(raw), record(dim, plan))
+        self.dim, self.number, self.chunk = dim, number, chunk
+        self.signs = np.unpackbits(self.r["code"], axis=1, count=dim).astype(np.float32) * 2 - 1
+        four = np.stack([self.r["four"] & 15, self.r["four"] >> 4], axis=2).reshape(len(self.r), -1)[:, :dim]
+        self.values = four * self.r["width"][:, None] + self.r["low"][:, None]
+        c = self.r["factor"].astype(np.float64)
+        self.error = np.sqrt(np.maximum(0, 1 - c * c) / max(dim - 1, 1e-9))
+
+    def undecided(self, p: int, q: int, threshold: float, confidence: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs i < j of the blocks at p and q that may reach the threshold, new in this table and, if dealt, of two chunks."""
+        a, b = slice(p, p + STEP), slice(q, q + STEP)
+        maybe = np.ones((len(self.r[a]), len(self.r[b])), bool)
+        if math.isfinite(confidence):
+            root = math.sqrt(self.dim)
+            rounding = self.r["width"] * 0.3  # the standard error of components in steps of this width
+            for rows, columns, turn in ((a, b, False), (b, a, True)):  # codes of rows, components of columns
+                estimate = self.signs[rows] @ self.values[columns].T / root
+                # estimate / c >= threshold - confidence * error / c
+                floor = self.r["factor"][rows][:, None] * threshold - confidence * (self.error[rows][:, None] + rounding[columns][None, :])
+                fits = estimate >= floor
+                maybe &= fits.T if turn else fits
+        i, j = np.nonzero(maybe)
+        i, j = i + p, j + q
+        keep = i < j
+        if self.chunk is not None:
+            keep &= self.chunk[i] != self.chunk[j]
+        i, j = i[keep], j[keep]
+        if self.number and len(i):
+            new = np.ones(len(i), bool)
+            for t in range(self.number):
+                new &= self.r["keys"][i, t] != self.r["keys"][j, t]
+            i, j = i[new], j[new]
+        return i, j
 
 
 def forest(i: np.ndarray, j: np.ndarray, parent: np.ndarray) -> list[tuple[int, int]]:
@@ -121,44 +182,56 @@ def forest(i: np.ndarray, j: np.ndarray, parent: np.ndarray) -> list[tuple[int,
     return out
 
 
-def _compared(threshold: float, step: int = 512):
+def _buckets(t: pa.Table, starts: np.ndarray, plan: tuple[int, int]):
+    """first row, end and Coded of each bucket of two rows or more."""
+    records, dims = t.column("record").to_pylist(), t.column("dim").to_numpy()
+    number, chunk = t.column("table").to_numpy(), t.column("chunk").to_numpy()
+    pair = t.column("i").to_numpy() != t.column("j").to_numpy()
+    for a, b in zip(starts.tolist(), np.append(starts[1:], t.num_rows).tolist()):
+        if b - a > 1:
+            yield a, b, Coded(records[a:b], int(dims[a]), plan, int(number[a]), chunk[a:b] if pair[a] else None)
+
+
+def _flagged(plan: tuple[int, int], threshold: float, confidence: float):
+    """The rows that are in an undecided pair of their bucket."""
+
+    def handle(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        t = t.combine_chunks()
+        some = np.zeros(t.num_rows, bool)
+        for a, b, bucket in _buckets(t, starts, plan):
+            for p in range(0, b - a, STEP):
+                for q in range(p, b - a, STEP):
+                    for side in bucket.undecided(p, q, threshold, confidence):
+                        some[a + side] = True
+        yield from t.filter(pa.array(some)).to_batches()
+
+    return lambda batches: groups(batches, handle, rows=1 << 15)
+
+
+def _compared(plan: tuple[int, int], threshold: float, confidence: float):
+    """Link counts (a, count) and a spanning forest (a, b) of each bucket."""
+
     def handle(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
-        node, n, chunk, number = (t.column(c).to_numpy() for c in ("node", "n", "chunk", "table"))
-        units, dims, raw_keys = t.column("unit").to_pylist(), t.column("dim").to_numpy(), t.column("keys").to_pylist()
-        pair = t.column("i").to_numpy() != t.column("j").to_numpy()
-        ends = np.append(starts[1:], t.num_rows)
+        node, units = t.column("node").to_numpy(), t.column("unit").to_pylist()
         counts: dict[int, int] = {}
         out_a, out_b = [], []
-        for a, b in zip(starts.tolist(), ends.tolist()):
-            if b - a < 2:
-                continue
-            dim = int(dims[a])
-            x = np.frombuffer(b"".join(units[a:b]), np.float64).reshape(b - a, dim)
-            keys = np.frombuffer(b"".join(raw_keys[a:b]), "<i4").reshape(b - a, -1)
-            turned = x @ rotation(dim, 0).T
-            codes = np.where(turned > 0, 1.0, -1.0) / math.sqrt(dim)
-            factors = (codes * turned).sum(axis=1)
-            parent = np.arange(b - a)
-            for p in range(0, b - a, step):
-                for q in range(p, b - a, step):
-                    i, j = _block_pairs(turned[p : p + step], codes[p : p + step], factors[p : p + step], turned[q : q + step], codes[q : q + step], factors[q : q + step], threshold)
-                    i, j = i + p, j + q
-                    keep = i < j
-                    if pair[a]:
-                        keep &= chunk[a + i] != chunk[a + j]
-                    i, j = i[keep], j[keep]
-                    if not len(i):
-                        continue
-                    at = int(number[a])
-                    if at:
-                        new = ~(keys[i, :at] == keys[j, :at]).any(axis=1)
-                        i, j = i[new], j[new]
-                    got = np.bincount(i, weights=n[a + j], minlength=b - a) + np.bincount(j, weights=n[a + i], minlength=b - a)
-                    for k in np.flatnonzero(got):
-                        counts[int(node[a + k])] = counts.get(int(node[a + k]), 0) + int(got[k])
-                    for u, v in forest(i, j, parent):
-                        out_a.append(int(node[a + u])), out_b.append(int(node[a + v]))
+        for a, b, bucket in _buckets(t, starts, plan):
+            x = np.frombuffer(b"".join(units[a:b]), np.float64).reshape(b - a, -1)
+            parent, n, got = np.arange(b - a), bucket.r["n"], np.zeros(b - a)
+            for p in range(0, b - a, STEP):
+                for q in range(p, b - a, STEP):
+                    i, j = bucket.undecided(p, q, threshold, confidence)
+                    near = np.zeros(len(i), bool)
+                    for k in range(0, len(i), EXACT_PAIRS):
+                        near[k : k + EXACT_PAIRS] = np.einsum("ij,ij->i", x[i[k : k + EXACT_PAIRS]], x[j[k : k + EXACT_PAIRS]]) >= threshold
+                    i, j = i[near], j[near]
+                    if len(i):
+                        got += np.bincount(i, weights=n[j], minlength=b - a) + np.bincount(j, weights=n[i], minlength=b - a)
+                        for u, v in forest(i, j, parent):
+                            out_a.append(int(node[a + u])), out_b.append(int(node[a + v]))
+            for k in np.flatnonzero(got):
+                counts[int(node[a + k])] = counts.get(int(node[a + k]), 0) + int(got[k])
         kinds = [True] * len(out_a) + [False] * len(counts)
         if kinds:
             yield pa.RecordBatch.from_arrays([pa.array(out_a + list(counts), pa.int64()), pa.array(out_b + list(counts.values()), pa.int64()), pa.array(kinds)], names=["a", "b", "is_edge"])
@@ -166,26 +239,32 @@ def _compared(threshold: float, step: int = 512):
     return lambda batches: groups(batches, handle, rows=1 << 14)
 
 
-def linked_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def linked_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, confidence: float = CONFIDENCE) -> DataFrame:
     """vectors (vec_id, embedding) -> vec_id, n_links, component_id, kept."""
     prepare(vectors.sparkSession)
-    rows = written(vectors.select("vec_id", "embedding").mapInArrow(_classes, "vec_id bigint, node bigint, dim int, unit binary"), "vectors")
-    classes = rows.where("node is not null").groupBy("node").agg(F.first("dim").alias("dim"), F.first("unit").alias("unit"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"))
-    classes = written(classes, "vector-classes")
-    bits, tables = table_plan(classes.count(), threshold, recall)
-    keyed = classes.select("node", "dim", "unit", "n").mapInArrow(_keyed(bits, tables), "node bigint, dim int, unit binary, n bigint, keys binary, key_list array<int>")
-    keyed = keyed.select("node", "dim", "unit", "n", "keys", F.posexplode("key_list").alias("table", "bits"))
+    rows = written(vectors.select("vec_id", "embedding").mapInArrow(_normalized, "vec_id bigint, same binary, unit binary"), "vectors")
+    classes = rows.where("same is not null").groupBy("same").agg(F.first("unit").alias("unit"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes", n=F.count(F.lit(1)))
+    plan = table_plan(classes.metrics["n"], threshold, recall)
+    keyed = classes.select("node", "unit", "n").mapInArrow(_keyed(plan), "node bigint, dim int, record binary, key_list array<int>")
+    keyed = written(keyed, "vector-codes").select("node", "dim", "record", F.posexplode("key_list").alias("table", "bits"))
     keyed = keyed.withColumn("key", F.col("dim").cast("long") * (1 << 32) + F.col("bits")).drop("bits")
-    found = dealt(keyed, "node", BUCKET_CAP).mapInArrow(_compared(threshold), "a bigint, b bigint, is_edge boolean")
-    found = written(found, "vector-links")
+    near = dealt(keyed, "node", BUCKET_CAP)
+    near = written(near.mapInArrow(_flagged(plan, threshold, confidence), near.schema), "vector-candidates")
+    place = ["table", "key", "i", "j"]
+    full = near.join(classes.select("node", "unit"), "node").repartition(*place).sortWithinPartitions(*place)
+    found = written(full.mapInArrow(_compared(plan, threshold, confidence), "a bigint, b bigint, is_edge boolean"), "vector-links")
     counts = found.where("not is_edge").groupBy("a").agg(F.sum("b").alias("others"))
     roots = connected_components(found.where("is_edge").select("a", "b"))
-    known = classes.select("node", "n", "first").join(counts.withColumnRenamed("a", "node"), "node", "left").join(roots, "node", "left")
-    known = written(known.select("node", "n", "first", "others", F.coalesce("root", "node").alias("root")), "vector-roots")
-    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = known.join(least, "root").select("node", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "node").join(known, "node", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    known = classes.select("node", "same", "n", "first").join(counts.withColumnRenamed("a", "node"), "node", "left").join(roots, "node", "left")
+    known = written(known.select("node", "same", "n", "first", "others", "root"), "vector-roots")
+    least = known.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
+    known = spread_join(known, least, "root", "node", "left")
+    linked = F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least"))
+    known = known.select("same", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), linked.alias("component_id"))
+    out = rows.select("vec_id", "same").join(known, "same", "left")
+    component = F.when(F.col("same").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
