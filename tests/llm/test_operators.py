@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import zlib
 
 import numpy as np
@@ -31,6 +32,7 @@ BASE = words(120, 1)
 MESSY = [
     (1, None, "a"), (2, "", "a"), (3, "  \n\t ", None), (4, "one", "b"), (5, BASE, "b"), (6, BASE, "b"), (7, BASE.replace("a", "a", 1) + " tail end", "a"),
     (8, words(90, 2) + " " + BASE[:200] + " " + words(40, 3), None), (9, "x" * 30_000, "c"), (10, words(8000, 4), "c"), (None, BASE, None), (11, "Ünïcödé ñandú 日本 " * 40, "b"), (11, "Ünïcödé ñandú 日本 " * 40, "b"), (12, "a\n\nB \n a\na", "a"),
+    (13, "head " + "\0" * 90 + " one", "b"), (14, "\0" * 75 + " tail", "b"),
 ]
 
 
@@ -92,6 +94,41 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch, cap):
     assert got == brute_links(rows)
 
 
+def test_embedding_exact_mode_and_null_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.standard_normal(5)]) for k in range(300)] + [(None, [1.0] * 5), (7, [2.0] * 5), (None, None), (301, [3.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((str(r["vec_id"]), r["n_links"]) for r in embedding_dedup.linked_vectors(df, recall=1, confidence=float("inf")).collect())
+    assert got == sorted((str(i), n) for i, n in brute_counts(rows))
+
+
+def brute_counts(rows, t=0.95):
+    unit = [np.asarray(v) / np.linalg.norm(v) if v and None not in v and np.any(v) else None for _, v in rows]
+    for k, (i, _) in enumerate(rows):
+        yield i, sum(1 for m, u in enumerate(unit) if m != k and u is not None and unit[k] is not None and len(u) == len(unit[k]) and u @ unit[k] >= t)
+
+
+@pytest.mark.parametrize("bits, skewed", [(8, False), (12, False), (12, True), (17, True), (20, False)])
+def test_embedding_candidates_at_the_threshold(bits, skewed):
+    """Pairs of cosine 0.9501 share a key and pass the estimates; skewed: most of a vector's length in two places."""
+    rng, n, dim = np.random.default_rng(bits), 20_000, 64
+    x = rng.standard_normal((n, dim)) * (np.array([9.0, 9.0, *[0.3] * (dim - 2)]) if skewed else 1.0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = rng.standard_normal((n, dim))
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    y = 0.9501 * x + np.sqrt(1 - 0.9501**2) * other
+    plan = bits, math.ceil(math.log(1 - embedding_dedup.RECALL) / math.log(1 - (1 - math.acos(0.95) / math.pi) ** bits))
+    a, keys_a = embedding_dedup.coded(x, plan)
+    b, keys_b = embedding_dedup.coded(y, plan)
+    assert (keys_a == keys_b).any(axis=1).mean() > 0.999
+    lost = 0
+    for k in range(400):
+        pair = embedding_dedup.Coded([a[k].tobytes(), b[k].tobytes()], dim, plan, 0, None)
+        lost += not len(pair.undecided(0, 0, 0.95, embedding_dedup.CONFIDENCE)[0])
+    assert lost == 0
+
+
 def test_embedding_empty(spark):
     assert embedding_dedup.linked_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
@@ -452,20 +489,34 @@ def test_repeats_equal_brute_force(spark, real, messy, empty, how):
     assert bwt_dedup.remove_repeats(empty, **how).count() == 0
 
 
-def test_merged_transforms_group_equal_windows():
+def test_merged_transforms_are_the_order_of_all_strings():
     rng = np.random.default_rng(5)
-    strings = rng.integers(97, 99, (60, bwt_dedup.SNIPPET)).astype(np.uint8)
+    strings = rng.integers(97, 99, (60, 30)).astype(np.uint8)
     strings[30:] = strings[:30]
-    strings[30:, :3] = 120
-    letters = bwt_dedup.Strings(strings)
-    shards = [bwt_dedup.Transform(letters, k, k + 16) for k in range(0, 60, 16)]
-    interval, place = bwt_dedup.merge(shards)
-    suffix = np.concatenate([s.suffixes + k * 16 * (bwt_dedup.SNIPPET + 1) for k, s in enumerate(shards)])
-    ring = np.concatenate([strings, np.zeros((60, 1), np.uint8)], axis=1)
-    rows = [tuple(np.roll(ring[x // ring.shape[1]], -(x % ring.shape[1]))[:50]) for x in suffix]
-    groups = {}
-    for r, i in zip(rows, interval):
-        groups.setdefault(r, set()).add(i)
-    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
-    ordered = [rows[k] for k in np.argsort(place)]
-    assert ordered == sorted(ordered)
+    strings[40:, 20:] = 120
+    group = np.sort(rng.integers(0, 4, 60))
+    order, shared = bwt_dedup.common_prefixes(group, strings, shard=16)
+    rows = [(int(group[k]), strings[k].tobytes()) for k in order]
+    assert rows == sorted(rows) and sorted(order.tolist()) == list(range(60))
+    for (g, a), (h, b), n in zip(rows, rows[1:], shared[1:]):
+        assert n == (-1 if g != h else next((k for k in range(30) if a[k] != b[k]), 30))
+
+
+def test_windows_of_merged_transforms_equal_brute_force():
+    rng = np.random.default_rng(6)
+    n, middle = 300, bwt_dedup.WINDOWS - 1
+    group = np.sort(rng.integers(0, 12, n))
+    snippets = rng.integers(97, 99, (n, bwt_dedup.SNIPPET)).astype(np.uint8)
+    snippets[:, :25] = 97
+    snippets[:, 56:] = 98
+    snippets[:, middle : middle + bwt_dedup.SEED] = group[:, None]
+    low, high, doc = rng.integers(0, 9, n), rng.integers(20, 32, n), rng.integers(0, 99, n)
+    first = {}
+    for k in range(n):
+        for w in range(low[k], high[k]):
+            key = (group[k], w, snippets[k, w : w + 50].tobytes())
+            first[key] = min(first.get(key, 1 << 60), doc[k])
+    got = bwt_dedup.least_documents(group, snippets, low, high, doc, shard=64)
+    for k in range(n):
+        for w in range(bwt_dedup.WINDOWS):
+            assert got[k, w] == (first[group[k], w, snippets[k, w : w + 50].tobytes()] if low[k] <= w < high[k] else np.iinfo(np.int64).max)
