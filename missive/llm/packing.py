@@ -28,7 +28,7 @@ from missive.llm.tokens import WordCachedTokenizer
 DIMS, BITS, SEED = 4, 12, 20240501
 MAX_TOKENS = 2048
 #: Ids that are projected at once.
-ROOM = 1 << 18
+ROOM = 1 << 16
 
 
 def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
@@ -73,7 +73,7 @@ def _tokenized(tokenizer_path: str, end_id: int):
             if not batch.num_rows:
                 continue
             ids = [np.concatenate([x, end]) for x in tok.encode(batch.column(1).to_pylist())]
-            flat, owner = np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+            flat, owner = np.concatenate(ids), np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
             way = np.zeros((len(ids), DIMS))
             for at in range(0, len(flat), ROOM):
                 some = slice(at, at + ROOM)

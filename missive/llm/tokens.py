@@ -21,16 +21,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of the cached words and their ids in one Python worker; the least lately used half goes beyond it.
-CACHE_BYTES = 24 << 20
-#: Longer cuts aren't kept. Bytes of text that are cut and gathered at once.
-LONGEST_CACHED, BLOCK_BYTES = 64, 4 << 20
+CACHE_BYTES = 16 << 20
+#: Longer cuts aren't kept. Characters of text that are cut and gathered at once.
+LONGEST_CACHED, BLOCK_CHARS = 64, 1 << 20
 _GAP, _CUT = re.compile(r" (?:\s|\Z)"), re.compile(r" (?=\S)")
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions starts[0], starts[0] + 1, ... of each run, one run after the other."""
     ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.repeat((starts - (ends - sizes)).astype(np.int32), sizes)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 class WordCachedTokenizer:
@@ -159,7 +161,7 @@ class WordCachedTokenizer:
                 whole[i] = self._whole([text])[0]
                 continue
             at = 0
-            while len(text) - at > BLOCK_BYTES and (m := _CUT.search(text, at + BLOCK_BYTES)):
+            while len(text) - at > BLOCK_CHARS and (m := _CUT.search(text, at + BLOCK_CHARS)):
                 parts.append(text[at : m.start()])
                 owner.append(i)
                 at = m.start()
@@ -169,10 +171,11 @@ class WordCachedTokenizer:
         begin = 0
         while begin < len(parts):
             end, size = begin, 0
-            while end < len(parts) and (end == begin or size + len(parts[end]) <= BLOCK_BYTES):
+            while end < len(parts) and (end == begin or size + len(parts[end]) <= BLOCK_CHARS):
                 size += len(parts[end])
                 end += 1
             for i, ids in zip(owner[begin:end], self._by_words(parts[begin:end])):
                 found.setdefault(i, []).append(ids)
             begin = end
+        pa.default_memory_pool().release_unused()
         return [whole[i] if i in whole else found[i][0] if len(found[i]) == 1 else np.concatenate(found[i]) for i in range(len(texts))]

@@ -75,7 +75,10 @@ def train(features: list[np.ndarray], scales: np.ndarray, positive: np.ndarray,
     if not len(pos) or not len(unl):
         return w
     # features whose document frequency tells positives from unlabelled text
-    freq = [np.bincount(np.concatenate([np.unique(features[r]) for r in side]), minlength=dim) for side in (pos, unl)]
+    freq = [np.zeros(dim, np.int64), np.zeros(dim, np.int64)]
+    for count, side in zip(freq, (pos, unl)):
+        for r in side:
+            count[np.unique(features[r])] += 1
     pooled = (freq[0] + freq[1] + 1.0) / (len(pos) + len(unl) + 2.0)
     z = (freq[0] / len(pos) - freq[1] / len(unl)) / np.sqrt(pooled * (1 - pooled) * (1 / len(pos) + 1 / len(unl)))
     telling = np.zeros(dim, bool)
@@ -142,7 +145,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fit(prior: float):
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["positive", "doc_id", "scale"], kind="stable")
-        features = [np.frombuffer(f, "<i4").astype(np.int64) for f in group["features"]]
+        features = [np.frombuffer(f, "<i4") for f in group.pop("features")]
         scales, positive = group["scale"].to_numpy(), group["positive"].to_numpy(bool)
         number = SEED + int(group["model"].iloc[0])
         apart = np.random.default_rng(number).permutation(len(group)) % CUT_ROWS == 0
