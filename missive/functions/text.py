@@ -131,8 +131,10 @@ def english_supported(c: Column) -> Column:
 
 
 def date_value(c: Column) -> Column:
-    """ISO text to a UTC instant; null if it is none."""
-    return F.try_to_timestamp(c)
+    """ISO text to a UTC instant, whatever the session's zone; text without a zone is UTC; null if it is none."""
+    zoned = c.rlike(r"(?i)(?:z|[+-]\d{2}:?\d{2})$")
+    clock = F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.concat(c, F.lit("T00:00:00Z"))).otherwise(F.concat(c, F.lit("Z")))
+    return F.try_to_timestamp(F.when(zoned & ~c.rlike(r"^\d{4}-\d{2}-?\d{2}$"), c).otherwise(clock))
 
 
 def button_text(c: Column) -> Column:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from missive.operators.ranges import before
+
 # Default costs per message and the budgets of the risk curve.
 RISK_BUDGETS = [0.02, 0.04, 0.06, 0.08, 0.10, 0.12, 0.14, 0.16, 0.18, 0.20]
 
@@ -63,8 +65,7 @@ def running_totals(df: DataFrame) -> DataFrame:
     """
     risk = F.round(F.col("volume") * (1 - F.col("p_utility")), 9)
     groups = df.groupBy("p_utility").agg(F.sum("volume").alias("v"), F.sum(risk).alias("r"))
-    before = Window.orderBy(F.desc("p_utility")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = groups.select("p_utility", F.coalesce(F.sum("v").over(before), F.lit(0.0)).alias("v0"), F.coalesce(F.sum("r").over(before), F.lit(0.0)).alias("r0"))
+    offsets = before(groups, "p_utility", ["v", "r"], descending=True).select("p_utility", F.col("before_v").alias("v0"), F.col("before_r").alias("r0"))
     inside = Window.partitionBy("p_utility").orderBy(F.desc("volume"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = df.join(offsets, "p_utility")
     return out.withColumns({"cum_volume": F.round(F.col("v0") + F.sum("volume").over(inside), 6), "cum_risk": F.round(F.col("r0") + F.sum(risk).over(inside), 6)}).drop("v0", "r0")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from missive.operators.ranges import before
+
 U, M = "UTILITY", "MARKETING"
 
 
@@ -95,6 +97,11 @@ def benchmark_summary(df: DataFrame, target: float = 0.90) -> DataFrame:
         "low": F.round(low, 6), "high": F.round(high, 6), "target_reached": F.coalesce(F.try_divide("correct", "attempted") >= target, F.lit(False))})
 
 
+def paired(rows: DataFrame, results: DataFrame, answer: str = "judge") -> DataFrame:
+    """Rows with the answer of the other judge, where there is one."""
+    return rows.join(results.where(F.col(answer).isNotNull()).select("id", answer), "id")
+
+
 def compare_judges(df: DataFrame) -> DataFrame:
     """Over rows that both judged: agreement cells with how often each side was right."""
     both = df.where("judge is not null")
@@ -109,8 +116,7 @@ def error_rows(df: DataFrame) -> DataFrame:
 def roc_auc(df: DataFrame, p: str = "text_p") -> DataFrame:
     """Rank-sum over distinct scores: what is sorted is one row per score, not per prediction."""
     counts = df.groupBy(F.col(p).alias("s")).agg(_n(F.col("recorded_category") == U).alias("pos"), F.count(F.lit(1)).alias("n"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("mean_rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = before(counts, "s", ["n"]).withColumn("mean_rank", F.col("before_n") + (F.col("n") + 1) / 2)
     total = ranked.agg(F.sum(F.col("mean_rank") * F.col("pos")).alias("r"), F.sum("pos").alias("np"), F.sum(F.col("n") - F.col("pos")).alias("nn"))
     return total.select(F.round(F.try_divide(F.col("r") - F.col("np") * (F.col("np") + 1) / 2, (F.col("np") * F.col("nn")).cast("double")), 6).alias("auc"))
 

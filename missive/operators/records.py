@@ -112,10 +112,24 @@ def pool_sizes(df: DataFrame) -> DataFrame:
     return pool.join(clean, "cohort", "left").withColumn("clean_families", F.coalesce("clean_families", F.lit(0)))
 
 
-def revision(df: DataFrame, column: str = "id", buckets: int = 256) -> DataFrame:
-    """An order-independent hash of all ids, in two levels: no task sees all of them."""
+#: Hashes that one group of ``revision`` may hold on average.
+GROUP_HASHES = 4096
+
+
+def revision(df: DataFrame, column: str = "id") -> DataFrame:
+    """An order-independent hash of all ids, in levels: a group holds the hashes that share their first digits.
+
+    There are two digits, and one more for each factor of 16 beyond 256 * GROUP_HASHES ids; the groups'
+    hashes are grouped by one digit less at each level, and the last two digits at once.
+    """
+    digits, n = 2, df.count()
+    while n > GROUP_HASHES * 16**digits:
+        digits += 1
     h = F.sha2(F.col(column), 256)
-    level = df.select(h.alias("h"), F.substring(h, 1, 2).alias("bucket")).groupBy("bucket").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
+    level = df.select(h.alias("h"), F.substring(h, 1, digits).alias("bucket"))
+    joined = F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h")
+    for left in range(digits, 1, -1):
+        level = level.groupBy(F.substring("bucket", 1, left).alias("bucket")).agg(joined)
     return level.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("revision"))
 
 

@@ -56,6 +56,12 @@ def pick_attempt(rounds: DataFrame, mode: str, target: float = 0.9) -> DataFrame
     return live.groupBy("id").agg(F.max_by(F.struct("round", "score"), F.struct("score", (-F.col("round")).alias("r"))).alias("a")).select("id", "a.*")
 
 
+def select_candidate(proposals: DataFrame) -> DataFrame:
+    """Of the eligible proposals of each id, that of the best score (ties: the first round)."""
+    best = F.max_by(F.struct("round", "score"), F.struct("score", (-F.col("round")).alias("r")))
+    return proposals.where("eligible").groupBy("id").agg(best.alias("a")).select("id", "a.*")
+
+
 def draft_verdict(score: Column, promotional: Column, possible: Column) -> Column:
     return F.when(promotional, "PROMOTIONAL_INTENT").when(possible == 0, "REFUSED").when(score.isNull(), "ERROR").when(score >= 0.6, "DRAFTED").otherwise("WEAK")
 

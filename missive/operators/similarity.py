@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from missive.functions.text import normalized_content, placeholders
+from missive.sources.scratch import written
 
 WORDS_CAP, CHARS_CAP = 25_000, 40_000
 SCORE_PLACES = 9
@@ -84,6 +85,28 @@ def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.0) -> D
     return scores.where(F.col("score") >= threshold if threshold > 0 else F.col("score") > 0)
 
 
+#: Cosines at which ``best_pairs`` tries to settle queries, before it takes any at all.
+LEVELS = (0.75, 0.4)
+
+
+def best_pairs(left: DataFrame, right: DataFrame, k: int, levels=LEVELS) -> DataFrame:
+    """left_id, right_id, score, rank: the k best of each left vector, cosine above 0.
+
+    Queries with k matches at one level are settled there, by the prefix filter of that level;
+    only the others are joined at the next. What remains at the end shares few terms with anything.
+    """
+    out, todo, right = None, written(left), written(right)
+    for level in (*levels, 0.0):
+        ranked = top_k(cosine_pairs(todo, right, level), k).select("left_id", "right_id", "score", "rank")
+        if level > 0:
+            ranked = written(ranked)
+            done = ranked.where(F.col("rank") == k).select("left_id")
+            ranked = ranked.join(done, "left_id", "left_semi")
+            todo = written(todo.join(done.withColumnRenamed("left_id", "id"), "id", "left_anti"))
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
+
+
 def nearest(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, match, score of the best pair (ties: least match); null and 0 if there is none."""
     best = pairs.groupBy("left_id").agg(F.min_by(F.struct("right_id", "score"), F.struct((-F.col("score")).alias("s"), "right_id")).alias("b"))

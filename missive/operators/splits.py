@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from missive.functions.text import date_value
+from missive.operators.ranges import before, hash_ranked
 from missive.operators.records import candidates, training_families, with_family
 
 
@@ -40,11 +41,10 @@ def cutoff(dates: DataFrame, column: str, share: float = 0.75) -> DataFrame:
 
     Counted by distinct value first: the running sum is over dates, not over rows.
     """
-    counts = dates.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    run = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    at = counts.withColumns({"upto": F.sum("n").over(run), "total": F.sum("n").over(whole)})
-    return at.where(F.col("upto") > F.floor(F.col("total") * share)).agg(F.min(column).alias("cutoff"))
+    counts = dates.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    at = before(counts, column, ["n"]).crossJoin(F.broadcast(total))
+    return at.where(F.col("before_n") + F.col("n") > F.floor(F.col("total") * share)).agg(F.min(column).alias("cutoff"))
 
 
 def family_spans(df: DataFrame) -> DataFrame:
@@ -67,9 +67,8 @@ def chronological_split(df: DataFrame) -> DataFrame:
 
 def top_share(df: DataFrame, strata: list[str], share: float, seed: str, key: str = "id") -> DataFrame:
     """chosen: the first floor(share * n) rows of each stratum in hash order."""
-    w = Window.partitionBy(*strata)
-    rank = F.row_number().over(w.orderBy(hash_order(seed, F.col(key)), key))
-    return df.withColumn("chosen", rank <= F.floor(share * F.count(F.lit(1)).over(w)))
+    ranked = hash_ranked(df, strata, hash_order(seed, F.col(key)), key)
+    return ranked.withColumn("chosen", F.col("__rank") <= F.floor(share * F.col("__n"))).drop("__rank", "__n")
 
 
 def fixed_split(df: DataFrame, seed: str = "v", share: float = 0.25) -> DataFrame:
@@ -82,17 +81,16 @@ def fixed_split(df: DataFrame, seed: str = "v", share: float = 0.25) -> DataFram
 
 def stratified_sample(df: DataFrame, n: int, seed: str, label: str = "recorded_category", key: str = "id") -> DataFrame:
     """About n rows, by label in proportion, whatever the order of input."""
-    w = Window.partitionBy(label)
     total = df.agg(F.count(F.lit(1)).alias("__total"))
-    ranked = df.crossJoin(F.broadcast(total)).withColumns({"__n": F.count(F.lit(1)).over(w), "__rank": F.row_number().over(w.orderBy(hash_order(seed, F.col(key)), key))})
+    ranked = hash_ranked(df, [label], hash_order(seed, F.col(key)), key).crossJoin(F.broadcast(total))
     return ranked.where(F.col("__rank") <= F.round(n * F.col("__n") / F.col("__total"))).drop("__n", "__rank", "__total")
 
 
 def cohort_sample(df: DataFrame, sizes: dict[str, int], seed: str, key: str = "id") -> DataFrame:
     """So many rows of each cohort, in hash order."""
     limit = F.coalesce(*[F.when(F.col("cohort") == c, F.lit(n)) for c, n in sizes.items()])
-    rank = F.row_number().over(Window.partitionBy("cohort").orderBy(hash_order(seed, F.col(key)), key))
-    return df.withColumn("__rank", rank).where(F.col("__rank") <= limit).drop("__rank")
+    ranked = hash_ranked(df, ["cohort"], hash_order(seed, F.col(key)), key)
+    return ranked.where(F.col("__rank") <= limit).drop("__rank", "__n")
 
 
 def training_only(corpus: DataFrame, holdout: DataFrame) -> DataFrame:

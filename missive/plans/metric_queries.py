@@ -80,7 +80,7 @@ query("m17_conditional", f"{D.ctes('p')} SELECT id, CASE WHEN requested_category
 query("m25_serve_scores", f"{D.ctes('p')} SELECT id, round(CASE requested_category WHEN 'MARKETING' THEN 0.02 WHEN 'UTILITY' THEN 0.5 * neural_p + 0.5 * text_p ELSE text_p END, 6) AS score FROM p")(lambda s, d: M.serve_scores(p(s, d)).select("id", "score"))
 query("m26_locked_assessment", f"{D.ctes('p')} " + " UNION ALL ".join(f"SELECT '{k}' AS model, {scores(pred=e)} FROM p" for k, e in (("candidate", "(CASE WHEN 0.5 * neural_p + 0.5 * text_p >= 0.5 THEN 'UTILITY' ELSE 'MARKETING' END)"), ("text", "(CASE WHEN text_p >= 0.5 THEN 'UTILITY' ELSE 'MARKETING' END)"), ("baseline", "prediction"))))(
     lambda s, d: p(s, d).select("recorded_category", F.explode(F.array(*[F.struct(F.lit(k).alias("model"), F.when(c, "UTILITY").otherwise("MARKETING").alias("prediction")) for k, c in (("candidate", 0.5 * F.col("neural_p") + 0.5 * F.col("text_p") >= 0.5), ("text", F.col("text_p") >= 0.5), ("baseline", F.col("prediction") == "UTILITY"))])).alias("m")).select("recorded_category", "m.*").groupBy("model").agg(*M.score_columns()))
-query("j13_paired", f"{D.ctes('p')} SELECT id, prediction, judge FROM p WHERE judge IS NOT NULL")(lambda s, d: p(s, d).select("id", "prediction").join(p(s, d).where("judge is not null").select("id", "judge"), "id"))
+query("j13_paired", f"{D.ctes('p')} SELECT id, prediction, judge FROM p WHERE judge IS NOT NULL")(lambda s, d: M.paired(p(s, d).select("id", "prediction"), p(s, d)))
 query("j14_scored_with_failures", f"{D.ctes('p')} SELECT id, coalesce(judge, 'ERROR') AS answer FROM p")(lambda s, d: M.with_failures(p(s, d)).select("id", "answer"))
 query("j15_aligned", f"{D.ctes('p')} SELECT id, text_p, CASE WHEN CAST(id AS BIGINT) % 7 <> 0 THEN neural_p END AS neural_p, CAST(id AS BIGINT) % 7 = 0 AS missing FROM p")(
     lambda s, d: M.aligned(p(s, d).select("id", "text_p"), p(s, d).where("cast(id as bigint) % 7 <> 0").select("id", "neural_p")))
@@ -119,6 +119,18 @@ FIXED = f"""h AS (SELECT *, {FR('s0', 'family')} < 0.25 AS holdout FROM clean),
 parts AS (SELECT family, CASE WHEN chosen THEN 'validation' ELSE 'train' END AS part FROM r UNION ALL SELECT family, 'holdout' FROM h WHERE holdout)"""
 query("m22_fixed_split", f"{D.ctes('tv', D.clean_cte(), FIXED)} SELECT family, part FROM parts")(lambda s, d: S.fixed_split(clean(s, d)))
 query("w12_check_partitions", "SELECT 0::BIGINT AS overlapping, 0::BIGINT AS uncovered, 0::BIGINT AS foreign")(lambda s, d: M.check_partitions(S.fixed_split(clean(s, d)).select("part", F.col("family").alias("id")), clean(s, d).select(F.col("family").alias("id"))))
+
+
+@query("w12_check_bad_partitions", f"{D.ctes('p')} SELECT count(*) FILTER (WHERE id::BIGINT % 5 = 0) AS overlapping, count(*) FILTER (WHERE id::BIGINT % 7 = 0 AND id::BIGINT % 5 <> 0) AS uncovered, count(*) FILTER (WHERE id::BIGINT % 11 = 0) AS foreign FROM p")
+def w12_check_bad_partitions(s: SparkSession, d: str) -> DataFrame:
+    """A split with overlaps (multiples of 5), holes (other multiples of 7) and ids of no row (multiples of 11, negated)."""
+    rows = p(s, d).select("id", F.col("id").cast("long").alias("n"))
+    part = F.when(F.col("n") % 5 == 0, F.array(F.lit("a"), F.lit("b"))).when(F.col("n") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a")))
+    parts = rows.select(F.explode(part).alias("part"), "id")
+    strangers = rows.where("n % 11 = 0").select(F.lit("c").alias("part"), F.concat(F.lit("x"), "id").alias("id"))
+    return M.check_partitions(parts.unionByName(strangers), rows)
+
+
 query("m23_stratified_sample", f"{D.ctes('p')} SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY recorded_category ORDER BY sha256('b:' || id), id) AS rn, count(*) OVER (PARTITION BY recorded_category) AS n, count(*) OVER () AS total FROM p) WHERE rn <= round(100 * n / total)")(lambda s, d: S.stratified_sample(p(s, d), 100, "b").select("id"))
 query("m24_cohort_sample", f"{D.ctes('t')} SELECT id, cohort FROM (SELECT id, cohort, row_number() OVER (PARTITION BY cohort ORDER BY sha256('c:' || id), id) AS rn FROM (SELECT id, CASE meta_category WHEN 'UTILITY' THEN 'approved' ELSE 'downgraded' END AS cohort FROM t WHERE requested_category = 'UTILITY' AND meta_category IN ('UTILITY', 'MARKETING'))) WHERE rn <= CASE cohort WHEN 'approved' THEN 30 ELSE 50 END")(
     lambda s, d: S.cohort_sample(O.cohorts(fixture(s, d, T)), {"approved": 30, "downgraded": 50}, "c").select("id", "cohort"))

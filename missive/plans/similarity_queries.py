@@ -79,6 +79,12 @@ def cross(s: SparkSession, d: str, floor: float = 0.0) -> DataFrame:
     return Y.cosine_pairs(index.transform(dn, F.col("body")), index.vectors, floor)
 
 
+def best(s: SparkSession, d: str, k: int) -> DataFrame:
+    dn, ap = sides(s, d)
+    index = Y.Index(ap, F.col("body"))
+    return Y.best_pairs(index.transform(dn, F.col("body")), index.vectors, k)
+
+
 query("j1_cosine_pairs", f"{BASE}, {pairs_sql('pr', 'dnw', 'apw', 0.5)} SELECT l AS left_id, r AS right_id, round(s, 4) AS score FROM pr")(lambda s, d: cross(s, d, 0.5).withColumn("score", F.round("score", 4)))
 CHRON = f"ch AS (SELECT family, CASE WHEN invalid THEN 'invalid' WHEN l < cutoff THEN 'train' WHEN f >= cutoff THEN 'test' ELSE 'purged' END AS side FROM sp, cut), tr AS (SELECT c.* FROM clean c JOIN ch USING (family) WHERE side = 'train'), te AS (SELECT c.* FROM clean c JOIN ch USING (family) WHERE side = 'test')"
 
@@ -106,22 +112,23 @@ query("j4_retrieve", f"""{POOLED}, {pairs_sql('pr', 'quw', 'pow', 0.2)}, k AS (S
  SELECT l AS id, cohort, r AS match, round(s, 6) AS score, rk::INT AS rank FROM k WHERE rk <= CASE cohort WHEN 'approved' THEN 2 ELSE 1 END""")(
     lambda s, d: (lambda pool: Y.retrieve(pool, pool).withColumn("score", F.round("score", 6)))(O.cohorts(clean(s, d))))
 query("j5_nearest_approved", f"{BASE}, {pairs_sql('pr', 'dnw', 'apw')} SELECT dn.id, m.r AS match, round(coalesce(m.s, 0), 6) AS score FROM dn LEFT JOIN (SELECT l, r, s, row_number() OVER (PARTITION BY l ORDER BY s DESC, r) AS n FROM pr) m ON m.l = dn.id AND m.n = 1")(
-    lambda s, d: Y.nearest(cross(s, d), sides(s, d)[0].select("id")).withColumn("score", F.round("score", 6)))
+    lambda s, d: Y.nearest(best(s, d, 1), sides(s, d)[0].select("id")).withColumn("score", F.round("score", 6)))
 WORDY = [terms_sql("ap", "ap", D.content(), "word"), terms_sql("dn", "dn", D.content(), "word"), fit_sql("ap", "ap", 25000), weight_sql("apw", "ap", "ap", True), weight_sql("dnw", "dn", "ap", True)]
 
 
-def word_pairs(s: SparkSession, d: str) -> DataFrame:
+def word_pairs(s: SparkSession, d: str, k: int, blocked: str | None = None) -> DataFrame:
+    """The k best matches of downgraded messages among approved ones, without those blocked."""
     dn, ap = sides(s, d)
     text = F.concat_ws("\n", *R.COMPONENTS)
     index = Y.Index(ap, text, Y.word_terms, Y.WORDS_CAP, True)
-    return Y.cosine_pairs(index.transform(dn, text), index.vectors)
+    return Y.best_pairs(index.transform(dn, text), index.vectors.where(f"not ({blocked})") if blocked else index.vectors, k)
 
 
 W_BASE = D.ctes("tv", D.clean_cte(), SIDES, *WORDY, pairs_sql("pr", "dnw", "apw"))
 query("j6_neighbors", f"{W_BASE} SELECT l AS id, r AS match, rk::INT AS rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY s DESC, r) AS rk FROM pr) WHERE rk <= 4")(
-    lambda s, d: Y.top_k(word_pairs(s, d), 4).select(F.col("left_id").alias("id"), F.col("right_id").alias("match"), "rank", F.round("score", 6).alias("score")))
+    lambda s, d: word_pairs(s, d, 4).select(F.col("left_id").alias("id"), F.col("right_id").alias("match"), "rank", F.round("score", 6).alias("score")))
 query("j7_neighbor_pool", f"{W_BASE} SELECT l AS id, r AS match, rk::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY s DESC, r) AS rk FROM pr WHERE CAST(r AS BIGINT) % 7 <> 0) WHERE rk <= 40")(
-    lambda s, d: Y.top_k(word_pairs(s, d).where("cast(right_id as bigint) % 7 <> 0"), 40).select(F.col("left_id").alias("id"), F.col("right_id").alias("match"), "rank"))
+    lambda s, d: word_pairs(s, d, 40, "cast(id as bigint) % 7 = 0").select(F.col("left_id").alias("id"), F.col("right_id").alias("match"), "rank"))
 query("f12_available", f"{D.ctes('tv', D.clean_cte(), SIDES, *WORDY)} SELECT dn.id, CASE WHEN x.id IS NULL THEN 'no_known_vocabulary' ELSE '' END AS reason FROM dn LEFT JOIN (SELECT DISTINCT id FROM dnw) x USING (id)")(
     lambda s, d: (lambda dn, ap: (lambda ix: dn.select("id").join(ix.transform(dn, F.concat_ws("\n", *R.COMPONENTS)).select("id").distinct().withColumn("k", F.lit(True)), "id", "left").select("id", F.when(F.col("k").isNull(), "no_known_vocabulary").otherwise("").alias("reason")))(Y.Index(ap, F.concat_ws("\n", *R.COMPONENTS), Y.word_terms, Y.WORDS_CAP, True)))(*sides(s, d)))
 SELF = f"{pairs_sql('pr', 'pow', 'pow', 0.7)}"
@@ -138,8 +145,8 @@ def aligned(s: SparkSession, d: str) -> DataFrame:
     kept, dropped = U.strip_solicitation(F.col("body"))
     rows = dn.select("id", "body", kept.alias("edited"), dropped.alias("dropped"))
     index = Y.Index(ap, F.col("body"))
-    before = Y.nearest(Y.cosine_pairs(index.transform(rows, F.col("body")), index.vectors), rows.select("id")).select("id", F.round("score", 4).alias("before"))
-    after = Y.nearest(Y.cosine_pairs(index.transform(rows, F.col("edited")), index.vectors), rows.select("id")).select("id", F.round("score", 4).alias("after"))
+    before = Y.nearest(Y.best_pairs(index.transform(rows, F.col("body")), index.vectors, 1), rows.select("id")).select("id", F.round("score", 4).alias("before"))
+    after = Y.nearest(Y.best_pairs(index.transform(rows, F.col("edited")), index.vectors, 1), rows.select("id")).select("id", F.round("score", 4).alias("after"))
     lost = F.size(F.array_except(F.regexp_extract_all("body", F.lit(R.PLACEHOLDER), F.lit(0)), F.regexp_extract_all("edited", F.lit(R.PLACEHOLDER), F.lit(0)))) > 0
     out = rows.join(before, "id").join(after, "id").withColumns({"gain": F.round(F.col("after") - F.col("before"), 4), "lost": lost, "anchor": U.has_anchor(F.col("edited")), "clean": ~U.is_promotional(F.col("edited"))})
     substantive = ~F.col("lost") & F.col("anchor") & F.col("clean")

@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missive.plans import duck as D
 from missive.plans.fixtures import TV, T, fixture
+from missive.sources.scratch import folder
 from missive.streaming import jobs as J
 
 QUERIES: dict = {}
 SQL: dict = {}
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="missive-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def staged(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
     base = folder(spark)
     df.write.parquet(f"{base}/in")

@@ -15,6 +15,9 @@ from missive.operators import rules as U
 from missive.operators import vectors as V
 from missive.plans import duck as D
 from missive.plans.fixtures import P, RD, T, fixture
+from missive.sources import files as S
+from missive.sources import sinks as K
+from missive.sources.scratch import folder
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -148,10 +151,20 @@ query("k7_all_conversion_outputs", f"""{D.ctes('t', 'rd', CONV, OUTS)} SELECT id
  array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(before_body, '{R.PLACEHOLDER}'), lambda x: NOT list_contains(regexp_extract_all(after_body, '{R.PLACEHOLDER}'), x)))), '|') AS placeholders_lost,
  {HALF('name', 'after_body', 'UTILITY')} AS utility_json, CASE WHEN split_off IS NOT NULL THEN {HALF("ltrim(concat(name, '_PROMO'), '_')", 'split_off', 'MARKETING')} END AS split_off_json
  FROM ou WHERE verdict IN ('CONVERTIBLE', 'SPLIT_RECOMMENDED') AND after_body <> ''""")(lambda s, d: Z.conversion_outputs(rewrites(s, d)))
-query("k5_publish", f"{D.ctes('p')} SELECT recorded_category, prediction, count(*) AS n FROM p GROUP BY 1, 2")(
-    lambda s, d: fixture(s, d, P).groupBy("recorded_category", "prediction").agg(F.count(F.lit(1)).alias("n")).select("recorded_category", "prediction", "n"))
-query("k6_leak_audit", f"{D.ctes('t')}, pub AS (SELECT DISTINCT status AS s FROM t UNION SELECT DISTINCT meta_category FROM t) SELECT count(*) AS leaks FROM pub WHERE EXISTS (SELECT 1 FROM t WHERE contains(s, body))")(
-    lambda s, d: (lambda t: t.select(F.explode(F.array("status", "meta_category")).alias("s")).distinct())(fixture(s, d, T)).alias("pub").join(fixture(s, d, T).select("body"), F.contains("s", "body"), "left_semi").agg(F.count(F.lit(1)).alias("leaks")))
+@query("k5_publish", f"{D.ctes('p')} SELECT recorded_category, prediction, count(*) AS n FROM p GROUP BY 1, 2")
+def _publish(s: SparkSession, d: str) -> DataFrame:
+    """What was published, read back: the named fields and no others."""
+    report = fixture(s, d, P).groupBy("recorded_category", "prediction").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("internal_id"))
+    path = f"{folder(s)}/published"
+    K.publish(report, ["recorded_category", "prediction", "n"], path)
+    return s.read.json(path)
+
+
+@query("k6_leak_audit", f"{D.ctes('t')}, pub AS (SELECT DISTINCT status AS s FROM t UNION SELECT DISTINCT meta_category FROM t) SELECT count(*) AS leaks FROM pub WHERE EXISTS (SELECT 1 FROM t WHERE contains(s, body))")
+def _leaks(s: SparkSession, d: str) -> DataFrame:
+    corpus = fixture(s, d, T)
+    return K.leak_count(corpus.select(F.explode(F.array("status", "meta_category")).alias("s")), "s", corpus, "body", 1)
+
 
 query("b3_parse_responses")(lambda s, d: rd(s, d).select("id", "round", Z.parse_responses(F.col("raw")).alias("r")).select("id", "round", "r.reply.category", "r.reply.confidence", "r.reason"))
 query("b4_parse_rewrites")(lambda s, d: rd(s, d).select("id", "round", Z.parse_rewrites(F.when(F.col("possible"), F.concat(F.lit("Reply: "), F.to_json(F.struct("possible", F.col("candidate").alias("body"), F.lit("r").alias("reason"))))).otherwise(F.col("raw"))).alias("r")).select("id", "round", "r.reply.possible", "r.reason"))
@@ -173,7 +186,7 @@ query("b6_cache_merge_all", f"WITH {CHAT} SELECT key, sha256(arg_max(answer, {WR
 query("j12_cache_split", f"WITH {CHAT}, k AS (SELECT DISTINCT key FROM c WHERE answer IS NOT NULL AND conv_id % 2 = 0) SELECT conv_id, turn, k.key IS NOT NULL AS cached FROM c LEFT JOIN k USING (key)")(
     lambda s, d: (lambda prompts, cache: Z.cache_split(prompts, cache)[0].select("conv_id", "turn", F.lit(True).alias("cached")).unionByName(Z.cache_split(prompts, cache)[1].select("conv_id", "turn", F.lit(False).alias("cached"))))(chat(s, d).select("conv_id", "turn", "key"), chat(s, d).where("answer is not null and conv_id % 2 = 0").select("key", "answer", (F.col("conv_id") * 100000 + F.col("turn")).alias("written"))))
 query("b8_select_candidate", f"""{D.ctes('rd', GATE)} SELECT id, round FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, round) AS n FROM g WHERE anchor AND no_promo) WHERE n = 1""")(
-    lambda s, d: gated(s, d).where("g.anchor AND g.clean").groupBy("id").agg(F.min_by("round", F.struct((-F.col("score")).alias("s"), "round")).alias("round")))
+    lambda s, d: Z.select_candidate(gated(s, d).withColumn("eligible", F.col("g.anchor") & F.col("g.clean"))).select("id", "round"))
 query("b9_accept_edit", f"{D.ctes('rd')} SELECT id, round, {D.strip('candidate')} = {D.strip('original')} AND {D.anchor('candidate')} AND NOT {D.promo('candidate')} AS ok FROM rd")(
     lambda s, d: rd(s, d).select("id", "round", Z.accept_edit(F.col("candidate"), F.regexp_replace("original", " ", "  ")).alias("ok")))
 query("b10_accept_restatement", f"{D.ctes('rd', GATE)} SELECT id, round, anchor AND no_promo AND lost = 0 AND length(candidate) <= 1.1 * length(original) + 20 AND score >= 0.5 AS ok FROM g")(
@@ -190,9 +203,17 @@ CL = "(VALUES ('a', 'Clause A'), ('b', 'Clause B')) AS cl(code, clause)"
 query("j16_explanations", f"""{D.ctes('rd')}, x AS (SELECT id, round, 'MARKETING' AS category, unnest(['a']) AS code FROM rd WHERE (ingest_seq + round) % 5 = 2 UNION ALL SELECT id, round, 'UTILITY', unnest(['a', 'b']) FROM rd WHERE (ingest_seq + round) % 5 = 4)
  SELECT x.id, round, category, category = meta_category AS agrees, code, clause FROM x JOIN (SELECT DISTINCT id, meta_category FROM rd) USING (id) LEFT JOIN {CL} USING (code)""")(
     lambda s, d: rd(s, d).select("id", "round", "meta_category", Z.parse_responses(F.col("raw")).alias("r")).where("r.reason = ''").select("id", "round", F.col("r.reply.category").alias("category"), (F.col("r.reply.category") == F.col("meta_category")).alias("agrees"), F.explode("r.reply.clauses").alias("code")).join(F.broadcast(s.createDataFrame([("a", "Clause A"), ("b", "Clause B")], "code string, clause string")), "code", "left"))
-query("s6_load_done", "SELECT CAST(user_id AS BIGINT) AS id, arg_max(event_id, event_id) AS event_id FROM events GROUP BY 1")(
-    lambda s, d: (lambda lines: lines.groupBy("id").agg(F.max_by("event_id", "event_id").alias("event_id")))(
-        s.read.parquet(f"{d}/events.parquet").select(F.to_json(F.struct(F.col("user_id").cast("long").alias("id"), F.col("event_id").cast("long").alias("event_id"))).alias("line")).select(F.from_json("line", "id bigint, event_id bigint").alias("r")).select("r.*").where("id is not null")))
+@query("s6_load_done", "SELECT CAST(user_id AS BIGINT) AS id, arg_max(event_id, event_id) AS event_id FROM events GROUP BY 1")
+def _load_done(s: SparkSession, d: str) -> DataFrame:
+    """A log in files whose names follow the order of the events, with a torn line beside every tenth."""
+    events = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("long").alias("id"), F.col("event_id").cast("long").alias("event_id"))
+    line = F.to_json(F.struct("id", "event_id"))
+    lines = F.when(F.col("event_id") % 10 == 0, F.array(line, F.substr(line, F.lit(1), F.length(line) - 2))).otherwise(F.array(line))
+    path = f"{folder(s)}/log"
+    events.repartitionByRange(8, "event_id").sortWithinPartitions("event_id").select(F.explode(lines).alias("value")).write.text(path)
+    return S.load_done(s, path, "id bigint, event_id bigint")
+
+
 query("b5_parse_components")(lambda s, d: rd(s, d).select("id", "round", Z.parse_components(F.when(F.col("possible"), F.to_json(F.struct("possible", F.col("candidate").alias("body"), F.lit("h").alias("header")))).otherwise(F.lit('{"body": ["x"], "possible": true}'))).alias("r")).select("id", "round", "r.reply.body", "r.reason"))
 query("n5_button_text", f"{D.ctes('t')} SELECT id, {D.strip('buttons')} AS labels FROM t")(
     lambda s, d: fixture(s, d, T).select("id", X.button_text(F.when(F.col("buttons") == "", F.col("buttons")).otherwise(F.to_json(F.transform(F.split("buttons", "\n"), lambda b: F.struct(F.lit("URL").alias("type"), b.alias("text")))))).alias("labels")))

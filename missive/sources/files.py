@@ -27,8 +27,11 @@ metaTemplateCategory string, revisedMetaTemplateCategory string, verificationSta
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejected lines): blank lines are skipped, torn ones rejected."""
-    rows = spark.read.schema(f"{schema}, __corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__corrupt").json(path).cache()
-    return rows.where("__corrupt is null").drop("__corrupt"), rows.where("__corrupt is not null").select(F.col("__corrupt").alias("line"), F.lit("malformed JSON").alias("reason"))
+    lines = spark.read.text(path).where(stripped(F.col("value")) != "")
+    parsed = F.from_json("value", f"{schema}, __corrupt string", {"columnNameOfCorruptRecord": "__corrupt"})
+    rows = lines.select("value", parsed.alias("r"))
+    torn = rows.where("r.__corrupt is not null").select(F.col("value").alias("line"), F.lit("malformed JSON").alias("reason"))
+    return rows.where("r.__corrupt is null").select("r.*").drop("__corrupt"), torn
 
 
 def read_export(spark: SparkSession, path: str, schema: str = NESTED) -> tuple[DataFrame, DataFrame]:
@@ -97,7 +100,9 @@ def with_record_id(df: DataFrame) -> DataFrame:
 
 
 def load_done(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A result log, resumable: torn lines are skipped and the last row of an id wins."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
-    rows = lines.select("line_no", F.from_json("value", f"{schema}, __corrupt string", {"columnNameOfCorruptRecord": "__corrupt"}).alias("r")).where("r.id is not null AND r.__corrupt is null")
-    return rows.groupBy("r.id").agg(F.max_by("r", "line_no").alias("r")).select("r.*").drop("__corrupt")
+    """A result log, resumable: torn lines are skipped and the last row of an id wins, by file name and place in it."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    place = F.struct("file", "block", F.monotonically_increasing_id().alias("line"))  # ids rise within a block
+    parsed = F.from_json("value", f"{schema}, __corrupt string", {"columnNameOfCorruptRecord": "__corrupt"})
+    rows = lines.select(place.alias("place"), parsed.alias("r")).where("r.id is not null AND r.__corrupt is null")
+    return rows.groupBy("r.id").agg(F.max_by("r", "place").alias("r")).select("r.*").drop("__corrupt")
