@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -11,16 +13,18 @@ from pyspark.sql import functions as F
 
 from missive.functions.text import normalized_content, record_content, structural_features
 from missive.operators import metrics as M
+from missive.operators.similarity import WORDS_CAP, Index, best_pairs, word_terms
 from missive.operators.splits import folds, grouped_holdout_with_both
+from missive.sources.scratch import written
 
 FEATURES = ["placeholder_count", "distinct_placeholders", "button_count", "has_header", "has_footer", "body_length", "emoji_count", "exclamation_count", "symbol_count", "uppercase_ratio", "number_count", "url_count"]
 
 
-def text_columns(df: DataFrame) -> DataFrame:
-    """y (1 for UTILITY), words, chars: tokens for the vectorizers."""
-    text = normalized_content(record_content())
-    words = F.filter(F.split(text, " "), lambda w: F.length(w) >= 2)
-    padded = F.transform(F.filter(F.split(text, " "), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+def text_columns(df: DataFrame, normalize: bool = True) -> DataFrame:
+    """y (1 for UTILITY), words, chars: tokens for the vectorizers, of normalized or of plain lower-case text."""
+    text = normalized_content(record_content()) if normalize else F.lower(record_content())
+    words = F.filter(F.split(text, " ") if normalize else F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.length(w) >= 2)
+    padded = F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     grams = F.flatten(F.transform(padded, lambda w: F.flatten(F.transform(F.sequence(F.lit(3), F.least(F.lit(5), F.length(w))), lambda n: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substr(w, i, n))))))
     return df.withColumns({"y": (F.col("meta_category") == "UTILITY").cast("double"), "words": words, "chars": grams})
 
@@ -28,11 +32,12 @@ def text_columns(df: DataFrame) -> DataFrame:
 class Featurizer:
     """Fitted TF-IDF of unit length, with one added to Spark's idf so that no weight vanishes."""
 
-    def __init__(self, train: DataFrame, kind: str = "word", cap: int = 25_000):
+    def __init__(self, train: DataFrame, kind: str = "word", cap: int = 25_000, char_cap: int | None = None, char_min_df: int = 1):
         self.kind, self.models = kind, []
         for source in {"word": ["words"], "char": ["chars"], "both": ["words", "chars"], "structure": ["words"]}[kind]:
             data = self._grams(train, source)
-            counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=cap).fit(data)
+            chars = source == "chars"
+            counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=char_cap or cap if chars else cap, minDF=char_min_df if chars else 1).fit(data)
             idf = IDF(inputCol="tf", outputCol="x").fit(counts.transform(data))
             self.models.append((source, counts, DenseVector(idf.idf.toArray() + 1.0)))
         self.scaler = None
@@ -68,14 +73,14 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(counts), "y").crossJoin(F.broadcast(total)).withColumn("weight", F.col("__total") / (2 * F.col("__n"))).drop("__n", "__total")
 
 
-def fit_logistic(df: DataFrame, c: float = 1.0):
-    rows = balanced(df)
+def fit_logistic(df: DataFrame, c: float = 1.0, weighted: bool = True):
+    rows = balanced(df) if weighted else df.withColumn("weight", F.lit(1.0))
     total = rows.agg(F.sum("weight")).first()[0]
     return LogisticRegression(labelCol="y", weightCol="weight", regParam=1.0 / (c * total), standardization=False, maxIter=20).fit(rows)
 
 
-def fit_svm(df: DataFrame, c: float = 1.0):
-    rows = balanced(df)
+def fit_svm(df: DataFrame, c: float = 1.0, weighted: bool = True):
+    rows = balanced(df) if weighted else df.withColumn("weight", F.lit(1.0))
     total = rows.agg(F.sum("weight")).first()[0]
     return LinearSVC(labelCol="y", weightCol="weight", regParam=1.0 / (c * total), standardization=False, maxIter=20).fit(rows)
 
@@ -88,13 +93,12 @@ class Calibrated:
     """An average over folds of a classifier and its sigmoid, the latter fitted on the fold left out."""
 
     def __init__(self, df: DataFrame, n_folds: int = 5, c: float = 1.0):
-        rows = folds(df, n_folds).cache()
+        rows = written(folds(df, n_folds))
         self.members = []
         for k in range(n_folds):
             model = fit_logistic(rows.where(F.col("fold") != k), c)
             held = model.transform(rows.where(F.col("fold") == k)).select("y", margin().alias("m"))
             self.members.append((model, *self._sigmoid(held)))
-        rows.unpersist()
 
     @staticmethod
     def _sigmoid(held: DataFrame) -> tuple[float, float]:
@@ -118,7 +122,7 @@ class Calibrated:
 
 def out_of_fold(df: DataFrame, n_folds: int = 5, c: float = 1.0) -> DataFrame:
     """Every row with a probability from a model that did not see its family."""
-    rows, out = folds(df, n_folds).cache(), None
+    rows, out = written(folds(df, n_folds)), None
     for k in range(n_folds):
         part = fit_logistic(rows.where(F.col("fold") != k), c).transform(rows.where(F.col("fold") == k)).withColumn("p", F.element_at(vector_to_array("probability"), 2)).select(*df.columns, "p")
         out = part if out is None else out.unionByName(part)
@@ -129,48 +133,121 @@ def predictions(df: DataFrame, low: float, high: float) -> DataFrame:
     return df.select("id", "family", F.col("meta_category").alias("recorded_category"), "requested_category", F.when(F.col("p") >= 0.5, "UTILITY").otherwise("MARKETING").alias("prediction"), F.round("p", 6).alias("utility_probability"), M.band(F.col("p"), low, high).alias("band"))
 
 
-def train_and_evaluate(clean: DataFrame, target: float = 0.85, n_folds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(report by slice, holdout predictions): thresholds come from out-of-fold training probabilities only."""
-    rows = grouped_holdout_with_both(text_columns(clean)).cache()
+@dataclass
+class Trained:
+    """What a training job leaves: scores and predictions of the holdout, the thresholds, and a model of all rows for serving."""
+
+    report: DataFrame
+    holdout: DataFrame
+    low: float
+    high: float
+    features: Featurizer
+    model: Calibrated
+    rows: DataFrame
+
+
+def train_and_evaluate(clean: DataFrame, target: float = 0.85, n_folds: int = 5) -> Trained:
+    """Thresholds come from out-of-fold training probabilities only; the serving model is fitted anew on everything."""
+    rows = written(grouped_holdout_with_both(text_columns(clean)))
     train, test = rows.where("not holdout"), rows.where("holdout")
     features = Featurizer(train)
-    x_train = features.transform(train).cache()
-    scored = out_of_fold(x_train, n_folds).withColumn("recorded_category", F.col("meta_category"))
+    x_train = written(features.transform(train))
+    scored = written(out_of_fold(x_train, n_folds).select("p", F.col("meta_category").alias("recorded_category")))
     high = M.operating_point(scored, "p", target).first()[0]
     low = 1 - M.operating_point(scored.withColumn("q", 1 - F.col("p")), "q", target, "MARKETING").first()[0]
-    held = predictions(Calibrated(x_train, n_folds).transform(features.transform(test)), low, high).cache()
-    return M.slice_metrics(held), held
-
-
-def compare_arms(train: DataFrame, test: DataFrame, arms=("word", "char", "both", "structure", "sentence_encoder")) -> DataFrame:
-    """arm, status and scores on one split; an arm that cannot run here is recorded as skipped."""
-    out = None
+    held = written(predictions(Calibrated(x_train, n_folds).transform(features.transform(test)), low, high))
+    serving = Featurizer(rows)
+    return Trained(M.slice_metrics(held), held, low, high, serving, Calibrated(written(serving.transform(rows)), n_folds), rows)
+
+
+def predict(records: DataFrame, trained: Trained, k: int = 4) -> DataFrame:
+    """A row for every record: category, probability, band, thresholds, up to k neighbours, seen_family; or a reason why not.
+
+    Only TEXT records with known vocabulary are available; neighbours are training families of cosine above 0.
+    """
+    rows = text_columns(records)
+    index = Index(trained.rows, record_content(), word_terms, WORDS_CAP, True)
+    vectors = index.transform(rows, record_content())
+    known = vectors.select("id").distinct().withColumn("known", F.lit(True))
+    near = best_pairs(vectors, index.vectors, k)
+    names = trained.rows.select(F.col("id").alias("right_id"), F.col("meta_category").alias("label"))
+    near = near.join(names, "right_id").groupBy(F.col("left_id").alias("id")).agg(
+        F.array_sort(F.collect_list(F.struct("rank", F.col("right_id").alias("match"), "label", F.round("score", 3).alias("similarity")))).alias("neighbors"))
+    bodies = trained.rows.select(normalized_content(F.col("body")).alias("own")).distinct().withColumn("seen", F.lit(True))
+    scored = trained.model.transform(trained.features.transform(rows)).withColumn("own", normalized_content(F.col("body")))
+    scored = scored.join(known, "id", "left").join(near, "id", "left").join(bodies, "own", "left")
+    reason = F.when(F.col("format") != "TEXT", "not_text").when(F.col("known").isNull(), "no_known_vocabulary").otherwise("")
+    only = lambda c: F.when(F.col("reason") == "", c)
+    p = F.col("p")
+    return scored.withColumn("reason", reason).select(
+        "id", (F.col("reason") == "").alias("available"), "reason", only(F.when(p >= 0.5, "UTILITY").otherwise("MARKETING")).alias("category"),
+        only(F.round(p, 4)).alias("utility_probability"), only(M.band(p, trained.low, trained.high)).alias("band"), F.lit(trained.low).alias("low"), F.lit(trained.high).alias("high"),
+        only(F.coalesce("neighbors", F.array().cast("array<struct<rank:int,match:string,label:string,similarity:double>>"))).alias("neighbors"),
+        only(F.coalesce("seen", F.lit(False))).alias("seen_family"),
+    )
+
+
+def compare_arms(train: DataFrame, test: DataFrame, overlapping: DataFrame | None = None, arms=("word", "char", "both", "structure", "sentence_encoder")) -> DataFrame:
+    """arm, status and scores on one split; an arm that cannot run here is recorded as skipped.
+
+    overlapping: ids of test rows that are near to training rows; the lower-overlap accuracy leaves them out.
+    """
+    out, session = None, train.sparkSession
+    near = (overlapping if overlapping is not None else session.createDataFrame([], "id string")).select("id").distinct().withColumn("near", F.lit(True))
+    marked = test.join(near, "id", "left").withColumn("apart", F.col("near").isNull())
     for arm in arms:
         if arm == "sentence_encoder":
-            row = train.sparkSession.range(1).select(F.lit(arm).alias("arm"), F.lit("skipped").alias("status"), F.lit(None).cast("bigint").alias("samples"), F.lit(None).cast("double").alias("accuracy"))
+            row = session.range(1).select(F.lit(arm).alias("arm"), F.lit("skipped").alias("status"), F.lit(None).cast("bigint").alias("samples"), *[F.lit(None).cast("double").alias(c) for c in ("accuracy", "lower_overlap_accuracy")])
         else:
             f = Featurizer(train, arm)
-            scored = fit_logistic(f.transform(train)).transform(f.transform(test)).withColumn("prediction_", F.when(F.col("prediction") == 1.0, "UTILITY").otherwise("MARKETING"))
-            row = scored.agg(F.lit(arm).alias("arm"), F.lit("run").alias("status"), F.count(F.lit(1)).alias("samples"), F.round(F.avg((F.col("prediction_") == F.col("meta_category")).cast("double")), 4).alias("accuracy"))
+            scored = fit_logistic(f.transform(train)).transform(f.transform(marked))
+            right = (F.when(F.col("prediction") == 1.0, "UTILITY").otherwise("MARKETING") == F.col("meta_category")).cast("double")
+            row = scored.agg(F.lit(arm).alias("arm"), F.lit("run").alias("status"), F.count(F.lit(1)).alias("samples"), F.round(F.avg(right), 4).alias("accuracy"), F.round(F.avg(F.when(F.col("apart"), right)), 4).alias("lower_overlap_accuracy"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def search(train: DataFrame, valid: DataFrame, kinds=("word", "char"), cs=(0.5, 2.0), models=("logistic", "svm")) -> DataFrame:
-    """setting, requested-UTILITY and overall accuracy, ranked; the first of equals leads."""
-    from pyspark.sql import Window
+# The settings that are searched.
+SEARCH_KINDS, SEARCH_C, SEARCH_MODELS = ("word", "char", "both"), (0.3, 1.0, 3.0), ("svm", "logistic")
+SEARCH_WORDS, SEARCH_CHARS = 50_000, 80_000
+# End of fixed values.
+#: Fits that run at once, as in Spark's own tuning.
+PARALLEL_FITS = 4
+
+
+def search(train: DataFrame, valid: DataFrame, requested_only: bool = False, kinds=SEARCH_KINDS, cs=SEARCH_C, models=SEARCH_MODELS) -> DataFrame:
+    """setting, name, requested-UTILITY and overall accuracy, ranked; the first of equals leads.
+
+    requested_only: fitted on requested UTILITY alone, with and without class weights, and what was
+    requested as MARKETING is MARKETING.
+    """
+    from multiprocessing.pool import ThreadPool
 
-    out, k = None, 0
+    settings, tables = [], {}
     for kind in kinds:
-        f = Featurizer(train, kind)
-        x, v = f.transform(train).cache(), f.transform(valid).cache()
-        for c in cs:
-            for name in models:
-                scored = (fit_logistic if name == "logistic" else fit_svm)(x, c).transform(v)
-                right, asked = F.col("prediction") == F.col("y"), F.col("requested_category") == "UTILITY"
-                row = scored.agg(F.lit(k).alias("setting"), F.lit(f"{kind}/{name}/{c}").alias("name"), F.round(F.avg(F.when(asked, right.cast("double"))), 4).alias("requested_accuracy"), F.round(F.avg(right.cast("double")), 4).alias("accuracy"))
-                out, k = row if out is None else out.unionByName(row), k + 1
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("requested_accuracy"), F.desc("accuracy"), "setting")))
+        for normalize in (True, False):
+            rows = text_columns(train, normalize)
+            f = Featurizer(rows, kind, SEARCH_WORDS, SEARCH_CHARS, 2)
+            x = written(f.transform(rows.where("requested_category = 'UTILITY'") if requested_only else rows).select("y", "features"))
+            tables[kind, normalize] = x, written(f.transform(text_columns(valid, normalize)).select("y", "requested_category", "features"))
+            settings += [(kind, normalize, c, name, w) for c in cs for name in models for w in ((False, True) if requested_only else (False,))]
+
+    def scored(number: int) -> tuple:
+        kind, normalize, c, name, weighted = settings[number]
+        x, v = tables[kind, normalize]
+        out = (fit_logistic if name == "logistic" else fit_svm)(x, c, weighted).transform(v)
+        asked = F.col("requested_category") == "UTILITY"
+        guess = F.when(~asked, 0.0).otherwise(F.col("prediction")) if requested_only else F.col("prediction")
+        right = (guess == F.col("y")).cast("double")
+        row = out.agg(F.round(F.avg(F.when(asked, right)), 4).alias("a"), F.round(F.avg(right), 4).alias("b")).first()
+        text = "/".join([kind, "normalized" if normalize else "plain", name, str(c)] + (["balanced" if weighted else "plain"] if requested_only else []))
+        return number, text, row["a"], row["b"]
+
+    with ThreadPool(PARALLEL_FITS) as pool:
+        found = pool.map(scored, range(len(settings)))
+    ranked = sorted(found, key=lambda r: (-(r[2] or 0.0), -(r[3] or 0.0), r[0]))  # one row for each setting
+    rows = [(*r, k + 1) for k, r in enumerate(ranked)]
+    return train.sparkSession.createDataFrame(rows, "setting int, name string, requested_accuracy double, accuracy double, rank int")
 
 
 def lsa(df: DataFrame, k: int = 50) -> DataFrame:
@@ -200,10 +277,8 @@ def fit_forms(approved: DataFrame, k: int = 24, restarts: int = 10):
     """The k-means model of least cost over some restarts."""
     from pyspark.ml.clustering import KMeans
 
-    rows = to_vector(approved).cache()
-    best = min((KMeans(k=k, seed=seed, maxIter=20).fit(rows) for seed in range(restarts)), key=lambda m: m.summary.trainingCost)
-    rows.unpersist()
-    return best
+    rows = written(to_vector(approved))
+    return min((KMeans(k=k, seed=seed, maxIter=20).fit(rows) for seed in range(restarts)), key=lambda m: m.summary.trainingCost)
 
 
 def minimal_pairs(pairs: DataFrame, least: float = 0.15) -> DataFrame:

@@ -163,6 +163,14 @@ def blend_grid(df: DataFrame) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("requested_accuracy"), F.desc("accuracy"), "setting")))
 
 
+def assess_once(report: DataFrame, ids: DataFrame, manifest: DataFrame, path: str) -> DataFrame:
+    """Writes a holdout's one assessment to path and returns it; refused a second time, or for other ids than the manifest's."""
+    if ids.select("id").exceptAll(manifest.select("id")).unionByName(manifest.select("id").exceptAll(ids.select("id"))).limit(1).count():
+        raise ValueError("the assessed ids are not those of the manifest")
+    report.write.mode("error").json(path)  # an error if it exists
+    return report.sparkSession.read.schema(report.schema).json(path)
+
+
 def conditional(requested: Column, prediction: Column) -> Column:
     return F.when(requested == M, M).otherwise(prediction)
 

@@ -93,6 +93,12 @@ def summary_counts(df: DataFrame) -> DataFrame:
     return exploded.select(which.alias("field"), F.coalesce(*fields).alias("value"), "n")
 
 
+def source_and_label_counts(df: DataFrame) -> DataFrame:
+    """field, value, n: records by source, and training families by label."""
+    by = lambda rows, c, name: rows.groupBy(F.lit(name).alias("field"), F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return by(df, "source", "source").unionByName(by(training_families(df), "meta_category", "training_category"))
+
+
 def summary_totals(df: DataFrame) -> DataFrame:
     """One row of totals over records and families."""
     rows = with_family(df).withColumn("candidate", is_candidate())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from missive.functions.text import lost_placeholders, placeholders, stripped
+from missive.functions.text import lost_placeholders, placeholders, script_of, stripped
 from missive.operators.rules import detect_purpose, event_in, has_anchor, is_promotional
 
 REPLY = "category string, confidence double, clauses array<string>, rationale string"
@@ -72,6 +72,11 @@ def gates(original: Column, candidate: Column) -> Column:
                     (F.size(F.array_distinct(placeholders(candidate))) <= F.size(F.array_distinct(placeholders(original))) + 1).alias("budget"))
 
 
+def kept_script(original: Column, candidate: Column) -> Column:
+    """Is the candidate in the original's script? Originals in Latin script have none to keep."""
+    return script_of(original).isNull() | script_of(candidate).eqNullSafe(script_of(original))
+
+
 def critique(original: Column, candidate: Column) -> Column:
     """Codes of what is still wrong with a candidate."""
     g = gates(original, candidate)
@@ -127,13 +132,16 @@ def attempts_summary(rounds: DataFrame, picked: DataFrame, by: list[str]) -> Dat
 
 
 # Drafts for the events that have one.
-PRESETS = [
+ALL_PRESETS = [
     ("billing", "Invoice issued", "Your invoice {{invoice_id}} for {{billing_period}} is ready. The amount due is {{amount}}, payable by {{due_date}}.", "View invoice"),
+    ("billing", "Payment received", "We received your payment of {{amount}} for invoice {{invoice_id}} on {{payment_date}}.", "View receipt"),
     ("order", "Order shipped", "Your order {{order_id}} has shipped. Expected delivery: {{delivery_date}}.", "Track order"),
     ("appointment", "Appointment reminder", "Your appointment {{appointment_id}} is scheduled for {{appointment_date}} at {{appointment_time}}.", "View appointment"),
     ("support", "Support update", "Your support case {{case_id}} has been updated. Current status: {{case_status}}.", "View case"),
 ]
 # End of fixed values.
+#: The first preset of each event is the one that a task gets.
+PRESETS = [p for i, p in enumerate(ALL_PRESETS) if p[0] not in {q[0] for q in ALL_PRESETS[:i]}]
 
 
 def draft_from_presets(tasks: DataFrame, text: str = "body") -> DataFrame:
@@ -144,9 +152,8 @@ def draft_from_presets(tasks: DataFrame, text: str = "body") -> DataFrame:
     return joined.withColumn("verdict", verdict).withColumn("draft", F.when(F.col("verdict") == "DRAFTED", F.col("draft")))
 
 
-# Sample values by what a placeholder's name, or the words before it, speak of.
+# Sample values of ``fill_samples``, a short set of its own.
 SAMPLES = [("amount|price|due|balance|total", "1,250"), ("date|day|on$", "12 Aug 2026"), ("time|slot", "10:30 AM"), ("link|url", "https://example.com/a"), ("id|number|no|order|invoice|case", "10482"), ("name|plan", "Asha")]
-# End of fixed values.
 CONTEXT = 28
 
 
@@ -167,6 +174,68 @@ def fill_samples(text: Column) -> Column:
     return F.array_join(filled, "")
 
 
+# Sample values by ordered rules, and the variants that repeats take in turn.
+SAMPLE_RULES = [
+    (r"link|url|href|click here|pay here|track|view|anytime|below", "https://nbr.in/p/8c31fa"),
+    (r"date|deadline|expiry|expires|scheduled (?:on|for)|by\b|due on", "12 October"),
+    (r"time|slot|between|at\b", "3:30 PM"),
+    (r"amount|price|payment of|balance|emi|fee|charge|rs\.?|₹|worth|overdue", "₹4,250"),
+    (r"hi|hello|dear|name|customer|tenant|owner|user|agent|manager", "Rahul"),
+    (r"phone|mobile|contact", "98••••3210"),
+    (r"address|property|location|city|area|flat|apartment", "Indiranagar, Bengaluru"),
+    (r"type|plan|category|service|product", "Home"),
+    (r"status|state", "confirmed"),
+    (r"percent|discount|waiver", "10"),
+    (r"account|order|invoice|booking|ticket|case|receipt|id|number|ref|no\b", "8421337"),
+]
+SAMPLE_DEFAULT = "8421337"
+VARIANTS = {
+    "https://nbr.in/p/8c31fa": ["https://nbr.in/p/8c31fa", "https://nbr.in/b/47dd10", "https://nbr.in/t/9ba2e5"],
+    "₹4,250": ["₹4,250", "₹1,890", "₹12,400"],
+    "8421337": ["8421337", "5530912", "7104468"],
+    "12 October": ["12 October", "18 October", "3 November"],
+    "Rahul": ["Rahul", "Priya", "Arjun"],
+    "3:30 PM": ["3:30 PM", "11:00 AM", "6:15 PM"],
+    "Indiranagar, Bengaluru": ["Indiranagar, Bengaluru", "Kondapur, Hyderabad", "Powai, Mumbai"],
+    "98••••3210": ["98••••3210", "97••••4417", "90••••1268"],
+}
+CURRENCY_BEFORE = r"(?i)(?:₹|\bRs\.?)\s*$"
+# End of fixed values.
+
+
+def fill_by_rule(text: Column) -> Column:
+    """text with every placeholder replaced by a sample value.
+
+    The first rule that its name meets, else the first that the CONTEXT characters before it
+    meet, gives the value; the second and third use of a value in a text take its variants, in
+    turn; after a currency sign the value has none of its own.
+    """
+    marks = placeholders(text)
+    parts = F.split(text, r"\{\{[^}]+\}\}", -1)
+
+    def by_rules(source: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for pattern, sample in reversed(SAMPLE_RULES):
+            out = F.when(source.rlike(f"(?i)(?:{pattern})"), sample).otherwise(out)
+        return out
+
+    # what stands before each placeholder: the text up to it, placeholders included
+    upto = F.transform(marks, lambda _, i: F.array_join(F.flatten(F.transform(F.slice(F.arrays_zip(parts.alias("p"), marks.alias("m")), F.lit(1), i + 1), lambda z, k: F.when(k < i, F.array(z["p"], z["m"])).otherwise(F.array(z["p"])))), ""))
+    tails = F.transform(upto, lambda u: F.substr(u, F.greatest(F.lit(1), F.length(u) - F.lit(CONTEXT - 1)), F.lit(CONTEXT)))
+    bases = F.zip_with(marks, tails, lambda m, t: F.coalesce(by_rules(F.regexp_replace(m, r"^\{\{|\}\}$", "")), by_rules(t), F.lit(SAMPLE_DEFAULT)))
+
+    def variant(base: Column, before: Column) -> Column:
+        turn = F.size(F.filter(before, lambda x: x == base)) % 3
+        out = base
+        for value, options in VARIANTS.items():
+            out = F.when(base == value, F.element_at(F.array(*map(F.lit, options)), turn + 1)).otherwise(out)
+        return out
+
+    values = F.transform(bases, lambda b, i: F.when(i == 0, b).otherwise(variant(b, F.slice(bases, F.lit(1), i))))
+    values = F.zip_with(values, tails, lambda v, t: F.when(t.rlike(CURRENCY_BEFORE), F.regexp_replace(v, "^₹+", "")).otherwise(v))
+    return F.array_join(F.zip_with(parts, values, lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
+
+
 COMPONENT_REPLY = "header string, body string, footer string, buttons string, possible boolean"
 
 

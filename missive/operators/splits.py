@@ -79,6 +79,25 @@ def fixed_split(df: DataFrame, seed: str = "v", share: float = 0.25) -> DataFram
     return rest.select("family", part.alias("part")).unionByName(held.where("holdout").select("family", F.lit("holdout").alias("part")))
 
 
+def persisted_split(df: DataFrame, path: str, seed: str = "v", share: float = 0.25) -> DataFrame:
+    """family, part as fixed_split draws it, written to path the first time and read from there ever after.
+
+    A stored split of other families is refused.
+    """
+    spark = df.sparkSession
+    try:
+        stored = spark.read.schema("family string, part string").parquet(path)
+        known = stored.count()
+    except Exception as missing:  # Spark's own class for this differs between modes
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        fixed_split(df, seed, share).write.parquet(path)
+        return spark.read.schema("family string, part string").parquet(path)
+    if known != df.count() or df.join(stored, "family", "left_anti").limit(1).count():
+        raise ValueError("the stored split is of other families")
+    return stored
+
+
 def stratified_sample(df: DataFrame, n: int, seed: str, label: str = "recorded_category", key: str = "id") -> DataFrame:
     """About n rows, by label in proportion, whatever the order of input."""
     total = df.agg(F.count(F.lit(1)).alias("__total"))

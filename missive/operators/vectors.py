@@ -122,6 +122,27 @@ def choose_form(df: DataFrame, centres: DataFrame, minimum: float = 0.60) -> Dat
     return pairs.groupBy("id").agg(F.max_by("form", F.struct("value", (-F.col("form")).alias("f"))).alias("form"), F.max("value").alias("value"))
 
 
+def exemplar_centres(exemplars: DataFrame, k: int = 3) -> DataFrame:
+    """form, centre: the mean of the first k vectors of each form, by id."""
+    cells = _first(exemplars, k).select("form", F.posexplode("vector").alias("place", "x")).groupBy("form", "place").agg(F.avg("x").alias("m"))
+    means = cells.groupBy("form").agg(F.array_sort(F.collect_list(F.struct("place", "m"))).alias("c"))
+    return means.select("form", F.col("c.m").alias("centre"))
+
+
+def _first(exemplars: DataFrame, k: int) -> DataFrame:
+    """The k rows of least id of each form; ranked per form after a rank within hashed parts, so no task holds a whole form."""
+    part = exemplars.withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(64)))
+    some = part.withColumn("__n", F.row_number().over(Window.partitionBy("form", "__part").orderBy("id"))).where(F.col("__n") <= k)
+    return some.withColumn("__n", F.row_number().over(Window.partitionBy("form").orderBy("id"))).where(F.col("__n") <= k).drop("__n", "__part")
+
+
+def classify_draft(df: DataFrame, centres: DataFrame, minimum: float = 0.60) -> DataFrame:
+    """id, form, similarity: the nearest form among those approved often enough."""
+    good = centres.where(F.col("approval_rate") >= minimum)
+    pairs = df.crossJoin(F.broadcast(good)).select("id", "form", F.round(dot(l2_normalize(F.col("vector")), l2_normalize(F.col("centre"))), 6).alias("similarity"))
+    return pairs.groupBy("id").agg(F.max_by("form", F.struct("similarity", (-F.col("form")).alias("f"))).alias("form"), F.max("similarity").alias("similarity"))
+
+
 def form_evidence(similarity: Column, rate: Column) -> Column:
     return F.when(similarity >= 0.40, rate)
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from missive.plans import import_queries, learn_queries, metric_queries, similarity_queries, stream_queries, text_queries, vector_queries
+    from missive.plans import import_queries, learn_queries, metric_queries, report_queries, similarity_queries, stream_queries, text_queries, vector_queries
 
-    return [text_queries, metric_queries, similarity_queries, vector_queries, learn_queries, stream_queries, import_queries]
+    return [text_queries, metric_queries, report_queries, similarity_queries, vector_queries, learn_queries, stream_queries, import_queries, report_queries]
 
 
 def queries() -> dict:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from missive.operators import splits as S
 from missive.operators import vectors as V
 from missive.plans.fixtures import TV, T, fixture
 from missive.plans.vector_queries import e
+from missive.sources.scratch import written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -31,7 +30,7 @@ def clean(s: SparkSession, d: str) -> DataFrame:
 
 
 def split(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = L.text_columns(clean(s, d).join(S.fixed_split(clean(s, d)), "family")).cache()
+    rows = written(L.text_columns(clean(s, d).join(S.fixed_split(clean(s, d)), "family")))
     return rows.where("part = 'train'"), rows.where("part = 'validation'")
 
 
@@ -66,35 +65,33 @@ def m6_svm(s, d):
 def m7_calibrated(s, d):
     train, valid = split(s, d)
     f = L.Featurizer(train)
-    return L.Calibrated(f.transform(train), 3).transform(f.transform(valid)).select("id", "y", F.round("p", 4).alias("p"))
+    return L.Calibrated(f.transform(train)).transform(f.transform(valid)).select("id", "y", F.round("p", 4).alias("p"))
 
 
 @query
 def m8_out_of_fold(s, d):
     train, _ = split(s, d)
-    return L.out_of_fold(L.Featurizer(train).transform(train), 3).select("id", "fold" if "fold" in train.columns else "family", "y", F.round("p", 4).alias("p"))
+    return L.out_of_fold(L.Featurizer(train).transform(train)).select("id", "fold" if "fold" in train.columns else "family", "y", F.round("p", 4).alias("p"))
 
 
 @query
 def m10_predict(s, d):
-    """Category, probability and band of every record, with its nearest training family."""
-    train, valid = split(s, d)
-    f = L.Featurizer(train)
-    scored = L.predictions(L.Calibrated(f.transform(train), 3).transform(f.transform(valid)), 0.4, 0.6)
-    index = Y.Index(train, F.col("body"), Y.word_terms, Y.WORDS_CAP, True)
-    near = Y.nearest(Y.cosine_pairs(index.transform(valid, F.col("body")), index.vectors, 0.1), valid.select("id"))
-    return scored.join(near.select("id", "match", F.round("score", 4).alias("similarity")), "id")
+    """Every record, of whatever format, by the serving model: category, probability, band, neighbours, or why it has none."""
+    trained = L.train_and_evaluate(clean(s, d))
+    out = L.predict(fixture(s, d, T), trained)
+    return out.withColumn("neighbors", F.to_json("neighbors"))
 
 
 @query
 def m12_train(s, d):
-    return L.train_and_evaluate(clean(s, d))[0]
+    return L.train_and_evaluate(clean(s, d)).report
 
 
 @query
 def m14_compare_arms(s, d):
-    rows = L.text_columns(clean(s, d).join(S.chronological_split(fixture(s, d, TV)), "family")).cache()
-    return L.compare_arms(rows.where("side = 'train'"), rows.where("side = 'test'"))
+    rows = written(L.text_columns(clean(s, d).join(S.chronological_split(fixture(s, d, TV)), "family")))
+    train, test = rows.where("side = 'train'"), rows.where("side = 'test'")
+    return L.compare_arms(train, test, Y.near_duplicates(train, test))
 
 
 @query
@@ -102,16 +99,21 @@ def m16_search(s, d):
     return L.search(*split(s, d))
 
 
+@query
+def m16_requested_search(s, d):
+    return L.search(*split(s, d), requested_only=True)
+
+
 @query
 def m18_lsa(s, d):
     train, _ = split(s, d)
-    return L.lsa(L.Featurizer(train).transform(train), 20)
+    return L.lsa(L.Featurizer(train).transform(train), 100)
 
 
 @query
 def m19_forms(s, d):
     rows = e(s, d)
-    model = L.fit_forms(rows.where("category = 'UTILITY'"), 8, 3)
+    model = L.fit_forms(rows.where("category = 'UTILITY'"))
     centres = s.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "form int, centre array<double>")
     return V.nearest_centre(rows, centres)
 
@@ -125,14 +127,17 @@ def m21_reward(s, d):
 
 @query
 def m28_compare_embedding(s, d):
-    """Direction at its midpoint and logistic regression, on one split."""
+    """Direction at its midpoint and logistic regression, on one split: scores, AUC and Cohen's d."""
     rows = e(s, d)
     train, test = rows.where("id % 4 <> 0"), rows.where("id % 4 = 0")
     direction = V.fit_direction(train)
-    a = test.select(F.lit("direction").alias("method"), F.col("category").alias("recorded_category"), F.when(direction.score(F.col("vector")) >= 0.5, "UTILITY").otherwise("MARKETING").alias("prediction"))
+    a = test.select(F.lit("direction").alias("method"), F.col("category").alias("recorded_category"), F.when(direction.score(F.col("vector")) >= 0.5, "UTILITY").otherwise("MARKETING").alias("prediction"), direction.score(F.col("vector")).alias("s"))
     model = L.fit_logistic(L.to_vector(train).withColumn("y", (F.col("category") == "UTILITY").cast("double")))
-    b = model.transform(L.to_vector(test)).select(F.lit("logistic").alias("method"), F.col("category").alias("recorded_category"), F.when(F.col("prediction") == 1.0, "UTILITY").otherwise("MARKETING").alias("prediction"))
-    return a.unionByName(b).groupBy("method").agg(*M.score_columns())
+    b = model.transform(L.to_vector(test)).select(F.lit("logistic").alias("method"), F.col("category").alias("recorded_category"), F.when(F.col("prediction") == 1.0, "UTILITY").otherwise("MARKETING").alias("prediction"), F.element_at(L.vector_to_array("probability"), 2).alias("s"))
+    both = a.unionByName(b)
+    out = both.groupBy("method").agg(*M.score_columns())
+    apart = [M.roc_auc(x, "s").crossJoin(V.cohens_d(x, "s", "recorded_category")).withColumn("method", F.lit(name)) for name, x in (("direction", a), ("logistic", b))]
+    return out.join(apart[0].unionByName(apart[1]), "method")
 
 
 def _with_probability(s, d, rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
