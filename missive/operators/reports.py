@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_N = F.count(F.lit(1))
+def _n() -> Column:
+    return F.count(F.lit(1))
 
 
 def _share(c: Column, of: Column | None = None, places: int = 4) -> Column:
-    n = _N if of is None else F.count_if(of)
+    n = _n() if of is None else F.count_if(of)
     return F.round(F.coalesce(F.try_divide(F.count_if(c), n), F.lit(0.0)), places)
 
 
@@ -26,9 +27,9 @@ def judge_report(df: DataFrame) -> DataFrame:
 
 def reason_counts(results: DataFrame) -> DataFrame:
     """reason ('' where there is an answer), clauses -> kind, value, n: failures by reason and cited clauses by name."""
-    failures = results.where("reason <> ''").groupBy(F.lit("failure").alias("kind"), F.col("reason").alias("value")).agg(_N.alias("n"))
+    failures = results.where("reason <> ''").groupBy(F.lit("failure").alias("kind"), F.col("reason").alias("value")).agg(_n().alias("n"))
     cited = results.where("reason = ''").select(F.explode("clauses").alias("value"))
-    return failures.unionByName(cited.groupBy(F.lit("clause").alias("kind"), "value").agg(_N.alias("n")))
+    return failures.unionByName(cited.groupBy(F.lit("clause").alias("kind"), "value").agg(_n().alias("n")))
 
 
 def loop_report(df: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def loop_report(df: DataFrame) -> DataFrame:
     sent = F.col("classified") == "MARKETING"
     outcome = lambda name: F.count_if(sent & (F.col("outcome") == name))
     return df.groupBy("set").agg(
-        _N.alias("templates"), F.count_if(F.col("classified") == "UTILITY").alias("said_utility"), _share(F.col("classified") == F.col("meta_category")).alias("classifier_accuracy"),
+        _n().alias("templates"), F.count_if(F.col("classified") == "UTILITY").alias("said_utility"), _share(F.col("classified") == F.col("meta_category")).alias("classifier_accuracy"),
         F.count_if(sent).alias("sent"), outcome("converted").alias("converted"), outcome("not_converted").alias("not_converted"), outcome("error").alias("errors"),
         F.round(F.avg(F.when(sent, F.col("rounds"))), 2).alias("mean_rounds"),
     )
@@ -49,7 +50,7 @@ def recast_report(df: DataFrame, target: float = 0.60) -> DataFrame:
     mean = lambda c, which: F.round(F.avg(F.when(which, F.col(c))), 4)
     verdict = lambda v: F.count_if(F.col("verdict") == v)
     return df.agg(
-        _N.alias("attempted"), F.count_if(accepted).alias("rewrote"), _share(accepted).alias("rewrote_share"), verdict("REFUSED").alias("refused"),
+        _n().alias("attempted"), F.count_if(accepted).alias("rewrote"), _share(accepted).alias("rewrote_share"), verdict("REFUSED").alias("refused"),
         verdict("REJECTED").alias("rejected"), verdict("ERROR").alias("errors"), mean("gain", accepted).alias("mean_gain"),
         F.count_if(accepted & (F.col("gain") > 0)).alias("closer"), F.count_if(accepted & (F.col("gain") < 0)).alias("further"),
         mean("start_score", scored).alias("reward_before"), mean("score", scored).alias("reward_after"),
@@ -63,7 +64,7 @@ def regenerate_report(df: DataFrame, target: float = 0.60) -> DataFrame:
     drafted = F.col("verdict") == "DRAFTED"
     verdict = lambda v: F.count_if(F.col("verdict") == v)
     return df.agg(
-        _N.alias("templates"), F.count_if(drafted).alias("drafted"), _share(drafted).alias("drafted_share"), verdict("WEAK").alias("weak"),
+        _n().alias("templates"), F.count_if(drafted).alias("drafted"), _share(drafted).alias("drafted_share"), verdict("WEAK").alias("weak"),
         verdict("PROMOTIONAL_INTENT").alias("promotional_intent"), verdict("REFUSED").alias("refused"), verdict("ERROR").alias("errors"),
         F.count_if(drafted & F.col("form_matched")).alias("matched_form"), F.round(F.avg(F.when(drafted, F.col("score"))), 4).alias("mean_score"),
         F.count_if(drafted & (F.col("score") >= target)).alias("above_target"),
@@ -84,7 +85,7 @@ def form_report(assigned: DataFrame) -> DataFrame:
 
 def form_totals(report: DataFrame, downgraded: DataFrame) -> DataFrame:
     """One row: floor (service messages expected to pass as they are) and ceiling (all of them), as counts and as shares of downgraded."""
-    n = downgraded.agg(_N.alias("downgraded"))
+    n = downgraded.agg(_n().alias("downgraded"))
     sums = report.agg(F.coalesce(F.sum("service_messages"), F.lit(0)).alias("ceiling"), F.coalesce(F.sum("expected_at_base_rate"), F.lit(0.0)).alias("expected"))
     share = lambda c: F.round(F.try_divide(F.col(c), F.col("downgraded")), 4)
     return sums.crossJoin(n).select("downgraded", F.round("expected", 0).cast("long").alias("floor"), share("expected").alias("floor_share"), "ceiling", share("ceiling").alias("ceiling_share"))
