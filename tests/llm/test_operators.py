@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from missive.llm import bwt_dedup, chat, embedding_dedup, line_dedup, minhash, mixing, packing, simhash, token_store, toxicity
 from missive.llm.tokens import WordCachedTokenizer
@@ -92,6 +93,7 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch, cap):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = {tuple(r) for r in embedding_dedup.linked_vectors(df).collect()}
     assert got == brute_links(rows)
+    assert {r["vec_id"]: r["component_id"] for r in embedding_dedup.linked_vectors(df, recall=1, confidence=float("inf")).collect()} == {i: c for i, _, c, _ in got}
 
 
 def test_embedding_exact_mode_and_null_ids(spark):
@@ -161,6 +163,30 @@ def brute_targets(sizes, weights=(5, 2, 1)):
     return out
 
 
+def test_mixed_documents_are_the_rows_of_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANK_GROUP", 8)
+    schema = "doc_id bigint, text string, source string, size string, order_ string, plan_ string, copies int"
+    rows = [(k % 9 if k % 4 else None, words(3 + k % 2, k % 50), "ab"[k % 2] if k % 5 else None, "s", "o", "p", k % 2) for k in range(400)]
+    rows += [(1, "one two three", "a", "s", "o", "p", 0)] * 60 + [(2, None, "a", "s", "o", "p", 0)]
+    docs = spark.createDataFrame(rows, schema)
+    want = {}
+    for r in mixing.mix(docs).collect():
+        key = r["doc_id"], r["source"], r["size"]
+        want[key] = want.get(key, 0) + r["copies"]
+    for most in (200_000, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_SIZES", most)
+        mixed = mixing.mixed_documents(docs)
+        assert mixed.columns == docs.columns
+        got = {}
+        for r in mixed.collect():
+            key = r["doc_id"], r["source"], len((r["text"] or "").split())
+            got[key] = got.get(key, 0) + 1
+        assert got == {k: n for k, n in want.items() if n}
+        assert set(map(tuple, mixed.collect())) <= set(rows)
+    again = mixing.mixed_documents(docs.orderBy(F.rand(3)))
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, mixed.collect()))
+
+
 def test_mixing(spark, real, messy, empty):
     for df in (real, messy):
         rows = mixing.mix(df).collect()
@@ -230,6 +256,65 @@ def test_toxicity_without_labels(spark, messy, empty):
     assert toxicity.scored(messy, labels).where("score >= 0.5").count() == 0 and toxicity.scored(empty, labels).count() == 0
 
 
+def test_cut_is_the_least_positive_unlabelled_error():
+    rng = np.random.default_rng(8)
+    for k in range(40):
+        n = int(rng.integers(2, 60))
+        z, positive, prior = rng.integers(-9, 9, n) / (1 + k % 3), rng.random(n) < 0.3, float(rng.uniform(0.02, 0.5))
+        cut = toxicity.threshold(z, positive, prior)
+        if not positive.any() or positive.all():
+            assert cut == 0.0
+            continue
+        error = lambda c: 2 * prior * (z[positive] < c).mean() + (z[~positive] >= c).mean()
+        every = [z.min() - 1, *((a + b) / 2 for a, b in zip(np.unique(z), np.unique(z)[1:])), z.max() + 1]
+        least = min(map(error, every))
+        assert error(cut) == pytest.approx(least) and cut == pytest.approx(max(c for c in every if error(c) <= least + 1e-12))
+
+
+def test_training_reaches_the_risk_of_plain_gradient_descent(monkeypatch):
+    """The non-negative risk over all rows, dense and full-batch, against the sparse training by batches."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 800)  # both run until little changes
+    rng, prior = np.random.default_rng(9), 0.2
+    hot = [toxicity.word_features(w)[0] for w in ("grubble", "snarkix", "vilepot")]
+    cold = [toxicity.word_features(f"w{k}")[0] for k in range(40)]
+    features, positive = [], []
+    for k in range(900):
+        toxic = k < 200 or rng.random() < prior
+        features.append(np.array([*rng.choice(cold, 12, replace=False), *(rng.choice(hot, 2, replace=False) if toxic else [])], np.int64))
+        positive.append(k < 200)
+    positive, scales = np.array(positive), np.full(900, 0.9)
+    x = np.zeros((900, 44))
+    columns = {f: i for i, f in enumerate([*hot, *cold])}
+    for i, row in enumerate(features):
+        x[i, [columns[f] for f in row]] = 0.9
+    x[:, 3:43] = 0  # words that tell nothing take no part
+    x[:, 43] = 1
+
+    def risk(w):
+        z = np.clip(x @ w, -30, 30)
+        loss = lambda side, y: np.logaddexp(0, -y * z[side]).mean()
+        return prior * loss(positive, 1) + max(0.0, loss(~positive, -1) - prior * loss(positive, -1))
+
+    plain = np.zeros(44)
+    for _ in range(3000):
+        s = 1 / (1 + np.exp(-np.clip(x @ plain, -30, 30)))
+        p, u = x[positive], x[~positive]
+        negative = np.logaddexp(0, x @ plain)[~positive].mean() - prior * np.logaddexp(0, x @ plain)[positive].mean()
+        g_negative = u.T @ s[~positive] / len(u) - prior * p.T @ s[positive] / len(p)
+        plain -= 0.3 * (prior * p.T @ (s[positive] - 1) / len(p) + g_negative if negative >= 0 else -g_negative)
+    w = toxicity.train(features, scales, positive, prior, 3)
+    mine = np.array([*(w[f] for f in hot), *(w[f] for f in cold), w[-1]])
+    assert risk(mine) <= risk(plain) + 0.03
+
+
+def test_toxicity_of_repeated_rows_and_one_hot_id(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k % 7 if k % 3 == 0 else k, words(40, k) + (" grubble snarkix" if k % 6 == 0 else ""), "a") for k in range(600)] + [(3, "twice grubble", "a")] * 200
+    labels = [(k, int(k % 6 == 0)) for k in range(0, 600, 2)] * 2 + [(None, 1), (5, None)]
+    got = toxicity.scored(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()
+    assert len(got) == 800 and len({r["score"] for r in got if r["text"] == "twice grubble"}) == 1 and all(0 <= r["score"] <= 1 for r in got) and rng is not None
+
+
 # 5
 
 
@@ -255,8 +340,9 @@ def test_cached_tokenizer_equals_the_library(texts):
 
 
 def expected_ids(rows, end):
-    tok = WordCachedTokenizer.at(BPE)
-    return [[*e.ids, end] for e in tok.tokenizer.encode_batch([t or "" for _, t, *_ in rows], add_special_tokens=False)]
+    from tokenizers import Tokenizer
+
+    return [[*e.ids, end] for e in Tokenizer.from_file(BPE).encode_batch([t or "" for _, t, *_ in rows], add_special_tokens=False)]
 
 
 def test_added_tokens_have_the_ids_of_the_plain_library(spark, tmp_path):
@@ -275,6 +361,23 @@ def test_added_tokens_have_the_ids_of_the_plain_library(spark, tmp_path):
     assert {r["doc_id"]: r["doc_tokens"] for r in pieces} == {k: len(ids) + 1 for k, ids in enumerate(want)}
 
 
+def test_tokens_by_position(spark, real, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "SHARD_IDS", 700)
+    token_store.write_token_store(real.repartition(5), str(tmp_path / "s"), BPE)
+    flat = [i for r in sorted(token_store.read_token_store(spark, str(tmp_path / "s")).collect(), key=lambda r: r["start"]) for i in np.frombuffer(r["ids"], "<u4").tolist()]
+    at = sorted({0, 1, 699, 700, 701, len(flat) - 1, *np.random.default_rng(2).integers(0, len(flat), 300).tolist()})
+    asked = spark.createDataFrame([(p,) for p in [*at, at[0], len(flat), -1]] + [(None,)], "position bigint")
+    assert {r["position"]: r["id"] for r in token_store.tokens_at(spark, str(tmp_path / "s"), asked).collect()} == {p: flat[p] for p in at}
+
+
+def test_store_order_of_repeated_ids_is_that_of_their_texts(spark, tmp_path):
+    rows = [(1, words(30, k), "a") for k in range(40)] + [(None, "x", "a"), (None, "y", "a")]
+    for k, seed in enumerate((1, 2)):
+        token_store.write_token_store(docs_of(spark, rows).orderBy(F.rand(seed)), str(tmp_path / str(k)), BPE)
+    one, two = (sorted((r["start"], r["doc_id"] or 0, r["ids_crc32"]) for r in token_store.read_token_store(spark, str(tmp_path / str(k))).collect()) for k in (0, 1))
+    assert one == two
+
+
 def test_token_store(spark, messy, empty, tmp_path):
     token_store.write_token_store(messy, str(tmp_path / "a"), BPE)
     got = sorted(((r["start"], r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist(), r["n_tokens"]) for r in token_store.read_token_store(spark, str(tmp_path / "a")).collect()))
@@ -435,11 +538,40 @@ def test_minhash_edits_and_likeness(spark, real, messy, empty):
             assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
             assert r["fingerprint"] == fp(t) and r["edited_fingerprint"] == fp(edited)
             assert r["near_next"] == pytest.approx(np.mean([fp(t)[i : i + 4] == fp(nxt)[i : i + 4] for i in range(0, 512, 4)]))
+            if len(t) < 5000:
+                assert r["fingerprint"] == plain_fingerprint(t) and r["edited_fingerprint"] == plain_fingerprint(edited)
+                true = jaccard(t, edited)
+                assert abs(r["near_edited"] - true) <= 5 * (true * (1 - true) / 128) ** 0.5 + 0.02
     assert minhash.fingerprints(empty).count() == 0
     (lone,) = minhash.fingerprints(docs_of(spark, [(5, BASE, "a")])).collect()
     assert lone["near_next"] == 1.0
 
 
+def plain_shingles(text):
+    words_ = text.encode().lower().split()
+    size = min(5, len(words_))
+    return {tuple(words_[i : i + size]) for i in range(len(words_) - size + 1)} if words_ else set()
+
+
+def jaccard(a, b):
+    a, b = plain_shingles(a), plain_shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def plain_fingerprint(text):
+    """The minima of multiply-shift hashes, in whole numbers of Python."""
+    import xxhash
+
+    mask, minima = (1 << 64) - 1, [0xFFFFFFFF] * 128
+    for shingle in plain_shingles(text):
+        h = len(shingle)
+        for j, word in enumerate(shingle):
+            h = ((h ^ xxhash.xxh3_64_intdigest(word)) * int(minhash._MIX[j])) & mask
+            h ^= h >> 29
+        minima = [min(m, ((int(a) * h + int(b)) & mask) >> 32) for m, a, b in zip(minima, minhash._A, minhash._B)]
+    return "".join(f"{m & 0xFFFF:04x}" for m in minima)
+
+
 @pytest.mark.parametrize("cap", [4096, 5])
 def test_minhash_near_duplicates_equal_exact_jaccard(spark, real, monkeypatch, cap):
     monkeypatch.setattr(minhash, "BUCKET_CAP", cap)
