@@ -127,7 +127,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def filter_bits(docs: DataFrame) -> int:
     """Bits for the lines of docs: a power of two."""
-    lines = F.lit(1) + F.length("text") - F.length(F.translate("text", "\n", ""))
+    lines = F.lit(1) + F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     n = docs.agg(F.sum(lines)).first()[0] or 0
     return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_LINE * n - 1).bit_length() if n else 0))
 
