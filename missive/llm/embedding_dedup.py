@@ -41,6 +41,8 @@ THRESHOLD, RECALL, CONFIDENCE, SEED = 0.95, 0.9999, 5.0, 7
 BUCKET_CAP = 4096
 #: Rows of a block of pairs; pairs that are recomputed at once.
 STEP, EXACT_PAIRS = 512, 1 << 14
+#: Rows of a bucket up to which its pairs are listed.
+SMALL = 64
 
 
 @lru_cache(maxsize=64)
@@ -120,43 +122,83 @@ def _keyed(plan: tuple[int, int]):
 
 
 class Coded:
-    """The records of one bucket."""
+    """The records of some buckets, vectors of one length, unpacked once."""
 
-    def __init__(self, raw: list[bytes], dim: int, plan: tuple[int, int], number: int, chunk: np.ndarray | None):
+    def __init__(self, raw: list[bytes], dim: int, plan: tuple[int, int], threshold: float, confidence: float):
         self.r = np.frombuffer(b"".join(raw), record(dim, plan))
-        self.dim, self.number, self.chunk = dim, number, chunk
+        self.exact = not math.isfinite(confidence)
+        if self.exact:
+            return
         self.signs = np.unpackbits(self.r["code"], axis=1, count=dim).astype(np.float32) * 2 - 1
         four = np.stack([self.r["four"] & 15, self.r["four"] >> 4], axis=2).reshape(len(self.r), -1)[:, :dim]
-        self.values = four * self.r["width"][:, None] + self.r["low"][:, None]
+        self.values = (four * self.r["width"][:, None] + self.r["low"][:, None]) / np.float32(math.sqrt(dim))
         c = self.r["factor"].astype(np.float64)
-        self.error = np.sqrt(np.maximum(0, 1 - c * c) / max(dim - 1, 1e-9))
-
-    def undecided(self, p: int, q: int, threshold: float, confidence: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs i < j of the blocks at p and q that may reach the threshold, new in this table and, if dealt, of two chunks."""
-        a, b = slice(p, p + STEP), slice(q, q + STEP)
-        maybe = np.ones((len(self.r[a]), len(self.r[b])), bool)
-        if math.isfinite(confidence):
-            root = math.sqrt(self.dim)
-            rounding = self.r["width"] * 0.3  # the standard error of components in steps of this width
+        error = np.sqrt(np.maximum(0, 1 - c * c) / max(dim - 1, 1e-9))
+        # estimate / c >= threshold - confidence * error / c, and the standard error of components in steps of width
+        self.floor, self.rounding = c * threshold - confidence * error, confidence * 0.3 * self.r["width"]
+
+    def block(self, a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs i < j of the rows a and b that may reach the threshold, by estimates in both directions."""
+        maybe = np.ones((a.stop - a.start, b.stop - b.start), bool)
+        if not self.exact:
             for rows, columns, turn in ((a, b, False), (b, a, True)):  # codes of rows, components of columns
-                estimate = self.signs[rows] @ self.values[columns].T / root
-                # estimate / c >= threshold - confidence * error / c
-                floor = self.r["factor"][rows][:, None] * threshold - confidence * (self.error[rows][:, None] + rounding[columns][None, :])
-                fits = estimate >= floor
+                fits = self.signs[rows] @ self.values[columns].T >= self.floor[rows][:, None] - self.rounding[columns][None, :]
                 maybe &= fits.T if turn else fits
         i, j = np.nonzero(maybe)
-        i, j = i + p, j + q
-        keep = i < j
-        if self.chunk is not None:
-            keep &= self.chunk[i] != self.chunk[j]
-        i, j = i[keep], j[keep]
-        if self.number and len(i):
-            new = np.ones(len(i), bool)
-            for t in range(self.number):
-                new &= self.r["keys"][i, t] != self.r["keys"][j, t]
-            i, j = i[new], j[new]
+        i, j = i + a.start, j + b.start
+        return i[i < j], j[i < j]
+
+    def listed(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs i, j that may reach the threshold."""
+        for turn in () if self.exact else (False, True):
+            rows, columns = (j, i) if turn else (i, j)
+            keep = np.einsum("ij,ij->i", self.signs[rows], self.values[columns]) >= self.floor[rows] - self.rounding[columns]
+            i, j = i[keep], j[keep]
         return i, j
 
+    def new(self, i: np.ndarray, j: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Do i and j share no key of an earlier table than number?"""
+        out = np.ones(len(i), bool)
+        for t in range(int(number.max()) if len(number) else 0):
+            out &= (self.r["keys"][i, t] != self.r["keys"][j, t]) | (number <= t)
+        return out
+
+
+def undecided(t: pa.Table, starts: np.ndarray, plan: tuple[int, int], threshold: float, confidence: float):
+    """Per length of vectors: their rows in t, their Coded, and lists of pairs (places in those rows) to be recomputed.
+
+    Small buckets are compared all at once, by shifts of the sorted rows; large ones by blocks.
+    """
+    dims, number, chunk = (t.column(c).to_numpy() for c in ("dim", "table", "chunk"))
+    apart = t.column("i").to_numpy() != t.column("j").to_numpy()
+    bucket = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        codes = Coded(t.column("record").take(pa.array(at)).to_pylist(), int(dim), plan, threshold, confidence)
+        own, tables, chunks, dealt_out = bucket[at], number[at], chunk[at], apart[at]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        ends = np.append(first[1:], len(at))
+        sizes = ends - first
+        last = np.repeat(np.where(sizes <= SMALL, ends, 0), sizes)
+
+        def fresh_pairs(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            keep = ~dealt_out[i] | (chunks[i] != chunks[j])
+            i, j = i[keep], j[keep]
+            keep = codes.new(i, j, tables[i])
+            return i[keep], j[keep]
+
+        def pairs():
+            for shift in range(1, min(SMALL, int(sizes.max(initial=0)))):
+                i = np.flatnonzero(np.arange(len(at)) + shift < last)
+                for k in range(0, len(i), EXACT_PAIRS):
+                    yield fresh_pairs(*codes.listed(i[k : k + EXACT_PAIRS], i[k : k + EXACT_PAIRS] + shift))
+            for a, b in zip(first[sizes > SMALL].tolist(), ends[sizes > SMALL].tolist()):
+                for p in range(a, b, STEP):
+                    for q in range(p, b, STEP):
+                        yield fresh_pairs(*codes.block(slice(p, min(b, p + STEP)), slice(q, min(b, q + STEP))))
+
+        yield at, codes, pairs()
+
 
 def forest(i: np.ndarray, j: np.ndarray, parent: np.ndarray) -> list[tuple[int, int]]:
     """Those of the links (i, j) that join two trees of parent, in which they are entered.
@@ -182,27 +224,15 @@ def forest(i: np.ndarray, j: np.ndarray, parent: np.ndarray) -> list[tuple[int,
     return out
 
 
-def _buckets(t: pa.Table, starts: np.ndarray, plan: tuple[int, int]):
-    """first row, end and Coded of each bucket of two rows or more."""
-    records, dims = t.column("record").to_pylist(), t.column("dim").to_numpy()
-    number, chunk = t.column("table").to_numpy(), t.column("chunk").to_numpy()
-    pair = t.column("i").to_numpy() != t.column("j").to_numpy()
-    for a, b in zip(starts.tolist(), np.append(starts[1:], t.num_rows).tolist()):
-        if b - a > 1:
-            yield a, b, Coded(records[a:b], int(dims[a]), plan, int(number[a]), chunk[a:b] if pair[a] else None)
-
-
 def _flagged(plan: tuple[int, int], threshold: float, confidence: float):
     """The rows that are in an undecided pair of their bucket."""
 
     def handle(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
         some = np.zeros(t.num_rows, bool)
-        for a, b, bucket in _buckets(t, starts, plan):
-            for p in range(0, b - a, STEP):
-                for q in range(p, b - a, STEP):
-                    for side in bucket.undecided(p, q, threshold, confidence):
-                        some[a + side] = True
+        for at, _, pairs in undecided(t, starts, plan, threshold, confidence):
+            for i, j in pairs:
+                some[at[i]] = some[at[j]] = True
         yield from t.filter(pa.array(some)).to_batches()
 
     return lambda batches: groups(batches, handle, rows=1 << 15)
@@ -213,28 +243,28 @@ def _compared(plan: tuple[int, int], threshold: float, confidence: float):
 
     def handle(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
-        node, units = t.column("node").to_numpy(), t.column("unit").to_pylist()
-        counts: dict[int, int] = {}
-        out_a, out_b = [], []
-        for a, b, bucket in _buckets(t, starts, plan):
-            x = np.frombuffer(b"".join(units[a:b]), np.float64).reshape(b - a, -1)
-            parent, n, got = np.arange(b - a), bucket.r["n"], np.zeros(b - a)
-            for p in range(0, b - a, STEP):
-                for q in range(p, b - a, STEP):
-                    i, j = bucket.undecided(p, q, threshold, confidence)
-                    near = np.zeros(len(i), bool)
-                    for k in range(0, len(i), EXACT_PAIRS):
-                        near[k : k + EXACT_PAIRS] = np.einsum("ij,ij->i", x[i[k : k + EXACT_PAIRS]], x[j[k : k + EXACT_PAIRS]]) >= threshold
-                    i, j = i[near], j[near]
-                    if len(i):
-                        got += np.bincount(i, weights=n[j], minlength=b - a) + np.bincount(j, weights=n[i], minlength=b - a)
-                        for u, v in forest(i, j, parent):
-                            out_a.append(int(node[a + u])), out_b.append(int(node[a + v]))
-            for k in np.flatnonzero(got):
-                counts[int(node[a + k])] = counts.get(int(node[a + k]), 0) + int(got[k])
-        kinds = [True] * len(out_a) + [False] * len(counts)
+        out_a, out_b, kinds = [], [], []
+        for at, codes, pairs in undecided(t, starts, plan, threshold, confidence):
+            node = t.column("node").to_numpy()[at]
+            x = np.frombuffer(b"".join(t.column("unit").take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), -1)
+            parent, n, got, links = np.arange(len(at)), codes.r["n"], np.zeros(len(at)), []
+            for i, j in pairs:
+                near = np.zeros(len(i), bool)
+                for k in range(0, len(i), EXACT_PAIRS):
+                    near[k : k + EXACT_PAIRS] = np.einsum("ij,ij->i", x[i[k : k + EXACT_PAIRS]], x[j[k : k + EXACT_PAIRS]]) >= threshold
+                i, j = i[near], j[near]
+                if len(i):
+                    got += np.bincount(i, weights=n[j], minlength=len(at)) + np.bincount(j, weights=n[i], minlength=len(at))
+                    links += forest(i, j, parent)
+            known, which = np.unique(node, return_inverse=True)
+            sums = np.bincount(which, weights=got)
+            out_a += node[[u for u, _ in links]].tolist() if links else []
+            out_b += node[[v for _, v in links]].tolist() if links else []
+            kinds += [True] * len(links) + [False] * int((sums > 0).sum())
+            out_a += known[sums > 0].tolist()
+            out_b += sums[sums > 0].astype(np.int64).tolist()
         if kinds:
-            yield pa.RecordBatch.from_arrays([pa.array(out_a + list(counts), pa.int64()), pa.array(out_b + list(counts.values()), pa.int64()), pa.array(kinds)], names=["a", "b", "is_edge"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(kinds)], names=["a", "b", "is_edge"])
 
     return lambda batches: groups(batches, handle, rows=1 << 14)
 
