@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from missive.llm.buckets import dealt, groups
+from missive.llm.buckets import dealt, groups, spread_join
 from missive.llm.common import prepare, table, text_or_empty, written
 from missive.llm.components import connected_components
 
@@ -164,8 +164,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [np.unique(shingle_hashes(hash_words(split_words(t)))) for t in batch.column(1).to_pylist()]
         sigs = [signature(s).astype("<u4") for s in sets]
         bands = [[xxhash.xxh3_64_intdigest(s[b * BAND_ROWS : (b + 1) * BAND_ROWS].tobytes(), b) - (1 << 63) for b in range(BANDS)] for s in sigs]
-        node = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "shingles", "sig", "bands"])
+        same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        columns = {
+            "doc_id": batch.column(0), "same": pa.array(same, pa.binary()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
+            "sig": pa.array([s.tobytes() for s in sigs], pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())),
+        }
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def _forest(alike):
@@ -216,15 +220,17 @@ def _by_jaccard(payload: list[bytes]):
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, component_id: the least doc_id reachable over pairs of Jaccard similarity 0.8 or more."""
     prepare(docs.sparkSession)
-    rows = written(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_signatures, "doc_id bigint, node bigint, shingles binary, sig binary, bands array<bigint>"), "minhash-sets")
-    sets = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles")), "minhash-classes")
+    signed = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_signatures, "doc_id bigint, same binary, shingles binary, sig binary, bands array<bigint>")
+    rows = written(signed, "minhash-sets")
+    sets = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
+    sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
     banded = sets.select("node", F.col("sig").alias("payload"), F.posexplode("bands").alias("table", "key"))
     maybe = connected_components(dealt(banded, "node", BUCKET_CAP).mapInArrow(_forest(_by_signature), "a bigint, b bigint"))
     grouped = sets.join(maybe, "node").select(F.lit(0).alias("table"), F.col("root").alias("key"), "node", F.col("shingles").alias("payload"))
     sure = connected_components(dealt(grouped, "node", EXACT_CAP).mapInArrow(_forest(_by_jaccard), "a bigint, b bigint"))
-    rooted = sets.select("node", "first").join(sure, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = sets.select("node", "same", "first").join(sure, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "node").join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return rows.select("doc_id", "same").join(spread_join(rooted, least, "root", "node").select("same", "component_id"), "same").select("doc_id", "component_id")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
