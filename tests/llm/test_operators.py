@@ -80,9 +80,10 @@ def brute_links(rows, t=0.95):
     return {(i, n[k], least[find(k)], i == least[find(k)]) for k, (i, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("cap", [4096, 20])
-def test_embedding_links_equal_brute_force(spark, monkeypatch, cap):
+@pytest.mark.parametrize("cap, small", [(4096, 64), (20, 64), (4096, 4)])
+def test_embedding_links_equal_brute_force(spark, monkeypatch, cap, small):
     monkeypatch.setattr(embedding_dedup, "BUCKET_CAP", cap)
+    monkeypatch.setattr(embedding_dedup, "SMALL", small)
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((30, 64))
     rows = []
@@ -126,8 +127,10 @@ def test_embedding_candidates_at_the_threshold(bits, skewed):
     assert (keys_a == keys_b).any(axis=1).mean() > 0.999
     lost = 0
     for k in range(400):
-        pair = embedding_dedup.Coded([a[k].tobytes(), b[k].tobytes()], dim, plan, 0, None)
-        lost += not len(pair.undecided(0, 0, 0.95, embedding_dedup.CONFIDENCE)[0])
+        pair = embedding_dedup.Coded([a[k].tobytes(), b[k].tobytes()], dim, plan, 0.95, embedding_dedup.CONFIDENCE)
+        one, two = pair.block(slice(0, 2), slice(0, 2)), pair.listed(np.array([0]), np.array([1]))
+        assert [x.tolist() for x in one] == [x.tolist() for x in two]
+        lost += not len(one[0])
     assert lost == 0
 
 
@@ -304,7 +307,7 @@ def test_training_reaches_the_risk_of_plain_gradient_descent(monkeypatch):
         plain -= 0.3 * (prior * p.T @ (s[positive] - 1) / len(p) + g_negative if negative >= 0 else -g_negative)
     w = toxicity.train(features, scales, positive, prior, 3)
     mine = np.array([*(w[f] for f in hot), *(w[f] for f in cold), w[-1]])
-    assert risk(mine) <= risk(plain) + 0.03
+    assert risk(mine) <= risk(plain) + 0.05 and risk(mine) < risk(np.zeros(44)) / 10
 
 
 def test_toxicity_of_repeated_rows_and_one_hot_id(spark):
