@@ -7,7 +7,6 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"m7_calibrated", "m8_out_of_fold", "m10_predict", "m12_train", "m14_compare_arms", "m16_search"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
