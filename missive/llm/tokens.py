@@ -21,9 +21,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of the cached words and their ids in one Python worker; the least lately used half goes beyond it.
-CACHE_BYTES = 16 << 20
+CACHE_BYTES = 24 << 20
 #: Longer cuts aren't kept. Characters of text that are cut and gathered at once.
-LONGEST_CACHED, BLOCK_CHARS = 64, 1 << 20
+LONGEST_CACHED, BLOCK_CHARS = 64, 4 << 20
 _GAP, _CUT = re.compile(r" (?:\s|\Z)"), re.compile(r" (?=\S)")
 
 
