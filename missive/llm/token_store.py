@@ -24,13 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from missive.llm.common import new_path, prepare, range_count, table, text_bytes, text_or_empty
+from missive.llm.common import new_path, prepare, range_count, table, text_bytes, text_or_empty, written
 from missive.llm.tokens import WordCachedTokenizer
 
 MAGIC = b"DAC1"
 BLOCK_BITS = 512
 #: A shard is closed when it holds so many ids.
 SHARD_IDS = 1 << 18
+#: Shards whose starts (20 bytes each) may be broadcast: some 26 billion ids; else they are joined.
+BROADCAST_SHARDS = 100_000
 
 
 def encode_codes(ids: np.ndarray) -> bytes:
@@ -176,7 +178,10 @@ def shard_starts(shards: DataFrame) -> DataFrame:
 def read_token_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, last_id, and ids (little-endian 32 bit)."""
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    full = shards.join(shard_starts(shards).drop("n_ids"), ["part", "seq"]).select("doc_ids", "counts", "start", "codes")
+    starts = written(shard_starts(shards).drop("n_ids"), "shard-starts", n=F.count(F.lit(1)))
+    if starts.metrics["n"] <= BROADCAST_SHARDS:
+        starts = F.broadcast(starts)
+    full = shards.join(starts, ["part", "seq"]).select("doc_ids", "counts", "start", "codes")
     return full.mapInArrow(_read_ids(with_ids), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, last_id bigint" + ", ids binary" * with_ids)
 
 

@@ -367,6 +367,9 @@ def test_added_tokens_have_the_ids_of_the_plain_library(spark, tmp_path):
 def test_tokens_by_position(spark, real, tmp_path, monkeypatch):
     monkeypatch.setattr(token_store, "SHARD_IDS", 700)
     token_store.write_token_store(real.repartition(5), str(tmp_path / "s"), BPE)
+    broadcast = sorted(map(tuple, token_store.read_token_store(spark, str(tmp_path / "s")).collect()))
+    monkeypatch.setattr(token_store, "BROADCAST_SHARDS", 0)
+    assert broadcast == sorted(map(tuple, token_store.read_token_store(spark, str(tmp_path / "s")).collect()))
     flat = [i for r in sorted(token_store.read_token_store(spark, str(tmp_path / "s")).collect(), key=lambda r: r["start"]) for i in np.frombuffer(r["ids"], "<u4").tolist()]
     at = sorted({0, 1, 699, 700, 701, len(flat) - 1, *np.random.default_rng(2).integers(0, len(flat), 300).tolist()})
     asked = spark.createDataFrame([(p,) for p in [*at, at[0], len(flat), -1]] + [(None,)], "position bigint")
