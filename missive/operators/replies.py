@@ -174,9 +174,9 @@ def fill_samples(text: Column) -> Column:
     return F.array_join(filled, "")
 
 
-# Sample values by ordered rules, and the variants that repeats take in turn.
+# Sample values by ordered rules, and the variants that repeats take in turn; links are on a host of no one.
 SAMPLE_RULES = [
-    (r"link|url|href|click here|pay here|track|view|anytime|below", "https://nbr.in/p/8c31fa"),
+    (r"link|url|href|click here|pay here|track|view|anytime|below", "https://example.com/p/8c31fa"),
     (r"date|deadline|expiry|expires|scheduled (?:on|for)|by\b|due on", "12 October"),
     (r"time|slot|between|at\b", "3:30 PM"),
     (r"amount|price|payment of|balance|emi|fee|charge|rs\.?|₹|worth|overdue", "₹4,250"),
@@ -190,7 +190,7 @@ SAMPLE_RULES = [
 ]
 SAMPLE_DEFAULT = "8421337"
 VARIANTS = {
-    "https://nbr.in/p/8c31fa": ["https://nbr.in/p/8c31fa", "https://nbr.in/b/47dd10", "https://nbr.in/t/9ba2e5"],
+    "https://example.com/p/8c31fa": ["https://example.com/p/8c31fa", "https://example.com/b/47dd10", "https://example.com/t/9ba2e5"],
     "₹4,250": ["₹4,250", "₹1,890", "₹12,400"],
     "8421337": ["8421337", "5530912", "7104468"],
     "12 October": ["12 October", "18 October", "3 November"],
