@@ -174,7 +174,7 @@ def fill_samples(text: Column) -> Column:
     return F.array_join(filled, "")
 
 
-# Sample values by ordered rules, and the variants that repeats take in turn; links are on a host of no one.
+# Sample values by ordered rules, and the variants that repeats take in turn; links are on a neutral host.
 SAMPLE_RULES = [
     (r"link|url|href|click here|pay here|track|view|anytime|below", "https://example.com/p/8c31fa"),
     (r"date|deadline|expiry|expires|scheduled (?:on|for)|by\b|due on", "12 October"),
