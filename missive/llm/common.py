@@ -6,7 +6,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that go to Python at once; texts may be long, so far fewer than Spark's own bounds.
@@ -42,18 +42,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives lost executors.
 
-    ``metrics`` are aggregates over it, gathered while it is written, in the result's ``metrics``.
+    ``metrics`` are aggregates over it, read from the written table, in the result's ``metrics``; a count
+    reads no column.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    if metrics:
-        seen = Observation()
-        df.observe(seen, *[c.alias(k) for k, c in metrics.items()]).write.parquet(path)
-    else:
-        df.write.parquet(path)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.path = path
-    out.metrics = seen.get if metrics else {}
+    out.metrics = out.agg(*[c.alias(k) for k, c in metrics.items()]).first().asDict() if metrics else {}
     return out
 
 
