@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from missive.llm import bwt_dedup, chat, embedding_dedup, line_dedup, minhash, mixing, packing, simhash, token_store, toxicity
+from missive.llm import bwt_dedup, chat, embedding_dedup, forced_bpe, line_dedup, minhash, mixing, packing, simhash, spelling, token_store, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_minhash": minhash.op9_minhash,
     "op10_bwt_dedup": bwt_dedup.op10_bwt_dedup,
+    "op11_spelling_groups": spelling.op11_spelling_groups,
+    "op12_forced_bpe": forced_bpe.op12_forced_bpe,
     "minhash_near_duplicates": minhash.minhash_near_duplicates,
 }
-ORACLE_SQL = {"op3_line_dedup": line_dedup.OP3_SQL, "op6_chat": chat.OP6_SQL}
+ORACLE_SQL = {"op3_line_dedup": line_dedup.OP3_SQL, "op6_chat": chat.OP6_SQL, "op11_spelling_groups": spelling.OP11_SQL}
