@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from missive.llm import bwt_dedup, chat, embedding_dedup, forced_bpe, line_dedup, minhash, mixing, packing, simhash, spelling, token_store, toxicity
+from missive.llm import bwt_dedup, chat, embedding_dedup, forced_bpe, line_dedup, minhash, mixing, packing, simhash, spelling, token_store, toxicity, vector_codes
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_bwt_dedup": bwt_dedup.op10_bwt_dedup,
     "op11_spelling_groups": spelling.op11_spelling_groups,
     "op12_forced_bpe": forced_bpe.op12_forced_bpe,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
     "minhash_near_duplicates": minhash.minhash_near_duplicates,
 }
-ORACLE_SQL = {"op3_line_dedup": line_dedup.OP3_SQL, "op6_chat": chat.OP6_SQL, "op11_spelling_groups": spelling.OP11_SQL}
+ORACLE_SQL = {"op3_line_dedup": line_dedup.OP3_SQL, "op6_chat": chat.OP6_SQL, "op11_spelling_groups": spelling.OP11_SQL, "op13_vector_codes": vector_codes.OP13_SQL}
