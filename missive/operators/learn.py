@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseVector, Vectors
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.ml.feature import IDF, CountVectorizer, NGram
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missive.functions.text import normalized_content, record_content, structural_features
 from missive.operators import metrics as M
+from missive.operators.fits import Models, Problem, fit, fit_sigmoids, n_features, singular
 from missive.operators.similarity import WORDS_CAP, Index, best_pairs, word_terms
 from missive.operators.splits import folds, grouped_holdout_with_both
+from missive.operators.vectors import cohens_d, fit_direction, l2_normalize
 from missive.sources.scratch import written
 
-FEATURES = ["placeholder_count", "distinct_placeholders", "button_count", "has_header", "has_footer", "body_length", "emoji_count", "exclamation_count", "symbol_count", "uppercase_ratio", "number_count", "url_count"]
+FEATURES = [
+    "placeholder_count", "distinct_placeholders", "button_count", "has_header", "has_footer", "body_length",
+    "emoji_count", "exclamation_count", "symbol_count", "uppercase_ratio", "number_count", "url_count",
+]
 
 
 def text_columns(df: DataFrame, normalize: bool = True) -> DataFrame:
@@ -30,20 +33,27 @@ def text_columns(df: DataFrame, normalize: bool = True) -> DataFrame:
 
 
 class Featurizer:
-    """Fitted TF-IDF of unit length, with one added to Spark's idf so that no weight vanishes."""
+    """Fitted TF-IDF of unit length: transform adds idx and val, the places and values of a row's features.
 
-    def __init__(self, train: DataFrame, kind: str = "word", cap: int = 25_000, char_cap: int | None = None, char_min_df: int = 1):
-        self.kind, self.models = kind, []
-        for source in {"word": ["words"], "char": ["chars"], "both": ["words", "chars"], "structure": ["words"]}[kind]:
+    structure appends the twelve counts of a message, each standardized on the fitted rows.
+    """
+
+    SOURCES = {"word": ["words"], "char": ["chars"], "both": ["words", "chars"], "structure": ["words"]}
+
+    def __init__(self, train: DataFrame, kind: str = "word", cap: int = 25_000, char_cap: int | None = None, char_min_df: int = 1, sublinear: bool = True):
+        self.sublinear, self.models, self.size = sublinear, [], 0
+        for source in self.SOURCES[kind]:
             data = self._grams(train, source)
             chars = source == "chars"
             counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=char_cap or cap if chars else cap, minDF=char_min_df if chars else 1).fit(data)
-            idf = IDF(inputCol="tf", outputCol="x").fit(counts.transform(data))
-            self.models.append((source, counts, DenseVector(idf.idf.toArray() + 1.0)))
-        self.scaler = None
+            idf = IDF(inputCol="tf", outputCol="x").fit(counts.transform(data)).idf.toArray() + 1.0  # one is added so that no weight vanishes
+            self.models.append((source, counts, idf.tolist(), self.size))
+            self.size += len(idf)
+        self.scale = None
         if kind == "structure":
-            rows = VectorAssembler(inputCols=FEATURES, outputCol="raw").transform(structural_features(train))
-            self.scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True).fit(rows)
+            rows = structural_features(train)
+            self.scale = rows.agg(*[F.avg(c).alias(f"{c}_m") for c in FEATURES], *[F.stddev_pop(c).alias(f"{c}_s") for c in FEATURES]).first().asDict()
+            self.counts_at, self.size = self.size, self.size + len(FEATURES)
 
     @staticmethod
     def _grams(df: DataFrame, source: str) -> DataFrame:
@@ -51,82 +61,118 @@ class Featurizer:
             return df.withColumn("grams", F.col("chars"))
         return NGram(n=2, inputCol="words", outputCol="pairs").transform(df).withColumn("grams", F.concat("words", "pairs")).drop("pairs")
 
+    def terms(self, spark: SparkSession) -> DataFrame:
+        """place, source, term: what the places of text features stand for."""
+        rows = [(at + k, source, term) for source, counts, _, at in self.models for k, term in enumerate(counts.vocabulary)]  # bounded by the caps
+        return spark.createDataFrame(rows, "place int, source string, term string")
+
     def transform(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.feature import ElementwiseProduct
+        columns, parts = df.columns, []
+        for source, counts, idf, at in self.models:
+            weights = df.sparkSession.createDataFrame([(idf,)], f"idf_{source} array<double>")  # one row, bounded by the cap
+            df = counts.transform(self._grams(df, source)).crossJoin(F.broadcast(weights)).withColumn("tf", F.unwrap_udt("tf"))
+            tf = (lambda v: 1 + F.log(v)) if self.sublinear else (lambda v: v)
+            raw = F.zip_with("tf.indices", "tf.values", lambda i, v: tf(v) * F.element_at(f"idf_{source}", i + 1))
+            df = df.withColumn("x", raw).withColumn("n", F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x)))
+            df = df.withColumns({f"i_{source}": F.transform("tf.indices", lambda i: i + at), f"v_{source}": F.transform("x", lambda x: x / F.col("n"))})
+            df = df.drop("tf", "x", "n", "grams", f"idf_{source}")
+            parts.append((f"i_{source}", f"v_{source}"))
+        if self.scale is not None:
+            own = [c for c in FEATURES if c not in columns]
+            df = structural_features(df)
+            values = [(F.col(c) - (self.scale[f"{c}_m"] or 0.0)) / (self.scale[f"{c}_s"] or 1.0) for c in FEATURES]
+            places = F.sequence(F.lit(self.counts_at), F.lit(self.counts_at + len(FEATURES) - 1))
+            df = df.withColumns({"i_counts": places, "v_counts": F.array(*values)}).drop(*own)
+            parts.append(("i_counts", "v_counts"))
+        return df.select(*columns, F.concat(*[i for i, _ in parts]).alias("idx"), F.concat(*[v for _, v in parts]).alias("val"))
+
+
+class Latent:
+    """Rows in the space of the largest singular vectors of fitted features, of unit length."""
+
+    def __init__(self, rows: DataFrame, k: int = 100):
+        n = rows.count()
+        self.k = max(1, min(k, n - 1, n_features(rows) - 1))
+        self.values, vectors = singular(rows, self.k)
+        self.map = Models(np.vstack([vectors, np.zeros((1, vectors.shape[1]))]))
 
-        parts = []
-        for source, counts, idf in self.models:
-            df = counts.transform(self._grams(df, source))
-            df = ElementwiseProduct(scalingVec=idf, inputCol="tf", outputCol="x").transform(df)
-            df = Normalizer(inputCol="x", outputCol=f"f_{source}").transform(df).drop("tf", "x", "grams")
-            parts.append(f"f_{source}")
-        if self.scaler is not None:
-            df = self.scaler.transform(VectorAssembler(inputCols=FEATURES, outputCol="raw").transform(structural_features(df)))
-            parts.append("scaled")
-        return VectorAssembler(inputCols=parts, outputCol="features").transform(df).drop(*parts)
+    def transform(self, df: DataFrame) -> DataFrame:
+        """df with vector, and with idx and val of that vector in place of its features."""
+        out = self.map.margins(df, "vector").withColumn("vector", l2_normalize(F.col("vector")))
+        return out.withColumns({"idx": F.sequence(F.lit(0), F.lit(self.k - 1)), "val": F.col("vector")})
 
 
-def balanced(df: DataFrame) -> DataFrame:
-    """weight: n / (2 n_class)."""
-    counts = df.groupBy("y").agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    return df.join(F.broadcast(counts), "y").crossJoin(F.broadcast(total)).withColumn("weight", F.col("__total") / (2 * F.col("__n"))).drop("__n", "__total")
+class Linear:
+    """One fitted model: margin, p (of class 1) and prediction for rows with idx and val."""
 
+    def __init__(self, models: Models):
+        self.models = models
 
-def fit_logistic(df: DataFrame, c: float = 1.0, weighted: bool = True):
-    rows = balanced(df) if weighted else df.withColumn("weight", F.lit(1.0))
-    total = rows.agg(F.sum("weight")).first()[0]
-    return LogisticRegression(labelCol="y", weightCol="weight", regParam=1.0 / (c * total), standardization=False, maxIter=20).fit(rows)
+    def transform(self, df: DataFrame) -> DataFrame:
+        rows = self.models.margins(df, "margin").withColumn("margin", F.col("margin")[0])
+        return rows.withColumns({"p": 1 / (1 + F.exp(-F.col("margin"))), "prediction": (F.col("margin") > 0).cast("double")})
 
 
-def fit_svm(df: DataFrame, c: float = 1.0, weighted: bool = True):
-    rows = balanced(df) if weighted else df.withColumn("weight", F.lit(1.0))
-    total = rows.agg(F.sum("weight")).first()[0]
-    return LinearSVC(labelCol="y", weightCol="weight", regParam=1.0 / (c * total), standardization=False, maxIter=20).fit(rows)
+def fit_logistic(df: DataFrame, c: float = 1.0, weighted: bool = True) -> Linear:
+    return Linear(fit(written(df.select("y", "idx", "val")), [Problem("logistic", c, weighted)]))
 
 
-def margin(c: str = "rawPrediction") -> Column:
-    return F.element_at(vector_to_array(F.col(c)), 2)
+def fit_svm(df: DataFrame, c: float = 1.0, weighted: bool = True) -> Linear:
+    """Squared hinge loss; the bias counts as a weight."""
+    return Linear(fit(written(df.select("y", "idx", "val")), [Problem("squared_hinge", c, weighted, penalized_bias=True)]))
 
 
-class Calibrated:
-    """An average over folds of a classifier and its sigmoid, the latter fitted on the fold left out."""
+class Ensemble:
+    """The mean of some models' sigmoids."""
 
-    def __init__(self, df: DataFrame, n_folds: int = 5, c: float = 1.0):
-        rows = written(folds(df, n_folds))
-        self.members = []
-        for k in range(n_folds):
-            model = fit_logistic(rows.where(F.col("fold") != k), c)
-            held = model.transform(rows.where(F.col("fold") == k)).select("y", margin().alias("m"))
-            self.members.append((model, *self._sigmoid(held)))
-
-    @staticmethod
-    def _sigmoid(held: DataFrame) -> tuple[float, float]:
-        """Slope and intercept of a logistic fit to smoothed targets: each row counts for both classes, by weight."""
-        n = held.agg(F.coalesce(F.sum("y"), F.lit(0.0)).alias("p"), F.count(F.lit(1)).alias("n")).first()
-        if not n["n"]:
-            return 1.0, 0.0
-        high, low = (n["p"] + 1) / (n["p"] + 2), 1 / (n["n"] - n["p"] + 2)
-        target = F.when(F.col("y") == 1, high).otherwise(low)
-        rows = held.select("m", F.explode(F.array(F.struct(F.lit(1.0).alias("y"), target.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w")))).alias("t")).select("m", "t.y", "t.w")
-        fitted = LogisticRegression(labelCol="y", weightCol="w", standardization=False, maxIter=20).fit(VectorAssembler(inputCols=["m"], outputCol="features").transform(rows))
-        return float(fitted.coefficients[0]), float(fitted.intercept)
+    def __init__(self, models: Models, sigmoids: np.ndarray):
+        self.models, self.sigmoids = models, sigmoids.tolist()
 
     def transform(self, df: DataFrame) -> DataFrame:
-        columns = df.columns
-        for k, (model, slope, intercept) in enumerate(self.members):
-            df = model.transform(df).withColumn(f"__p{k}", 1 / (1 + F.exp(-(slope * margin() + intercept)))).select(*columns, *[f"__p{i}" for i in range(k + 1)])
-        mean = sum((F.col(f"__p{k}") for k in range(len(self.members))), F.lit(0.0)) / len(self.members)
-        return df.withColumn("p", mean).select(*columns, "p")
+        rows = self.models.margins(df, "__m")
+        each = [1 / (1 + F.exp(-(a * F.col("__m")[k] + b))) for k, (a, b) in enumerate(self.sigmoids)]
+        return rows.withColumn("p", sum(each, F.lit(0.0)) / len(each)).select(*df.columns, "p")
+
+
+def _left_out(n: int, column: str = "fold") -> list[tuple[str, int]]:
+    return [(column, k) for k in range(n)]
+
+
+class Calibrated(Ensemble):
+    """An average over folds of a classifier and its sigmoid, the latter fitted on the fold left out; all folds in one batch."""
+
+    def __init__(self, df: DataFrame, n_folds: int = 5, c: float = 1.0):
+        rows = written(folds(df, n_folds).select("y", "idx", "val", "fold"))
+        problems = [Problem(c=c, left_out=(out,)) for out in _left_out(n_folds)]
+        models = fit(rows, problems)
+        super().__init__(models, fit_sigmoids(rows, models, problems))
 
 
 def out_of_fold(df: DataFrame, n_folds: int = 5, c: float = 1.0) -> DataFrame:
-    """Every row with a probability from a model that did not see its family."""
-    rows, out = written(folds(df, n_folds)), None
-    for k in range(n_folds):
-        part = fit_logistic(rows.where(F.col("fold") != k), c).transform(rows.where(F.col("fold") == k)).withColumn("p", F.element_at(vector_to_array("probability"), 2)).select(*df.columns, "p")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Every row with a probability from a model that did not see its family; all folds are fitted in one batch."""
+    rows = written(folds(df, n_folds))
+    models = fit(rows, [Problem(c=c, left_out=(out,)) for out in _left_out(n_folds)])
+    own = models.margins(rows, "__m").withColumn("p", 1 / (1 + F.exp(-F.element_at("__m", F.col("fold") + 1))))
+    return own.select(*df.columns, "p")
+
+
+def calibrated_out_of_fold(df: DataFrame, n_folds: int = 5, c: float = 1.0) -> tuple[DataFrame, Ensemble]:
+    """Out-of-fold probabilities of calibrated models, and a calibrated model of all rows.
+
+    Each outer fold leaves n_folds models of its own, one for each inner fold; those and the n_folds models
+    of all rows are fitted in one batch.
+    """
+    rows = written(folds(folds(df, n_folds), n_folds, "g", name="inner"))
+    nested = [Problem(c=c, left_out=(outer, inner)) for outer in _left_out(n_folds) for inner in _left_out(n_folds, "inner")]
+    plain = [Problem(c=c, left_out=(inner,)) for inner in _left_out(n_folds, "inner")]
+    models = fit(rows, nested + plain)
+    sigmoids = fit_sigmoids(rows, models, nested + plain)
+    pairs = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in sigmoids[: len(nested)]])
+    each = F.zip_with(F.slice("__m", 1, len(nested)), pairs, lambda m, s: 1 / (1 + F.exp(-(s.a * m + s.b))))
+    own = F.slice("__p", F.col("fold") * n_folds + 1, F.lit(n_folds))
+    scored = models.margins(rows, "__m").withColumn("__p", each)
+    scored = scored.withColumn("p", F.aggregate(own, F.lit(0.0), lambda s, x: s + x) / n_folds).select(*df.columns, "p")
+    return scored, Ensemble(Models(models.weights[:, len(nested) :]), sigmoids[len(nested) :])
 
 
 def predictions(df: DataFrame, low: float, high: float) -> DataFrame:
@@ -142,20 +188,21 @@ class Trained:
     low: float
     high: float
     features: Featurizer
-    model: Calibrated
+    model: Ensemble
     rows: DataFrame
 
 
 def train_and_evaluate(clean: DataFrame, target: float = 0.85, n_folds: int = 5) -> Trained:
-    """Thresholds come from out-of-fold training probabilities only; the serving model is fitted anew on everything."""
+    """Thresholds come from calibrated out-of-fold training probabilities only; the serving model is fitted anew on everything."""
     rows = written(grouped_holdout_with_both(text_columns(clean)))
     train, test = rows.where("not holdout"), rows.where("holdout")
     features = Featurizer(train)
     x_train = written(features.transform(train))
-    scored = written(out_of_fold(x_train, n_folds).select("p", F.col("meta_category").alias("recorded_category")))
+    tuning, evaluation = calibrated_out_of_fold(x_train, n_folds)
+    scored = written(tuning.select("p", F.col("meta_category").alias("recorded_category")))
     high = M.operating_point(scored, "p", target).first()[0]
     low = 1 - M.operating_point(scored.withColumn("q", 1 - F.col("p")), "q", target, "MARKETING").first()[0]
-    held = written(predictions(Calibrated(x_train, n_folds).transform(features.transform(test)), low, high))
+    held = written(predictions(evaluation.transform(features.transform(test)), low, high))
     serving = Featurizer(rows)
     return Trained(M.slice_metrics(held), held, low, high, serving, Calibrated(written(serving.transform(rows)), n_folds), rows)
 
@@ -173,9 +220,13 @@ def predict(records: DataFrame, trained: Trained, k: int = 4) -> DataFrame:
     names = trained.rows.select(F.col("id").alias("right_id"), F.col("meta_category").alias("label"))
     near = near.join(names, "right_id").groupBy(F.col("left_id").alias("id")).agg(
         F.array_sort(F.collect_list(F.struct("rank", F.col("right_id").alias("match"), "label", F.round("score", 3).alias("similarity")))).alias("neighbors"))
-    bodies = trained.rows.select(normalized_content(F.col("body")).alias("own")).distinct().withColumn("seen", F.lit(True))
-    scored = trained.model.transform(trained.features.transform(rows)).withColumn("own", normalized_content(F.col("body")))
+    own = normalized_content(F.col("body"))
+    key = F.when(own != "", F.sha2(own, 256))  # blank bodies have no key, so that they aren't one hot key
+    bodies = trained.rows.select(key.alias("own")).where("own is not null").distinct().withColumn("seen", F.lit(True))
+    blank = trained.rows.agg(F.count_if(own == "") > 0).first()[0]
+    scored = trained.model.transform(trained.features.transform(rows)).withColumn("own", key)
     scored = scored.join(known, "id", "left").join(near, "id", "left").join(bodies, "own", "left")
+    scored = scored.withColumn("seen", F.when(F.col("own").isNull(), F.lit(blank)).otherwise(F.col("seen")))
     reason = F.when(F.col("format") != "TEXT", "not_text").when(F.col("known").isNull(), "no_known_vocabulary").otherwise("")
     only = lambda c: F.when(F.col("reason") == "", c)
     p = F.col("p")
@@ -187,22 +238,37 @@ def predict(records: DataFrame, trained: Trained, k: int = 4) -> DataFrame:
     )
 
 
-def compare_arms(train: DataFrame, test: DataFrame, overlapping: DataFrame | None = None, arms=("word", "char", "both", "structure", "sentence_encoder")) -> DataFrame:
-    """arm, status and scores on one split; an arm that cannot run here is recorded as skipped.
+ARMS = ("word", "char", "latent", "structure", "both", "sentence_encoder")
+
+
+def compare_arms(train: DataFrame, test: DataFrame, overlapping: DataFrame | None = None, arms=ARMS) -> DataFrame:
+    """arm, status, dimensions and scores on one split; an arm that cannot run here is recorded as skipped.
 
     overlapping: ids of test rows that are near to training rows; the lower-overlap accuracy leaves them out.
+    All arms have sublinear term frequencies; latent is word features in up to 100 singular dimensions.
     """
-    out, session = None, train.sparkSession
+    out, session, word = None, train.sparkSession, None
     near = (overlapping if overlapping is not None else session.createDataFrame([], "id string")).select("id").distinct().withColumn("near", F.lit(True))
-    marked = test.join(near, "id", "left").withColumn("apart", F.col("near").isNull())
+    marked = written(test.join(near, "id", "left").withColumn("apart", F.col("near").isNull()))
+    scores = ["accuracy", "macro_f1", "utility_precision", "utility_recall", "lower_overlap_accuracy"]
     for arm in arms:
         if arm == "sentence_encoder":
-            row = session.range(1).select(F.lit(arm).alias("arm"), F.lit("skipped").alias("status"), F.lit(None).cast("bigint").alias("samples"), *[F.lit(None).cast("double").alias(c) for c in ("accuracy", "lower_overlap_accuracy")])
+            absent = [F.lit(None).cast("bigint").alias(c) for c in ("dimensions", "samples")] + [F.lit(None).cast("double").alias(c) for c in scores]
+            row = session.range(1).select(F.lit(arm).alias("arm"), F.lit("skipped").alias("status"), *absent)
         else:
-            f = Featurizer(train, arm)
-            scored = fit_logistic(f.transform(train)).transform(f.transform(marked))
-            right = (F.when(F.col("prediction") == 1.0, "UTILITY").otherwise("MARKETING") == F.col("meta_category")).cast("double")
-            row = scored.agg(F.lit(arm).alias("arm"), F.lit("run").alias("status"), F.count(F.lit(1)).alias("samples"), F.round(F.avg(right), 4).alias("accuracy"), F.round(F.avg(F.when(F.col("apart"), right)), 4).alias("lower_overlap_accuracy"))
+            f = word if arm == "latent" and word else Featurizer(train, "word" if arm == "latent" else arm)
+            word = f if arm in ("word", "latent") else word
+            x, dimensions = written(f.transform(train).select("id", "y", "idx", "val")), f.size
+            held = f.transform(marked)
+            if arm == "latent":
+                latent = Latent(x)
+                x, held, dimensions = written(latent.transform(x)), latent.transform(held), latent.k
+            scored = fit_logistic(x).transform(held)
+            scored = written(scored.select("apart", F.col("meta_category").alias("recorded_category"), F.when(F.col("prediction") == 1.0, "UTILITY").otherwise("MARKETING").alias("prediction")))
+            right = (F.col("prediction") == F.col("recorded_category")).cast("double")
+            row = scored.agg(*M.score_columns(), F.round(F.avg(F.when(F.col("apart"), right)), 6).alias("lower_overlap_accuracy"))
+            f1 = M.classification_report(scored).agg(F.max("macro_f1").alias("macro_f1"))
+            row = row.crossJoin(F.broadcast(f1)).select(F.lit(arm).alias("arm"), F.lit("run").alias("status"), F.lit(dimensions).cast("bigint").alias("dimensions"), "samples", *scores)
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -211,40 +277,35 @@ def compare_arms(train: DataFrame, test: DataFrame, overlapping: DataFrame | Non
 SEARCH_KINDS, SEARCH_C, SEARCH_MODELS = ("word", "char", "both"), (0.3, 1.0, 3.0), ("svm", "logistic")
 SEARCH_WORDS, SEARCH_CHARS = 50_000, 80_000
 # End of fixed values.
-#: Fits that run at once, as in Spark's own tuning.
-PARALLEL_FITS = 4
 
 
 def search(train: DataFrame, valid: DataFrame, requested_only: bool = False, kinds=SEARCH_KINDS, cs=SEARCH_C, models=SEARCH_MODELS) -> DataFrame:
     """setting, name, requested-UTILITY and overall accuracy, ranked; the first of equals leads.
 
     requested_only: fitted on requested UTILITY alone, with and without class weights, and what was
-    requested as MARKETING is MARKETING.
+    requested as MARKETING is MARKETING. Settings that share features are fitted and scored together.
     """
-    from multiprocessing.pool import ThreadPool
-
-    settings, tables = [], {}
+    found = []
+    losses = {"svm": "squared_hinge", "logistic": "logistic"}
+    asked = F.col("requested_category") == "UTILITY"
     for kind in kinds:
         for normalize in (True, False):
             rows = text_columns(train, normalize)
             f = Featurizer(rows, kind, SEARCH_WORDS, SEARCH_CHARS, 2)
-            x = written(f.transform(rows.where("requested_category = 'UTILITY'") if requested_only else rows).select("y", "features"))
-            tables[kind, normalize] = x, written(f.transform(text_columns(valid, normalize)).select("y", "requested_category", "features"))
-            settings += [(kind, normalize, c, name, w) for c in cs for name in models for w in ((False, True) if requested_only else (False,))]
-
-    def scored(number: int) -> tuple:
-        kind, normalize, c, name, weighted = settings[number]
-        x, v = tables[kind, normalize]
-        out = (fit_logistic if name == "logistic" else fit_svm)(x, c, weighted).transform(v)
-        asked = F.col("requested_category") == "UTILITY"
-        guess = F.when(~asked, 0.0).otherwise(F.col("prediction")) if requested_only else F.col("prediction")
-        right = (guess == F.col("y")).cast("double")
-        row = out.agg(F.round(F.avg(F.when(asked, right)), 4).alias("a"), F.round(F.avg(right), 4).alias("b")).first()
-        text = "/".join([kind, "normalized" if normalize else "plain", name, str(c)] + (["balanced" if weighted else "plain"] if requested_only else []))
-        return number, text, row["a"], row["b"]
-
-    with ThreadPool(PARALLEL_FITS) as pool:
-        found = pool.map(scored, range(len(settings)))
+            x = written(f.transform(rows.where("requested_category = 'UTILITY'") if requested_only else rows).select("y", "idx", "val"))
+            settings = [(c, name, w) for c in cs for name in models for w in ((False, True) if requested_only else (False,))]
+            fitted = fit(x, [Problem(losses[name], c, w, penalized_bias=True) for c, name, w in settings], f.size)
+            scored = fitted.margins(f.transform(text_columns(valid, normalize)).select("y", "requested_category", "idx", "val"))
+            scores = []
+            for k in range(len(settings)):
+                guess = (F.col("margins")[k] > 0).cast("double")
+                guess = F.when(~asked, 0.0).otherwise(guess) if requested_only else guess
+                right = (guess == F.col("y")).cast("double")
+                scores += [F.round(F.avg(F.when(asked, right)), 4).alias(f"a{k}"), F.round(F.avg(right), 4).alias(f"b{k}")]
+            row = scored.agg(*scores).first()
+            for k, (c, name, w) in enumerate(settings):
+                text = "/".join([kind, "normalized" if normalize else "plain", name, str(c)] + (["balanced" if w else "plain"] if requested_only else []))
+                found.append((len(found), text, row[f"a{k}"], row[f"b{k}"]))
     ranked = sorted(found, key=lambda r: (-(r[2] or 0.0), -(r[3] or 0.0), r[0]))  # one row for each setting
     rows = [(*r, k + 1) for k, r in enumerate(ranked)]
     return train.sparkSession.createDataFrame(rows, "setting int, name string, requested_accuracy double, accuracy double, rank int")
@@ -252,32 +313,45 @@ def search(train: DataFrame, valid: DataFrame, requested_only: bool = False, kin
 
 def lsa(df: DataFrame, k: int = 50) -> DataFrame:
     """id, vector: rows of unit length in the space of the largest singular vectors (signs are free)."""
-    from pyspark.mllib.linalg import Vectors as OldVectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+    rows = written(df.select("id", "idx", "val"))
+    return Latent(rows, k).transform(rows).select("id", "vector")
 
-    # PySpark has the decomposition on RDD matrices alone
-    rows = df.select("id", "features").rdd.zipWithIndex()
-    matrix = IndexedRowMatrix(rows.map(lambda r: IndexedRow(r[1], OldVectors.fromML(r[0]["features"]))))
-    svd = matrix.computeSVD(min(k, matrix.numCols() - 1), computeU=True)
-    s = svd.s.toArray()
-    scaled = svd.U.rows.map(lambda r: (r.index, Vectors.dense(r.vector.toArray() * s)))
-    ids = rows.map(lambda r: (r[1], r[0]["id"]))
-    joined = ids.join(scaled).map(lambda x: (x[1][0], x[1][1]))
-    out = df.sparkSession.createDataFrame(joined, ["id", "x"])
-    return Normalizer(inputCol="x", outputCol="n").transform(out).select("id", vector_to_array("n").alias("vector"))
 
+def compare_texts(records: DataFrame, dimensions: int = 100) -> DataFrame:
+    """Methods on text vectors made here, and TF-IDF, on one grouped holdout: method, slice, scores, direction_auc, separation.
 
-def to_vector(df: DataFrame, column: str = "vector") -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
+    embedding: calibrated logistic regression on the vectors; tfidf: the same on TF-IDF; direction: the discriminant at its midpoint.
+    The vectors are the latent ones of the training rows' words, so no test row takes part in them.
+    """
+    rows = written(grouped_holdout_with_both(text_columns(records)))
+    f = Featurizer(rows.where("not holdout"))
+    x = written(f.transform(rows).select("id", "family", "holdout", "y", "requested_category", F.col("meta_category").alias("recorded_category"), "idx", "val"))
+    latent = Latent(x.where("not holdout"), dimensions)
+    v = written(latent.transform(x))
+    direction = fit_direction(v.where("not holdout"), "recorded_category")
+    named = lambda df, p, name: df.select(
+        F.lit(name).alias("method"), "recorded_category", "requested_category", F.when(p >= 0.5, "UTILITY").otherwise("MARKETING").alias("prediction"), p.alias("s"))
+    held = named(v.where("holdout"), direction.score(F.col("vector")), "direction")
+    held = written(held.unionByName(named(Calibrated(v.where("not holdout")).transform(v.where("holdout")), F.col("p"), "embedding"))
+                   .unionByName(named(Calibrated(x.where("not holdout")).transform(x.where("holdout")), F.col("p"), "tfidf")))
+    slices = F.array(F.lit("all"), F.when(F.col("requested_category") == "UTILITY", F.lit("requested_utility")))
+    scores = held.withColumn("slice", F.explode(slices)).where("slice is not null").groupBy("method", "slice").agg(*M.score_columns())
+    own = held.where("method = 'direction'")
+    apart = M.roc_auc(own, "s").withColumnRenamed("auc", "direction_auc").crossJoin(cohens_d(own, "s", "recorded_category").withColumnRenamed("cohens_d", "separation"))
+    return scores.crossJoin(F.broadcast(apart))
 
-    return df.withColumn("features", array_to_vector(F.transform(column, lambda x: x.cast("double"))))
+
+def to_vector(df: DataFrame, column: str = "vector") -> DataFrame:
+    """df with a dense vector as features: idx and val."""
+    return df.withColumns({"idx": F.sequence(F.lit(0), F.size(column) - 1), "val": F.transform(column, lambda x: x.cast("double"))})
 
 
 def fit_forms(approved: DataFrame, k: int = 24, restarts: int = 10):
     """The k-means model of least cost over some restarts."""
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
 
-    rows = written(to_vector(approved))
+    rows = written(approved.withColumn("features", array_to_vector(F.transform("vector", lambda x: x.cast("double")))))
     return min((KMeans(k=k, seed=seed, maxIter=20).fit(rows) for seed in range(restarts)), key=lambda m: m.summary.trainingCost)
 
 

@@ -32,8 +32,8 @@ def grouped_holdout_with_both(df: DataFrame, share: float = 0.25, label: str = "
     raise ValueError("no seed gives both labels on both sides")
 
 
-def folds(df: DataFrame, n: int, seed: str = "f", group: str = "family") -> DataFrame:
-    return df.withColumn("fold", F.floor(hash_fraction(seed, F.col(group)) * n).cast("int"))
+def folds(df: DataFrame, n: int, seed: str = "f", group: str = "family", name: str = "fold") -> DataFrame:
+    return df.withColumn(name, F.floor(hash_fraction(seed, F.col(group)) * n).cast("int"))
 
 
 def cutoff(dates: DataFrame, column: str, share: float = 0.75) -> DataFrame:
@@ -72,9 +72,14 @@ def top_share(df: DataFrame, strata: list[str], share: float, seed: str, key: st
 
 
 def fixed_split(df: DataFrame, seed: str = "v", share: float = 0.25) -> DataFrame:
-    """part: holdout by family hash, validation by strata of the rest, else train."""
+    """part: holdout by family hash, validation by strata of the rest, else train.
+
+    Strata are label and requested category; if one of them has a single row, the label alone.
+    """
     held = grouped_holdout(df, 0.25, "s0")
-    rest = top_share(held.where("not holdout"), ["meta_category", "requested_category"], share, seed, "family")
+    strata = ["meta_category", "requested_category"]
+    rare = held.where("not holdout").groupBy(*strata).agg(F.count(F.lit(1)).alias("n")).where("n < 2").limit(1).count()
+    rest = top_share(held.where("not holdout"), strata[:1] if rare else strata, share, seed, "family")
     part = F.when(F.col("chosen"), "validation").otherwise("train")
     return rest.select("family", part.alias("part")).unionByName(held.where("holdout").select("family", F.lit("holdout").alias("part")))
 

@@ -1,4 +1,4 @@
-"""Queries that fit models; their results are checked by tests rather than by SQL."""
+"""Queries that fit models: features have SQL, fitted models are checked by tests against plain solvers."""
 
 from __future__ import annotations
 
@@ -12,7 +12,12 @@ from missive.operators import rules as U
 from missive.operators import similarity as Y
 from missive.operators import splits as S
 from missive.operators import vectors as V
+from missive.operators.replies import fill_by_rule
+from missive.plans import duck as D
 from missive.plans.fixtures import TV, T, fixture
+from missive.plans.metric_queries import FIXED
+from missive.plans.similarity_queries import fit_sql, terms_sql, weight_sql
+from missive.plans.text_queries import _FEATURES as STRUCTURE_SQL
 from missive.plans.vector_queries import e
 from missive.sources.scratch import written
 
@@ -34,31 +39,56 @@ def split(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("part = 'train'"), rows.where("part = 'validation'")
 
 
+SIDES = "trn AS (SELECT c.* FROM clean c JOIN parts USING (family) WHERE part = 'train'), val AS (SELECT c.* FROM clean c JOIN parts USING (family) WHERE part = 'validation')"
+
+
+def _weights(name: str, kind: str, cap: int) -> list[str]:
+    """Weights of the validation rows' terms, fitted on the training rows."""
+    return [terms_sql(f"t{name}", "trn", D.content(), kind), fit_sql(f"t{name}", "trn", cap), terms_sql(f"v{name}", "val", D.content(), kind), weight_sql(f"w{name}", f"v{name}", f"t{name}", True)]
+
+
+SQL["m3_combined_tfidf"] = f"""{D.ctes('tv', D.clean_cte(), FIXED, SIDES, *_weights('w', 'word', 25000), *_weights('c', 'char', 80000))}
+SELECT id, 'words' AS source, term, round(w, 6) AS w FROM ww UNION ALL SELECT id, 'chars', term, round(w, 6) FROM wc"""
+
+
 @query
 def m3_combined_tfidf(s, d):
+    """Words and characters side by side, each of unit length: the features by name."""
     train, valid = split(s, d)
-    out = L.Featurizer(train, "both").transform(valid)
-    return out.select("id", F.round(F.aggregate(F.transform(L.vector_to_array("features"), lambda x: x * x), F.lit(0.0), lambda a, b: a + b), 6).alias("squared_norm"))
+    f = L.Featurizer(train, "both", char_cap=80_000)
+    each = f.transform(valid).select("id", F.explode(F.arrays_zip("idx", "val")).alias("x")).select("id", F.col("x.idx").alias("place"), F.col("x.val").alias("w"))
+    return each.join(F.broadcast(f.terms(s)), "place").select("id", "source", "term", F.round("w", 6).alias("w"))
+
+
+_EXACT = STRUCTURE_SQL.replace("round(coalesce(", "(coalesce(").replace("0), 6) AS uppercase_ratio", "0)) AS uppercase_ratio")
+SQL["m4_structure"] = f"""{D.ctes('tv', D.clean_cte(), FIXED, SIDES)},
+ft AS (UNPIVOT (SELECT {_EXACT} FROM trn) ON {', '.join(L.FEATURES)} INTO NAME feature VALUE x),
+fv AS (UNPIVOT (SELECT id, {_EXACT} FROM val) ON {', '.join(L.FEATURES)} INTO NAME feature VALUE x),
+scale AS (SELECT feature, avg(x) AS m, stddev_pop(x) AS s FROM ft GROUP BY feature)
+SELECT id, feature, round((x - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 5) AS x FROM fv JOIN scale USING (feature)"""
 
 
 @query
 def m4_structure(s, d):
+    """The standardized counts that the structure arm appends."""
     train, valid = split(s, d)
-    return L.Featurizer(train, "structure").transform(valid).select("id", F.size(L.vector_to_array("features")).alias("dimensions"))
+    f = L.Featurizer(train, "structure")
+    own = F.transform(F.slice("val", -len(L.FEATURES), len(L.FEATURES)), lambda x, i: F.struct(F.element_at(F.array(*map(F.lit, L.FEATURES)), i + 1).alias("feature"), F.round(x, 5).alias("x")))
+    return f.transform(valid).select("id", F.explode(own).alias("c")).select("id", "c.feature", "c.x")
 
 
 @query
 def m5_logistic(s, d):
     train, valid = split(s, d)
     f = L.Featurizer(train)
-    return L.fit_logistic(f.transform(train)).transform(f.transform(valid)).select("id", "y", "prediction", F.round(F.element_at(L.vector_to_array("probability"), 2), 4).alias("p"))
+    return L.fit_logistic(f.transform(train)).transform(f.transform(valid)).select("id", "y", "prediction", F.round("p", 4).alias("p"))
 
 
 @query
 def m6_svm(s, d):
     train, valid = split(s, d)
     f = L.Featurizer(train)
-    return L.fit_svm(f.transform(train)).transform(f.transform(valid)).select("id", "y", "prediction")
+    return L.fit_svm(f.transform(train)).transform(f.transform(valid)).select("id", "y", "prediction", F.round("margin", 3).alias("margin"))
 
 
 @query
@@ -71,7 +101,7 @@ def m7_calibrated(s, d):
 @query
 def m8_out_of_fold(s, d):
     train, _ = split(s, d)
-    return L.out_of_fold(L.Featurizer(train).transform(train)).select("id", "fold" if "fold" in train.columns else "family", "y", F.round("p", 4).alias("p"))
+    return L.out_of_fold(L.Featurizer(train).transform(train)).select("id", "family", "y", F.round("p", 4).alias("p"))
 
 
 @query
@@ -110,6 +140,14 @@ def m18_lsa(s, d):
     return L.lsa(L.Featurizer(train).transform(train), 100)
 
 
+@query
+def m18_project(s, d):
+    """Rows that took no part in the decomposition, in its space."""
+    train, valid = split(s, d)
+    f = L.Featurizer(train)
+    return L.Latent(written(f.transform(train).select("idx", "val"))).transform(f.transform(valid)).select("id", "vector")
+
+
 @query
 def m19_forms(s, d):
     rows = e(s, d)
@@ -122,29 +160,36 @@ def m19_forms(s, d):
 def m21_reward(s, d):
     rows = L.to_vector(e(s, d)).withColumn("y", (F.col("category") == "UTILITY").cast("double"))
     model = L.fit_logistic(rows.where("id % 4 <> 0"))
-    return model.transform(rows.where("id % 4 = 0")).select("id", "y", F.round(F.element_at(L.vector_to_array("probability"), 2), 4).alias("reward"))
+    return model.transform(rows.where("id % 4 = 0")).select("id", "y", F.round("p", 4).alias("reward"))
 
 
 @query
 def m28_compare_embedding(s, d):
-    """Direction at its midpoint and logistic regression, on one split: scores, AUC and Cohen's d."""
+    """Direction at its midpoint and logistic regression on given vectors, on one split: scores, AUC and Cohen's d."""
     rows = e(s, d)
     train, test = rows.where("id % 4 <> 0"), rows.where("id % 4 = 0")
     direction = V.fit_direction(train)
-    a = test.select(F.lit("direction").alias("method"), F.col("category").alias("recorded_category"), F.when(direction.score(F.col("vector")) >= 0.5, "UTILITY").otherwise("MARKETING").alias("prediction"), direction.score(F.col("vector")).alias("s"))
+    named = lambda df, p, name: df.select(F.lit(name).alias("method"), F.col("category").alias("recorded_category"), F.when(p >= 0.5, "UTILITY").otherwise("MARKETING").alias("prediction"), p.alias("s"))
+    a = named(test, direction.score(F.col("vector")), "direction")
     model = L.fit_logistic(L.to_vector(train).withColumn("y", (F.col("category") == "UTILITY").cast("double")))
-    b = model.transform(L.to_vector(test)).select(F.lit("logistic").alias("method"), F.col("category").alias("recorded_category"), F.when(F.col("prediction") == 1.0, "UTILITY").otherwise("MARKETING").alias("prediction"), F.element_at(L.vector_to_array("probability"), 2).alias("s"))
+    b = named(model.transform(L.to_vector(test)), F.col("p"), "logistic")
     both = a.unionByName(b)
     out = both.groupBy("method").agg(*M.score_columns())
     apart = [M.roc_auc(x, "s").crossJoin(V.cohens_d(x, "s", "recorded_category")).withColumn("method", F.lit(name)) for name, x in (("direction", a), ("logistic", b))]
     return out.join(apart[0].unionByName(apart[1]), "method")
 
 
+@query
+def m28_compare_texts(s, d):
+    """Calibrated logistic regression and direction on text vectors made here, and calibrated TF-IDF, on the same families."""
+    return L.compare_texts(clean(s, d))
+
+
 def _with_probability(s, d, rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
     train, _ = split(s, d)
     f = L.Featurizer(train)
     model = L.fit_logistic(f.transform(train))
-    return {k: model.transform(f.transform(L.text_columns(x))).withColumn("p", F.element_at(L.vector_to_array("probability"), 2)) for k, x in rows.items()}
+    return {k: model.transform(f.transform(L.text_columns(x))) for k, x in rows.items()}
 
 
 @query
@@ -163,8 +208,7 @@ def p8_ratify(s, d):
 
 @query
 def p14_accept_fill(s, d):
-    from missive.operators.replies import fill_samples
-
-    filled = clean(s, d).withColumn("body", fill_samples(F.col("body")))
+    """Bodies with sample values by rule, where they stay clean and still read as UTILITY; else unfilled."""
+    filled = clean(s, d).withColumn("body", fill_by_rule(F.col("body")))
     out = _with_probability(s, d, {"x": filled})["x"]
     return out.select("id", F.when((F.col("p") >= 0.5) & ~U.is_promotional(F.col("body")), F.col("body")).alias("accepted"))
