@@ -2,7 +2,8 @@
 
 Vectors are long tables (id, term, w). Pairs come from equi-joins on terms; with a threshold,
 only each vector's rarest terms are joined: those without which the rest of the vector cannot
-reach the threshold (prefix filtering). Survivors are then summed exactly.
+reach the threshold (prefix filtering). Survivors are then summed exactly. The k best matches come from
+term lists in blocks, of which each query joins only those that may still beat its k-th best score.
 """
 
 from __future__ import annotations
@@ -55,9 +56,9 @@ class Index:
 
     def __init__(self, df: DataFrame, text: Column, terms=char_terms, cap: int = CHARS_CAP, sublinear: bool = False):
         self.terms, self.sublinear = terms, sublinear
-        own = terms(df, text)
+        own = written(terms(df, text))
         self.n_docs = df.agg(F.count(F.lit(1)).alias("n"))
-        self.vocab = vocabulary(own, cap)
+        self.vocab = written(vocabulary(own, cap))
         self.vectors = weighted(own, self.vocab, self.n_docs, sublinear)
 
     def transform(self, df: DataFrame, text: Column) -> DataFrame:
@@ -85,26 +86,59 @@ def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.0) -> D
     return scores.where(F.col("score") >= threshold if threshold > 0 else F.col("score") > 0)
 
 
-#: Cosines at which ``best_pairs`` tries to settle queries, before it takes any at all.
-LEVELS = (0.75, 0.4)
+#: Cosines at which ``best_pairs`` looks for matches before it takes any; blocks of a term's list.
+LEVELS, BLOCKS = (0.75, 0.4), 8
+
+
+def postings(vectors: DataFrame) -> DataFrame:
+    """id, term, w, tail: the length of what a vector has from the term on, rarest terms first."""
+    onward = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return vectors.where("w > 0").select("id", "term", "w", F.sqrt(F.sum(F.col("w") * F.col("w")).over(onward)).alias("tail"))
+
+
+def blocked(lists: DataFrame) -> DataFrame:
+    """lists with block: a term's list is cut by falling tails, so that block b has none above (b + 1) / BLOCKS."""
+    return lists.withColumn("block", F.least(F.lit(BLOCKS - 1), F.floor(F.col("tail") * BLOCKS).cast("int")))
+
+
+def candidates(queries: DataFrame, lists: DataFrame) -> DataFrame:
+    """left_id, right_id of pairs that may reach the query's floor.
+
+    queries: postings with floor. At the first term that two vectors share, rarest first, their cosine is at most
+    the product of their tails. Blocks whose highest tail is too low for a query are never joined with it.
+    """
+    low = F.floor((F.col("floor") - 1e-9) / F.col("tail") * BLOCKS).cast("int") - 1  # (b + 1) / BLOCKS * tail >= floor
+    asked = queries.withColumn("block", F.explode(F.filter(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: b >= low)))
+    a, b = asked.alias("a"), lists.alias("b")
+    met = (F.col("a.term") == F.col("b.term")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.tail") * F.col("b.tail") >= F.col("a.floor") - 1e-9)
+    return a.join(b, met).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
 
 
 def best_pairs(left: DataFrame, right: DataFrame, k: int, levels=LEVELS) -> DataFrame:
     """left_id, right_id, score, rank: the k best of each left vector, cosine above 0.
 
-    Queries with k matches at one level are settled there, by the prefix filter of that level;
-    only the others are joined at the next. What remains at the end shares few terms with anything.
+    A query's floor is the level of the round or its k-th best score so far, whichever is higher. With k
+    matches at or above its floor a query is settled; the others go on to the next level with what they have found.
     """
-    out, todo, right = None, written(left), written(right)
+    queries, lists = written(postings(left)), written(blocked(postings(right)))
+    weights = lists.select(F.col("id").alias("right_id"), "term", F.col("w").alias("b"))
+    held = None
+    todo = queries.select("id").distinct().withColumn("kth", F.lit(0.0))
     for level in (*levels, 0.0):
-        ranked = top_k(cosine_pairs(todo, right, level), k).select("left_id", "right_id", "score", "rank")
+        asked = queries.join(todo.select("id", F.greatest("kth", F.lit(level)).alias("floor")), "id")
+        met = candidates(asked, lists)
+        if held is not None:
+            met = met.join(held.select("left_id", "right_id"), ["left_id", "right_id"], "left_anti")
+        joined = met.join(queries.select(F.col("id").alias("left_id"), "term", F.col("w").alias("a")), "left_id").join(weights, ["right_id", "term"])
+        scores = joined.groupBy("left_id", "right_id").agg(F.round(F.sum(F.col("a") * F.col("b")), SCORE_PLACES).alias("score")).where("score > 0")
+        if held is not None:
+            scores = scores.unionByName(held.select("left_id", "right_id", "score"))
+        held = written(top_k(scores, k).select("left_id", "right_id", "score", "rank"))
+        kth = held.where(F.col("rank") == k).select(F.col("left_id").alias("id"), F.col("score").alias("now"))
+        todo = todo.join(kth, "id", "left").select("id", F.coalesce("now", F.lit(0.0)).alias("kth")).where(F.col("kth") < level)
         if level > 0:
-            ranked = written(ranked)
-            done = ranked.where(F.col("rank") == k).select("left_id")
-            ranked = ranked.join(done, "left_id", "left_semi")
-            todo = written(todo.join(done.withColumnRenamed("left_id", "id"), "id", "left_anti"))
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
+            todo = written(todo)
+    return held
 
 
 def nearest(pairs: DataFrame, ids: DataFrame) -> DataFrame:

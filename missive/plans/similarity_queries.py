@@ -14,6 +14,7 @@ from missive.operators import vectors as V
 from missive.plans import duck as D
 from missive.plans.fixtures import TV, fixture
 from missive.plans.metric_queries import SPANS
+from missive.sources.scratch import written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -35,7 +36,7 @@ def clean(s: SparkSession, d: str) -> DataFrame:
 
 def sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(downgraded, approved) clean families that asked for UTILITY."""
-    rows = O.cohorts(clean(s, d))
+    rows = written(O.cohorts(clean(s, d)))
     return rows.where("cohort = 'downgraded'"), rows.where("cohort = 'approved'")
 
 
