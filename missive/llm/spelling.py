@@ -99,8 +99,12 @@ def near_words(words: DataFrame, min_chars: int = MIN_CHARS, cap: int = CAP) ->
         met = met & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     first = chunk(F.col("a.word"), F.col("a.of"), F.lit(0))
     earlier = (F.substring(F.col("b.word"), F.lit(1), half(F.col("a.of"))) == first) | (F.substring(F.col("b.word"), F.lit(2), half(F.col("a.of"))) == first)
+    # one edit in the other half leaves one of its ends as it is: far cheaper to see than the distance
+    q, shift = half(F.col("a.of")), F.length("b.word") - F.col("a.of")
+    same = lambda i, j: F.substring("a.word", i, F.lit(1)) == F.substring("b.word", j, F.lit(1))
+    ends = F.when(F.col("a.at") == 0, same(F.lit(-1), F.lit(-1)) | same(q + 1, q + 1)).otherwise(same(F.lit(1), F.lit(1)) | same(q, q + shift))
     ordered = (F.length("a.word") < F.length("b.word")) | (F.col("a.word") < F.col("b.word"))
-    verified = ordered & ((F.col("a.at") == 0) | ~earlier) & (F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1)
+    verified = ordered & ends & ((F.col("a.at") == 0) | ~earlier) & (F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1)
     return a.join(b, met & verified).select("a.word", "a.n", F.col("b.word").alias("other"), F.col("b.n").alias("other_n"))
 
 
