@@ -14,7 +14,7 @@ so found are then compared exactly, in bounded blocks, and only pairs of Jaccard
 
 Defined results: a null text is an empty one; empty or blank texts have the fingerprint of
 the empty set, equal to each other; documents are ordered by doc_id, nulls first, repeated
-ids by text; a lone document is its own next one; an empty table gives no rows; other
+ids by a hash of the text, then by text; a lone document is its own next one; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from missive.llm.buckets import dealt, groups, spread_join
-from missive.llm.common import prepare, table, text_or_empty, written
+from missive.llm.common import prepare, range_count, table, text_bytes, text_or_empty, written
 from missive.llm.components import connected_components
 
 SHINGLE, PERMUTATIONS, SEED = 5, 128, 5
@@ -143,10 +143,12 @@ def _at_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The texts shuffle once, by doc_id range; only the two texts at each range's ends move again.
+    The texts shuffle once, by ranges of doc_id and, within an id, of the text's hash, so that no id is one task; only the two texts at each range's ends move again.
     """
     prepare(docs.sparkSession)
-    ordered = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    n = range_count(docs.sparkSession, text_bytes(docs))
+    ordered = docs.select("doc_id", text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     found = written(ordered.mapInArrow(_in_order, f"doc_id bigint, {_SQL}, part bigint, end string, text string"), "minhash")
     ends = found.where("end is not null")
     parts = ends.where("end = 'first'").select("part")

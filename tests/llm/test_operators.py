@@ -529,25 +529,25 @@ def test_hilbert_curve_visits_neighbours():
 
 def test_minhash_edits_and_likeness(spark, real, messy, empty):
     for df in (real, messy):
-        rows = sorted(((r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        got = {}
-        for r in minhash.fingerprints(df).collect():
-            got.setdefault(r["doc_id"], []).append(r)
+        tied = df.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("h", F.xxhash64("t")).collect()
+        rows = [(r["doc_id"], r["t"]) for r in sorted(tied, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["t"]))]
+        fp = lambda x: minhash.Document(x).fingerprint.hex()
+        columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"]
+        found = minhash.fingerprints(df).collect()
+        got, want = sorted((repr([r[c] for c in columns]), r["near_next"], r["near_edited"]) for r in found), []
         for k, (d, t) in enumerate(rows):
-            if sum(x == d for x, _ in rows) > 1:
-                continue
             nxt = rows[(k + 1) % len(rows)][1]
             cut = len(t) // 4
             edited = t[: len(t) - cut] + nxt[:cut]
-            (r,) = got[d]
-            fp = lambda x: minhash.Document(x).fingerprint.hex()
-            assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-            assert r["fingerprint"] == fp(t) and r["edited_fingerprint"] == fp(edited)
-            assert r["near_next"] == pytest.approx(np.mean([fp(t)[i : i + 4] == fp(nxt)[i : i + 4] for i in range(0, 512, 4)]))
+            alike = float(np.mean([fp(t)[i : i + 4] == fp(nxt)[i : i + 4] for i in range(0, 512, 4)]))
+            want.append((repr([d, len(t), hashlib.sha256(edited.encode()).hexdigest(), fp(t), fp(edited)]), alike, t, edited))
+        want.sort()
+        assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want])
+        for (_, _, near), (_, _, t, edited) in zip(got, want):
             if len(t) < 5000:
-                assert r["fingerprint"] == plain_fingerprint(t) and r["edited_fingerprint"] == plain_fingerprint(edited)
+                assert fp(t) == plain_fingerprint(t) and fp(edited) == plain_fingerprint(edited)
                 true = jaccard(t, edited)
-                assert abs(r["near_edited"] - true) <= 5 * (true * (1 - true) / 128) ** 0.5 + 0.02
+                assert abs(near - true) <= 5 * (true * (1 - true) / 128) ** 0.5 + 0.02
     assert minhash.fingerprints(empty).count() == 0
     (lone,) = minhash.fingerprints(docs_of(spark, [(5, BASE, "a")])).collect()
     assert lone["near_next"] == 1.0
