@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from missive.operators.dense import exact_topk
+
 MIN_PER_CLASS, SHRINKAGE = 20, 0.1
 
 
@@ -86,15 +88,18 @@ def cohens_d(df: DataFrame, value: str, label: str = "category") -> DataFrame:
     return df.agg(F.round(F.coalesce(F.try_divide(s(F.avg, "UTILITY") - s(F.avg, "MARKETING"), pooled), F.lit(0.0)), 4).alias("cohens_d"))
 
 
+#: Corpus rows that may be sent to every task.
+BROADCAST_ROWS = 10_000
+
+
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """id, match, score: the k most similar of a corpus small enough to send to every task.
+    """id, match, score, rank: the k most similar corpus rows, exact for a corpus of any size.
 
-    The corpus is meant to be a set of centres or exemplars; its size is checked.
+    Up to BROADCAST_ROWS (centres, exemplars) go to every task; a larger corpus is searched by lists.
     """
-    limit = 10_000
-    small = corpus.select(F.col("id").alias("match"), l2_normalize(F.col("vector")).alias("b")).limit(limit + 1)
-    if small.count() > limit:
-        raise ValueError(f"dense_topk takes at most {limit} corpus rows; use a bucketed join beyond that")
+    if corpus.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return exact_topk(queries, corpus, k)
+    small = corpus.select(F.col("id").alias("match"), l2_normalize(F.col("vector")).alias("b"))
     pairs = queries.select("id", l2_normalize(F.col("vector")).alias("a")).crossJoin(F.broadcast(small)).select("id", "match", F.round(dot(F.col("a"), F.col("b")), 6).alias("score"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "match")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

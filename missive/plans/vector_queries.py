@@ -13,6 +13,7 @@ from missive.operators import records as O
 from missive.operators import replies as Z
 from missive.operators import rules as U
 from missive.operators import vectors as V
+from missive.operators.dense import exact_topk
 from missive.plans import duck as D
 from missive.plans.fixtures import P, RD, T, fixture
 from missive.sources import files as S
@@ -72,6 +73,9 @@ def centres(s: SparkSession, d: str) -> DataFrame:
 
 query("g5_dense_topk", f"WITH {EV}, {CEN} SELECT id, match, score, rk::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, match) AS rk FROM (SELECT e.id, form AS match, round({DOT('e.vector', 'centre')} / sqrt({DOT('e.vector', 'e.vector')}) / sqrt({DOT('centre', 'centre')}), 6) AS score FROM e, ce)) WHERE rk <= 5")(
     lambda s, d: V.dense_topk(e(s, d), centres(s, d).select(F.col("form").alias("id"), F.col("centre").alias("vector")), 5))
+query("g5_all_neighbors", f"""WITH {EV}, u AS (SELECT id, list_transform(vector, lambda x: x::DOUBLE / sqrt({DOT('vector', 'vector')})) AS v FROM e)
+ SELECT id, match, score, rk::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, match) AS rk FROM (SELECT a.id, b.id AS match, round(list_dot_product(a.v, b.v), 6) AS score FROM u a, u b)) WHERE rk <= 5""")(
+    lambda s, d: exact_topk(e(s, d), e(s, d), 5).select("id", "match", F.round("score", 6).alias("score"), "rank"))
 query("a21_cohens_d", f"WITH {EV}, x AS (SELECT category, {DOT('vector', AX)} AS v FROM e), c AS (SELECT category, count(*) AS n, avg(v) AS m, var_samp(v) AS s FROM x GROUP BY 1) SELECT round((u.m - k.m) / sqrt(((u.n - 1) * u.s + (k.n - 1) * k.s) / (u.n + k.n - 2)), 4) AS cohens_d FROM c u, c k WHERE u.category = 'UTILITY' AND k.category = 'MARKETING'")(
     lambda s, d: V.cohens_d(e(s, d).withColumn("v", V.dot(F.col("vector"), V.literal(AXIS))), "v"))
 query("w7_rank_candidates", f"WITH {EV}, x AS (SELECT id // 4 AS grp, id % 4 AS candidate, id % 3 <> 0 AS eligible, round({DOT('vector', AX)}, 4) AS moved FROM e) SELECT grp AS \"group\", candidate, row_number() OVER (PARTITION BY grp ORDER BY eligible DESC, moved DESC, candidate)::INT AS rank FROM x")(
@@ -160,14 +164,34 @@ def _publish(s: SparkSession, d: str) -> DataFrame:
     return s.read.json(path)
 
 
+@query("k6_leaked_passages", "SELECT count(*) AS leaks FROM (SELECT DISTINCT text AS s FROM documents) WHERE EXISTS (SELECT 1 FROM benchmark b WHERE length(b.text) >= 10 AND contains(s, b.text))")
+def _leaked_passages(s: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a whole benchmark passage."""
+    return K.leak_count(s.read.parquet(f"{d}/documents.parquet"), "text", s.read.parquet(f"{d}/benchmark.parquet"), "text")
+
+
 @query("k6_leak_audit", f"{D.ctes('t')}, pub AS (SELECT DISTINCT status AS s FROM t UNION SELECT DISTINCT meta_category FROM t) SELECT count(*) AS leaks FROM pub WHERE EXISTS (SELECT 1 FROM t WHERE contains(s, body))")
 def _leaks(s: SparkSession, d: str) -> DataFrame:
     corpus = fixture(s, d, T)
     return K.leak_count(corpus.select(F.explode(F.array("status", "meta_category")).alias("s")), "s", corpus, "body", 1)
 
 
-query("b3_parse_responses")(lambda s, d: rd(s, d).select("id", "round", Z.parse_responses(F.col("raw")).alias("r")).select("id", "round", "r.reply.category", "r.reply.confidence", "r.reason"))
-query("b4_parse_rewrites")(lambda s, d: rd(s, d).select("id", "round", Z.parse_rewrites(F.when(F.col("possible"), F.concat(F.lit("Reply: "), F.to_json(F.struct("possible", F.col("candidate").alias("body"), F.lit("r").alias("reason"))))).otherwise(F.col("raw"))).alias("r")).select("id", "round", "r.reply.possible", "r.reason"))
+def _rewrite_reply():
+    reply = F.to_json(F.struct("possible", F.col("candidate").alias("body"), F.lit("r").alias("reason")))
+    return F.when(F.col("possible"), F.concat(F.lit("Reply: "), reply)).otherwise(F.col("raw"))
+
+
+REPLIED = "nullif(regexp_extract(raw, '\\{.*\\}', 0, 's'), '') AS x"
+query("b3_parse_responses", f"""{D.ctes('rd')}, q AS (SELECT id, round, {REPLIED} FROM rd), f AS (SELECT id, round, x, x->>'$.category' AS category, try_cast(x->>'$.confidence' AS DOUBLE) AS confidence, json_array_length(x->'$.clauses') AS clauses, x->>'$.rationale' AS rationale FROM q),
+ r AS (SELECT *, CASE WHEN x IS NULL THEN 'no_json' WHEN category IS NULL THEN 'malformed' WHEN category NOT IN ({', '.join(D.quoted(k) for k in Z.KNOWN)}) THEN 'unknown_category' WHEN confidence IS NULL OR confidence < 0 OR confidence > 1 THEN 'bad_confidence'
+ WHEN clauses IS NULL OR clauses > 8 THEN 'bad_clauses' WHEN length(coalesce(rationale, '')) > 1000 THEN 'long_rationale' ELSE '' END AS reason FROM f)
+ SELECT id, round, CASE WHEN reason = '' THEN category END AS category, CASE WHEN reason = '' THEN confidence END AS confidence, reason FROM r""")(
+    lambda s, d: rd(s, d).select("id", "round", Z.parse_responses(F.col("raw")).alias("r")).select("id", "round", "r.reply.category", "r.reply.confidence", "r.reason"))
+query("b4_parse_rewrites", f"""{D.ctes('rd')}, q AS (SELECT id, round, {REPLIED} FROM (SELECT * REPLACE (CASE WHEN possible THEN 'Reply: ' || json_object('possible', possible, 'body', candidate, 'reason', 'r') ELSE raw END AS raw) FROM rd)),
+ f AS (SELECT id, round, x, try_cast(x->>'$.possible' AS BOOLEAN) AS possible, x->>'$.body' AS body FROM q),
+ r AS (SELECT *, CASE WHEN x IS NULL THEN 'no_json' WHEN possible IS NULL THEN 'malformed' WHEN possible AND coalesce(length(body), 0) = 0 THEN 'no_body' WHEN length(body) > 1024 THEN 'long_body' ELSE '' END AS reason FROM f)
+ SELECT id, round, CASE WHEN reason = '' THEN possible END AS possible, reason FROM r""")(
+    lambda s, d: rd(s, d).select("id", "round", Z.parse_rewrites(_rewrite_reply()).alias("r")).select("id", "round", "r.reply.possible", "r.reason"))
 CHAT = "c AS (SELECT u.conv_id, u.turn, sha256(concat_ws(chr(31), 'm', u.text)) AS key, a.text AS answer FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')"
 
 
@@ -214,6 +238,7 @@ def _load_done(s: SparkSession, d: str) -> DataFrame:
     return S.load_done(s, path, "id bigint, event_id bigint")
 
 
-query("b5_parse_components")(lambda s, d: rd(s, d).select("id", "round", Z.parse_components(F.when(F.col("possible"), F.to_json(F.struct("possible", F.col("candidate").alias("body"), F.lit("h").alias("header")))).otherwise(F.lit('{"body": ["x"], "possible": true}'))).alias("r")).select("id", "round", "r.reply.body", "r.reason"))
+query("b5_parse_components", f"""{D.ctes('rd')} SELECT id, round, CASE WHEN possible THEN candidate END AS body, CASE WHEN possible THEN '' ELSE 'part_not_text' END AS reason FROM rd""")(
+    lambda s, d: rd(s, d).select("id", "round", Z.parse_components(F.when(F.col("possible"), F.to_json(F.struct("possible", F.col("candidate").alias("body"), F.lit("h").alias("header")))).otherwise(F.lit('{"body": ["x"], "possible": true}'))).alias("r")).select("id", "round", "r.reply.body", "r.reason"))
 query("n5_button_text", f"{D.ctes('t')} SELECT id, {D.strip('buttons')} AS labels FROM t")(
     lambda s, d: fixture(s, d, T).select("id", X.button_text(F.when(F.col("buttons") == "", F.col("buttons")).otherwise(F.to_json(F.transform(F.split("buttons", "\n"), lambda b: F.struct(F.lit("URL").alias("type"), b.alias("text")))))).alias("labels")))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from missive.operators.records import import_records
 from missive.operators.rules import safe_cell
+from missive.sources.scratch import written
 
 # Columns of the delimited export, in order.
 EXPORT_COLUMNS = ["id", "name", "header", "body", "footer", "buttons", "meta_category", "requested_category", "status", "language", "created_at", "updated_at"]
@@ -40,13 +45,47 @@ def publish(report: DataFrame, fields: list[str], path: str) -> None:
     report.select(*fields).write.json(path)
 
 
+#: Grams that a source text is looked up by.
+PROBES = 8
+
+
+def _grams(width: int, probes: int | None):
+    """(key, text) -> key, gram: hashes of the text's runs of ``width`` bytes, all distinct ones or some evenly spread."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = np.frombuffer(text.encode(), np.uint8).astype(np.uint64)
+                n, gram = len(raw) - width + 1, np.uint64(0)
+                for j in range(width):
+                    gram = gram * np.uint64(0x9E3779B97F4A7C15) + raw[j : j + n] + np.uint64(1)
+                gram = np.unique(gram if probes is None else gram[np.linspace(0, n - 1, probes).astype(np.int64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), key, np.int64)), pa.array(gram)], names=[batch.schema.names[0], "gram"])
+
+    return run
+
+
+def leaks(published: DataFrame, column: str, corpus: DataFrame, text: str = "body", least: int = 10) -> DataFrame:
+    """The distinct published strings that hold a source text of at least ``least`` characters, both of any number.
+
+    A string that holds a text holds all its grams of so many bytes. A text is looked up by up to PROBES of its
+    grams, evenly spread: if one is in no published string it is done with, else it meets the strings
+    that hold the rarest of them, and is searched for there.
+    """
+    width = max(least, 1)
+    values = written(published.select(F.col(column).alias("s")).where(F.length("s") >= width).distinct().withColumn("value", F.monotonically_increasing_id()))
+    texts = written(corpus.select(F.col(text).alias("t")).where(F.length("t") >= width).distinct().withColumn("source", F.monotonically_increasing_id()))
+    held = written(values.select("value", "s").mapInArrow(_grams(width, None), "value bigint, gram bigint"))
+    probes = texts.select("source", "t").mapInArrow(_grams(width, PROBES), "source bigint, gram bigint")
+    counts = probes.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left")
+    rarest = counts.groupBy("source").agg(F.min_by("gram", F.col("n")).alias("gram"), F.bool_and(F.col("n").isNotNull()).alias("all_held")).where("all_held")
+    met = rarest.join(held, "gram").select("source", "value").join(texts, "source").join(values, "value")
+    return met.where(F.contains("s", "t")).select("s").distinct()
+
+
 def leak_count(published: DataFrame, column: str, corpus: DataFrame, text: str = "body", least: int = 10) -> DataFrame:
-    """Published strings that hold a source text; published output is small, and its size is checked."""
-    values = published.select(F.col(column).alias("__s")).distinct()
-    if values.count() > 100_000:
-        raise ValueError("published output is too large to audit by broadcast")
-    hits = corpus.where(F.length(text) >= least).join(F.broadcast(values), F.contains("__s", text)).select("__s").distinct()
-    return hits.agg(F.count(F.lit(1)).alias("leaks"))
+    """How many distinct published strings hold a source text."""
+    return leaks(published, column, corpus, text, least).agg(F.count(F.lit(1)).alias("leaks"))
 
 
 def export_errors(errors: DataFrame, path: str) -> None:
