@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from missive.sources.scratch import written
+
 #: Ranges of an ordered column; as many bounds at most reach the driver.
 RANGES = 200
 
@@ -23,8 +25,10 @@ def range_of(df: DataFrame, column: str, ranges: int = RANGES) -> Column:
 def before(df: DataFrame, column: str, sums: list[str], descending: bool = False) -> DataFrame:
     """df, one row for each value of column, with before_<name>: the sum of <name> over the rows ahead.
 
-    Sums of the ranges give each range its offset; only rows of one range are ordered together.
+    Sums of the ranges give each range its offset; only rows of one range are ordered together. df is written
+    once, since quantiles, sums and rows read it.
     """
+    df = written(df)
     rows = df.withColumn("__range", range_of(df, column))
     order = lambda c: F.desc(c) if descending else F.asc(c)
     per = rows.groupBy("__range").agg(*[F.sum(s).alias(f"__{s}") for s in sums])

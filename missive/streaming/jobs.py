@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from missive.operators.rules import assess, detect_purpose, findings
+from missive.operators.serving import load_latest
 from missive.sources.sinks import append_new
 
 
@@ -18,6 +23,67 @@ def continuous_import(stream: DataFrame, store: str, checkpoint: str):
     return stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, store)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def import_by_state(stream: DataFrame, store: str, checkpoint: str, ttl: str = "30 days"):
+    """Every record once, by id, without reading the store: ids are state for ``ttl`` after they came.
+
+    A record replayed later than that is imported again; ``continuous_import`` looks at the store instead.
+    """
+    once = stream.withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", ttl).dropDuplicatesWithinWatermark(["id"]).drop("seen_at")
+    return once.writeStream.format("parquet").option("path", store).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def predicted(stream: DataFrame, models: str, out: str, checkpoint: str):
+    """Each record's prediction by the model version that was the latest when its batch began.
+
+    A batch has a folder of its own, so one that runs again after a failure replaces what it left.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        load_latest(batch.sparkSession, models).score(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+CHANGE, COUNTED = "start bigint, meta_category string, n bigint", "seq bigint, start bigint, category string"
+
+
+def changes(stream: DataFrame, at: str = "created_at", days: int = 30, ttl_days: int = 400) -> DataFrame:
+    """start, meta_category, n (1 or -1): what each record's newest version changes in the counts by window and category.
+
+    The state of an id is the version that counts (the highest ingest_seq): a replay changes nothing, a revision
+    takes the old version back. Ids of which nothing comes for ``ttl_days`` leave the state, and count anew
+    if they ever return. Rows without a valid time have a null window.
+    """
+    width = days * 86400
+    time = F.unix_timestamp(F.try_to_timestamp(F.col(at)))
+    rows = stream.withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", "1 hour")
+    rows = rows.select("id", "ingest_seq", "seen_at", (F.floor(time / width) * width).cast("bigint").alias("start"), "meta_category")
+
+    def newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get if state.exists else None
+        best, latest = before, state.getCurrentWatermarkMs()
+        for rows_ in batches:
+            latest = max(latest, int(rows_["seen_at"].max().timestamp() * 1000))
+            for seq, start, category in zip(rows_["ingest_seq"], rows_["start"], rows_["meta_category"]):
+                if best is None or seq > best[0]:
+                    best = (int(seq), None if pd.isna(start) else int(start), category)
+        state.update(best)
+        state.setTimeoutTimestamp(latest + ttl_days * 86_400_000)
+        if best[1:] != (before[1:] if before else None):
+            out = [(best[1], best[2], 1)] + ([(before[1], before[2], -1)] if before else [])
+            yield pd.DataFrame({"start": pd.array([o[0] for o in out], dtype="Int64"), "meta_category": [o[1] for o in out], "n": [o[2] for o in out]})
+
+    return rows.groupBy("id").applyInPandasWithState(newest, CHANGE, COUNTED, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def counts_of(changed: DataFrame) -> DataFrame:
+    """start, meta_category, n: the counts that a log of changes adds up to."""
+    return changed.groupBy("start", "meta_category").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
 def scored(stream: DataFrame) -> DataFrame:
     """Rule readings of each record; no state."""
     purpose = detect_purpose(F.col("body"))
