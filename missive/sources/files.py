@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missive.functions.text import as_text, category, stripped, timestamp_text
+from missive.sources.arrays import elements, shapes
+from missive.sources.quoted import read_quoted
+from missive.sources.scratch import written
 
 # Input column names by field; the first that is present wins.
 ALIASES = {
@@ -37,25 +42,42 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 def read_export(spark: SparkSession, path: str, schema: str = NESTED) -> tuple[DataFrame, DataFrame]:
     """(records, rejected): an array, an object with templates or data, one object, or any of these as a JSON string.
 
-    Blank input is rejected; a file of no bytes has nothing to reject, since Spark reads no row from it.
+    Arrays, bare or as an object's first key ``templates``, are read in parts of each file; files of the other
+    shapes are read whole. Blank input is rejected; a file of no bytes has nothing to reject, since Spark reads no
+    row from it.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace(stripped(F.col("value")), "^\\x{FEFF}", "").alias("v"))
+    shape = written(shapes(spark, path))
+    files = shape.groupBy("file").agg(F.min("base").alias("base"), F.min("balanced").alias("balanced"))
+    torn = files.where("base > 0 and not balanced").select("file", F.lit("not a list of records").alias("reason"))
+    rows = elements(spark, path, shape).select("file", stripped(F.col("text")).alias("raw")).where("raw <> ''")
+    others = [unquote(r["file"]) for r in files.where("base = 0").select("file").collect()]  # file names, which the driver lists anyhow
+    bad = torn
+    if others:
+        more, rejected = _read_whole(spark, others)
+        rows, bad = rows.unionByName(more), torn.unionByName(rejected)
+    rows = written(rows)
+    is_object = rows["raw"].startswith("{")
+    unread = F.try_parse_json("raw").isNull()
+    odd = rows.where(~is_object | unread).select("file", F.when(is_object, "malformed JSON").otherwise("row is not an object").alias("reason"))
+    return rows.where(is_object & ~unread).select(F.from_json("raw", schema).alias("r")).select("r.*"), bad.unionByName(odd)
+
+
+def _read_whole(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(file, raw of each record; file, reason) of files that are read whole."""
+    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace(stripped(F.col("value")), "^\\x{FEFF}", "").alias("v"))
     # a string that holds JSON is unpacked once
     files = files.withColumn("v", F.when(F.col("v").startswith('"'), F.from_json(F.concat(F.lit('{"v":'), "v", F.lit("}")), "v string")["v"]).otherwise(F.col("v")))
     inner = F.coalesce(F.get_json_object("v", "$.templates"), F.get_json_object("v", "$.data"), F.col("v"))
     files = files.withColumn("v", F.when(F.col("v").startswith("{"), inner).otherwise(F.col("v")))
     files = files.withColumn("v", F.when(F.col("v").startswith("{"), F.concat(F.lit("["), "v", F.lit("]"))).otherwise(F.col("v")))
-    items = files.withColumn("items", F.from_json("v", "array<string>"))
-    bad = items.where("items is null OR v = ''").select("file", F.when(F.col("v") == "", "empty input").otherwise("not a list of records").alias("reason"))
-    rows = items.select("file", F.explode("items").alias("raw")).withColumn("r", F.from_json("raw", schema))
-    odd = rows.where(~F.coalesce(F.ltrim("raw").startswith("{"), F.lit(False))).select("file", F.lit("row is not an object").alias("reason"))
-    return rows.where(F.ltrim("raw").startswith("{")).select("r.*"), bad.unionByName(odd)
+    items = written(files.select("file", (F.col("v") == "").alias("blank"), F.from_json("v", "array<string>").alias("items")))
+    bad = items.where("items is null OR blank").select("file", F.when(F.col("blank"), "empty input").otherwise("not a list of records").alias("reason"))
+    return items.where("not blank").select("file", F.explode("items").alias("raw")).withColumn("raw", F.ltrim("raw")), bad
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """All columns as text; a byte-order mark before the first header goes."""
-    df = spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"', encoding="UTF-8")
-    return df.toDF(*[c.removeprefix("﻿") for c in df.columns])
+    """All columns as text; a byte-order mark before the first header goes. Files are read in parts, quoted line ends or not."""
+    return read_quoted(spark, path, sep)
 
 
 def suggest_mapping(columns: list[str]) -> dict[str, str]:
