@@ -113,7 +113,7 @@ def read_quoted(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     top = rows.join(heads, ["file", "record"]).orderBy("file").limit(1).select(F.regexp_replace("text", "^\\x{FEFF}", "").alias("text")).first()
     if top is None:
         return spark.createDataFrame([], "_c0 string")
-    names = [n or f"_c{k}" for k, n in enumerate(next(csv.reader(io.StringIO(top["text"], newline=""), delimiter=sep)))]
+    names = [n.removeprefix("\ufeff") or f"_c{k}" for k, n in enumerate(next(csv.reader(io.StringIO(top["text"], newline=""), delimiter=sep)))]
     cells = ", ".join(f"c{k} string" for k in range(len(names)))
     options = {"sep": sep, "escape": '"', "quote": '"', "multiLine": "true"}
     body = rows.join(heads.withColumnRenamed("record", "top"), "file").where("record > top")
