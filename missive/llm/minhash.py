@@ -147,8 +147,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     n = range_count(docs.sparkSession, text_bytes(docs))
-    ordered = docs.select("doc_id", text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text")]  # the hash is worked out anew, not moved
+    ordered = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     found = written(ordered.mapInArrow(_in_order, f"doc_id bigint, {_SQL}, part bigint, end string, text string"), "minhash")
     ends = found.where("end is not null")
     parts = ends.where("end = 'first'").select("part")
