@@ -396,6 +396,46 @@ def test_token_store(spark, messy, empty, tmp_path):
     assert token_store.read_token_store(spark, str(tmp_path / "b")).count() == 0
 
 
+class CountedFile:
+    """A file in memory that notes what is read."""
+
+    def __init__(self, raw):
+        self.raw, self.reads = raw, []
+
+    def read_at(self, n, at):
+        self.reads.append((at, n))
+        return self.raw[at : at + n]
+
+
+def test_one_token_is_read_by_a_block_per_level():
+    ids = np.random.default_rng(3).choice([5, 300, 70_000, 1 << 30], 100_000)
+    file = CountedFile(b"before" + token_store.encode_codes(ids) + b"after")
+    codes = token_store.Codes(file, 6)
+    file.reads.clear()
+    for at in (0, 511, 512, 77_777, 99_999):
+        assert codes.get(at).tolist() == [ids[at]]
+    assert len(file.reads) <= 5 * 4 and max(n for _, n in file.reads) == token_store.INNER.itemsize
+    file.reads.clear()
+    assert codes.get([600, 513, 600, 1100]).tolist() == ids[[600, 513, 600, 1100]].tolist()
+    assert file.reads[0][1] == 2 * token_store.INNER.itemsize  # neighbouring blocks at once
+
+
+def test_tokens_are_read_by_seeking_and_lost_attempts_are_not_read(spark, real, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "SHARD_IDS", 2000)
+    path = f"file://{tmp_path}/s"
+    token_store.write_token_store(real, path, BPE)
+    files = sorted((tmp_path / "s" / "codes").iterdir())
+    named = spark.read.parquet(f"{path}/shards").groupBy("file").agg(F.sum("size").alias("size")).collect()
+    assert {r["file"]: r["size"] for r in named} == {f.name: f.stat().st_size for f in files}
+    want = sorted(map(tuple, token_store.read_token_store(spark, path).collect()))
+    flat = np.concatenate([np.frombuffer(r[-1], "<u4") for r in sorted(want, key=lambda r: r[1])])
+    (tmp_path / "s" / "codes" / f"{files[0].name[:8]}0.dac").write_bytes(files[0].read_bytes()[:40])  # of an attempt that was lost
+    assert sorted(map(tuple, token_store.read_token_store(spark, path).collect())) == want
+    at = np.random.default_rng(1).integers(0, len(flat), 300).tolist()
+    asked = spark.createDataFrame([(p,) for p in [*at, -1, len(flat), None]], "position bigint")
+    assert {r["position"]: r["id"] for r in token_store.tokens_at(spark, path, asked).collect()} == {p: flat[p] for p in at}
+
+
 # 6
 
 
