@@ -2,12 +2,13 @@
 
 import itertools
 import shutil
+from collections import Counter
 
 import numpy as np
 import pytest
 
 import corpus_pipeline as C
-from missive.llm import mixing, simhash, toxicity
+from missive.llm import simhash, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -59,6 +60,64 @@ def lines_dropped(texts, least=10):
     return ["\n".join(x for x in (t or "").split("\n") if count.get(key(x), 0) < least) for t in texts]
 
 
+def mix_targets(sizes):
+    """150 % of all words by weights 5, 2, 1; what a source can't take in twice goes to the others."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    out, left = {}, 1.5 * sum(sizes.values())
+    while len(out) < len(order):
+        rest = [s for s in order if s not in out]
+        total = sum(weight[s] for s in rest)
+        full = [s for s in rest if left * weight[s] / total > 2 * sizes[s]]
+        for s in full:
+            out[s] = 2 * sizes[s]
+        if not full:
+            out |= {s: left * weight[s] / total for s in rest}
+        left -= sum(2 * sizes[s] for s in full)
+    return out
+
+
+def check_mix(before, after):
+    """No row more than twice as often as it was there; each source's words within a document of its target."""
+    n_words = lambda r: len((r["text"] or "").encode().split())
+    assert set(map(tuple, after)) <= set(map(tuple, before))
+    had, got = Counter(map(repr, before)), Counter(map(repr, after))
+    assert all(n <= 2 * had[r] for r, n in got.items())
+    sizes, taken, own = {}, {}, {}
+    for r in before:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + n_words(r)
+        own.setdefault(r["source"], []).append(n_words(r))
+    for r in after:
+        taken[r["source"]] = taken.get(r["source"], 0) + n_words(r)
+    for source, target in mix_targets(sizes).items():
+        if not sizes[source]:
+            continue
+        rounds = min(1, int(target // sizes[source]))
+        sums = 1  # bit k: k words can be taken beside the whole rounds
+        for n in own[source]:
+            sums |= sums << n
+        best = min(abs(rounds * sizes[source] + k - target) for k in range(sizes[source] + 1) if sums >> k & 1)
+        # the fit spreads over sizes before it fills exactly: it may miss the best sum by less than the longest document
+        assert abs(taken.get(source, 0) - target) <= max(best + 1, max(own[source])), source
+
+
+def check_sequences(pieces, texts):
+    """Sequences are gapless, and full or a power of two; the pieces of each id hold its documents' tokens, in their places."""
+    for _, own in itertools.groupby(sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])), key=lambda r: r["sequence_id"]):
+        at = 0
+        for r in own:
+            assert r["offset"] == at and r["length"] == len(r["ids"]) // 4 > 0
+            at += r["length"]
+        assert at <= 2048 and at & (at - 1) == 0
+    got, want = {}, {}
+    for r in pieces:
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        got.setdefault((r["doc_id"], r["doc_tokens"]), Counter()).update(zip(itertools.count(r["start"]), ids))
+    for doc, ids in texts:
+        want.setdefault((doc, len(ids)), Counter()).update(enumerate(ids))
+    assert got == want
+
+
 def check_run(spark, sf):
     """Each stage on what the one before it kept, against a plain version of it."""
     from tokenizers import Tokenizer
@@ -84,21 +143,11 @@ def check_run(spark, sf):
             assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in after) == sorted(least.values())
             assert set(map(tuple, after)) <= set(map(tuple, before))
         else:
-            want, got = {}, {}
-            for r in mixing.mix(docs).collect():
-                want[r["doc_id"], r["source"], r["size"]] = want.get((r["doc_id"], r["source"], r["size"]), 0) + r["copies"]
-            for r in after:
-                key = r["doc_id"], r["source"], len((r["text"] or "").encode().split())
-                got[key] = got.get(key, 0) + 1
-            assert got == {k: n for k, n in want.items() if n} and set(map(tuple, after)) <= set(map(tuple, before))
+            check_mix(before, after)
         docs, before = kept.checkpoint(), after
-    tok, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}
-    for r in before:
-        want.setdefault(r["doc_id"], []).extend([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1])
-    got = {}
-    for r in C.run(spark, sf).collect():
-        got.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
-    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [(r["doc_id"], [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1]) for r in before]
+    check_sequences(C.run(spark, sf).collect(), want)
 
 
 def test_run_equals_plain_versions(spark):
