@@ -6,11 +6,14 @@ estimates <o, q> without bias; its error is about sqrt((1 - c^2) / (d - 1)) / c
 normal. As in the paper, q is stored too, with four bits a component. Pairs whose estimate lies
 more than CONFIDENCE such errors below the threshold, in either direction, are left out; all
 others are recomputed exactly in double precision from the vectors, which only rows with such a
-pair fetch. Codes, factors and four-bit components are what moves through the hash tables.
+pair fetch. Codes, factors, four-bit components and the keys of earlier tables are what moves
+through the hash tables: for 64 dimensions 52 bytes, and at most three more for each table before.
 
 Candidate pairs come from the codes too: runs of code bits of several rotations are the keys
 of hash tables, so many that a pair at the threshold shares a key with probability RECALL or
 more, by the sign-flip rate angle / pi. A pair that shares several keys counts at the first.
+Buckets hold some BUCKET rows if vectors are spread evenly: comparing codes within a bucket is
+cheap, and short keys need few tables (13 for 10^5 vectors, 22 for 10^6, 73 for 10^9).
 With recall=1 and confidence=inf all vectors meet in blocks and every pair is recomputed: exact,
 and quadratic. Equal vectors are one class from the start (by 128 bits of a hash). Buckets over a
 cap are dealt out as pairs of chunks; a task gives link counts and a spanning forest, never pairs.
@@ -30,8 +33,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from missive.llm.buckets import dealt, groups, spread_join
 from missive.llm.common import prepare, table, written
@@ -39,6 +44,8 @@ from missive.llm.components import connected_components
 
 THRESHOLD, RECALL, CONFIDENCE, SEED = 0.95, 0.9999, 5.0, 7
 BUCKET_CAP = 4096
+#: Rows of a bucket of evenly spread vectors, at most; a power of two.
+BUCKET = 1024
 #: Rows of a block of pairs; pairs that are recomputed at once.
 STEP, EXACT_PAIRS = 512, 1 << 14
 #: Rows of a bucket up to which its pairs are listed.
@@ -53,27 +60,42 @@ def rotation(dim: int, number: int) -> np.ndarray:
 
 
 def table_plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """Bits of a key, and tables, for n distinct vectors: buckets of a few rows if they were spread evenly."""
+    """Bits of a key, and tables, for n distinct vectors: buckets of up to BUCKET rows if they were spread evenly."""
     if recall >= 1:
         return 0, 1
-    bits = min(28, max(8, n.bit_length() - 4))
+    bits = min(28, max(4, n.bit_length() - BUCKET.bit_length() + 1))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def _normalized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        same, units = [], []
-        for vector in batch.column(1).to_pylist():
-            v = None if not vector or None in vector else np.asarray(vector, dtype=np.float64)
-            peak = 0.0 if v is None else np.abs(v).max()
-            if v is None or not np.isfinite(v).all() or peak == 0:
-                same.append(None), units.append(None)
-                continue
-            same.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest())
-            v = v / peak
-            units.append((v / np.linalg.norm(v)).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(units, pa.binary())], names=["vec_id", "same", "unit"])
+def _checked(kind: str):
+    """vec_id, a hash of the vector, and its components as bytes of this kind of number; null where it links with nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            values = pc.fill_null(column.values.cast(pa.float64()), math.nan).to_numpy(zero_copy_only=False)
+            offsets, known = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+            same, raw = [], []
+            for k in range(batch.num_rows):
+                v = values[offsets[k] : offsets[k + 1]] if known[k] else values[:0]
+                if not len(v) or not np.isfinite(v).all() or not v.any():
+                    same.append(None), raw.append(None)
+                    continue
+                same.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest())
+                raw.append(v.astype(kind).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(same, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "same", "raw"]
+            )
+
+    return run
+
+
+def units(raw: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of one length, from their bytes, at length 1 in double precision."""
+    x = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def coded(x: np.ndarray, plan: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +103,7 @@ def coded(x: np.ndarray, plan: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]
     (n, dim), (bits, tables) = x.shape, plan
     turned = x @ rotation(dim, 0).T
     signs = turned > 0
-    out = np.zeros(n, record(dim, plan))
+    out = np.zeros(n, record(dim))
     out["code"] = np.packbits(signs, axis=1)
     out["factor"] = np.abs(turned).sum(axis=1) / math.sqrt(dim)
     low = turned.min(axis=1)
@@ -94,38 +116,68 @@ def coded(x: np.ndarray, plan: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]
     if bits:
         run = min(bits, dim)
         per = max(1, dim // run)
-        flags = np.concatenate([signs[:, : per * run], *((x @ rotation(dim, r).T > 0)[:, : per * run] for r in range(1, -(-tables // per)))], axis=1)
+        turns = (x @ rotation(dim, r).T > 0 for r in range(1, -(-tables // per)))
+        flags = np.concatenate([f[:, : per * run] for f in (signs, *turns)], axis=1)
         weights = 1 << np.arange(run, dtype=np.int64)
         keys = np.stack([flags[:, t * run : (t + 1) * run] @ weights for t in range(tables)], axis=1).astype("<i4")
-    out["keys"] = keys
     return out, keys
 
 
-def record(dim: int, plan: tuple[int, int]) -> np.dtype:
+def record(dim: int) -> np.dtype:
     """What stands for a vector in the hash tables."""
-    return np.dtype([("n", "<i8"), ("code", "u1", (-(-dim // 8),)), ("four", "u1", (-(-dim // 2),)), ("factor", "<f4"), ("low", "<f4"), ("width", "<f4"), ("keys", "<u2" if plan[0] <= 16 else "<i4", (plan[1],))])
+    code, four = -(-dim // 8), -(-dim // 2)
+    return np.dtype([("code", "u1", (code,)), ("four", "u1", (four,)), ("factor", "<f4"), ("low", "<f4"), ("width", "<f4")])
+
+
+def key_bytes(plan: tuple[int, int]) -> int:
+    return max(1, -(-plan[0] // 8))
 
 
-def _keyed(plan: tuple[int, int]):
+def _keyed(plan: tuple[int, int], kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.array([len(u) for u in batch.column(1).to_pylist()])
             for size in np.unique(sizes):
                 part = batch.take(pa.array(np.flatnonzero(sizes == size)))
-                dim = int(size) // 8
-                records, keys = coded(np.frombuffer(b"".join(part.column(1).to_pylist()), np.float64).reshape(-1, dim), plan)
-                records["n"] = part.column(2).to_numpy()
-                arrays = [part.column(0), pa.array([dim] * len(keys), pa.int32()), pa.array([r.tobytes() for r in records], pa.binary()), pa.array(list(keys), pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["node", "dim", "record", "key_list"])
+                x = units(part.column(1).to_pylist(), kind)
+                records, keys = coded(x, plan)
+                packed = np.ascontiguousarray(keys[:, :, None].view("u1")[:, :, : key_bytes(plan)])
+                arrays = [
+                    part.column(0),
+                    pa.array([x.shape[1]] * len(keys), pa.int32()),
+                    pa.array([r.tobytes() for r in records], pa.binary()),
+                    pa.array([k.tobytes() for k in packed], pa.binary()),
+                    pa.array(list(keys), pa.list_(pa.int32())),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "dim", "record", "keys", "key_list"])
 
     return run
 
 
 class Coded:
-    """The records of some buckets, vectors of one length, unpacked once."""
+    """The records of some buckets, vectors of one length, unpacked once.
+
+    ``numbers`` are the rows' tables and ``before`` their keys of the tables before.
+    """
 
-    def __init__(self, raw: list[bytes], dim: int, plan: tuple[int, int], threshold: float, confidence: float):
-        self.r = np.frombuffer(b"".join(raw), record(dim, plan))
+    def __init__(
+        self,
+        raw: list[bytes],
+        dim: int,
+        plan: tuple[int, int],
+        threshold: float,
+        confidence: float,
+        numbers: np.ndarray | None = None,
+        before: list[bytes] | None = None,
+    ):
+        self.r = np.frombuffer(b"".join(raw), record(dim))
+        numbers = np.zeros(len(raw), int) if numbers is None else numbers
+        size = key_bytes(plan)
+        known = np.zeros((len(raw), int(numbers.max(initial=0)), 4), np.uint8)
+        for t in np.unique(numbers[numbers > 0]):
+            rows = np.flatnonzero(numbers == t)
+            known[rows, :t, :size] = np.frombuffer(b"".join(before[k] for k in rows), np.uint8).reshape(len(rows), t, size)
+        self.keys = known.view("<u4")[:, :, 0]
         self.exact = not math.isfinite(confidence)
         if self.exact:
             return
@@ -142,7 +194,8 @@ class Coded:
         maybe = np.ones((a.stop - a.start, b.stop - b.start), bool)
         if not self.exact:
             for rows, columns, turn in ((a, b, False), (b, a, True)):  # codes of rows, components of columns
-                fits = self.signs[rows] @ self.values[columns].T >= self.floor[rows][:, None] - self.rounding[columns][None, :]
+                fits = self.signs[rows] @ self.values[columns].T
+                fits = fits >= self.floor[rows][:, None] - self.rounding[columns][None, :]
                 maybe &= fits.T if turn else fits
         i, j = np.nonzero(maybe)
         i, j = i + a.start, j + b.start
@@ -160,12 +213,12 @@ class Coded:
         """Do i and j share no key of an earlier table than number?"""
         out = np.ones(len(i), bool)
         for t in range(int(number.max()) if len(number) else 0):
-            out &= (self.r["keys"][i, t] != self.r["keys"][j, t]) | (number <= t)
+            out &= (self.keys[i, t] != self.keys[j, t]) | (number <= t)
         return out
 
 
 def undecided(t: pa.Table, starts: np.ndarray, plan: tuple[int, int], threshold: float, confidence: float):
-    """Per length of vectors: their rows in t, their Coded, and lists of pairs (places in those rows) to be recomputed.
+    """Per length of vectors: their rows in t, and lists of pairs (places in those rows) to be recomputed.
 
     Small buckets are compared all at once, by shifts of the sorted rows; large ones by blocks.
     """
@@ -174,7 +227,8 @@ def undecided(t: pa.Table, starts: np.ndarray, plan: tuple[int, int], threshold:
     bucket = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
     for dim in np.unique(dims):
         at = np.flatnonzero(dims == dim)
-        codes = Coded(t.column("record").take(pa.array(at)).to_pylist(), int(dim), plan, threshold, confidence)
+        raw, before = (t.column(c).take(pa.array(at)).to_pylist() for c in ("record", "before"))
+        codes = Coded(raw, int(dim), plan, threshold, confidence, number[at], before)
         own, tables, chunks, dealt_out = bucket[at], number[at], chunk[at], apart[at]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         ends = np.append(first[1:], len(at))
@@ -197,7 +251,7 @@ def undecided(t: pa.Table, starts: np.ndarray, plan: tuple[int, int], threshold:
                     for q in range(p, b, STEP):
                         yield fresh_pairs(*codes.block(slice(p, min(b, p + STEP)), slice(q, min(b, q + STEP))))
 
-        yield at, codes, pairs()
+        yield at, pairs()
 
 
 def forest(i: np.ndarray, j: np.ndarray, parent: np.ndarray) -> list[tuple[int, int]]:
@@ -230,7 +284,7 @@ def _flagged(plan: tuple[int, int], threshold: float, confidence: float):
     def handle(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
         some = np.zeros(t.num_rows, bool)
-        for at, _, pairs in undecided(t, starts, plan, threshold, confidence):
+        for at, pairs in undecided(t, starts, plan, threshold, confidence):
             for i, j in pairs:
                 some[at[i]] = some[at[j]] = True
         yield from t.filter(pa.array(some)).to_batches()
@@ -238,23 +292,25 @@ def _flagged(plan: tuple[int, int], threshold: float, confidence: float):
     return lambda batches: groups(batches, handle, rows=1 << 15)
 
 
-def _compared(plan: tuple[int, int], threshold: float, confidence: float):
+def _compared(plan: tuple[int, int], kind: str, threshold: float, confidence: float):
     """Link counts (a, count) and a spanning forest (a, b) of each bucket."""
 
     def handle(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
         out_a, out_b, kinds = [], [], []
-        for at, codes, pairs in undecided(t, starts, plan, threshold, confidence):
-            node = t.column("node").to_numpy()[at]
-            x = np.frombuffer(b"".join(t.column("unit").take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), -1)
-            parent, n, got, links = np.arange(len(at)), codes.r["n"], np.zeros(len(at)), []
+        for at, pairs in undecided(t, starts, plan, threshold, confidence):
+            node, n = (t.column(c).to_numpy()[at] for c in ("node", "n"))
+            x = units(t.column("raw").take(pa.array(at)).to_pylist(), kind)
+            parent, got, links = np.arange(len(at)), np.zeros(len(at)), []
             for i, j in pairs:
                 near = np.zeros(len(i), bool)
                 for k in range(0, len(i), EXACT_PAIRS):
-                    near[k : k + EXACT_PAIRS] = np.einsum("ij,ij->i", x[i[k : k + EXACT_PAIRS]], x[j[k : k + EXACT_PAIRS]]) >= threshold
+                    some = slice(k, k + EXACT_PAIRS)
+                    near[some] = np.einsum("ij,ij->i", x[i[some]], x[j[some]]) >= threshold
                 i, j = i[near], j[near]
                 if len(i):
-                    got += np.bincount(i, weights=n[j], minlength=len(at)) + np.bincount(j, weights=n[i], minlength=len(at))
+                    for one, two in ((i, j), (j, i)):
+                        got += np.bincount(one, weights=n[two], minlength=len(at))
                     links += forest(i, j, parent)
             known, which = np.unique(node, return_inverse=True)
             sums = np.bincount(which, weights=got)
@@ -264,7 +320,8 @@ def _compared(plan: tuple[int, int], threshold: float, confidence: float):
             out_a += known[sums > 0].tolist()
             out_b += sums[sums > 0].astype(np.int64).tolist()
         if kinds:
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(kinds)], names=["a", "b", "is_edge"])
+            arrays = [pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "is_edge"])
 
     return lambda batches: groups(batches, handle, rows=1 << 14)
 
@@ -272,18 +329,24 @@ def _compared(plan: tuple[int, int], threshold: float, confidence: float):
 def linked_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, confidence: float = CONFIDENCE) -> DataFrame:
     """vectors (vec_id, embedding) -> vec_id, n_links, component_id, kept."""
     prepare(vectors.sparkSession)
-    rows = written(vectors.select("vec_id", "embedding").mapInArrow(_normalized, "vec_id bigint, same binary, unit binary"), "vectors")
-    classes = rows.where("same is not null").groupBy("same").agg(F.first("unit").alias("unit"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"))
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType == FloatType() else "<f8"
+    rows = vectors.select("vec_id", "embedding").mapInArrow(_checked(kind), "vec_id bigint, same binary, raw binary")
+    rows = written(rows, "vectors")
+    classes = rows.where("same is not null").groupBy("same")
+    classes = classes.agg(F.first("raw").alias("raw"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes", n=F.count(F.lit(1)))
     plan = table_plan(classes.metrics["n"], threshold, recall)
-    keyed = classes.select("node", "unit", "n").mapInArrow(_keyed(plan), "node bigint, dim int, record binary, key_list array<int>")
-    keyed = written(keyed, "vector-codes").select("node", "dim", "record", F.posexplode("key_list").alias("table", "bits"))
-    keyed = keyed.withColumn("key", F.col("dim").cast("long") * (1 << 32) + F.col("bits")).drop("bits")
-    near = dealt(keyed, "node", BUCKET_CAP)
+    fields = "node bigint, dim int, record binary, keys binary, key_list array<int>"
+    keyed = written(classes.select("node", "raw").mapInArrow(_keyed(plan, kind), fields), "vector-codes")
+    keyed = keyed.select("node", "dim", "record", "keys", F.posexplode("key_list").alias("table", "bits"))
+    before = F.substring("keys", F.lit(1), F.col("table") * key_bytes(plan)).alias("before")
+    key = (F.col("dim").cast("long") * (1 << 32) + F.col("bits")).alias("key")
+    near = dealt(keyed.select("node", "dim", "record", before, "table", key), "node", BUCKET_CAP)
     near = written(near.mapInArrow(_flagged(plan, threshold, confidence), near.schema), "vector-candidates")
     place = ["table", "key", "i", "j"]
-    full = near.join(classes.select("node", "unit"), "node").repartition(*place).sortWithinPartitions(*place)
-    found = written(full.mapInArrow(_compared(plan, threshold, confidence), "a bigint, b bigint, is_edge boolean"), "vector-links")
+    full = near.join(classes.select("node", "raw", "n"), "node").repartition(*place).sortWithinPartitions(*place)
+    compared = full.mapInArrow(_compared(plan, kind, threshold, confidence), "a bigint, b bigint, is_edge boolean")
+    found = written(compared, "vector-links")
     counts = found.where("not is_edge").groupBy("a").agg(F.sum("b").alias("others"))
     roots = connected_components(found.where("is_edge").select("a", "b"))
     known = classes.select("node", "same", "n", "first").join(counts.withColumnRenamed("a", "node"), "node", "left").join(roots, "node", "left")

@@ -111,7 +111,7 @@ def brute_counts(rows, t=0.95):
         yield i, sum(1 for m, u in enumerate(unit) if m != k and u is not None and unit[k] is not None and len(u) == len(unit[k]) and u @ unit[k] >= t)
 
 
-@pytest.mark.parametrize("bits, skewed", [(8, False), (12, False), (12, True), (17, True), (20, False)])
+@pytest.mark.parametrize("bits, skewed", [(4, False), (6, True), (8, False), (12, True), (17, True), (20, False), (24, True), (28, False)])
 def test_embedding_candidates_at_the_threshold(bits, skewed):
     """Pairs of cosine 0.9501 share a key and pass the estimates; skewed: most of a vector's length in two places."""
     rng, n, dim = np.random.default_rng(bits), 20_000, 64
