@@ -47,10 +47,24 @@ def publish(report: DataFrame, fields: list[str], path: str) -> None:
 
 #: Grams that a source text is looked up by.
 PROBES = 8
+#: Most bits of the filter of looked-up grams (32 MB); it has 32 bits a gram up to there, and lets more pass beyond.
+FILTER_BITS = 1 << 28
 
 
-def _grams(width: int, probes: int | None):
-    """(key, text) -> key, gram: hashes of the text's runs of ``width`` bytes, all distinct ones or some evenly spread."""
+def _filter(probes: DataFrame):
+    """(broadcast words of the filter of probes' grams, by how much a gram is shifted to its bit)."""
+    n = probes.count()
+    bits = min(FILTER_BITS, 1 << max(10, (32 * n).bit_length()))
+    shift = 64 - (bits.bit_length() - 1)
+    at = F.shiftrightunsigned("gram", shift)
+    marks = probes.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()  # FILTER_BITS at most
+    words = np.zeros(bits >> 6, np.uint64)
+    words[marks["word"].to_numpy()] = marks["bits"].to_numpy().view(np.uint64)
+    return probes.sparkSession.sparkContext.broadcast(words), shift
+
+
+def _grams(width: int, probes: int | None, words=None, shift: int = 0):
+    """(key, text) -> key, gram: hashes of the text's runs of ``width`` bytes, some evenly spread, or all distinct ones that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,7 +73,12 @@ def _grams(width: int, probes: int | None):
                 n, gram = len(raw) - width + 1, np.uint64(0)
                 for j in range(width):
                     gram = gram * np.uint64(0x9E3779B97F4A7C15) + raw[j : j + n] + np.uint64(1)
-                gram = np.unique(gram if probes is None else gram[np.linspace(0, n - 1, probes).astype(np.int64)]).view(np.int64)
+                if probes is not None:
+                    gram = gram[np.linspace(0, n - 1, probes).astype(np.int64)]
+                if words is not None:
+                    at = gram >> np.uint64(shift)
+                    gram = gram[(words.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                gram = np.unique(gram).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), key, np.int64)), pa.array(gram)], names=[batch.schema.names[0], "gram"])
 
     return run
@@ -70,13 +89,14 @@ def leaks(published: DataFrame, column: str, corpus: DataFrame, text: str = "bod
 
     A string that holds a text holds all its grams of so many bytes. A text is looked up by up to PROBES of its
     grams, evenly spread: if one is in no published string it is done with, else it meets the strings
-    that hold the rarest of them, and is searched for there.
+    that hold the rarest of them, and is searched for there. Of the strings' grams only those that some text is
+    looked up by are kept, by a filter, so what is written grows with the hits and not with every byte.
     """
     width = max(least, 1)
     values = written(published.select(F.col(column).alias("s")).where(F.length("s") >= width).distinct().withColumn("value", F.monotonically_increasing_id()))
     texts = written(corpus.select(F.col(text).alias("t")).where(F.length("t") >= width).distinct().withColumn("source", F.monotonically_increasing_id()))
-    held = written(values.select("value", "s").mapInArrow(_grams(width, None), "value bigint, gram bigint"))
-    probes = texts.select("source", "t").mapInArrow(_grams(width, PROBES), "source bigint, gram bigint")
+    probes = written(texts.select("source", "t").mapInArrow(_grams(width, PROBES), "source bigint, gram bigint"))
+    held = written(values.select("value", "s").mapInArrow(_grams(width, None, *_filter(probes)), "value bigint, gram bigint"))
     counts = probes.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left")
     rarest = counts.groupBy("source").agg(F.min_by("gram", F.col("n")).alias("gram"), F.bool_and(F.col("n").isNotNull()).alias("all_held")).where("all_held")
     met = rarest.join(held, "gram").select("source", "value").join(texts, "source").join(values, "value")
