@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,26 +125,49 @@ def pool_sizes(df: DataFrame) -> DataFrame:
 GROUP_HASHES = 4096
 
 
-def revision(df: DataFrame, column: str = "id") -> DataFrame:
-    """An order-independent hash of all ids, in levels: a group holds the hashes that share their first digits.
+def _bucket_hashes():
+    """bucket, h in order -> the hash of each bucket's hashes, which pass by one after another."""
 
-    There are two digits, and one more for each factor of 16 beyond 256 * GROUP_HASHES ids; the groups'
-    hashes are grouped by one digit less at each level, and the last two digits at once.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest = None, None
+        put = lambda: pa.RecordBatch.from_pydict({"bucket": [now], "h": [digest.hexdigest()]})
+        for batch in batches:
+            for bucket, h in zip(batch.column("bucket").to_pylist(), batch.column("h").to_pylist()):
+                if bucket != now:
+                    if digest is not None:
+                        yield put()
+                    now, digest = bucket, hashlib.sha256()
+                digest.update(h.encode())
+        if digest is not None:
+            yield put()
+
+    return run
+
+
+def revision(df: DataFrame, column: str = "id", digits: int | None = None) -> DataFrame:
+    """An order-independent hash of all ids, in levels: a group is the hashes that share their first digits.
+
+    There are two digits, and one more for each factor of 16 beyond 256 * GROUP_HASHES ids, unless digits fixes
+    their number; the groups' hashes are grouped by one digit less at each level, and the last two digits at once.
+    The first level's hashes are sorted in their tasks and hashed as they pass, so no group is held as a whole.
     """
-    digits, n = 2, df.count()
-    while n > GROUP_HASHES * 16**digits:
-        digits += 1
+    if digits is None:
+        digits, n = 2, df.count()
+        while n > GROUP_HASHES * 16**digits:
+            digits += 1
     h = F.sha2(F.col(column), 256)
-    level = df.select(h.alias("h"), F.substring(h, 1, digits).alias("bucket"))
+    rows = df.select(F.substring(h, 1, digits).alias("bucket"), h.alias("h")).where("h is not null")
+    tasks = max(1, min(16**digits, df.sparkSession.sparkContext.defaultParallelism * 4))
+    level = rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "h").mapInArrow(_bucket_hashes(), "bucket string, h string")
     joined = F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h")
-    for left in range(digits, 1, -1):
+    for left in range(digits - 1, 1, -1):
         level = level.groupBy(F.substring("bucket", 1, left).alias("bucket")).agg(joined)
     return level.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("revision"))
 
 
-def fingerprint(df: DataFrame, fields: list[str]) -> DataFrame:
+def fingerprint(df: DataFrame, fields: list[str], digits: int | None = None) -> DataFrame:
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]), 256)
-    return revision(df.select(row.alias("id")))
+    return revision(df.select(row.alias("id")), digits=digits)
 
 
 def import_records(incoming: DataFrame, stored: DataFrame | None) -> tuple[DataFrame, DataFrame]:

@@ -115,11 +115,11 @@ query("w1_latest_per_family", f"{D.ctes('tv')} SELECT family, ingest_seq FROM (S
 _COHORT = "CASE meta_category WHEN 'UTILITY' THEN 'approved' ELSE 'downgraded' END"
 query("w13_pool_sizes", f"{_CLEAN} SELECT cohort, records, coalesce(clean_families, 0) AS clean_families FROM (SELECT {_COHORT} AS cohort, count(*) AS records FROM cand WHERE requested_category = 'UTILITY' GROUP BY 1) LEFT JOIN (SELECT {_COHORT} AS cohort, count(*) AS clean_families FROM clean WHERE requested_category = 'UTILITY' GROUP BY 1) USING (cohort)")(lambda s, d: O.pool_sizes(tv(s, d)))
 _REV = lambda x: f"SELECT sha256(string_agg(h, '' ORDER BY h)) AS revision FROM (SELECT sha256(string_agg(h, '' ORDER BY h)) AS h FROM (SELECT sha256({x}) AS h FROM t) GROUP BY substr(h, 1, 2))"
-query("l1_revision", f"{D.ctes('t')} {_REV('id')}")(lambda s, d: O.revision(t(s, d)))
+query("l1_revision", f"{D.ctes('t')} {_REV('id')}")(lambda s, d: O.revision(t(s, d), digits=2))
 _PRINT = ["id", "header", "body", "footer", "buttons", "meta_category", "requested_category", "created_at"]
-query("l2_fingerprint", f"{D.ctes('t')} {_REV('sha256(concat_ws(chr(31), ' + ', '.join(_PRINT) + '))')}")(lambda s, d: O.fingerprint(t(s, d), _PRINT))
+query("l2_fingerprint", f"{D.ctes('t')} {_REV('sha256(concat_ws(chr(31), ' + ', '.join(_PRINT) + '))')}")(lambda s, d: O.fingerprint(t(s, d), _PRINT, digits=2))
 query("l4_snapshot_id", f"{D.ctes('t')} SELECT sha256(revision || '2026-01-01T00:00:00Z') AS snapshot FROM ({_REV('id')})")(
-    lambda s, d: O.revision(t(s, d)).select(F.sha2(F.concat("revision", F.lit("2026-01-01T00:00:00Z")), 256).alias("snapshot")))
+    lambda s, d: O.revision(t(s, d), digits=2).select(F.sha2(F.concat("revision", F.lit("2026-01-01T00:00:00Z")), 256).alias("snapshot")))
 query("k1_import", f"{D.ctes('tv')} SELECT count(DISTINCT id) FILTER (WHERE NOT old) AS added, count(*) - count(DISTINCT id) FILTER (WHERE NOT old) AS present FROM (SELECT id, CAST(id AS BIGINT) % 4 = 0 AS old FROM tv)")(
     lambda s, d: O.import_records(tv(s, d), t(s, d).where("ingest_seq % 4 = 0"))[1])
 query("k2_export_cells", f"{D.ctes('t')} SELECT id, CASE WHEN regexp_matches(ltrim(cell), '^[=+\\-@]') THEN '''' || cell ELSE cell END AS cell FROM (SELECT id, CASE CAST(id AS BIGINT) % 3 WHEN 0 THEN '=1+1' WHEN 1 THEN ' @x' ELSE body END AS cell FROM t)")(

@@ -25,6 +25,21 @@ def messages(spark, utility, marketing=60):
     return rows.withColumns({"body": body, **{c: F.lit("") for c in ("header", "footer", "buttons")}})
 
 
+def test_revisions_of_fixed_depth(spark, monkeypatch):
+    monkeypatch.setattr(records, "GROUP_HASHES", 1)
+    ids = [str(k) for k in range(3000)]
+    groups = defaultdict(list)
+    for h in sorted(hashlib.sha256(i.encode()).hexdigest() for i in ids):
+        groups[h[:2]].append(h)
+    want = hashlib.sha256("".join(sorted(hashlib.sha256("".join(g).encode()).hexdigest() for g in groups.values())).encode()).hexdigest()
+    df = spark.createDataFrame([(i,) for i in [*ids, None]], "id string")
+    assert records.revision(df, digits=2).first()[0] == want
+    deep = records.revision(df).first()[0]
+    got = entry.queries()["l1_revision"](spark, SF).first()[0]
+    parts = spark.read.parquet(f"{SF}/part.parquet").select(F.col("p_partkey").cast("string").alias("id"))
+    assert deep != want and got == records.revision(parts, digits=2).first()[0]
+
+
 def test_leaks_keep_only_grams_that_are_looked_up(spark, monkeypatch):
     kept = []
     plain = sinks.written
