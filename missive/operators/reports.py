@@ -86,7 +86,7 @@ def form_report(assigned: DataFrame) -> DataFrame:
 def form_totals(report: DataFrame, downgraded: DataFrame) -> DataFrame:
     """One row: floor (service messages expected to pass as they are) and ceiling (all of them), as counts and as shares of downgraded."""
     n = downgraded.agg(_n().alias("downgraded"))
-    sums = report.agg(F.coalesce(F.sum("service_messages"), F.lit(0)).alias("ceiling"), F.coalesce(F.sum("expected_at_base_rate"), F.lit(0.0)).alias("expected"))
+    sums = report.agg(F.coalesce(F.sum("service_messages"), F.lit(0)).alias("ceiling"), F.coalesce(F.sum(F.col("expected_at_base_rate").cast("decimal(20,1)")), F.lit(0)).cast("double").alias("expected"))  # exact sums of tenths, in any order
     share = lambda c: F.round(F.try_divide(F.col(c), F.col("downgraded")), 4)
     return sums.crossJoin(n).select("downgraded", F.round("expected", 0).cast("long").alias("floor"), share("expected").alias("floor_share"), "ceiling", share("ceiling").alias("ceiling_share"))
 

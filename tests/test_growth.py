@@ -40,6 +40,12 @@ def test_revisions_of_fixed_depth(spark, monkeypatch):
     assert deep != want and got == records.revision(parts, digits=2).first()[0]
 
 
+def test_totals_of_tenths_are_exact(spark):
+    tenths = [0.1, 2.3, 2.3, 2.8]  # added as doubles they stay below 7.5, in any order
+    report = spark.createDataFrame([(x, 1) for x in tenths], "expected_at_base_rate double, service_messages bigint").coalesce(1)
+    assert reports.form_totals(report, spark.range(10)).first()["floor"] == 8
+
+
 def test_leaks_keep_only_grams_that_are_looked_up(spark, monkeypatch):
     kept = []
     plain = sinks.written
