@@ -60,9 +60,19 @@ RD = f"""SELECT t.id, t.ingest_seq, r.r AS round, t.body AS original, t.body, t.
 FROM ({T}) t CROSS JOIN (SELECT 1 AS r UNION ALL SELECT 2 UNION ALL SELECT 3) r"""
 
 
+#: Rows of a given table that a task turns into records: a table of few bytes is one split, however many rows it has.
+TASK_ROWS = 10_000
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df in as many tasks as its rows need, before anything is worked out for them."""
+    n = -(-df.count() // TASK_ROWS)  # from the files' footers
+    return df.repartition(n, key) if n > 1 else df
+
+
 def fixture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """sql over the tables of sf_dir, which stay views for this session only."""
-    for name in ("part", "labels"):
+    for name, key in (("part", "p_partkey"), ("labels", "doc_id")):
         if name in sql:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+            spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), key).createOrReplaceTempView(name)
     return spark.sql(sql)

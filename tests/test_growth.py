@@ -25,6 +25,12 @@ def messages(spark, utility, marketing=60):
     return rows.withColumns({"body": body, **{c: F.lit("") for c in ("header", "footer", "buttons")}})
 
 
+def test_tables_of_one_split_are_worked_on_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 50)
+    df = fixtures.fixture(spark, SF, fixtures.TV)
+    assert df.rdd.getNumPartitions() >= 4 and df.count() == 3 * spark.read.parquet(f"{SF}/part.parquet").count()
+
+
 def test_revisions_of_fixed_depth(spark, monkeypatch):
     monkeypatch.setattr(records, "GROUP_HASHES", 1)
     ids = [str(k) for k in range(3000)]
