@@ -14,7 +14,7 @@ from missive.operators import metrics as M
 from missive.operators.fits import Models, Problem, fit, fit_sigmoids, n_features, singular
 from missive.operators.similarity import WORDS_CAP, Index, best_pairs, word_terms
 from missive.operators.splits import folds, grouped_holdout_with_both
-from missive.operators.vectors import cohens_d, fit_direction, l2_normalize
+from missive.operators.vectors import MIN_PER_CLASS, cohens_d, fit_direction, l2_normalize
 from missive.sources.scratch import written
 
 FEATURES = [
@@ -194,7 +194,7 @@ class Trained:
 
 def train_and_evaluate(clean: DataFrame, target: float = 0.85, n_folds: int = 5) -> Trained:
     """Thresholds come from calibrated out-of-fold training probabilities only; the serving model is fitted anew on everything."""
-    rows = written(grouped_holdout_with_both(text_columns(clean)))
+    rows = written(text_columns(grouped_holdout_with_both(written(clean))))
     train, test = rows.where("not holdout"), rows.where("holdout")
     features = Featurizer(train)
     x_train = written(features.transform(train))
@@ -246,13 +246,15 @@ def compare_arms(train: DataFrame, test: DataFrame, overlapping: DataFrame | Non
 
     overlapping: ids of test rows that are near to training rows; the lower-overlap accuracy leaves them out.
     All arms have sublinear term frequencies; latent is word features in up to 100 singular dimensions.
+    Without both labels in training, or without a test row, every arm is skipped.
     """
     out, session, word = None, train.sparkSession, None
     near = (overlapping if overlapping is not None else session.createDataFrame([], "id string")).select("id").distinct().withColumn("near", F.lit(True))
     marked = written(test.join(near, "id", "left").withColumn("apart", F.col("near").isNull()))
     scores = ["accuracy", "macro_f1", "utility_precision", "utility_recall", "lower_overlap_accuracy"]
+    able = train.select("y").distinct().count() == 2 and marked.limit(1).count() == 1
     for arm in arms:
-        if arm == "sentence_encoder":
+        if arm == "sentence_encoder" or not able:
             absent = [F.lit(None).cast("bigint").alias(c) for c in ("dimensions", "samples")] + [F.lit(None).cast("double").alias(c) for c in scores]
             row = session.range(1).select(F.lit(arm).alias("arm"), F.lit("skipped").alias("status"), *absent)
         else:
@@ -322,20 +324,25 @@ def compare_texts(records: DataFrame, dimensions: int = 100) -> DataFrame:
 
     embedding: calibrated logistic regression on the vectors; tfidf: the same on TF-IDF; direction: the discriminant at its midpoint.
     The vectors are the latent ones of the training rows' words, so no test row takes part in them.
+    With too few training rows of a label for a direction, its scores are null.
     """
-    rows = written(grouped_holdout_with_both(text_columns(records)))
+    rows = written(text_columns(grouped_holdout_with_both(written(records))))
     f = Featurizer(rows.where("not holdout"))
     x = written(f.transform(rows).select("id", "family", "holdout", "y", "requested_category", F.col("meta_category").alias("recorded_category"), "idx", "val"))
     latent = Latent(x.where("not holdout"), dimensions)
     v = written(latent.transform(x))
-    direction = fit_direction(v.where("not holdout"), "recorded_category")
+    few = v.where("not holdout").agg(F.count_if(F.col("y") == 1) < MIN_PER_CLASS, F.count_if(F.col("y") == 0) < MIN_PER_CLASS).first()
+    direction = None if any(few) else fit_direction(v.where("not holdout"), "recorded_category")
     named = lambda df, p, name: df.select(
         F.lit(name).alias("method"), "recorded_category", "requested_category", F.when(p >= 0.5, "UTILITY").otherwise("MARKETING").alias("prediction"), p.alias("s"))
-    held = named(v.where("holdout"), direction.score(F.col("vector")), "direction")
+    held = named(v.where("holdout"), direction.score(F.col("vector")) if direction else F.lit(None).cast("double"), "direction")
     held = written(held.unionByName(named(Calibrated(v.where("not holdout")).transform(v.where("holdout")), F.col("p"), "embedding"))
                    .unionByName(named(Calibrated(x.where("not holdout")).transform(x.where("holdout")), F.col("p"), "tfidf")))
     slices = F.array(F.lit("all"), F.when(F.col("requested_category") == "UTILITY", F.lit("requested_utility")))
     scores = held.withColumn("slice", F.explode(slices)).where("slice is not null").groupBy("method", "slice").agg(*M.score_columns())
+    if direction is None:
+        scores = scores.withColumns({c: F.when(F.col("method") != "direction", F.col(c)) for c in ("accuracy", "utility_precision", "utility_recall")})
+        return scores.withColumns({c: F.lit(None).cast("double") for c in ("direction_auc", "separation")})
     own = held.where("method = 'direction'")
     apart = M.roc_auc(own, "s").withColumnRenamed("auc", "direction_auc").crossJoin(cohens_d(own, "s", "recorded_category").withColumnRenamed("cohens_d", "separation"))
     return scores.crossJoin(F.broadcast(apart))

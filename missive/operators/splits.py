@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from missive.functions.text import date_value
 from missive.operators.ranges import before, hash_ranked
-from missive.operators.records import candidates, training_families, with_family
+from missive.operators.records import candidates, with_family
+from missive.sources.scratch import written
 
 
 def hash_fraction(seed: str, c: Column) -> Column:
@@ -24,12 +25,19 @@ def grouped_holdout(df: DataFrame, share: float = 0.25, seed: str = "s0", group:
 
 
 def grouped_holdout_with_both(df: DataFrame, share: float = 0.25, label: str = "meta_category", tries: int = 10) -> DataFrame:
-    """The first seed whose two sides both hold both labels."""
+    """The first seed whose two sides both hold both labels; all seeds are counted in one pass.
+
+    Where no seed does, each label is split by itself: the first floor(share * n) of its families in hash order are
+    held out, one at least of two or more; a label's only family stays in training.
+    """
+    held = [F.count_if(hash_fraction(f"s{k}", F.col("family")) < share).alias(f"s{k}") for k in range(tries)]
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *held).collect()  # a row for each label
     for k in range(tries):
-        out = grouped_holdout(df, share, f"s{k}")
-        if out.groupBy("holdout").agg(F.count_distinct(label).alias("n")).where("n >= 2").count() == 2:
-            return out
-    raise ValueError("no seed gives both labels on both sides")
+        if sum(r[f"s{k}"] > 0 for r in counts) >= 2 and sum(r[f"s{k}"] < r["n"] for r in counts) >= 2:
+            return grouped_holdout(df, share, f"s{k}")
+    ranked = hash_ranked(df, [label], hash_order("s0", F.col("family")), "family")
+    most = F.greatest(F.floor(share * F.col("__n")), F.when(F.col("__n") >= 2, 1).otherwise(0))
+    return ranked.withColumn("holdout", F.col("__rank") <= most).drop("__rank", "__n")
 
 
 def folds(df: DataFrame, n: int, seed: str = "f", group: str = "family", name: str = "fold") -> DataFrame:
@@ -49,17 +57,19 @@ def cutoff(dates: DataFrame, column: str, share: float = 0.75) -> DataFrame:
 
 def family_spans(df: DataFrame) -> DataFrame:
     """family, first, last of all candidate rows of clean families; families with an invalid date are void."""
-    rows = with_family(candidates(df)).join(training_families(df).select("family"), "family", "left_semi")
+    rows = with_family(candidates(df))
     created = date_value(F.col("created_at"))
     updated = F.when(F.col("updated_at") == "", created).otherwise(date_value(F.col("updated_at")))
-    rows = rows.select("family", created.alias("c"), updated.alias("u"))
+    rows = rows.select("family", "meta_category", created.alias("c"), updated.alias("u"))
     bad = F.col("c").isNull() | F.col("u").isNull() | (F.col("u") < F.col("c"))
-    return rows.groupBy("family").agg(F.min(F.least("c", "u")).alias("first"), F.max(F.greatest("c", "u")).alias("last"), F.bool_or(bad).alias("invalid"))
+    spans = rows.groupBy("family").agg(
+        F.min(F.least("c", "u")).alias("first"), F.max(F.greatest("c", "u")).alias("last"), F.bool_or(bad).alias("invalid"), F.min("meta_category").alias("a"), F.max("meta_category").alias("z"))
+    return spans.where("a = z").select("family", "first", "last", "invalid")  # one label, as in training_families
 
 
 def chronological_split(df: DataFrame) -> DataFrame:
     """family, side: train, test, purged (spans the cutoff) or invalid."""
-    spans = family_spans(df)
+    spans = written(family_spans(df))
     at = cutoff(spans.where("not invalid"), "first")
     side = F.when(F.col("invalid"), "invalid").when(F.col("last") < F.col("cutoff"), "train").when(F.col("first") >= F.col("cutoff"), "test").otherwise("purged")
     return spans.crossJoin(F.broadcast(at)).select("family", side.alias("side"))
@@ -76,8 +86,8 @@ def fixed_split(df: DataFrame, seed: str = "v", share: float = 0.25) -> DataFram
 
     Strata are label and requested category; if one of them has a single row, the label alone.
     """
-    held = grouped_holdout(df, 0.25, "s0")
     strata = ["meta_category", "requested_category"]
+    held = written(grouped_holdout(df.select("family", *strata), 0.25, "s0"))
     rare = held.where("not holdout").groupBy(*strata).agg(F.count(F.lit(1)).alias("n")).where("n < 2").limit(1).count()
     rest = top_share(held.where("not holdout"), strata[:1] if rare else strata, share, seed, "family")
     part = F.when(F.col("chosen"), "validation").otherwise("train")

@@ -31,11 +31,13 @@ def query(f):
 
 
 def clean(s: SparkSession, d: str) -> DataFrame:
-    return O.training_families(fixture(s, d, TV))
+    """The training families, worked out once for all that reads them."""
+    return written(O.training_families(fixture(s, d, TV)))
 
 
 def split(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = written(L.text_columns(clean(s, d).join(S.fixed_split(clean(s, d)), "family")))
+    families = clean(s, d)
+    rows = written(L.text_columns(families.join(S.fixed_split(families), "family")))
     return rows.where("part = 'train'"), rows.where("part = 'validation'")
 
 

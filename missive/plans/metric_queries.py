@@ -12,6 +12,7 @@ from missive.operators import records as O
 from missive.operators import splits as S
 from missive.plans import duck as D
 from missive.plans.fixtures import P, RD, TV, T, fixture
+from missive.sources.scratch import written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -108,7 +109,11 @@ def clean(s: SparkSession, d: str) -> DataFrame:
     return O.training_families(fixture(s, d, TV))
 
 
-query("m9_grouped_holdout", f"{CLEAN} SELECT family, {FR('s0', 'family')} < 0.25 AS holdout FROM clean")(lambda s, d: S.grouped_holdout_with_both(clean(s, d)).select("family", "holdout"))
+def _checked(families: DataFrame) -> DataFrame:
+    return M.check_partitions(S.fixed_split(families).select("part", F.col("family").alias("id")), families.select(F.col("family").alias("id")))
+
+
+query("m9_grouped_holdout", f"{CLEAN} SELECT family, {FR('s0', 'family')} < 0.25 AS holdout FROM clean")(lambda s, d: S.grouped_holdout(clean(s, d)).select("family", "holdout"))
 query("m8_folds", f"{CLEAN} SELECT family, CAST(floor({FR('f', 'family')} * 5) AS INT) AS fold FROM clean")(lambda s, d: S.folds(clean(s, d), 5).select("family", "fold"))
 TS = "try_cast(replace({}, 'Z', '+00:00') AS TIMESTAMPTZ)"
 SPANS = f"""sp AS (SELECT family, min({TS.format('created_at')}) AS f, max({TS.format('created_at')}) AS l, bool_or({TS.format('created_at')} IS NULL) AS invalid FROM cand WHERE family IN (SELECT family FROM clean) GROUP BY family),
@@ -118,7 +123,7 @@ query("m13_chronological_split", f"{D.ctes('tv', D.clean_cte(), SPANS)} SELECT f
 FIXED = f"""h AS (SELECT *, {FR('s0', 'family')} < 0.25 AS holdout FROM clean), r AS (SELECT family, row_number() OVER (PARTITION BY meta_category, requested_category ORDER BY sha256('v:' || family), family) <= floor(0.25 * count(*) OVER (PARTITION BY meta_category, requested_category)) AS chosen FROM h WHERE NOT holdout),
 parts AS (SELECT family, CASE WHEN chosen THEN 'validation' ELSE 'train' END AS part FROM r UNION ALL SELECT family, 'holdout' FROM h WHERE holdout)"""
 query("m22_fixed_split", f"{D.ctes('tv', D.clean_cte(), FIXED)} SELECT family, part FROM parts")(lambda s, d: S.fixed_split(clean(s, d)))
-query("w12_check_partitions", "SELECT 0::BIGINT AS overlapping, 0::BIGINT AS uncovered, 0::BIGINT AS foreign")(lambda s, d: M.check_partitions(S.fixed_split(clean(s, d)).select("part", F.col("family").alias("id")), clean(s, d).select(F.col("family").alias("id"))))
+query("w12_check_partitions", "SELECT 0::BIGINT AS overlapping, 0::BIGINT AS uncovered, 0::BIGINT AS foreign")(lambda s, d: _checked(written(clean(s, d))))
 
 
 @query("w12_check_bad_partitions", f"{D.ctes('p')} SELECT count(*) FILTER (WHERE id::BIGINT % 5 = 0) AS overlapping, count(*) FILTER (WHERE id::BIGINT % 7 = 0 AND id::BIGINT % 5 <> 0) AS uncovered, count(*) FILTER (WHERE id::BIGINT % 11 = 0) AS foreign FROM p")

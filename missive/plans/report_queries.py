@@ -18,7 +18,7 @@ from missive.plans import duck as D
 from missive.plans.fixtures import P, RD, TV, T, fixture
 from missive.plans.text_queries import SQL as TEXT_SQL
 from missive.plans.vector_queries import CEN, DOT, EV, e
-from missive.sources.scratch import folder
+from missive.sources.scratch import folder, written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -166,7 +166,7 @@ def m20_exemplar_form(s: SparkSession, d: str) -> DataFrame:
 @query("m22_manifest", f"{D.ctes('tv', D.clean_cte())} SELECT count(*) AS families, true AS same FROM clean")
 def m22_manifest(s: SparkSession, d: str) -> DataFrame:
     """A split that was written once is read again, not drawn anew."""
-    path, rows = f"{folder(s)}/manifest", O.training_families(fixture(s, d, TV))
+    path, rows = f"{folder(s)}/manifest", written(O.training_families(fixture(s, d, TV)))
     first = S.persisted_split(rows, path)
     again = S.persisted_split(rows, path, seed="another")
     changed = first.join(again.withColumnRenamed("part", "again"), "family", "full_outer").where("not (part <=> again)")

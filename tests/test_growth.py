@@ -31,6 +31,33 @@ def test_tables_of_one_split_are_worked_on_by_many_tasks(spark, monkeypatch):
     assert df.rdd.getNumPartitions() >= 4 and df.count() == 3 * spark.read.parquet(f"{SF}/part.parquet").count()
 
 
+@pytest.mark.parametrize("utility", [0, 1, 2, 3])
+def test_rare_labels_are_held_out_where_they_can_be(spark, utility):
+    for tries in (0, 10):
+        rows = splits.grouped_holdout_with_both(families(spark, utility), tries=tries).groupBy("meta_category").agg(F.count_if("holdout").alias("h"), F.count_if(~F.col("holdout")).alias("t")).collect()
+        found = {r["meta_category"]: r for r in rows}
+        assert found["MARKETING"]["h"] > 0 and found["MARKETING"]["t"] > 0
+        if utility:
+            assert found["UTILITY"]["t"] > 0 and (found["UTILITY"]["h"] > 0) == (utility > 1)
+
+
+def test_training_goes_on_with_one_family_of_a_label(spark):
+    report = {r["slice"]: r for r in learn.train_and_evaluate(messages(spark, 1), n_folds=2).report.collect()}
+    assert report["all"]["samples"] > 0 and report["all"]["recorded_utility"] == 0
+
+
+def test_methods_without_enough_families_have_no_scores(spark):
+    out = {r["method"]: r for r in learn.compare_texts(messages(spark, 3), 5).where("slice = 'all'").collect()}
+    assert set(out) == {"direction", "embedding", "tfidf"} and len({r["samples"] for r in out.values()}) == 1
+    assert out["direction"]["accuracy"] is None and out["tfidf"]["accuracy"] is not None and all(r["direction_auc"] is None for r in out.values())
+
+
+def test_arms_without_both_labels_are_skipped(spark):
+    rows = learn.text_columns(messages(spark, 3))
+    out = learn.compare_arms(rows.where("meta_category = 'MARKETING'"), rows).collect()
+    assert [r["arm"] for r in out] == list(learn.ARMS) and {r["status"] for r in out} == {"skipped"}
+
+
 def test_revisions_of_fixed_depth(spark, monkeypatch):
     monkeypatch.setattr(records, "GROUP_HASHES", 1)
     ids = [str(k) for k in range(3000)]
