@@ -47,14 +47,14 @@ def publish(report: DataFrame, fields: list[str], path: str) -> None:
 
 #: Grams that a source text is looked up by.
 PROBES = 8
-#: Most bits of the filter of looked-up grams (32 MB); it has 32 bits a gram up to there, and lets more pass beyond.
+#: Most bits of the filter of looked-up grams (32 MB); it has 32 bits a gram, 2^20 at least, up to there, and lets more pass beyond.
 FILTER_BITS = 1 << 28
 
 
 def _filter(probes: DataFrame):
     """(broadcast words of the filter of probes' grams, by how much a gram is shifted to its bit)."""
     n = probes.count()
-    bits = min(FILTER_BITS, 1 << max(10, (32 * n).bit_length()))
+    bits = min(FILTER_BITS, 1 << max(20, (32 * n).bit_length()))
     shift = 64 - (bits.bit_length() - 1)
     at = F.shiftrightunsigned("gram", shift)
     marks = probes.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()  # FILTER_BITS at most
