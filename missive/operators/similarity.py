@@ -18,20 +18,25 @@ WORDS_CAP, CHARS_CAP = 25_000, 40_000
 SCORE_PLACES = 9
 
 
-def word_terms(df: DataFrame, text: Column) -> DataFrame:
-    """id, term, tf: words of two or more characters, and pairs of neighbours."""
+def _known(rows: DataFrame, vocab: DataFrame | None) -> DataFrame:
+    """The rows whose term is in vocab, which is bounded by a cap; all of them without one."""
+    return rows if vocab is None else rows.join(F.broadcast(vocab.select("term")), "term", "left_semi")
+
+
+def word_terms(df: DataFrame, text: Column, vocab: DataFrame | None = None) -> DataFrame:
+    """id, term, tf: words of two or more characters, and pairs of neighbours; only those of vocab, if there is one."""
     words = F.filter(F.split(normalized_content(text), " "), lambda w: F.length(w) >= 2)
     rows = df.select("id", words.alias("w"))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.element_at("w", i), F.lit(" "), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    return rows.select("id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _known(rows.select("id", F.explode(F.concat("w", pairs)).alias("term")), vocab).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def char_terms(df: DataFrame, text: Column) -> DataFrame:
-    """id, term, tf: grams of 3 to 5 characters inside blank-padded words."""
+def char_terms(df: DataFrame, text: Column, vocab: DataFrame | None = None) -> DataFrame:
+    """id, term, tf: grams of 3 to 5 characters inside blank-padded words; only those of vocab, if there is one."""
     words = df.select("id", F.explode(F.filter(F.split(normalized_content(text), " "), lambda w: w != "")).alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).alias("n"))
     words = words.withColumn("w", F.concat(F.lit(" "), "w", F.lit(" "))).withColumn("l", F.length("w"))
     grams = F.flatten(F.transform(F.sequence(F.lit(3), F.least(F.lit(5), F.col("l"))), lambda n: F.transform(F.sequence(F.lit(1), F.col("l") - n + 1), lambda i: F.substr(F.col("w"), i, n))))
-    return words.select("id", "n", F.explode(grams).alias("term")).groupBy("id", "term").agg(F.sum("n").alias("tf"))
+    return _known(words.select("id", "n", F.explode(grams).alias("term")), vocab).groupBy("id", "term").agg(F.sum("n").alias("tf"))
 
 
 def vocabulary(terms: DataFrame, cap: int, min_df: int = 1) -> DataFrame:
@@ -62,8 +67,8 @@ class Index:
         self.vectors = weighted(own, self.vocab, self.n_docs, sublinear)
 
     def transform(self, df: DataFrame, text: Column) -> DataFrame:
-        """Vectors of other rows; terms outside the vocabulary are dropped before normalizing."""
-        return weighted(self.terms(df, text), self.vocab, self.n_docs, self.sublinear)
+        """Vectors of other rows; terms outside the vocabulary are dropped before they are counted, what is left is written once."""
+        return weighted(written(self.terms(df, text, self.vocab)), self.vocab, self.n_docs, self.sublinear)
 
 
 def prefixes(vectors: DataFrame, threshold: float) -> DataFrame:
