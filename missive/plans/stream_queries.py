@@ -17,10 +17,14 @@ QUERIES: dict = {}
 SQL: dict = {}
 
 
+#: Files of a micro-batch: with fixtures' TASK_ROWS, some two million records.
+BATCH_FILES = 200
+
+
 def staged(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
     base = folder(spark)
     df.write.parquet(f"{base}/in")
-    return J.record_stream(spark, f"{base}/in", df.schema), base
+    return J.record_stream(spark, f"{base}/in", df.schema, BATCH_FILES), base
 
 
 def t1_continuous_import(spark: SparkSession, sf_dir: str) -> DataFrame:
