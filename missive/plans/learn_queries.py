@@ -35,8 +35,8 @@ def clean(s: SparkSession, d: str) -> DataFrame:
     return written(O.training_families(fixture(s, d, TV)))
 
 
-def split(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    families = clean(s, d)
+def split(s: SparkSession, d: str, families: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    families = clean(s, d) if families is None else families
     rows = written(L.text_columns(families.join(S.fixed_split(families), "family")))
     return rows.where("part = 'train'"), rows.where("part = 'validation'")
 
@@ -187,8 +187,9 @@ def m28_compare_texts(s, d):
     return L.compare_texts(clean(s, d))
 
 
-def _with_probability(s, d, rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    train, _ = split(s, d)
+def _with_probability(s, d, families: DataFrame, rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """rows with p, by a model of the families' training part."""
+    train, _ = split(s, d, families)
     f = L.Featurizer(train)
     model = L.fit_logistic(f.transform(train))
     return {k: model.transform(f.transform(L.text_columns(x))) for k, x in rows.items()}
@@ -196,21 +197,24 @@ def _with_probability(s, d, rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 @query
 def m29_minimal_pairs(s, d):
-    base = clean(s, d).where("meta_category = 'UTILITY'")
-    out = _with_probability(s, d, {"clean": base, "spoilt": base.withColumn("body", F.concat("body", F.lit(" Shop now.")))})
+    families = clean(s, d)
+    base = families.where("meta_category = 'UTILITY'")
+    out = _with_probability(s, d, families, {"clean": base, "spoilt": base.withColumn("body", F.concat("body", F.lit(" Shop now.")))})
     return L.minimal_pairs(out["clean"].select("id", F.col("p").alias("clean_p")).join(out["spoilt"].select("id", F.col("p").alias("contaminated_p")), "id")).select("id", "drop", "holds")
 
 
 @query
 def p8_ratify(s, d):
     """Edited messages that the classifier reads as UTILITY."""
-    edited = U.split_promotional(clean(s, d)).where(F.size("removed") > 0).withColumn("body", F.col("kept_body"))
-    return _with_probability(s, d, {"x": edited})["x"].select("id", (F.col("p") >= 0.5).alias("ratified"))
+    families = clean(s, d)
+    edited = U.split_promotional(families).where(F.size("removed") > 0).withColumn("body", F.col("kept_body"))
+    return _with_probability(s, d, families, {"x": edited})["x"].select("id", (F.col("p") >= 0.5).alias("ratified"))
 
 
 @query
 def p14_accept_fill(s, d):
     """Bodies with sample values by rule, where they stay clean and still read as UTILITY; else unfilled."""
-    filled = clean(s, d).withColumn("body", fill_by_rule(F.col("body")))
-    out = _with_probability(s, d, {"x": filled})["x"]
+    families = clean(s, d)
+    filled = families.withColumn("body", fill_by_rule(F.col("body")))
+    out = _with_probability(s, d, families, {"x": filled})["x"]
     return out.select("id", F.when((F.col("p") >= 0.5) & ~U.is_promotional(F.col("body")), F.col("body")).alias("accepted"))

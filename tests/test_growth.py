@@ -88,3 +88,11 @@ def test_leaks_keep_only_grams_that_are_looked_up(spark, monkeypatch):
     assert [r["s"] for r in sinks.leaks(published, "s", corpus).collect()] == ["xx a secret passage yy"]
     held = next(df for df in kept if df.columns == ["value", "gram"])
     assert held.count() < 200
+
+
+@pytest.mark.parametrize("name", ["p8_ratify", "p14_accept_fill", "m29_minimal_pairs"])
+def test_families_that_are_fitted_and_scored_are_worked_out_once(spark, monkeypatch, name):
+    calls, plain = [], records.training_families
+    monkeypatch.setattr(records, "training_families", lambda df: calls.append(1) or plain(df))
+    entry.queries()[name](spark, SF)
+    assert len(calls) == 1
