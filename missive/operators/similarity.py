@@ -23,12 +23,21 @@ def _known(rows: DataFrame, vocab: DataFrame | None) -> DataFrame:
     return rows if vocab is None else rows.join(F.broadcast(vocab.select("term")), "term", "left_semi")
 
 
+def words_of(text: Column) -> Column:
+    """The words of two or more characters of normalized text, in order."""
+    return F.filter(F.split(normalized_content(text), " "), lambda w: F.length(w) >= 2)
+
+
+def words_and_pairs(words: str) -> Column:
+    """The words of a column of words, and pairs of neighbours."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat(F.element_at(words, i), F.lit(" "), F.element_at(words, i + 1)))
+    return F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+
+
 def word_terms(df: DataFrame, text: Column, vocab: DataFrame | None = None) -> DataFrame:
     """id, term, tf: words of two or more characters, and pairs of neighbours; only those of vocab, if there is one."""
-    words = F.filter(F.split(normalized_content(text), " "), lambda w: F.length(w) >= 2)
-    rows = df.select("id", words.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.element_at("w", i), F.lit(" "), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    return _known(rows.select("id", F.explode(F.concat("w", pairs)).alias("term")), vocab).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = df.select("id", words_of(text).alias("w"))
+    return _known(rows.select("id", F.explode(words_and_pairs("w")).alias("term")), vocab).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def char_terms(df: DataFrame, text: Column, vocab: DataFrame | None = None) -> DataFrame:
@@ -45,6 +54,23 @@ def vocabulary(terms: DataFrame, cap: int, min_df: int = 1) -> DataFrame:
     return counts.orderBy(F.desc("total"), "term").limit(cap).select("term", "df")
 
 
+def word_vocabulary(df: DataFrame, text: Column, cap: int) -> DataFrame:
+    """``vocabulary`` of ``word_terms``, for texts whose terms by document are more than what should be moved.
+
+    Terms are counted without their documents, so tasks send each term once; documents are counted of the cap terms
+    alone, inside their rows. Only ids that come in several rows are brought together.
+    """
+    rows = written(df.select("id", words_of(text).alias("w")))
+    totals = rows.select(F.explode(words_and_pairs("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+    kept = written(totals.orderBy(F.desc("total"), "term").limit(cap))
+    repeated = written(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("again")))
+    same = F.col("id").eqNullSafe(F.col("again"))
+    once = rows.join(repeated, same, "left_anti").select(F.explode(F.array_distinct(words_and_pairs("w"))).alias("term"))
+    several = rows.join(repeated, same, "left_semi").select("id", F.explode(F.array_distinct(words_and_pairs("w"))).alias("term"))
+    found = _known(once, kept).unionByName(_known(several, kept).distinct().select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return kept.join(found, "term").orderBy(F.desc("total"), "term").select("term", "df")
+
+
 def weighted(terms: DataFrame, vocab: DataFrame, n_docs: DataFrame, sublinear: bool = False) -> DataFrame:
     """id, term, w, df: TF-IDF with smooth idf, of unit length over the vocabulary's terms.
 

@@ -71,7 +71,7 @@ query("m1_word_tfidf", f"{D.ctes('tv', D.clean_cte(), terms_sql('c', 'clean', D.
 query("m2_char_tfidf", f"{D.ctes('tv', D.clean_cte(), terms_sql('c', 'clean', 'body', 'char'), fit_sql('c', 'clean', 25000), weight_sql('cw', 'c', 'c', True))} SELECT id, term, round(w, 6) AS w FROM cw")(
     lambda s, d: Y.Index(clean(s, d), F.col("body"), Y.char_terms, 25_000, True).vectors.select("id", "term", F.round("w", 6).alias("w")))
 query("w11_vocabulary", f"WITH {DOC_TERMS} SELECT term, count(*) AS df FROM d_t GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 8000")(
-    lambda s, d: Y.vocabulary(Y.word_terms(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text"), F.col("text")), 8000))
+    lambda s, d: Y.word_vocabulary(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text"), F.col("text"), 8000))
 
 
 def cross(s: SparkSession, d: str, floor: float = 0.0) -> DataFrame:

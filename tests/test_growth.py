@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from missive.operators import learn, records, reports, splits
+from missive.operators import learn, records, reports, similarity, splits
 from missive.plans import fixtures
 from missive.sources import sinks
 
@@ -96,3 +96,14 @@ def test_families_that_are_fitted_and_scored_are_worked_out_once(spark, monkeypa
     monkeypatch.setattr(records, "training_families", lambda df: calls.append(1) or plain(df))
     entry.queries()[name](spark, SF)
     assert len(calls) == 1
+
+
+def test_a_vocabulary_moves_no_terms_by_document(spark, monkeypatch):
+    rows = [("a", "one two two three"), ("a", "two one"), ("b", "one two"), (None, "three three one two"), (None, "two"), ("c", None), ("d", ""), ("e", "solo x")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    want = [similarity.vocabulary(similarity.word_terms(df, F.col("text")), cap).collect() for cap in (3, 100)]
+    plain = similarity.word_terms(spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "text"), F.col("text"))
+    same = similarity.vocabulary(plain, 8000).collect()
+    monkeypatch.setattr(similarity, "word_terms", None)
+    assert [similarity.word_vocabulary(df, F.col("text"), cap).collect() for cap in (3, 100)] == want
+    assert entry.queries()["w11_vocabulary"](spark, SF).collect() == same
