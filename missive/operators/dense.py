@@ -4,7 +4,7 @@ Centres come from a bounded sample of the corpus (SAMPLE rows, at most CENTRES c
 the work, never the result. A corpus vector lies in the list of its nearest centre. By the triangle
 inequality of angles, a vector of a list is no nearer to a query than the query's angle to the centre less
 the list's greatest angle. Each query first visits its FIRST most promising lists; its k-th best score
-there then rules out all lists whose bound is lower. Lists and their visitors are dealt out in parts of
+there then rules out all lists whose bound is lower, and of the others all vectors that score lower. Lists and their visitors are dealt out in parts of
 some CELL rows, and a pair of parts is one small matrix product; it gives at most k rows for each query.
 """
 
@@ -110,7 +110,7 @@ class Lists:
 
 
 def _visits(lists: Lists, second: bool, counted: bool):
-    """(id, unit[, floor]) -> the visits (id, unit, cell), or only their number for each list."""
+    """(id, unit, floor) -> the visits (id, unit, floor, cell), or only their number for each list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(lists.sizes), np.int64)
@@ -122,15 +122,31 @@ def _visits(lists: Lists, second: bool, counted: bool):
                 row, cell = np.nonzero(seen)
                 if not counted and len(row):
                     rows = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([some.column(0).take(rows), some.column(1).take(rows), pa.array(cell.astype(np.int32))], names=["id", "unit", "cell"])
+                    yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in some.columns], pa.array(cell.astype(np.int32))], names=["id", "unit", "floor", "cell"])
         if counted:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["cell", "n"])
 
     return run
 
 
+def best_of(s: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rounded score) of each row's k best scores of its floor and more, ties to lower columns.
+
+    Only scores that may be among them are rounded and ordered.
+    """
+    least = floor if s.shape[1] <= k or (floor > -1).all() else np.fmax(floor, -np.partition(-s, k - 1, axis=1)[:, k - 1])
+    row, column = np.nonzero(s >= least[:, None] - 2 * 10.0**-PLACES)
+    score = np.round(s[row, column], PLACES) + 0.0
+    keep = score >= floor[row]
+    row, column, score = row[keep], column[keep], score[keep]
+    order = np.lexsort((column, -score, row))
+    row, column, score = row[order], column[order], score[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], column[first], score[first]
+
+
 def _best(k: int):
-    """A part of a list's visitors and a part of the list -> the k best of each visitor."""
+    """A part of a list's visitors and a part of the list -> the k best of each visitor, of its floor and more."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, matches, scores = [], [], []
@@ -138,13 +154,12 @@ def _best(k: int):
             x, y, names = matrix(left.column("unit")), matrix(right.column("unit")), np.array(right.column("match").to_pylist(), dtype=object)
             order = np.argsort(names, kind="stable")  # ties go to the least match
             y, names = y[order], names[order]
-            own = left.column("id").to_pylist()
+            own, floor = np.array(left.column("id").to_pylist(), dtype=object), left.column("floor").to_numpy()
             for a in range(0, len(x), STEP):
-                s = np.round(x[a : a + STEP] @ y.T, PLACES) + 0.0
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                ids += [i for i in own[a : a + STEP] for _ in range(best.shape[1])]
-                matches += names[best].ravel().tolist()
-                scores += np.take_along_axis(s, best, axis=1).ravel().tolist()
+                row, column, score = best_of(x[a : a + STEP] @ y.T, k, floor[a : a + STEP])
+                ids += own[a + row].tolist()
+                matches += names[column].tolist()
+                scores += score.tolist()
         return pa.table({"id": pa.array(ids, left.schema.field("id").type), "match": pa.array(matches, right.schema.field("match").type), "score": pa.array(scores, pa.float64())})
 
     return run
@@ -179,7 +194,7 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
             counts[r["cell"]] = r["n"]
         lanes = F.array(*[F.lit(max(1, math.ceil(c / CELL))) for c in counts.tolist()])
         own, lane = F.element_at(parts, F.col("cell") + 1), F.element_at(lanes, F.col("cell") + 1)
-        visits = rows_.mapInArrow(_visits(lists, second, False), f"id {kind['id']}, unit binary, cell int")
+        visits = rows_.mapInArrow(_visits(lists, second, False), f"id {kind['id']}, unit binary, floor double, cell int")
         visits = visits.withColumns({"lane": F.pmod(F.xxhash64("id"), lane), "part": F.explode(F.sequence(F.lit(0), own - 1))})
         some = listed.where(F.element_at(F.array(*[F.lit(bool(c)) for c in counts.tolist()]), F.col("cell") + 1))
         some = some.withColumns({"part": F.pmod(F.xxhash64("match"), own).cast("int"), "lane": F.explode(F.sequence(F.lit(0).cast("bigint"), lane.cast("bigint") - 1))})
@@ -187,7 +202,7 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
         met = visits.groupBy(*key).cogroup(some.select("match", "unit", *key).groupBy(*key))
         return met.applyInArrow(_best(k), f"id {kind['id']}, match {kind['match']}, score double")
 
-    found = written(_top(visited(asked, False), k).drop("rank"))
+    found = written(_top(visited(asked.withColumn("floor", F.lit(-2.0)), False), k).drop("rank"))
     floors = found.groupBy("id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
     floors = floors.select("id", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(-1.0)).alias("floor"))
     again = written(asked.join(floors, "id", "left").select("id", "unit", F.coalesce("floor", F.lit(-1.0)).alias("floor")))

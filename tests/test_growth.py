@@ -3,11 +3,12 @@
 import hashlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from missive.operators import learn, records, reports, similarity, splits
+from missive.operators import dense, learn, records, reports, similarity, splits
 from missive.plans import fixtures
 from missive.sources import sinks
 
@@ -107,3 +108,15 @@ def test_a_vocabulary_moves_no_terms_by_document(spark, monkeypatch):
     monkeypatch.setattr(similarity, "word_terms", None)
     assert [similarity.word_vocabulary(df, F.col("text"), cap).collect() for cap in (3, 100)] == want
     assert entry.queries()["w11_vocabulary"](spark, SF).collect() == same
+
+
+@pytest.mark.parametrize("floor", [-2.0, 0.1])
+def test_the_best_of_a_part_are_those_of_a_full_sort(floor):
+    x = np.random.default_rng(3).standard_normal((40, 6)).round(1)
+    x[5], x[10:30] = 0, x[10]  # a zero vector, and more copies than are asked for
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+    s, want = x @ x.T, []
+    rounded = np.round(s, 6) + 0.0
+    for row, order in enumerate(np.argsort(-rounded, axis=1, kind="stable")[:, :5]):
+        want += [(row, c, rounded[row, c]) for c in order if rounded[row, c] >= floor]
+    assert list(zip(*(a.tolist() for a in dense.best_of(s, 5, np.full(40, floor))))) == want
