@@ -85,8 +85,13 @@ def short_hash(c: Column, n: int = 24) -> Column:
 
 
 def family_key(family_id: Column | None = None) -> Column:
-    """An explicit family id, else the content of all components, else that of the body."""
-    seed = F.coalesce(F.nullif(normalized_content(record_content()), F.lit("")), normalized_content(F.coalesce("body", F.lit(""))))
+    """An explicit family id, else the content of all components, else that of the body.
+
+    Contents are normalized in lambdas, which Spark keeps out of the stage's generated method: beside a record's other
+    columns that grows beyond 8,000 bytes, and the JVM then never compiles it.
+    """
+    alone = lambda c: F.transform(F.array(c), normalized_content)[0]
+    seed = F.coalesce(F.nullif(alone(record_content()), F.lit("")), alone(F.coalesce("body", F.lit(""))))
     if family_id is not None:
         seed = F.coalesce(F.nullif(stripped(family_id), F.lit("")), seed)
     return short_hash(seed)

@@ -1,6 +1,7 @@
 """What must hold on larger tables: rows spread over tasks, rare labels, hashes of fixed depth, small intermediate tables."""
 
 import hashlib
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from missive.functions import text
 from missive.operators import dense, learn, records, reports, similarity, splits
 from missive.plans import fixtures
 from missive.sources import sinks
@@ -32,6 +34,24 @@ def test_tables_of_one_split_are_worked_on_by_many_tasks(spark, monkeypatch):
     assert df.rdd.getNumPartitions() >= 4 and df.count() == 3 * spark.read.parquet(f"{SF}/part.parquet").count()
 
 
+def test_families_are_worked_out_by_methods_that_the_jvm_compiles(spark, capsys):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else no stage has code before it runs
+    try:
+        records.training_families(fixtures.fixture(spark, SF, fixtures.TV)).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000, sizes
+
+
+def test_family_keys_equal_those_of_plain_columns(spark):
+    rows = [("", "Your order {{1}} has shipped", "", ""), (None, "Visit https://a.b/c or a@b.cd, 20% off", None, "x\ny"), ("", "", "", ""), (None, None, None, None), ("!", "?", "", ""), ("Grüße", "ÄÖ_1 \u0967", "www.x.y", "")]
+    df = spark.createDataFrame(rows, "header string, body string, footer string, buttons string")
+    plain = text.short_hash(F.coalesce(F.nullif(text.normalized_content(text.record_content()), F.lit("")), text.normalized_content(F.coalesce("body", F.lit("")))))
+    got = df.select(text.family_key().alias("family"), plain.alias("plain"), text.family_key(F.lit(" own ")).alias("own")).collect()
+    assert all(r["family"] == r["plain"] and len(r["family"]) == 24 and r["own"] == hashlib.sha256(b"own").hexdigest()[:24] for r in got)
+
+
 @pytest.mark.parametrize("utility", [0, 1, 2, 3])
 def test_rare_labels_are_held_out_where_they_can_be(spark, utility):
     for tries in (0, 10):
