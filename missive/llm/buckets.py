@@ -26,11 +26,12 @@ PARTS = 16
 def spread_join(big: DataFrame, small: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
     """big joined with small, which has one row for each value of ``on`` and far fewer rows.
 
-    A value that most of big has is dealt out by a hash of ``by`` over PARTS tasks.
+    A value that most of big has is dealt out by a hash of ``by`` over PARTS tasks. The repeated rows are
+    never broadcast: Spark sizes them by what they are exploded from, a sixteenth of them.
     """
     part = F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int")
     repeated = small.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return big.withColumn("__part", part).join(repeated, [on, "__part"], how).drop("__part")
+    return big.withColumn("__part", part).join(repeated.hint("merge"), [on, "__part"], how).drop("__part")
 
 
 def dealt(rows: DataFrame, by: str, cap: int) -> DataFrame:

@@ -12,7 +12,8 @@ or grams are dealt out in both directions, so that no task sees more than CAP of
 
 Words have at most some hundreds of near words for each of their letters, whatever the corpus,
 but any number of words may end at one root: roots are found by pointers that double their
-reach, with joins that spread hot roots.
+reach, with joins that spread hot roots. No table with a row for a word or more is broadcast: files
+are far smaller than their rows in memory, and Spark sizes exploded rows by the file they come from.
 
 Defined results: a null or empty text has no words; the doc_id of a null id is ``null`` in the
 hash; rows of repeated ids or texts count each time; an empty table gives no words; other
@@ -105,7 +106,7 @@ def near_words(words: DataFrame, min_chars: int = MIN_CHARS, cap: int = CAP) ->
     ends = F.when(F.col("a.at") == 0, same(F.lit(-1), F.lit(-1)) | same(q + 1, q + 1)).otherwise(same(F.lit(1), F.lit(1)) | same(q, q + shift))
     ordered = (F.length("a.word") < F.length("b.word")) | (F.col("a.word") < F.col("b.word"))
     verified = ordered & ends & ((F.col("a.at") == 0) | ~earlier) & (F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1)
-    return a.join(b, met & verified).select("a.word", "a.n", F.col("b.word").alias("other"), F.col("b.n").alias("other_n"))
+    return a.join(b.hint("merge"), met & verified).select("a.word", "a.n", F.col("b.word").alias("other"), F.col("b.n").alias("other_n"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -131,12 +132,12 @@ def spelling_groups(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int
     both = pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
     best = F.min(F.struct((-F.col("other_n")).alias("k"), F.col("other").alias("form")))
     near = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
-    known = words.join(near, "word", "left")
+    known = words.join(near.hint("merge"), "word", "left")
     taken = -F.col("best.k") >= factor * F.col("n")
     known = known.select("word", F.when(taken, F.col("best.form")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(taken, -F.col("best.k")).alias("form_n"))
     known = written(known, "word-forms")
     ends = roots(known.where("form is not null").select("word", "form"))
-    return known.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return known.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

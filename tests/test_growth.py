@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from missive.functions import text
+from missive.llm import buckets, spelling
 from missive.operators import dense, learn, records, reports, similarity, splits
 from missive.plans import fixtures
 from missive.sources import sinks
@@ -140,3 +141,20 @@ def test_the_best_of_a_part_are_those_of_a_full_sort(floor):
     for row, order in enumerate(np.argsort(-rounded, axis=1, kind="stable")[:, :5]):
         want += [(row, c, rounded[row, c]) for c in order if rounded[row, c] >= floor]
     assert list(zip(*(a.tolist() for a in dense.best_of(s, 5, np.full(40, floor))))) == want
+
+
+def test_tables_of_words_and_repeated_rows_are_never_broadcast(spark, tmp_path):
+    """Spark sizes exploded rows by their file, so a file just under its bound became a table of many times that in the driver."""
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    spark.range(300).selectExpr("cast(id as string) AS word", "cast(id % 7 as string) AS root").write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    joined = buckets.spread_join(words, words.selectExpr("word AS root", "root AS next"), "root", "word", "left")
+    assert "Broadcast" not in plan(joined) and joined.count() == 300 and joined.where("next is null").count() == 0
+    docs = spark.createDataFrame([(k, "colour colour colour colour colour colour color color color planet planet planet") for k in range(3)], "doc_id long, text string")
+    got = spelling.spelling_groups(docs)
+    assert "Broadcast" not in plan(got) and {r["word"]: r["root"] for r in got.collect()} == {"colour": "colour", "color": "colour", "planet": "planet"}
+    pairs = spelling.near_words(got.select("word", "n"))
+    pairs.collect()
+    assert not re.search(r"BroadcastHashJoin \[[^\]]*part", plan(pairs))
