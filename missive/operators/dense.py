@@ -4,8 +4,11 @@ Centres come from a bounded sample of the corpus (SAMPLE rows, at most CENTRES c
 the work, never the result. A corpus vector lies in the list of its nearest centre. By the triangle
 inequality of angles, a vector of a list is no nearer to a query than the query's angle to the centre less
 the list's greatest angle. Each query first visits its FIRST most promising lists; its k-th best score
-there then rules out all lists whose bound is lower, and of the others all vectors that score lower. Lists and their visitors are dealt out in parts of
-some CELL rows, and a pair of parts is one small matrix product; it gives at most k rows for each query.
+there then rules out all lists whose bound is lower, and of the others all vectors that score lower. Lists are
+files in the shared folder, opened through pyarrow by its URI (any store that it can open on all executors).
+A task has queries of neighbouring lists, BLOCK at a time, reads the lists that any of them visits in parts
+of CELL rows, and keeps their k best. So pairs may be all there are, but only rows and results are written
+or shuffled, in proportion to their number, and a task holds a block and a part at a time.
 """
 
 from __future__ import annotations
@@ -15,16 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from missive.sources.scratch import written
+from missive.sources.scratch import folder, written
 
 SAMPLE, CENTRES, CELL, FIRST = 20_000, 1024, 4096, 3
 #: Scores are rounded to so many places, and bounds are loosened by as much.
 PLACES, SLACK = 6, 2e-6
-#: Queries whose visits or products are worked out at once.
-STEP = 128
+#: Queries whose visits or products are worked out at once, and queries that a task holds while it reads their lists.
+STEP, BLOCK = 128, 8192
 
 
 def _units(name: str):
@@ -32,10 +37,11 @@ def _units(name: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = []
-            for v in batch.column(1).to_pylist():
-                v = np.asarray(v, dtype=np.float64)
-                units.append((v / (np.linalg.norm(v) or 1.0)).tobytes())
+            if not batch.num_rows:
+                continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            units = [u.tobytes() for u in x / np.where(norm == 0, 1.0, norm)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary())], names=[name, "unit"])
 
     return run
@@ -66,8 +72,8 @@ def centres_of(corpus: DataFrame, n: int) -> np.ndarray:
     return centres
 
 
-def _listed(centres: np.ndarray):
-    """match, unit -> match, unit, cell, angle; zero vectors have a list of their own, the last."""
+def _listed(centres: np.ndarray, name: str):
+    """(name, unit) -> name, unit, cell, angle; zero vectors have a list of their own, the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +85,7 @@ def _listed(centres: np.ndarray):
             angle = np.arccos(s[np.arange(len(s)), cell])
             zero = ~x.any(axis=1)
             cell[zero], angle[zero] = len(centres), 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle)], names=["match", "unit", "cell", "angle"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle)], names=[name, "unit", "cell", "angle"])
 
     return run
 
@@ -108,34 +114,21 @@ class Lists:
         first &= bounds > -2
         return first if floor is None else ~first & (bounds > -2) & (bounds >= floor[:, None] - SLACK)
 
-
-def _visits(lists: Lists, second: bool, counted: bool):
-    """(id, unit, floor) -> the visits (id, unit, floor, cell), or only their number for each list."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(lists.sizes), np.int64)
-        for batch in batches:
-            for a in range(0, batch.num_rows, STEP):
-                some = batch.slice(a, STEP)
-                seen = lists.visits(matrix(some.column(1)), some.column(2).to_numpy(zero_copy_only=False) if second else None)
-                total += seen.sum(axis=0)
-                row, cell = np.nonzero(seen)
-                if not counted and len(row):
-                    rows = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in some.columns], pa.array(cell.astype(np.int32))], names=["id", "unit", "floor", "cell"])
-        if counted:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["cell", "n"])
-
-    return run
+    def stripe(self, k: int, of: int) -> Lists:
+        """Every ``of``-th list from the k-th; the others count as empty."""
+        return Lists(self.centres, np.where(np.arange(len(self.sizes)) % of == k, self.sizes, 0), self.reach)
 
 
 def best_of(s: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, rounded score) of each row's k best scores of its floor and more, ties to lower columns.
 
-    Only scores that may be among them are rounded and ordered.
+    Only scores that may be among them are rounded and ordered; of very many equal ones the first are taken out before.
     """
     least = floor if s.shape[1] <= k or (floor > -1).all() else np.fmax(floor, -np.partition(-s, k - 1, axis=1)[:, k - 1])
     row, column = np.nonzero(s >= least[:, None] - 2 * 10.0**-PLACES)
+    if len(row) > 16 * k * len(s) and s.shape[1] > k:
+        places = np.arange(s.shape[1]) - np.rint(s * 10.0**PLACES).astype(np.int64) * s.shape[1]
+        row, column = np.repeat(np.arange(len(s)), k), np.argpartition(places, k - 1, axis=1)[:, :k].ravel()
     score = np.round(s[row, column], PLACES) + 0.0
     keep = score >= floor[row]
     row, column, score = row[keep], column[keep], score[keep]
@@ -145,22 +138,87 @@ def best_of(s: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.nd
     return row[first], column[first], score[first]
 
 
-def _best(k: int):
-    """A part of a list's visitors and a part of the list -> the k best of each visitor, of its floor and more."""
+class Best:
+    """The k best of each query of a block so far; ``floor`` is the k-th best score, -2 before there are k."""
+
+    def __init__(self, x: np.ndarray, k: int):
+        self.x, self.k, self.match = x, k, None
+        self.score = np.full((len(x), k), -np.inf)
+        self.floor = np.full(len(x), -2.0)
+
+    def meet(self, rows: np.ndarray, y: np.ndarray, names: np.ndarray) -> None:
+        """These queries and a part of a list, whose names are in order: ties go to the least."""
+        found = []
+        for a in range(0, len(rows), STEP):
+            some = rows[a : a + STEP]
+            s = self.x[some] @ y.T
+            hit = np.flatnonzero(s.max(axis=1) >= self.floor[some] - 2 * 10.0**-PLACES)
+            if len(hit):
+                row, column, score = best_of(s[hit], self.k, self.floor[some[hit]])
+                found.append((some[hit[row]], names[column], score))
+        if not found:
+            return
+        row, match, score = (np.concatenate(c) for c in zip(*found))
+        if self.match is None:
+            self.match = np.full(self.score.shape, names[0], names.dtype)
+        own, at = np.unique(row, return_inverse=True)
+        at = np.concatenate([np.repeat(np.arange(len(own)), self.k), at])
+        score, match = np.concatenate([self.score[own].ravel(), score]), np.concatenate([self.match[own].ravel(), match])
+        order = np.lexsort((np.unique(match, return_inverse=True)[1] if match.dtype == object else match, -score, at))
+        order = order[np.arange(len(at)) - np.searchsorted(at[order], at[order]) < self.k]
+        self.score[own], self.match[own] = score[order].reshape(-1, self.k), match[order].reshape(-1, self.k)
+        self.floor[own] = np.maximum(self.score[own, -1], -2.0)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in the order of their stripes, up to BLOCK of one stripe at a time."""
+    held, n = [], 0
+    for batch in batches:
+        stripes = batch.column(batch.schema.get_field_index("stripe")).to_numpy()
+        edges = [0, *(np.flatnonzero(stripes[1:] != stripes[:-1]) + 1).tolist(), len(stripes)]
+        for a, b in zip(edges, edges[1:]):
+            while a < b:
+                if held and (n == BLOCK or held[0]["stripe"][0].as_py() != stripes[a]):
+                    yield pa.Table.from_batches(held)
+                    held, n = [], 0
+                some = batch.slice(a, min(b - a, BLOCK - n))
+                held.append(some)
+                a, n = a + some.num_rows, n + some.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _names(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist() + [None], dtype=object)[:-1] if column.null_count else column.to_numpy(zero_copy_only=False)
+
+
+def _nearest(lists: Lists, path: str, stripes: int, k: int):
+    """(id, unit, stripe), in the order of stripes -> id, match, score: the k best of each among its stripe's lists."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, matches, scores = [], [], []
-        if left.num_rows and right.num_rows:
-            x, y, names = matrix(left.column("unit")), matrix(right.column("unit")), np.array(right.column("match").to_pylist(), dtype=object)
-            order = np.argsort(names, kind="stable")  # ties go to the least match
-            y, names = y[order], names[order]
-            own, floor = np.array(left.column("id").to_pylist(), dtype=object), left.column("floor").to_numpy()
-            for a in range(0, len(x), STEP):
-                row, column, score = best_of(x[a : a + STEP] @ y.T, k, floor[a : a + STEP])
-                ids += own[a + row].tolist()
-                matches += names[column].tolist()
-                scores += score.tolist()
-        return pa.table({"id": pa.array(ids, left.schema.field("id").type), "match": pa.array(matches, right.schema.field("match").type), "score": pa.array(scores, pa.float64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files: dict[str, list[str]] = {}
+        for block in _blocks(batches):
+            if not files:
+                fs, root = FileSystem.from_uri(path)
+                for f in fs.get_file_info(FileSelector(root, recursive=True)):
+                    if f.is_file and f.base_name.endswith(".parquet"):
+                        files.setdefault(f.path.split("/")[-2], []).append(f.path)
+            own, best = lists.stripe(block["stripe"][0].as_py(), stripes), Best(matrix(block["unit"]), k)
+            for second in (False, True):
+                seen = np.concatenate([own.visits(best.x[a : a + STEP], best.floor[a : a + STEP] if second else None) for a in range(0, len(best.x), STEP)])
+                visitors = seen.sum(axis=0)
+                for cell in np.argsort(-visitors, kind="stable")[: np.count_nonzero(visitors)]:
+                    rows = np.flatnonzero(seen[:, cell])
+                    for file in files[f"cell={cell}"]:
+                        with fs.open_input_file(file) as source:
+                            for part in pq.ParquetFile(source).iter_batches(batch_size=CELL, columns=["match", "unit"], use_threads=False):
+                                names = _names(part.column(0))
+                                order = np.argsort(names, kind="stable")
+                                best.meet(rows, matrix(part.column(1))[order], names[order])
+            if best.match is not None:
+                row, place = np.nonzero(best.score > -np.inf)
+                found = pa.array(best.match[row, place], part.schema.field("match").type)
+                yield from pa.table({"id": block["id"].take(pa.array(row)), "match": found, "score": best.score[row, place]}).to_batches()
 
     return run
 
@@ -175,35 +233,23 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 
     Rows without a vector take no part; a zero vector has cosine 0 with everything.
     """
-    rows = written(unit_rows(corpus.select(F.col("id").alias("match"), "vector"), "match"))
-    asked = written(unit_rows(queries, "id"))
+    spark, rows, asked = corpus.sparkSession, written(unit_rows(corpus.select(F.col("id").alias("match"), "vector"), "match")), unit_rows(queries, "id")
     kind, n = {**dict(rows.dtypes), **dict(asked.dtypes)}, rows.count()
     if not n:
-        return asked.sparkSession.createDataFrame([], f"id {kind['id']}, match {kind['match']}, score double, rank int")
-    centres = centres_of(rows, n)
-    listed = written(rows.mapInArrow(_listed(centres), f"match {kind['match']}, unit binary, cell int, angle double"))
+        return spark.createDataFrame([], f"id {kind['id']}, match {kind['match']}, score double, rank int")
+    centres, path = centres_of(rows, n), folder(spark)
+    schema = f"match {kind['match']}, unit binary, cell int, angle double"
+    listed = rows.mapInArrow(_listed(centres, "match"), schema).repartitionByRange(math.ceil(n / (4 * CELL)), "cell", F.xxhash64("match"))
+    listed.sortWithinPartitions("cell", "match").write.partitionBy("cell").parquet(path)
     sizes, reach = np.zeros(len(centres) + 1, np.int64), np.zeros(len(centres) + 1)
-    for r in listed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("a")).collect():  # a row for each list
+    for r in spark.read.schema(schema).parquet(path).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("a")).collect():  # a row for each list
         sizes[r["cell"]], reach[r["cell"]] = r["n"], r["a"]
-    lists = Lists(centres, sizes, reach)
-    parts = F.array(*[F.lit(max(1, math.ceil(s / CELL))) for s in sizes.tolist()])
-
-    def visited(rows_: DataFrame, second: bool) -> DataFrame:
-        counts = np.zeros(len(sizes), np.int64)
-        for r in rows_.mapInArrow(_visits(lists, second, True), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-            counts[r["cell"]] = r["n"]
-        lanes = F.array(*[F.lit(max(1, math.ceil(c / CELL))) for c in counts.tolist()])
-        own, lane = F.element_at(parts, F.col("cell") + 1), F.element_at(lanes, F.col("cell") + 1)
-        visits = rows_.mapInArrow(_visits(lists, second, False), f"id {kind['id']}, unit binary, floor double, cell int")
-        visits = visits.withColumns({"lane": F.pmod(F.xxhash64("id"), lane), "part": F.explode(F.sequence(F.lit(0), own - 1))})
-        some = listed.where(F.element_at(F.array(*[F.lit(bool(c)) for c in counts.tolist()]), F.col("cell") + 1))
-        some = some.withColumns({"part": F.pmod(F.xxhash64("match"), own).cast("int"), "lane": F.explode(F.sequence(F.lit(0).cast("bigint"), lane.cast("bigint") - 1))})
-        key = ["cell", "part", "lane"]
-        met = visits.groupBy(*key).cogroup(some.select("match", "unit", *key).groupBy(*key))
-        return met.applyInArrow(_best(k), f"id {kind['id']}, match {kind['match']}, score double")
-
-    found = written(_top(visited(asked.withColumn("floor", F.lit(-2.0)), False), k).drop("rank"))
-    floors = found.groupBy("id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
-    floors = floors.select("id", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(-1.0)).alias("floor"))
-    again = written(asked.join(floors, "id", "left").select("id", "unit", F.coalesce("floor", F.lit(-1.0)).alias("floor")))
-    return _top(found.unionByName(visited(again, True)), k)
+    asked = written(asked.mapInArrow(_listed(centres, "id"), f"id {kind['id']}, unit binary, cell int, angle double"))
+    # several blocks for each core; where queries are too few for that, several tasks share a block, each with some of the lists
+    cores, most = spark.sparkContext.defaultParallelism, asked.count()
+    blocks = math.ceil(most / min(BLOCK, max(STEP, math.ceil(most / (4 * cores))))) or 1
+    stripes = min(math.ceil(2 * cores / blocks), int((sizes > 0).sum()))
+    shared = asked.select("id", "unit", "cell", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
+    shared = shared.repartitionByRange(blocks * stripes, "stripe", "cell", F.xxhash64("id")).sortWithinPartitions("stripe", "cell")
+    found = shared.select("id", "unit", "stripe").mapInArrow(_nearest(Lists(centres, sizes, reach), path, stripes, k), f"id {kind['id']}, match {kind['match']}, score double")
+    return _top(found, k)

@@ -158,3 +158,49 @@ def test_tables_of_words_and_repeated_rows_are_never_broadcast(spark, tmp_path):
     pairs = spelling.near_words(got.select("word", "n"))
     pairs.collect()
     assert not re.search(r"BroadcastHashJoin \[[^\]]*part", plan(pairs))
+
+
+def shuffled_rows(spark, after=-1):
+    """Rows that the session's queries have shuffled since a query's number; the last query's number."""
+    store, total, last = spark._jsparkSession.sharedState().statusStore(), 0, after
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = store.executionsList()
+    for run in (found.apply(k) for k in range(found.size())):
+        if (number := run.executionId()) > after:
+            values, metrics, last = store.executionMetrics(number), run.metrics(), max(last, number)
+            for m in {m.accumulatorId(): m for m in (metrics.apply(k) for k in range(metrics.size()))}.values():
+                if m.name() == "shuffle records written" and values.contains(m.accumulatorId()):
+                    total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total, last
+
+
+def test_all_pairs_are_searched_without_moving_rows_for_each_list(spark, monkeypatch):
+    """Vectors without order, so that every query visits nearly all of the 38 lists."""
+    monkeypatch.setattr(dense, "CELL", 16)
+    x = np.random.default_rng(7).standard_normal((600, 16))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "id long, vector array<double>")
+    _, before = shuffled_rows(spark)
+    got = {r["id"]: r["match"] for r in dense.exact_topk(df, df, 2).where("rank = 2").collect()}
+    moved, _ = shuffled_rows(spark, before)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert got == dict(enumerate(np.argsort(-(x @ x.T), axis=1)[:, 1].tolist()))
+    assert 600 < moved < 10 * 600, moved
+
+
+def test_a_block_keeps_the_best_of_all_parts_whatever_comes_first(monkeypatch):
+    monkeypatch.setattr(dense, "STEP", 8)
+    x = np.random.default_rng(9).standard_normal((30, 4)).round(1)
+    x[3], x[10:25] = 0, x[10]
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+    want = np.lexsort((np.broadcast_to(np.arange(30), (30, 30)), -(np.round(x @ x.T, 6) + 0.0)), axis=1)[:, :5]
+    for names in (np.arange(30), np.array([f"n{k:02}" for k in range(30)], dtype=object)):
+        best = dense.Best(x, 5)
+        for part in (slice(20, 30), slice(0, 3), slice(3, 20)):
+            best.meet(np.arange(30), x[part], names[part])
+        assert (best.match == names[want]).all()
+
+
+def test_very_many_equal_scores_are_thinned_out_first():
+    s = np.tile(np.where(np.arange(500) % 3 == 0, 0.5, 0.50000004), (7, 1))
+    row, column, score = dense.best_of(s, 2, np.full(7, 0.5))
+    assert column.tolist() == [0, 1] * 7 and row.tolist() == sorted([*range(7)] * 2) and set(score.tolist()) == {0.5}
