@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -44,39 +46,79 @@ def predicted(stream: DataFrame, models: str, out: str, checkpoint: str):
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-CHANGE, COUNTED = "start bigint, meta_category string, n bigint", "seq bigint, start bigint, category string"
+CHANGE, COUNTED = "start bigint, meta_category string, n bigint", "entries binary"
+#: Groups of ids that share a state and a call in Python: the ids of some groups would be millions of calls. Fixed for a checkpoint.
+GROUPS = 512
+#: Stands for a null window in states, and for a null ``ingest_seq``, which is lower than all others.
+NONE = -(2**63)
+ENTRY = pa.schema([("id", pa.string()), ("seq", pa.int64()), ("start", pa.int64()), ("category", pa.string()), ("seen", pa.int64())])
+
+
+def _packed(entries: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, ENTRY, options=pa.ipc.IpcWriteOptions(compression="lz4")) as to:
+        to.write_table(entries)
+    return out.getvalue().to_pybytes()
+
+
+def _newest(old: pa.Table, rows: pa.Table, now: int, ttl: int) -> tuple[pa.Table, pa.Table]:
+    """The entries (one for each id) after these rows, and by how much counts change; of equal seqs the first stays.
+
+    Entries of which nothing came since ``now`` less ``ttl`` are left out.
+    """
+    both, n = pa.concat_tables([old, rows]).combine_chunks(), old.num_rows
+    code = pd.factorize(both["id"].to_pandas(), use_na_sentinel=False)[0]  # an old entry's code is its place
+    seq, seen = both["seq"].to_numpy(), both["seen"].to_numpy()
+    order = np.lexsort((-np.arange(len(code)), seq, code))
+    best = order[np.append(code[order][1:] != code[order][:-1], True)]
+    latest = np.full(len(best), NONE)
+    np.maximum.at(latest, code, seen)
+    category = pd.factorize(both["category"].to_pandas(), use_na_sentinel=False)[0]
+    start = both["start"].to_numpy()
+    was = np.arange(n)
+    moved = (start[best[:n]] != start[was]) | (category[best[:n]] != category[was])
+    plus, minus = np.append(best[:n][moved], best[n:]), was[moved]
+    # one row for each window and category, not one for each id
+    places = np.append(plus, minus)
+    _, first, of = np.unique(np.stack([start[places], category[places]]), axis=1, return_index=True, return_inverse=True)
+    sums = np.bincount(of.ravel(), np.append(np.ones(len(plus)), -np.ones(len(minus))), len(first)).astype(np.int64)
+    some = both.take(pa.array(places[first[sums != 0]], pa.int64()))
+    changed = pa.table({"start": some["start"], "meta_category": some["category"], "n": sums[sums != 0]})
+    kept = both.take(pa.array(best)).set_column(4, "seen", pa.array(latest))
+    touched = np.zeros(len(best), bool)
+    touched[code[n:]] = True
+    return kept.filter(pa.array(touched | (latest + ttl >= now))), changed
 
 
 def changes(stream: DataFrame, at: str = "created_at", days: int = 30, ttl_days: int = 400) -> DataFrame:
-    """start, meta_category, n (1 or -1): what each record's newest version changes in the counts by window and category.
+    """start, meta_category, n: by how much each record's newest version changes the counts by window and category.
 
-    The state of an id is the version that counts (the highest ingest_seq): a replay changes nothing, a revision
+    What is kept of an id is the version that counts (the highest ingest_seq): a replay changes nothing, a revision
     takes the old version back. Ids of which nothing comes for ``ttl_days`` leave the state, and count anew
-    if they ever return. Rows without a valid time have a null window.
+    if they ever return. Rows without a valid time have a null window. Ids are dealt by a hash into GROUPS states.
     """
-    width = days * 86400
+    width, ttl = days * 86400, ttl_days * 86_400_000
     time = F.unix_timestamp(F.try_to_timestamp(F.col(at)))
+    start = F.coalesce((F.floor(time / width) * width).cast("bigint"), F.lit(NONE))
     rows = stream.withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", "1 hour")
-    rows = rows.select("id", "ingest_seq", "seen_at", (F.floor(time / width) * width).cast("bigint").alias("start"), "meta_category")
+    seen, seq = F.unix_millis("seen_at"), F.coalesce(F.col("ingest_seq").cast("bigint"), F.lit(NONE))
+    rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(GROUPS)).cast("int").alias("group"), F.col("id").cast("string").alias("id"), seq.alias("seq"), start.alias("start"), F.col("meta_category").cast("string").alias("category"), seen.alias("seen"), "seen_at")
 
     def newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        now, timed_out = state.getCurrentWatermarkMs(), state.hasTimedOut
+        old = pa.ipc.open_stream(bytes(state.get[0])).read_all() if state.exists else ENTRY.empty_table()
+        come = [] if timed_out else [pa.Table.from_pandas(rows_[ENTRY.names], ENTRY, preserve_index=False) for rows_ in batches]
+        come = pa.concat_tables([ENTRY.empty_table(), *come])
+        kept, changed = _newest(old, come.set_column(4, "seen", pa.array(np.maximum(come["seen"].to_numpy(), now), pa.int64())), now, ttl)
+        if kept.num_rows:
+            state.update((_packed(kept),))
+            state.setTimeoutTimestamp(max(int(kept["seen"].to_numpy().min()) + ttl, now + 1))
+        elif state.exists:
             state.remove()
-            return
-        before = state.get if state.exists else None
-        best, latest = before, state.getCurrentWatermarkMs()
-        for rows_ in batches:
-            latest = max(latest, int(rows_["seen_at"].max().timestamp() * 1000))
-            for seq, start, category in zip(rows_["ingest_seq"], rows_["start"], rows_["meta_category"]):
-                if best is None or seq > best[0]:
-                    best = (int(seq), None if pd.isna(start) else int(start), category)
-        state.update(best)
-        state.setTimeoutTimestamp(latest + ttl_days * 86_400_000)
-        if best[1:] != (before[1:] if before else None):
-            out = [(best[1], best[2], 1)] + ([(before[1], before[2], -1)] if before else [])
-            yield pd.DataFrame({"start": pd.array([o[0] for o in out], dtype="Int64"), "meta_category": [o[1] for o in out], "n": [o[2] for o in out]})
-
-    return rows.groupBy("id").applyInPandasWithState(newest, CHANGE, COUNTED, "append", GroupStateTimeout.EventTimeTimeout)
+        if changed.num_rows:
+            yield pd.DataFrame({"start": changed["start"].to_pandas().astype("Int64").replace(NONE, pd.NA), "meta_category": changed["meta_category"].to_pandas(), "n": changed["n"].to_pandas()})
+
+    return rows.groupBy("group").applyInPandasWithState(newest, CHANGE, COUNTED, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def counts_of(changed: DataFrame) -> DataFrame:
